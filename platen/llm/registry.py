@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .chat_tree import op1_chat_prefix_tree
 from .minhash import op4_minhash_near_dedup
+from .secret_scan import op2_secret_ownership
+from .shard_tree import op3_weighted_hash_tree
 
 QUERIES = {
+    "op1_chat_prefix_tree": op1_chat_prefix_tree,
+    "op2_secret_ownership": op2_secret_ownership,
+    "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
