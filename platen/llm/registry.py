@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat_tree import op1_chat_prefix_tree
 from .minhash import op4_minhash_near_dedup
+from .packing import op10_online_packing
+from .quality_gbt import op5_quality_gbt
 from .secret_scan import op2_secret_ownership
 from .shard_tree import op3_weighted_hash_tree
 
@@ -12,5 +14,7 @@ QUERIES = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_quality_gbt": op5_quality_gbt,
+    "op10_online_packing": op10_online_packing,
 }
 ORACLES: dict[str, str] = {}
