@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .chat_tree import op1_chat_prefix_tree
+from .cube_mix import op8_cube_mix
 from .minhash import op4_minhash_near_dedup
 from .packing import op10_online_packing
 from .quality_gbt import op5_quality_gbt
+from .record_files import op9_record_files
 from .secret_scan import op2_secret_ownership
 from .shard_tree import op3_weighted_hash_tree
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_gbt": op5_quality_gbt,
+    "op8_cube_mix": op8_cube_mix,
+    "op9_record_files": op9_record_files,
     "op10_online_packing": op10_online_packing,
 }
 ORACLES: dict[str, str] = {}
