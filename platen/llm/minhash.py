@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, table
+from ._store import ROW, cut, table, with_row_id
 from ._text import U, blocks, mix, shingles, words
 from .graph import connected_components
 
@@ -99,6 +99,26 @@ def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     return both.mapInArrow(run, "u long, v long")
 
 
+def unshared(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id, n (distinct shingles) and m (those of them that another of `nodes` has too), for each of `nodes` (id, n).
+
+    Two of them share min(m, m2) shingles at most, which rules out most pairs of heavily edited copies without looking at them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                ids = batch.column(0).slice(block.lo, len(block))
+                sets = shingles(words(block, lower=True), size)
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi")
+    owners = texts.mapInArrow(run, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    lone = owners.where("id = other").groupBy("id").agg(F.count("*").alias("lone"))
+    return cut(nodes.join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2) -> DataFrame:
     """One row for each of `docs`: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
@@ -112,6 +132,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("most")).where("rep <> most")
     copies = cut(known.join(reps, ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
 
+    sizes = known.groupBy("id").agg(F.max("n").alias("n"))
+
     spread = classes.select("rep", F.explode("keys").alias("key"))
     heads = spread.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "low")
     buckets = cut(spread.join(heads, "key").select("key", "rep", "low"))
@@ -127,8 +149,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < star_rounds:
             pairs = open_.where("c <> x.c").select(F.col("rep").alias("u"), F.col("x.rep").alias("v"))
         else:  # what stars left apart: members of one bucket in different components, in full
-            mates = open_.select("key", F.col("rep").alias("v"), F.col("c").alias("d"))
-            pairs = open_.join(mates, "key").where("c < d").select(F.col("rep").alias("u"), "v")
+            own = open_.join(unshared(sizes.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), docs, id_col, text_col, size), open_["rep"] == F.col("id")).select("key", "rep", "c", "n", "m")
+            mates = own.toDF("key", "v", "d", "n2", "m2")
+            most = F.least("m", "m2")  # shared shingles at most; so much alike at best
+            pairs = own.join(mates, "key").where((F.col("c") < F.col("d")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most))).select(F.col("rep").alias("u"), "v")
         fresh = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
         fresh = cut(fresh)
         if fresh.isEmpty():
@@ -143,6 +167,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """`docs` with one row of each group of near duplicates: the first row of the smallest id (all rows of a null id)."""
+    numbered = with_row_id(docs)
+    kept = near_duplicates(numbered, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("id")).distinct()
+    first = numbered.select(F.col(id_col).cast("long").alias("id"), *ROW).groupBy("id").agg(F.min(F.struct(*ROW)).alias("r")).join(kept, "id", "left_semi")
+    lone = numbered.where(F.col(id_col).isNull()).select(*ROW)
+    return numbered.join(first.select("r.*").union(lone), list(ROW), "left_semi").select(*docs.columns)
+
+
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's digest over all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
