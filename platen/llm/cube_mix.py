@@ -132,8 +132,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     an id like any other, repeated rows are documents of their own; an empty table gives no rows. Reruns agree: order
     and draws are hashes of the rows' places. The driver sees one row for each source only.
     """
-    narrow = with_row_id(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    rows = cut(word_counts(narrow.select("source", *ROW, "id", "text"), "text"))
+    narrow = with_row_id(docs).select(F.col(source_col).cast("string").alias("source"), *ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = cut(word_counts(narrow, "text"))
     by = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     by.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     goal = targets([r["s"] for r in by], [weights[i % len(weights)] for i in range(len(by))], share, most)
@@ -180,7 +180,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, all columns, each as often as the mix takes it."""
     names = docs.columns
     numbered = with_row_id(docs)
-    taken = copies(numbered.drop(*ROW) if set(ROW) & set(names) else docs, **how).where("copies > 0").select(*ROW, F.col("copies").alias("__copies"))
+    taken = copies(numbered, **how).where("copies > 0").select(*ROW, F.col("copies").alias("__copies"))
     return numbered.join(taken, list(ROW)).withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
 
 

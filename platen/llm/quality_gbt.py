@@ -208,8 +208,9 @@ def judge(docs: DataFrame, model: Trees | None, carry: list[str], text_col: str
 def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = 0.0) -> DataFrame:
     """The documents that are kept, with all their columns."""
     model = fit(docs, labels)
-    verdict = judge(docs.select("*", F.lit(True).alias("__all")).drop("__all"), model, [c for c in docs.columns if c not in (*BASE, "score", "base_failed", "kept")], cut=cut)
-    return verdict.where("kept").select(*docs.columns)
+    plain = [f"__c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes with the added ones
+    verdict = judge(docs.toDF(*plain), model, plain, plain[docs.columns.index("text")], cut)
+    return verdict.where("kept").select(*plain).toDF(*docs.columns)
 
 
 def op5_quality_gbt(spark, sf_dir: str) -> DataFrame:

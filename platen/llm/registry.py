@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat_tree import op1_chat_prefix_tree
 from .cube_mix import op8_cube_mix
+from .line_dedup import op6_segment_line_dedup
 from .minhash import op4_minhash_near_dedup
 from .packing import op10_online_packing
 from .quality_gbt import op5_quality_gbt
 from .record_files import op9_record_files
 from .secret_scan import op2_secret_ownership
 from .shard_tree import op3_weighted_hash_tree
+from .topk_bsi import OP7_SQL, op7_bit_sliced_topk
 
 QUERIES = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
@@ -17,8 +21,11 @@ QUERIES = {
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_gbt": op5_quality_gbt,
+    "op6_segment_line_dedup": op6_segment_line_dedup,
+    "op7_bit_sliced_topk": op7_bit_sliced_topk,
     "op8_cube_mix": op8_cube_mix,
     "op9_record_files": op9_record_files,
     "op10_online_packing": op10_online_packing,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_bit_sliced_topk": OP7_SQL}
