@@ -1,4 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from platen.plans import measure
+
+QUERIES: dict = {**measure.QUERIES}
+ORACLES: dict = {**measure.ORACLES}
