@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from platen.plans import measure
+from platen.plans import decide, measure
 
-QUERIES: dict = {**measure.QUERIES}
-ORACLES: dict = {**measure.ORACLES}
+QUERIES: dict = {**measure.QUERIES, **decide.QUERIES}
+ORACLES: dict = {**measure.ORACLES, **decide.ORACLES}
