@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from platen.plans import decide, measure
+from platen.plans import decide, measure, records
 
-QUERIES: dict = {**measure.QUERIES, **decide.QUERIES}
-ORACLES: dict = {**measure.ORACLES, **decide.ORACLES}
+QUERIES: dict = {**measure.QUERIES, **decide.QUERIES, **records.QUERIES}
+ORACLES: dict = {**measure.ORACLES, **decide.ORACLES, **records.ORACLES}

@@ -9,7 +9,6 @@ from platen.operators import metrics as M
 from platen.operators import preservation as P
 from platen.operators import rules as D
 from platen.operators import stencil as K
-from platen.operators.edges import auto_thresholds, canny  # noqa: F401
 from platen.operators.histogram import gamma_correct, global_threshold
 from platen.plans import measure as Q
 from platen.plans import sql as S
@@ -93,8 +92,7 @@ UNION ALL SELECT image_id, 30, 'clahe', CASE WHEN level = 'high' THEN 1.2 WHEN l
 UNION ALL SELECT image_id, 40, 'median_denoise', 3, 'enhancement', 'medium-high' FROM c WHERE impulse_noise AND level <> 'high' UNION ALL SELECT image_id, 50, 'sharpen', 0.25, 'enhancement', 'medium' FROM c WHERE low_sharpness <> 'none' AND noise = 'none' AND level <> 'high'
 UNION ALL SELECT image_id, 70, 'adaptive_threshold', 35, 'binarization', 'medium-high' FROM c WHERE uneven <> 'none'"""
 of_conditions("d6a_recommendations", D.recommend, RECS)
-order = Window.partitionBy("image_id").orderBy("priority", "operation_id")
-of_conditions("w1_recommendation_order", lambda c: D.recommend(c).select("image_id", "operation_id", F.row_number().over(order).alias("place")), f"SELECT image_id, operation_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY priority, operation_id) AS INTEGER) AS place FROM ({RECS})")
+of_conditions("w1_recommendation_order", lambda c: D.recommend(c).select("image_id", "operation_id", F.row_number().over(Window.partitionBy("image_id").orderBy("priority", "operation_id")).alias("place")), f"SELECT image_id, operation_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY priority, operation_id) AS INTEGER) AS place FROM ({RECS})")
 AUTOMATIC = ("illumination_normalize", "gamma_correct", "clahe", "sharpen")
 of_conditions("f7_eligible", lambda c: D.recommend(c).where((F.col("mode") == "enhancement") & F.col("operation_id").isin(*AUTOMATIC)).select("image_id", "priority", "operation_id"), f"SELECT image_id, priority, operation_id FROM ({RECS}) WHERE mode = 'enhancement' AND operation_id IN {AUTOMATIC}")
 
