@@ -110,12 +110,13 @@ class Trees:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, constraints: list[int], trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 20, ridge: float = 1.0) -> Trees | None:
+def train(x: np.ndarray, y: np.ndarray, constraints: list[int], trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int | None = None, ridge: float = 1.0) -> Trees | None:
     """Boosted trees for logistic loss; None where a class is missing. Splits that break a constraint are not made, and
-    the values below a constrained split stay on their side of its middle."""
+    the values below a constrained split stay on their side of its middle. A leaf has `least` rows: by default a fiftieth of them, 3 to 20."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return None
+    least = least or min(20, max(3, len(y) // 50))
     edges = [np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) for col in x.T]
     codes = np.column_stack([np.searchsorted(e, col, "left") for e, col in zip(edges, x.T, strict=True)])
     bias = float(np.log(y.mean() / (1 - y.mean())))
