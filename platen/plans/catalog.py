@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from platen.plans import decide, measure, records
+from platen.plans import decide, measure, pages, records
 
-QUERIES: dict = {**measure.QUERIES, **decide.QUERIES, **records.QUERIES}
-ORACLES: dict = {**measure.ORACLES, **decide.ORACLES, **records.ORACLES}
+QUERIES: dict = {**measure.QUERIES, **decide.QUERIES, **records.QUERIES, **pages.QUERIES}
+ORACLES: dict = {**measure.ORACLES, **decide.ORACLES, **records.ORACLES, **pages.ORACLES}
