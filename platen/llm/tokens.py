@@ -1,62 +1,106 @@
-"""Token ids of whole texts through the tokenizers library, word pieces encoded once.
+"""Token ids of whole texts through the tokenizers library, each piece of text encoded once.
 
-For the tokenizers used here no token spans the place before a space that a non-space follows, so a text's ids are those
-of its pieces, cut there; a memo of bounded size keeps the ids of pieces seen before. A piece that begins with white
-space or is empty stays joined to the one before it.
+For the tokenizers used here no token spans the place before a space that a non-space follows, a line end between two
+non-spaces, or the place between a letter and the full stops, commas and the like after it. So a text's ids are those of its
+pieces. Memos of bounded size keep the ids of pieces seen before: of stretches from space to space, and, for
+stretches that are new, of the words and marks in them. A stretch that begins with white space or is empty stays joined to
+the one before it.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+MARKS = ".,;:!?"
+_ODD = re.compile(r" \s| $")
+
+
+class Memo:
+    """A dict of two generations: what isn't asked for while the younger one fills is forgotten."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def ready(self, keys: Iterable[str], make) -> dict[str, bytes]:
+        """A dict that holds all of `keys`; make(list) gives values of new ones."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for k in set(keys).difference(young):
+            found = old.get(k)
+            if found is None:
+                new.append(k)
+            else:
+                young[k] = found
+        if new:
+            young.update(zip(new, make(new), strict=True))
+        return young
 
 
 class Encoder:
-    """Ids as little-endian bytes of `kind`; `memo` bounds the pieces that are kept."""
+    """Ids as little-endian bytes of `kind`; `memo` bounds how many stretches, and how many words, are kept."""
 
-    def __init__(self, path: str, kind: str = "<u4", memo: int = 400_000, special_as_text: bool = False):
+    def __init__(self, path: str, kind: str = "<u4", memo: int = 800_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tool, self.kind, self.most = Tokenizer.from_file(path), kind, memo
+        self.tool, self.kind = Tokenizer.from_file(path), np.dtype(kind)
         self.tool.encode_special_tokens = special_as_text
-        self.known: dict[str, bytes] = {}
-        #: Whether a piece keeps the space before it (byte-level), or spaces only separate.
-        self.spaced = len(self.tool.encode(" a", add_special_tokens=False).ids) != len(self.tool.encode("a", add_special_tokens=False).ids) or self.tool.encode(" a", add_special_tokens=False).ids != self.tool.encode("a", add_special_tokens=False).ids
+        self.stretches, self.parts = Memo(memo), Memo(memo)
+        #: Whether a stretch keeps the space before it (byte-level), or spaces only separate.
+        self.space = " " if self.tool.encode(" a", add_special_tokens=False).ids != self.tool.encode("a", add_special_tokens=False).ids else ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, joined bytes."""
         cut = []
-        missing: set[str] = set()
-        known = self.known
         for text in texts:
             pieces = text.split(" ")
-            if "  " in text or any(p[:1].isspace() for p in pieces) or text[-1:] == " ":
-                pieces = self._joined(pieces)
-            if len(pieces) > 1 and self.spaced:
-                pieces = [pieces[0], *[" " + p for p in pieces[1:]]]
-            cut.append(pieces)
-            missing.update(p for p in pieces if p not in known)
-        fresh: dict[str, bytes] = {}
-        if missing:
-            new = list(missing)
-            for lo in range(0, len(new), 10_000):
-                part = new[lo : lo + 10_000]
-                for piece, found in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    fresh[piece] = np.array(found.ids, self.kind).tobytes()
-            if len(known) + len(fresh) > self.most:
-                fresh |= {p: known[p] for pieces in cut for p in pieces if p in known}
-                known = fresh
-                self.known = fresh if len(fresh) <= self.most else {}
+            cut.append(self._joined(pieces) if _ODD.search(text) else pieces)
+        heads = self.parts_of([c[0] for c in cut])
+        known = self.stretches.ready(chain.from_iterable(c[1:] for c in cut), lambda new: self.parts_of([self.space + p for p in new]))
+        return [head + b"".join([known[p] for p in c[1:]]) for head, c in zip(heads, cut, strict=True)]
+
+    def parts_of(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches, by the words and marks in them."""
+        split = [[s] if s[1:].isalpha() and s[0] != "\n" else self._split(s) for s in stretches]
+        known = self.parts.ready(chain.from_iterable(split), self._encoded)
+        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(parts), 2000):
+            some = parts[lo : lo + 2000]
+            found = self.tool.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data, width = np.array(found.ids, self.kind).tobytes(), self.kind.itemsize
+            ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(some) + 1)) * width).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    @staticmethod
+    def _split(stretch: str) -> list[str]:
+        lines = stretch.split("\n")
+        if len(lines) > 1 and (any(not x or x[0].isspace() or x[-1].isspace() for x in lines[1:]) or lines[0][-1:].isspace() or not lines[0]):
+            return [stretch]
+        out: list[str] = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append("\n")
+            core = line.rstrip(MARKS)
+            if len(core) != len(line) and core[-1:].isalpha():
+                out.append(core)
+                out.append(line[len(core) :])
             else:
-                known.update(fresh)
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+                out.append(line)
+        return out
 
     @staticmethod
     def _joined(pieces: list[str]) -> list[str]:
@@ -75,7 +119,7 @@ def encoder(path: str, kind: str = "<u4", special_as_text: bool = False) -> Enco
     return Encoder(path, kind, special_as_text=special_as_text)
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(column: pa.Array, limit: int = 3 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of about `limit` bytes; null is empty."""
     from ._text import blocks
 
