@@ -4,8 +4,9 @@ One hash per shingle fills `bands * rows` bins by its high bits (the least hash
 borrows from a full one that its own fixed random permutation of the bins reaches first, so bins stay independent
 draws and a pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands (36 bands of 4: all but one
 in a million at 0.75). Documents of one bucket get an edge to the bucket's centre only. Buckets whose members are still
-in different components after the check take other centres, and what even then stays apart is compared in full,
-so star edges bound the usual work but lose nothing. Edges are confirmed on whole shingle sets.
+in different components after the check take the member that shares most with the others as a second centre, and what even
+then stays apart is compared by its rarest shingles, which leaves out no pair that can be alike. So star edges bound the
+work but lose nothing. Edges are confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import ROW, cut, table, with_row_id
@@ -99,10 +100,11 @@ def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     return both.mapInArrow(run, "u long, v long")
 
 
-def unshared(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n (distinct shingles) and m (those of them that another of `nodes` has too), for each of `nodes` (id, n).
+def rare_shingles(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """For each text of `nodes` (id), its rarest shingles: id, n (shingles of the text), m (those that another node has), h, at (place in order of rarity).
 
-    Two of them share min(m, m2) shingles at most, which rules out most pairs of heavily edited copies without looking at them.
+    Alike sets share one of the first n - ceil(n percent / 100) + 1 of each in that order, so the others are left out, and
+    so are shingles that no other node has. Written as a table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +112,36 @@ def unshared(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
             for block in blocks(batch.column(1)):
                 ids = batch.column(0).slice(block.lo, len(block))
                 sets = shingles(words(block, lower=True), size)
-                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+                n = np.array([len(s) for s in sets], np.int64)
+                k = np.array([int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)) for s in sets], np.int64)
+                at = np.repeat(np.arange(len(sets)), n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(k[at]), pa.array(n[at]), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "k", "n", "h"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi")
-    owners = texts.mapInArrow(run, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    lone = owners.where("id = other").groupBy("id").agg(F.count("*").alias("lone"))
-    return cut(nodes.join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m")))
+    each = table(texts.mapInArrow(run, "id long, k long, n long, h long"))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("f")), "h")
+    own = Window.partitionBy("id", "k")
+    placed = counted.withColumns({"at": F.row_number().over(own.orderBy("f", "h")) - 1, "m": F.count_if(F.col("f") > 1).over(own)})
+    front = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return table(placed.where((F.col("at") < front) & (F.col("f") > 1)).select("id", "n", "m", "h", "at"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2) -> DataFrame:
+def prefix_pairs(rare: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of nodes in different components (groups: id, c) that can be as much alike as `percent` asks.
+
+    At the first shingle that two sets share in order of rarity, what is left of both bounds what they can have in common. For
+    each shingle, only nodes outside its most frequent component look for partners, since a pair has one such node at least.
+    """
+    rows = rare.join(groups, "id").select("h", "id", "n", "at", "c")
+    most = rows.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "most")
+    left = rows.join(most, "h").where("c <> most").drop("most")
+    right = rows.toDF("h", "v", "n2", "at2", "d")
+    shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    good = (F.col("c") != F.col("d")) & ((100 + percent) * shared >= percent * (F.col("n") + F.col("n2"))) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    return left.join(right, "h").where(good).select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each of `docs`: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
     Null and empty texts have no shingle and link with nothing. Rows of one id are one document with several texts,
@@ -132,33 +154,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("most")).where("rep <> most")
     copies = cut(known.join(reps, ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
 
-    sizes = known.groupBy("id").agg(F.max("n").alias("n"))
-
     spread = classes.select("rep", F.explode("keys").alias("key"))
     heads = spread.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "low")
     buckets = cut(spread.join(heads, "key").select("key", "rep", "low"))
     tried = cut(buckets.where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct())
     links = cut(confirmed(tried, docs, id_col, text_col, size, percent))
 
-    for turn in range(1, star_rounds + 1):
-        groups = connected_components(links)
-        placed = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        draw = F.xxhash64("rep", "key", F.lit(turn))
-        centre = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "c"), draw).alias("x")).where("low <> high").select("key", "x")
-        open_ = cut(placed.join(centre, "key"))
-        if turn < star_rounds:
-            pairs = open_.where("c <> x.c").select(F.col("rep").alias("u"), F.col("x.rep").alias("v"))
-        else:  # what stars left apart: members of one bucket in different components, in full
-            own = open_.join(unshared(sizes.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), docs, id_col, text_col, size), open_["rep"] == F.col("id")).select("key", "rep", "c", "n", "m")
-            mates = own.toDF("key", "v", "d", "n2", "m2")
-            most = F.least("m", "m2")  # shared shingles at most; so much alike at best
-            pairs = own.join(mates, "key").where((F.col("c") < F.col("d")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most))).select(F.col("rep").alias("u"), "v")
-        fresh = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        fresh = cut(fresh)
-        if fresh.isEmpty():
-            continue
-        more = cut(confirmed(fresh, docs, id_col, text_col, size, percent))
-        tried, links = cut(tried.union(fresh)), links.union(more)
+    # one step toward the least neighbour is label enough to see which buckets are settled; a label too many costs a check, no link
+    near = links.groupBy("u").agg(F.min("v").alias("c")).withColumnRenamed("u", "rep")
+    placed = buckets.join(near, "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("from"), F.max("c").alias("to")).where("from <> to").select("key")
+    open_ = cut(placed.join(mixed, "key"))
+    if not open_.isEmpty():
+        nodes = open_.select(F.col("rep").alias("id")).distinct()
+        rare = rare_shingles(nodes, docs, id_col, text_col, size, percent)
+        # a second star: the member that shares most is the likeliest to be near all the others
+        shared = rare.groupBy("id").agg(F.min("n").alias("n"), F.max("m").alias("m")).withColumnRenamed("id", "rep")
+        left = open_.join(shared, "rep").select("key", "rep", "c", "n", "m")
+        best = F.max_by(F.struct("rep", "c", "n", "m"), F.struct(F.col("m") / F.col("n"), F.xxhash64("rep")))
+        right = left.groupBy("key").agg(best.alias("x")).select("key", F.col("x.rep").alias("v"), F.col("x.c").alias("d"), F.col("x.n").alias("n2"), F.col("x.m").alias("m2"))
+        most = F.least("m", "m2")  # shared shingles at most; so much alike at best
+        able = (F.col("c") != F.col("d")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most))
+        pairs = left.join(right, "key").where(able).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"))
+        fresh = cut(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
+        links, tried = cut(links.union(confirmed(fresh, docs, id_col, text_col, size, percent))), tried.union(fresh)
+        # what stars leave apart is compared by its rare shingles
+        groups = nodes.join(connected_components(links).toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+        fresh = cut(prefix_pairs(rare, groups, percent).distinct().join(tried, ["u", "v"], "left_anti"))
+        links = links.union(cut(confirmed(fresh, docs, id_col, text_col, size, percent)))
 
     groups = connected_components(links.union(copies))
     named = groups.toDF("id", "component")
