@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that the corpus has before them; one that loses all its words to that goes too. n_chars follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, short=True)
     left = (F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     n_chars = F.when(F.col("__dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
     return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)

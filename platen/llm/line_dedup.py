@@ -20,6 +20,8 @@ from ._text import U, mix, span_hashes
 
 MOST_EDITS, LEAST_CHARS = 1, 40
 BLOCK_CHARS = 1 << 19
+#: What a line must have to be more than layout.
+WORDY = r"[\p{L}\p{N}]"
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -113,18 +115,19 @@ def _keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
             lo = hi
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """ROW, id, place and text of every line of `least` characters or more, with two hashes that name its content."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool = False) -> DataFrame:
+    """ROW, id, place and text of every line of `least` characters or more, with two hashes that name its content; `short` adds shorter ones that have a letter or digit."""
     each = docs.select(*ROW, F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("place", "text"))
-    return each.where(F.length("text") >= least).select("*", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
+    wanted = F.length("text") >= least
+    return each.where(wanted | F.col("text").rlike(WORDY) if short else wanted).select("*", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
 
 
-def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, least: int) -> DataFrame:
+def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, least: int, short: bool = False) -> DataFrame:
     """line, line2, first (id, ROW, place of the first occurrence), n, near: the content stands earlier in the corpus with 1 to `most` edits."""
-    each = lines_of(numbered, id_col, text_col, least)
+    each = lines_of(numbered, id_col, text_col, least, short)
     first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", *ROW, "place"))
     known = cut(each.groupBy("line", "line2").agg(first.alias("first"), F.count("*").alias("n")))
-    keys = each.select("line", "text").mapInArrow(lambda batches: _keys(batches, most), "key long, line long, probe boolean")
+    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(lambda batches: _keys(batches, most), "key long, line long, probe boolean")
     keys = keys.groupBy("key", "line").agg(F.bool_or(~F.col("probe")).alias("index"), F.bool_or("probe").alias("probe"))
     left, right = keys.where("index").select("key", F.col("line").alias("a")), keys.where("probe").select("key", F.col("line").alias("b"))
     pairs = cut(left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -148,10 +151,10 @@ def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, le
     return known.join(near.withColumn("near", F.lit(True)), ["line", "line2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def dropped_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def dropped_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """ROW and dropped (sorted places of lines) of the rows of `docs`, numbered by with_row_id, that lose a line."""
-    verdicts = line_verdicts(docs, id_col, text_col, most, least).where("near OR n > 1").select("line", "line2", "first", "near")
-    each = lines_of(docs, id_col, text_col, least).drop("text").join(verdicts, ["line", "line2"])
+    verdicts = line_verdicts(docs, id_col, text_col, most, least, short).where("near OR n > 1").select("line", "line2", "first", "near")
+    each = lines_of(docs, id_col, text_col, least, short).drop("text").join(verdicts, ["line", "line2"])
     stays = ~F.col("near") & (F.struct(*[F.col(f"first.{c}") for c in (*ROW, "place")]) == F.struct(*ROW, "place"))
     return each.where(~stays).groupBy(*ROW).agg(F.sort_array(F.collect_list("place")).alias("dropped"))
 
@@ -161,15 +164,16 @@ def without_lines(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """`docs` with `text_col` less its repeated lines, and `__lines`, `__dropped`: how many it had and lost.
 
     A line of at least `least` characters goes if the corpus, in order of id (nulls last) and place, has the same line
-    before, or one with 1 to `most` edits. The first of such lines stays; shorter lines stay always. A null or empty text
+    before, or one with 1 to `most` edits. The first of such lines stays. Shorter lines stay always; with `short` they go
+    if the corpus has the same line before, all but those without a letter or digit (blank lines, rules, lone brackets). A null or empty text
     stays as it is; repeated rows keep their lines in the first of them only; an empty table gives no rows.
     """
     numbered = with_row_id(docs)
-    lost = dropped_places(numbered, id_col, text_col, most, least)
+    lost = dropped_places(numbered, id_col, text_col, most, least, short)
     rows = numbered.join(lost.withColumnRenamed("dropped", "__places"), list(ROW), "left")
     out = rows.withColumn("__lines", F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long"))
     out = out.withColumn(text_col, without_lines(F.col(text_col), F.col("__places")))
@@ -178,6 +182,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_segment_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its lines, those that it lost, and a digest of the text that is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

@@ -132,6 +132,19 @@ def test_line_dedup_matches_brute_force(docs):
     assert dedup_lines(docs([])).count() == 0
 
 
+def test_short_lines_go_exactly(docs, tmp_path):
+    import corpus_pipeline as cp
+    from platen.llm.line_dedup import op6_segment_line_dedup
+
+    rows = [(3, "All rights reserved.\n\nÉ\n}\n}\nLes.", "a"), (1, "Les.\nAll rights reserved.\nAll rights reserve.", "a"), (2, "é\n\n---\nLes.\nLes. ", "a"), (4, "---\nLes.", "b")]
+    want = {1: "Les.\nAll rights reserved.\nAll rights reserve.", 2: "é\n\n---\nLes. ", 3: "\nÉ\n}\n}", 4: "---"}
+    table = docs(rows)
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(table, short=True).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in cp.line_dedup(table.sparkSession, table, "").collect()} == want
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["n_dropped"] for r in op6_segment_line_dedup(table.sparkSession, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2, 4: 1}
+
+
 def test_blocks_of_nulls_and_long_texts():
     import pyarrow as pa
 
