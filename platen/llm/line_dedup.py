@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._store import ROW, cut, fits_broadcast, with_row_id
 from ._text import U, mix, span_hashes
 
-MOST_EDITS, LEAST_CHARS = 1, 40
+MOST_EDITS, LEAST_CHARS, EDIT_PER = 1, 40, 25
 BLOCK_CHARS = 1 << 19
 #: What a line must have to be more than layout.
 WORDY = r"[\p{L}\p{N}]"
@@ -87,12 +87,58 @@ def probes(length: int, most: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def threshold(length: int, most: int, per: int | None) -> int:
+    """Edits that a line of `length` may be away from an equal or longer one: one for each `per` characters, `most` at least."""
+    return most if per is None else max(most, length // per)
+
+
+def grid(length: int, most: int, per: int, least: int) -> list[tuple[int, int, int, int, int]]:
+    """(threshold, segment, start, size, probe) of the substrings of a line of `length` that stand for it.
+
+    Lines of one threshold t have t + 1 segments of one size, whatever their length. A segment that no edit touches
+    moves by few places, so it is indexed by `step` windows one place apart and probed at each `step`th place: one of
+    them is such a place. Where places are more than the line has, threshold and number are left out (-1): from there on
+    segments have one size.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+
+    def shape(t: int) -> tuple[int, int, int, int]:
+        lo = max(least, t * per if t > most else 0)
+        size, step = lo // (t + 1), 1 if t < 4 else 2 if t < 9 else 3 if t < 16 else 4
+        step = max(1, min(step, size))
+        return lo, (t + 1) * per - 1, size, step
+
+    own = threshold(length, most, per)
+    lo, _, size, step = shape(own)
+    wide = lambda t: 3 * t * t > 4 * (t + 1) * per
+    name = lambda t, i: (-1, -1) if wide(t) else (t, i)
+    out += [(*name(own, i), i * size + j, size - step + 1, 0) for i in range(own + 1) for j in range(step)]
+    if wide(own):
+        out += [(-1, -1, at, size - step + 1, 1) for at in range(0, length - size + step, step)]
+    for t in range(own, most - 1, -1):
+        lo, hi, size, step = shape(t)
+        n = size - step + 1
+        gaps = max(0, length - hi), min(t, length - lo)
+        if gaps[0] > t:
+            break
+        for i in range(0 if wide(t) else t + 1):
+            # the multi-match-aware window: i edits to the left of the segment at most, t - i to its right
+            first = max(i * size + max(-i, gaps[0] - (t - i)), 0)
+            last = min(i * size + step - 1 + min(i, gaps[1] + t - i), length - n)
+            out += [(t, i, at, n, 1) for at in range(first + -first % step, last + 1, step)]
+    return out
+
+
+def _keys(batches: Iterator[pa.RecordBatch], most: int, per: int | None = None, least: int = 0) -> Iterator[pa.RecordBatch]:
     """(key, line, probe) rows of lines given as (line, text)."""
     plans: dict[int, np.ndarray] = {}
 
     def plan(n: int) -> np.ndarray:
-        if n not in plans:
+        if n not in plans and per is not None:
+            each = np.array(grid(n, most, per, least), np.int64)
+            each[:, 1] += each[:, 0] << 32  # numbers of one threshold stand apart from those of others
+            plans[n] = each
+        elif n not in plans:
             index = [(n, i, s, size, 0) for i, (s, size) in enumerate(segments(n, most + 1))]
             plans[n] = np.array(index + [(*p, 1) for p in probes(n, most)], np.int64)
         return plans[n]
@@ -122,12 +168,12 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int, short: boo
     return each.where(wanted | F.col("text").rlike(WORDY) if short else wanted).select("*", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
 
 
-def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, least: int, short: bool = False) -> DataFrame:
-    """line, line2, first (id, ROW, place of the first occurrence), n, near: the content stands earlier in the corpus with 1 to `most` edits."""
+def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, least: int, short: bool = False, per: int | None = None) -> DataFrame:
+    """line, line2, first (id, ROW, place of the first occurrence), n, near: the content stands earlier in the corpus with 1 to `threshold` edits."""
     each = lines_of(numbered, id_col, text_col, least, short)
     first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", *ROW, "place"))
     known = cut(each.groupBy("line", "line2").agg(first.alias("first"), F.count("*").alias("n")))
-    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(lambda batches: _keys(batches, most), "key long, line long, probe boolean")
+    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(lambda batches: _keys(batches, most, per, least), "key long, line long, probe boolean")
     keys = keys.groupBy("key", "line").agg(F.bool_or(~F.col("probe")).alias("index"), F.bool_or("probe").alias("probe"))
     left, right = keys.where("index").select("key", F.col("line").alias("a")), keys.where("probe").select("key", F.col("line").alias("b"))
     pairs = cut(left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -145,15 +191,20 @@ def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, le
             good = [within(x, y, most) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["line", "line2"]).filter(pa.array(good, pa.bool_()))
 
+    if per is not None:
+        most_here = F.greatest(F.lit(most), F.floor(F.least(F.length("a_text"), F.length("b_text")) / per)).cast("int")
+        both = both.withColumn("most", most_here).where("abs(length(a_text) - length(b_text)) <= most").where("levenshtein(a_text, b_text, most) >= 0")
+
     later = F.col("a_first") > F.col("b_first")
     pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
-    near = both.select(pick("a", "b").alias("line"), pick("a2", "b2").alias("line2"), "a_text", "b_text").mapInArrow(check, "line long, line2 long").distinct()
+    near = both.select(pick("a", "b").alias("line"), pick("a2", "b2").alias("line2"), "a_text", "b_text")
+    near = (near.mapInArrow(check, "line long, line2 long") if per is None else near.select("line", "line2")).distinct()
     return known.join(near.withColumn("near", F.lit(True)), ["line", "line2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def dropped_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
+def dropped_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False, per: int | None = None) -> DataFrame:
     """ROW and dropped (sorted places of lines) of the rows of `docs`, numbered by with_row_id, that lose a line."""
-    verdicts = line_verdicts(docs, id_col, text_col, most, least, short).where("near OR n > 1").select("line", "line2", "first", "near")
+    verdicts = line_verdicts(docs, id_col, text_col, most, least, short, per).where("near OR n > 1").select("line", "line2", "first", "near")
     each = lines_of(docs, id_col, text_col, least, short).drop("text").join(verdicts, ["line", "line2"])
     stays = ~F.col("near") & (F.struct(*[F.col(f"first.{c}") for c in (*ROW, "place")]) == F.struct(*ROW, "place"))
     return each.where(~stays).groupBy(*ROW).agg(F.sort_array(F.collect_list("place")).alias("dropped"))
@@ -164,16 +215,16 @@ def without_lines(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False, per: int | None = None) -> DataFrame:
     """`docs` with `text_col` less its repeated lines, and `__lines`, `__dropped`: how many it had and lost.
 
     A line of at least `least` characters goes if the corpus, in order of id (nulls last) and place, has the same line
-    before, or one with 1 to `most` edits. The first of such lines stays. Shorter lines stay always; with `short` they go
+    before, or one with 1 to `most` edits; with `per` the edits grow with the shorter line, one for each `per` characters. The first of such lines stays. Shorter lines stay always; with `short` they go
     if the corpus has the same line before, all but those without a letter or digit (blank lines, rules, lone brackets). A null or empty text
     stays as it is; repeated rows keep their lines in the first of them only; an empty table gives no rows.
     """
     numbered = with_row_id(docs)
-    lost = dropped_places(numbered, id_col, text_col, most, least, short)
+    lost = dropped_places(numbered, id_col, text_col, most, least, short, per)
     rows = numbered.join(lost.withColumnRenamed("dropped", "__places"), list(ROW), "left")
     out = rows.withColumn("__lines", F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long"))
     out = out.withColumn(text_col, without_lines(F.col(text_col), F.col("__places")))
@@ -182,6 +233,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_segment_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its lines, those that it lost, and a digest of the text that is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True, per=EDIT_PER)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

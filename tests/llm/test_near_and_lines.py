@@ -132,6 +132,62 @@ def test_line_dedup_matches_brute_force(docs):
     assert dedup_lines(docs([])).count() == 0
 
 
+def test_grid_of_growing_thresholds_is_complete():
+    from platen.llm.line_dedup import grid, threshold
+
+    draw = random.Random(2)
+    for k in range(700):
+        n = draw.choice((40, 49, 50, 52, 74, 75, 99, 100, 130, 224, 225, 226, 400, 430, 900, 2100))
+        a = "".join(draw.choice("abcdefgh ") for _ in range(n))
+        t = threshold(n, 1, 25)
+        if k % 2:  # edits as evenly spread as can be
+            b = list(a)
+            for i in sorted(range(t), reverse=True):
+                at, what = (i + 1) * n // (t + 1), draw.randrange(3)
+                b[at : at + (what > 0)] = ["z"] if what < 2 else []
+            b = "".join(b)
+        else:
+            b = changed(draw, a, t)
+        s, l = sorted((a, b), key=len)
+        if len(s) < 40 or threshold(len(s), 1, 25) < t:
+            continue
+        mine = lambda text, probe: {(t, i, text[x : x + m]) for t, i, x, m, p in grid(len(text), 1, 25, 40) if p == probe}
+        assert mine(s, 0) & mine(l, 1), (n, len(s), len(l))
+
+
+def test_near_lines_with_growing_thresholds_match_brute_force(docs, tmp_path):
+    from platen.llm.line_dedup import op6_segment_line_dedup
+
+    draw = random.Random(8)
+    vocab = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(2, 9))) for _ in range(200)]
+    pool = []
+    for size in (8, 8, 10, 15, 20, 40, 40, 90):
+        pool.append(" ".join(draw.choice(vocab) for _ in range(size)))
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(2):
+            line = draw.choice(pool)
+            if draw.random() < 0.5:
+                w = line.split(" ")
+                w[draw.randrange(len(w))] = draw.choice(vocab)
+                line = " ".join(w)
+            lines.append(changed(draw, line, draw.choice((0, 1, 2, 4, 9, 16))))
+        rows.append((i, "\n".join(lines), "a"))
+    seen, want, far = [], {}, 0
+    for i, t, _ in rows:
+        want[i] = 0
+        for line in t.split("\n"):
+            gaps = [(edits(line, s), max(1, min(len(line), len(s)) // 25)) for s in seen if abs(len(line) - len(s)) < 40 and min(len(line), len(s)) >= 40]
+            near = line in seen or len(line) >= 40 and any(e <= m for e, m in gaps)
+            far += near and not any(e <= 1 for e, _ in gaps)
+            want[i] += near
+            seen.append(line)
+    assert far > 20
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["n_dropped"] for r in op6_segment_line_dedup(docs(rows).sparkSession, str(tmp_path)).collect()} == want
+
+
 def test_short_lines_go_exactly(docs, tmp_path):
     import corpus_pipeline as cp
     from platen.llm.line_dedup import op6_segment_line_dedup
