@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.functions.scalars import order_corners, quad_area
+from platen.functions.scalars import is_convex, order_corners, quad_area
 from platen.operators.components import labelled_runs
 from platen.operators.edges import auto_thresholds, canny
-from platen.operators.geometry import geometry_scores, hist_distance, hough_segments, min_area_angle, plausible_quads, rank_boundary, rectify, skew_stats
+from platen.operators.geometry import _sampled, geometry_scores, hist_distance, hough_segments, min_area_angle, plausible_quads, rank_boundary, rectify, skew_stats
 from platen.operators.histogram import clahe, otsu
 from platen.operators.stencil import morph_close
 from platen.sources.rasters import KEYS, dimensions
@@ -132,11 +134,47 @@ def verify_preparation(p: DataFrame) -> DataFrame:
     return p.withColumn("skew_status", skew).withColumn("status", F.when(~F.col("prepared") | hard | (F.col("skew_status") == "reject"), "reject").when(F.col("skew_status").isin("caution", "unknown"), "caution").otherwise("accept"))
 
 
+def deskew(pages: DataFrame, gated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, crops): pages whose action in `gated` (angle, action) is apply are turned by their angle on a canvas that holds all of
+    them, filled with the median of their border; the others stay. crops: safe_crop of the turned ones, which reports and cuts nothing, as in the reference.
+    """
+    turn = gated.where("action = 'apply'").select("image_id", F.radians(F.col("angle").cast("double")).alias("a"))
+    d = dimensions(pages).join(turn, "image_id").withColumn("band", F.greatest(F.lit(3), F.bround(F.least("height", "width") * 0.02).cast("int")))
+    sides = [F.col("y") < F.col("band"), F.col("y") >= F.col("height") - F.col("band"), F.col("x") < F.col("band"), F.col("x") >= F.col("width") - F.col("band")]
+    each = pages.join(d, "image_id").select("image_id", "v", F.explode(F.filter(F.array(*[F.when(b, i) for i, b in enumerate(sides)]), lambda b: b.isNotNull())))
+    fill = each.groupBy("image_id").agg(F.bround(F.percentile("v", 0.5)).cast("int").alias("fill"))
+    c, s = F.cos("a"), F.sin("a")
+    size = lambda one, other: F.ceil(F.round(F.col(one) * F.abs(s) + F.col(other) * F.abs(c), 6)).cast("int")
+    grid = d.join(fill, "image_id").withColumns({"w": size("height", "width"), "h": size("width", "height")})
+    grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    dx, dy = F.col("x") - (F.col("w") - 1) / 2, F.col("y") - (F.col("h") - 1) / 2
+    grid = grid.withColumns({"sx": F.round(c * dx - s * dy + (F.col("width") - 1) / 2, 6), "sy": F.round(s * dx + c * dy + (F.col("height") - 1) / 2, 6)})
+    inside = F.col("sx").between(-0.5, F.col("width") - 0.5) & F.col("sy").between(-0.5, F.col("height") - 0.5)
+    crops = safe_crop(grid.where(inside).select(*KEYS))
+    turned = _sampled(grid, pages, "fill").select(*KEYS, F.col("v").cast("int").alias("v"))
+    return pages.join(turn, "image_id", "left_anti").select(*KEYS, F.col("v").cast("int").alias("v")).unionByName(turned), crops
+
+
 def prepare(px: DataFrame, least_ring: int = 100, accept: float = 0.68) -> tuple[DataFrame, DataFrame]:
-    """(pages, log): rectified rasters of the images whose boundary is detected, and a step log of every image."""
+    """(pages, log): rectified and deskewed rasters of the images whose boundary is detected, and a step log of every image with its check's status."""
     found = cut(detect_boundary(px, accept, least_ring))
     good = found.where("detected")
-    pages = cut(rectify(px.join(good.select("image_id"), "image_id", "left_semi"), good.select("image_id", order_corners(F.col("corners")).alias("corners"))))
-    skew = deskew_gate(detect_skew(pages, 4))
-    log = px.select("image_id").distinct().join(found.select("image_id", "detected", "score"), "image_id", "left").join(skew.select("image_id", "action"), "image_id", "left")
-    return pages, log.select("image_id", F.coalesce("detected", F.lit(False)).alias("boundary"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("action", F.lit("stopped")).alias("deskew"))
+    flat = cut(rectify(px.join(good.select("image_id"), "image_id", "left_semi"), good.select("image_id", order_corners(F.col("corners")).alias("corners"))))
+    skew = cut(deskew_gate(detect_skew(flat, 4)))
+    pages, crops = deskew(flat, skew)
+    pages = cut(pages)
+    left = detect_skew(pages, 4).select("image_id", F.col("angle").alias("residual"), F.col("confidence").alias("residual_confidence"))
+    sound = found.select("image_id", "detected", "score", F.col("score").alias("confidence"), "area_ratio", is_convex(order_corners(F.col("corners"))).alias("convex"))
+    safe = crops.where("retention >= 0.95").select("image_id", "retention")
+    all_ = px.select("image_id").distinct().join(sound, "image_id", "left").join(dimensions(flat), "image_id", "left").join(skew.select("image_id", "angle", "action"), "image_id", "left").join(safe, "image_id", "left").join(left, "image_id", "left")
+    log = verify_preparation(all_.withColumn("prepared", F.col("width").isNotNull()))
+    return pages, log.select("image_id", F.coalesce("detected", F.lit(False)).alias("boundary"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("action", F.lit("stopped")).alias("deskew"), "angle", F.col("retention").isNotNull().alias("crop_safe"), "residual", F.when(~F.col("prepared"), "stopped").otherwise(F.col("status")).alias("status"))
+
+
+def document_pipeline(px: DataFrame, treat: Callable[[DataFrame], DataFrame], least_ring: int = 100, accept: float = 0.68) -> DataFrame:
+    """`treat` (a row an image, with final) of the pages that pass the checks; the other images have final stopped (no page) or review_required."""
+    pages, log = prepare(px, least_ring, accept)
+    log = cut(log)
+    out = treat(pages.join(log.where("status = 'accept'").select("image_id"), "image_id", "left_semi"))
+    rest = log.where("status <> 'accept'").select("image_id", F.when(F.col("status") == "stopped", "stopped").otherwise("review_required").alias("final"))
+    return out.unionByName(rest, allowMissingColumns=True)

@@ -61,4 +61,4 @@ def support(spark, d):
 
 query("e5_edge_support")(lambda spark, d: Q.rounded(support(spark, d), support=4))
 query("d15_prepare")(lambda spark, d: P.prepare(V(spark, d), 4, 0.5)[1])
-query("d17_document_pipeline")(lambda spark, d: smart_pipeline(P.prepare(V(spark, d), 4, 0.5)[0]))
+query("d17_document_pipeline")(lambda spark, d: P.document_pipeline(V(spark, d), smart_pipeline, 4, 0.5))

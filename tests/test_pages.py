@@ -25,3 +25,31 @@ def test_boundary_of_a_bright_page(spark):
     assert r["detected"] and [(c["x"], c["y"]) for c in r["corners"]] == [(8, 6), (52, 6), (52, 34), (8, 34)]
     flat = spark.createDataFrame([(1, y, x, 220) for y in range(20) for x in range(20)], "image_id long, y int, x int, v int")
     assert prepare.detect_boundary(flat).where("detected").count() == 0
+
+
+def test_pages_are_turned_where_the_gate_says_apply(spark):
+    line = lambda y, x: abs(y - 30 - 0.1 * (x - 40)) < 1
+    rows = [(i, y, x, 20 if line(y, x) else 220) for i in (1, 2) for y in range(61) for x in range(81)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, v int")
+    gated = spark.createDataFrame([(1, 5.710593, "apply"), (2, 5.710593, "skip_confidence")], "image_id long, angle double, action string")
+    pages, crops = prepare.deskew(px, gated)
+    got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in pages.collect()}
+    assert {k: v for k, v in got.items() if k[0] == 2} == {tuple(r[:3]): r[3] for r in rows if r[0] == 2}
+    dark = {y for (i, y, x), v in got.items() if i == 1 and v < 100}
+    assert len(dark) <= 3 and max(k[1] for k in got if k[0] == 1) > 60
+    assert min(v for (i, y, x), v in got.items() if i == 1 and y < 20) >= 219  # the border's median fills the new corners
+    assert [r["image_id"] for r in crops.collect()] == [1] and 0 < crops.first()["retention"] < 1
+
+
+def test_each_image_ends_in_one_row(spark):
+    inside = lambda y, x: 8 <= x <= 52 and 6 <= y <= 34
+    rows = [(1, y, x, 235 if inside(y, x) else 45) for y in range(42) for x in range(60)] + [(2, y, x, 220) for y in range(20) for x in range(20)]
+    seen = []
+
+    def treat(px):
+        seen.append({r["image_id"] for r in px.select("image_id").distinct().collect()})
+        return px.select("image_id").distinct().selectExpr("image_id", "'treated' as final")
+
+    got = prepare.document_pipeline(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), treat, 50).collect()
+    # the page is under 40 pixels high, so its check rejects it; the flat image has no boundary
+    assert {r["image_id"]: r["final"] for r in got} == {1: "review_required", 2: "stopped"} and len(got) == 2 and seen == [set()]
