@@ -168,7 +168,7 @@ def _columns(names: tuple[str, ...], kind: str) -> str:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees | None:
     """Trees from at most `most` labelled documents: those whose ids have the least hashes. A document that is both
-    good and bad in `labels`, or whose label or id is null, takes no part."""
+    good and bad in `labels`, or whose label or id is null, takes no part; of the texts of one id, the one of least statistics does."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r")
     sample = known.select(F.col("doc_id").cast("long").alias("id"), F.col("q").cast("double").alias("q")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id").select("q", "id", "text")
@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees | None:
                 part = batch.slice(block.lo, len(block))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c) for c in x.T)], names=["q", "id", *FEATURES])
 
-    rows = texts.mapInArrow(run, f"q double, id long, {_columns(tuple(FEATURES), 'double')}").toPandas().sort_values(["id", *FEATURES])
+    # repeated ids give one row, so the driver sees `most` rows at most
+    each = texts.mapInArrow(run, f"q double, id long, {_columns(tuple(FEATURES), 'double')}").groupBy("id").agg(F.min(F.struct("q", *FEATURES)).alias("s"))
+    rows = each.select("s.q", "id", *[f"s.{c}" for c in FEATURES]).toPandas().sort_values(["id", *FEATURES])
     return train(rows[list(FEATURES)].to_numpy(), rows["q"].to_numpy(), list(FEATURES.values()))
 
 

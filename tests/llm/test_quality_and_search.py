@@ -88,3 +88,16 @@ def test_slices_add_up():
     index, q = BitSlices(np.arange(333), rows), np.array([-13, 7, 0, 1, 31])
     score = sum(np.unpackbits(s.view(np.uint8), bitorder="little")[:333].astype(int) << w for w, s in enumerate(index.add(q)))
     assert len(set(score - rows @ q)) == 1
+
+
+def test_driver_gets_one_row_of_each_labelled_id(frame, docs, monkeypatch):
+    import pyarrow as pa
+
+    from platen.llm import quality_gbt
+
+    sizes = []
+    monkeypatch.setattr(quality_gbt, "train", lambda x, y, constraints: sizes.append(len(x)))
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64())])
+    labels = frame([{"doc_id": i, "quality": i % 2} for i in range(4)], schema)
+    quality_gbt.fit(docs([(i, f"some text {i} {k}", "a") for i, k in [(0, 0), (1, 0), (2, 0)] + [(3, k) for k in range(50)]]), labels, 4)
+    assert sizes == [4]
