@@ -96,7 +96,8 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float, di
     whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
     if dims is None:
-        dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
+        common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dims = common["n"] if common else 0
     return rows.where(F.size("v") == dims)
 
 
@@ -104,7 +105,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """query_id, rank (from 1), id_col, score: the k rows of highest integer inner product for each query (a row whose id `every` divides).
 
     Candidates are all rows but those of the query's own id. Rows with a null id, a null vector, null or non-finite
-    components or another number of components than `dims` (None: the most that occurs) take no part. Repeated rows are
+    components or another number of components than `dims` (None: the commonest, the smaller of equally common ones) take no part. Repeated rows are
     each candidates, and repeated query rows give one answer. An empty table gives no rows. Components are 32-bit
     integers after scaling.
     """

@@ -101,3 +101,14 @@ def test_driver_gets_one_row_of_each_labelled_id(frame, docs, monkeypatch):
     labels = frame([{"doc_id": i, "quality": i % 2} for i in range(4)], schema)
     quality_gbt.fit(docs([(i, f"some text {i} {k}", "a") for i, k in [(0, 0), (1, 0), (2, 0)] + [(3, k) for k in range(50)]]), labels, 4)
     assert sizes == [4]
+
+
+def test_a_stray_longer_vector_removes_no_others(frame):
+    import pyarrow as pa
+
+    from platen.llm.topk_bsi import top_k
+
+    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    rows = [{"vec_id": i, "embedding": [1.0, i / 8]} for i in range(5)] + [{"vec_id": 20, "embedding": [1.0, 1.0, 1.0]}]
+    got = [(r["query_id"], r["vec_id"]) for r in top_k(frame(rows, schema)).collect()]
+    assert sorted(got) == [(0, 1), (0, 2), (0, 3), (0, 4)]
