@@ -9,6 +9,8 @@ digests, never as text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern; a match counts if its group is at least `least` characters and it passes `also`."""
+    """A pattern; a match counts if its group is at least `least` characters and all patterns of `has` are found in it."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = True
+    has: tuple[str, ...] = ()
 
 
 #: In the order in which spans of one start are listed. For hex and access a match is a whole run of the class, so
@@ -35,7 +38,7 @@ KINDS = (
     Kind("assign", ASSIGN, 2, 8),
     Kind("access", "AKIA[A-Z0-9]{12,}"),
     Kind("hex", "[0-9a-f]{32,}"),
-    Kind("live", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,200}[0-9])(?=[A-Za-z0-9+/_=-]{0,200}[a-z])(?=[A-Za-z0-9+/_=-]{0,200}[A-Z])[A-Za-z0-9+/_=-]{20,}+", base=False),
+    Kind("live", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", base=False, has=("[0-9]", "[a-z]", "[A-Z]")),
 )
 
 
@@ -44,7 +47,8 @@ def spans(text: Column, kind: Kind, order: int) -> Column:
     found, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
     sized = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("m")))
     value = lambda m: F.regexp_extract(m, kind.pattern, kind.group) if kind.group else m
-    digest = lambda m: F.when(F.length(value(m)) >= kind.least, F.sha2(value(m), 256))
+    good = lambda m: reduce(and_, [value(m).rlike(p) for p in kind.has], F.length(value(m)) >= kind.least)
+    digest = lambda m: F.when(good(m), F.sha2(value(m), 256))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,digest:string>>").alias("done"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["n"]).alias("at"),

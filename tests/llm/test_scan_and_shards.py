@@ -60,3 +60,11 @@ def test_weights_count(docs):
     got = [r["shard"] for r in assign(docs([(i, "", "a") for i in range(2000)]), tree).collect()]
     assert 2 not in got
     assert abs(got.count(0) / 2000 - 0.125) < 0.04 and abs(got.count(3) / 2000 - 0.5) < 0.06
+
+
+def test_long_tokens_are_looked_at_whole(docs):
+    from platen.llm.secret_scan import find_secrets
+
+    rows = [(1, "x " + "Z" * 250 + "a1 y", "a"), (2, "x " + "Z" * 250 + "ab y", "a")]
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["found"] if s["kind"] == "live"] for r in find_secrets(docs(rows)).collect()}
+    assert got == {1: [(2, 254, "live")], 2: []}
