@@ -70,7 +70,7 @@ def sweep_gamma(px: DataFrame, gammas: tuple[float, ...]) -> DataFrame:
     return cases.withColumn("v", trunc8(F.round(F.pow(F.col("v") / 255, F.col("gamma")) * 255, 9)))
 
 
-CASES = (("clahe", {"clip_limit": 1.5}), ("clahe", {"clip_limit": 2.0}), ("histogram_equalization", {}), ("median_denoise", {"k": 3}), ("sharpen", {"amount": 0.25}), ("sharpen", {"amount": 0.5}), ("global_threshold", {"threshold": 127}), ("adaptive_threshold", {"block_size": 25, "c": 7}), ("morphological_opening", {"kernel_size": 3}), ("morphological_closing", {"kernel_size": 3}))
+CASES = (("clahe", {"clip_limit": 1.5}), ("clahe", {"clip_limit": 2.0}), ("histogram_equalization", {}), ("median_denoise", {"k": 3}), ("sharpen", {"amount": 0.25}), ("sharpen", {"amount": 0.5}), ("global_threshold", {"threshold": 127}), ("adaptive_threshold", {"block_size": 25, "c": 7}), ("morphological_opening", {"kernel_size": 3}), ("morphological_closing", {"kernel_size": 3}), ("clahe", {"clip_limit": 2.5}), ("median_denoise", {"k": 5}), ("sharpen", {"amount": 0.75}), ("global_threshold", {"threshold": 100}), ("global_threshold", {"threshold": 160}), ("otsu_threshold", {}), ("adaptive_threshold", {"block_size": 35, "c": 11}), ("adaptive_threshold", {"block_size": 51, "c": 15}), ("morphological_opening", {"kernel_size": 5}), ("morphological_closing", {"kernel_size": 5}))
 
 
 def _cases(px: DataFrame, of: list[tuple[int, DataFrame]]) -> DataFrame:
