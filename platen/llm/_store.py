@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,19 +10,28 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = ("__file", "__at")
+ROW = ("__row", "__at")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a run on one machine (tests) gets a temporary one, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="platen-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Spark takes it for, in the form that pyarrow reads too."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint: lineage ends here and lost executors cost nothing."""
     shared_dir(df.sparkSession)
@@ -36,14 +46,27 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(the same columns as c0, c1, ..., what each name has become), so that no name clashes with an added one."""
+    names = {n: f"c{i}" for i, n in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as keep it apart from the frame's columns."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Adds ROW, an identity of each row that any rereading gives again (file and place in the file).
+    """Adds ROW to a frame of plain_columns: a hash of the row's content and one of its place (file and row of the file).
 
-    A frame that has these columns already stays as it is; what isn't a scan of Parquet files is written as a table first, so repeated rows and null ids stay apart.
+    Rows of different content are told apart by the first, wherever they are stored, and repeated rows by the second, which
+    any rereading gives again. What isn't a scan of Parquet files is written as a table first. Columns of maps don't count as content.
     """
-    if set(ROW) <= set(df.columns):
-        return df
-    names = [F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1])]
+    content = F.xxhash64(*[f.name for f in df.schema if "map<" not in f.dataType.simpleString()], F.lit(0))
+    names = [content.alias(ROW[0]), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ROW[1])]
     try:
         return df.select("*", *names)
     except AnalysisException:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import table
-from .tokens import encoder, text_blocks
+from .tokens import encoded, encoder
 
 WIDE = 4
 FAN_IN = 64
@@ -121,10 +121,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             if packer is None and len(batch):
                 part = batch.column(2)[0].as_py()
                 packer = Packer(size, windows, part << 32, part)
-            for lo, texts in text_blocks(batch.column(1)):
-                for i, found in enumerate(tool.encode(texts)):
-                    found += end
-                    packer.add(ids[lo + i], 0, len(found) // WIDE, found)
+            for lo, found, bounds in encoded(batch.column(1), tool):
+                data, cuts = found.tobytes(), (bounds * WIDE).tolist()
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    own = data[a:b] + end
+                    packer.add(ids[lo + i], 0, len(own) // WIDE, own)
                 if len(packer.out) > 500:
                     yield packer.rows()
         if packer:

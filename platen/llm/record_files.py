@@ -2,8 +2,8 @@
 
 A record is: length of the payload (8 bytes), masked CRC-32 of those 8 bytes (4), payload, masked CRC-32 of the payload
 (4); all little-endian. A payload is the document's id (8 bytes, signed), a flag byte (1: the id is null), the width of a token
-(1: 2 or 4 bytes), then the ids. Beside each data file `part-N.rec` stands `part-N.idx` with a record's offset and number
-of tokens (8 bytes each), so records can be read in any order. A mask turns the CRC right by 15 bits and adds a
+(1: 2 or 4 bytes), then the ids. Beside each data file `part-N.rec` stands `part-N.idx` with each record's offset and the
+number of tokens before it in the file (8 bytes each), so any stretch of records can be read alone. A mask turns the CRC right by 15 bits and adds a
 constant, since a CRC over data that holds its own CRC says little.
 """
 
@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, shared_dir
-from .tokens import encoder, text_blocks
+from ._store import cut, qualified, shared_dir
+from .tokens import encoded, encoder
 
 MASK_DELTA = 0xA282EAD8
 HEAD, NAME, TAIL, ENTRY = "<QI", "<qBB", "<I", "<QQ"
@@ -53,10 +53,6 @@ def unframe(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if null else ident, np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(NAME)), body + length + struct.calcsize(TAIL)
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_records(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, partitions: int | None = None) -> DataFrame:
     """Writes the ids of all texts under `uri` (any file system of pyarrow), ascending by id (nulls first), and returns the files:
     part, n_records, n_tokens, data, index (paths).
@@ -66,7 +62,8 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_
     twice at once, leaves the same file. Null text is empty. An empty table writes no file.
     """
     spark = docs.sparkSession
-    folder, base = _place(uri)
+    uri = qualified(spark, uri)
+    folder, base = fs.FileSystem.from_uri(uri)
     folder.create_dir(base, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -75,7 +72,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()
-        system, root = _place(uri)
+        system, root = fs.FileSystem.from_uri(uri)
         tool = encoder(tokenizer)
         width = 2 if tool.tool.get_vocab_size() <= 1 << 16 else 4
         end = np.array([] if end_id is None else [end_id], "<u4")
@@ -83,15 +80,17 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_
         n_records, n_tokens, at, data = 0, 0, 0, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, texts in text_blocks(batch.column(1)):
+            for lo, found, bounds in encoded(batch.column(1), tool):
                 if data is None:
                     data, index = system.open_output_stream(f"{own}.rec"), system.open_output_stream(f"{own}.idx")
-                for i, found in enumerate(tool.encode(texts)):
-                    tokens = np.concatenate((np.frombuffer(found, "<u4"), end))
-                    record = frame(ids[lo + i], tokens, width)
-                    data.write(record)
-                    index.write(struct.pack(ENTRY, at, len(tokens)))
-                    at, n_records, n_tokens = at + len(record), n_records + 1, n_tokens + len(tokens)
+                records, entries = [], []
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    tokens = np.concatenate((found[a:b], end))
+                    records.append(frame(ids[lo + i], tokens, width))
+                    entries.append(struct.pack(ENTRY, at, n_tokens))
+                    at, n_records, n_tokens = at + len(records[-1]), n_records + 1, n_tokens + len(tokens)
+                data.write(b"".join(records))
+                index.write(b"".join(entries))
         if data is None:
             return
         data.close(), index.close()
@@ -115,26 +114,28 @@ def read_records(files: DataFrame, uri: str, chunk: int = 256) -> DataFrame:
         tasks.append((r["part"], before, r["n_records"], r["data"], r["index"]))
         before += r["n_tokens"]
     runs = spark.createDataFrame(tasks, "part long, base long, n long, data string, index string")
-    runs = runs.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long")))).withColumn("hi", F.least("n", F.col("lo") + chunk)).drop("n")
+    runs = runs.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long")))).withColumn("hi", F.least("n", F.col("lo") + chunk))
     runs = runs.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part", "lo")
+    uri, entry = qualified(spark, uri), struct.calcsize(ENTRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _place(uri)
+        system, _ = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for r in batch.to_pylist():
+                n = r["hi"] - r["lo"]
                 with system.open_input_file(r["index"]) as file:
-                    entries = np.frombuffer(file.read(), "<u8").reshape(-1, 2)
-                starts = r["base"] + np.concatenate(([0], np.cumsum(entries[:, 1].astype(np.int64))))
+                    file.seek(r["lo"] * entry)
+                    entries = np.frombuffer(file.read((n + (r["hi"] < r["n"])) * entry), "<u8").reshape(-1, 2).astype(np.int64)
                 with system.open_input_file(r["data"]) as file:
-                    k = r["lo"]
-                    while k < r["hi"]:
-                        upto = max(k + 1, int(np.searchsorted(entries[: r["hi"], 0], entries[k, 0] + READ)))
-                        first, last = int(entries[k, 0]), int(entries[upto, 0]) if upto < len(entries) else file.size()
-                        file.seek(first)
-                        data, at, out = file.read(last - first), 0, []
+                    offsets = entries[:, 0] if r["hi"] < r["n"] else np.append(entries[:, 0], file.size())
+                    k = 0
+                    while k < n:
+                        upto = min(n, max(k + 1, int(np.searchsorted(offsets, offsets[k] + READ))))
+                        file.seek(int(offsets[k]))
+                        data, at, out = file.read(int(offsets[upto] - offsets[k])), 0, []
                         for j in range(k, upto):
                             ident, ids, at = unframe(data, at)
-                            out.append((ident, ids.astype("<u4").tobytes(), len(ids), int(starts[j])))
+                            out.append((ident, ids.astype("<u4").tobytes(), len(ids), r["base"] + int(entries[j, 1])))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["id", "ids", "n_tokens", "start"])
                         k = upto
 
