@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, with_row_id
+from ._store import ROW, cut, fits_broadcast, plain_columns, with_row_id
 from ._text import blocks, mix, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -122,18 +122,42 @@ def landed(p: np.ndarray, x: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return out
 
 
-PLACED = "source string, `__file` long, `__at` long, id long, size long, source_size long, target double, whole int, p double, block long"
+PLACED = "source string, `__row` long, `__at` long, turn long, id long, size long, source_size long, target double, whole int, p double, block long"
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
+def turns(rows: DataFrame) -> DataFrame:
+    """`rows` (a checkpoint with ROW) with turn: 0, 1, ... among rows of one content, in any order.
+
+    They are counted by input partition first, so contents that many rows have are numbered in as many tasks.
+    """
+    rows = rows.withColumn("__n", F.monotonically_increasing_id()).withColumn("part", F.shiftright("__n", 33).cast("int"))
+    own = Window.partitionBy(ROW[0])
+    counts = rows.groupBy(ROW[0], "part").agg(F.count("*").alias("n"))
+    base = F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    again = cut(counts.withColumns({"all": F.sum("n").over(own), "base": F.coalesce(base, F.lit(0))}).where("all > 1").select(ROW[0], "part", "base"))
+    if again.isEmpty():
+        return rows.drop("__n", "part").withColumn("turn", F.lit(0).cast("long"))
+    here = F.row_number().over(Window.partitionBy(ROW[0], "part").orderBy("__n")) - 1
+    turn = F.when(F.col("base").isNull(), 0).otherwise(F.col("base") + here).cast("long")
+    return cut(rows.join(F.broadcast(again) if fits_broadcast(again) else again, [ROW[0], "part"], "left").withColumn("turn", turn).drop("__n", "part", "base"))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """One row for each of `docs`: source, ROW, id, size, source_size, target, copies (how often the mix takes the document).
 
     Sources stand in order of code points, null last, and get `weights` in turn. Nulls in the text count as no words, a null id is
-    an id like any other, repeated rows are documents of their own; an empty table gives no rows. Reruns agree: order
-    and draws are hashes of the rows' places. The driver sees one row for each source only.
+    an id like any other, repeated rows are documents of their own; an empty table gives no rows. Reruns agree, wherever
+    the table is stored and however it is cut into files: order and draws are hashes of the rows' contents, and rows of one
+    content are numbered. The driver sees one row for each source.
     """
-    narrow = with_row_id(docs).select(F.col(source_col).cast("string").alias("source"), *ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(word_counts(narrow, "text"))
+    plain, at = plain_columns(docs)
+    return _copies(with_row_id(plain), at[id_col], at[text_col], at[source_col], **how)
+
+
+def _copies(numbered: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
+    docs = numbered
+    narrow = numbered.select(F.col(source_col).cast("string").alias("source"), *ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = turns(cut(word_counts(narrow, "text")))
     by = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     by.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     goal = targets([r["s"] for r in by], [weights[i % len(weights)] for i in range(len(by))], share, most)
@@ -142,14 +166,13 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     listed = spark.createDataFrame([(None if pd.isna(k) else k, int(s), float(t), int(b)) for k, s, t, b in per.itertuples(index=False)], "k string, source_size long, target double, blocks long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = rows.join(listed, F.col("source").eqNullSafe(F.col("k"))).withColumn("whole", F.floor(ratio + EPS).cast("int"))
-    place = F.pmod(F.xxhash64(*ROW, F.lit(seed)), F.col("blocks"))
-    placed = placed.select("source", *ROW, "id", "size", "source_size", "target", "whole", F.greatest(F.lit(0.0), ratio - F.col("whole")).alias("p"), place.alias("block"))
+    place = F.pmod(F.xxhash64(ROW[0], "turn", F.lit(seed)), F.col("blocks"))
+    placed = placed.select("source", *ROW, "turn", "id", "size", "source_size", "target", "whole", F.greatest(F.lit(0.0), ratio - F.col("whole")).alias("p"), place.alias("block"))
 
     def fly(pieces: pa.Table, land: bool) -> pa.Table:
-        at = pd.DataFrame({"f": pieces["__file"].to_numpy(), "r": pieces["__at"].to_numpy()})
-        codes = (at["f"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at["r"].to_numpy().view(np.uint64) + np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys = mix(codes)
-        order = np.lexsort((at["r"], at["f"], keys, -pieces["size"].to_numpy()))
+        own, turn = pieces[ROW[0]].to_numpy(), pieces["turn"].to_numpy()
+        keys = mix((own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (turn.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        order = np.lexsort((turn, own, keys, -pieces["size"].to_numpy()))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         draws = (mix(keys[order] + np.uint64(1)) >> np.uint64(11)) / float(1 << 53)
@@ -176,12 +199,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return out.select("source", *ROW, "id", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
 
 
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents of the mix, all columns, each as often as the mix takes it."""
-    names = docs.columns
-    numbered = with_row_id(docs)
-    taken = copies(numbered, **how).where("copies > 0").select(*ROW, F.col("copies").alias("__copies"))
-    return numbered.join(taken, list(ROW)).withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+    plain, at = plain_columns(docs)
+    numbered = with_row_id(plain)
+    taken = _copies(numbered, at[id_col], at[text_col], at[source_col], **how).where("copies > 0").select(*ROW, "copies")
+    return numbered.join(taken, list(ROW)).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*at.values()).toDF(*docs.columns)
 
 
 def op8_cube_mix(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines within t edits of each other share, unchanged, at least one of the t + 1 segments that the shorter is split
-into, near the place where it stands. Every line is indexed by its segments and probes, for each length that a partner
-can have, the few substrings at which one of the partner's segments can stand. Keys are hashes of (length, segment
-number, content); candidates are confirmed by banded bit-parallel edit distance.
+A line is a sequence of words, and an edit inserts, deletes or replaces one. Lines of one class of lengths have a threshold
+t, and t + 1 segments of one size at their beginning. Two lines within t edits share one segment of the shorter line
+unchanged, and no more places away than edits stand before it; so every line is indexed by its segments and probes, by the
+classes that a partner's length can have, the few substrings at which such a segment can stand. Keys are hashes of (threshold,
+segment number, content). Candidates are confirmed by banded bit-parallel edit distance.
+
+A segment that many lines share isn't paired out. Its lines are first held against two of them, the earliest and the one
+that the corpus has most often; one that is within t of an earlier line is settled then. The others look for partners among
+the lines of the segment that share one of the t + 1 rarest words with them, which two lines within t edits do.
+
+Lines of few words (one word may be very long) are sequences of characters instead, with a threshold of one character.
 """
 
 from __future__ import annotations
@@ -12,227 +19,259 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, fits_broadcast, with_row_id
-from ._text import U, mix, span_hashes
+from ._store import ROW, cut, fits_broadcast, plain_columns, table, with_row_id
+from ._text import U, blocks, mix, span_hashes, words
 
-MOST_EDITS, LEAST_CHARS, EDIT_PER = 1, 40, 25
-BLOCK_CHARS = 1 << 19
+LEAST_CHARS = 40
+#: (words from, edits): two lines are near if they are that many edits apart, by the shorter one's words.
+EDITS = ((8, 1), (16, 2), (64, 3), (256, 4))
+#: The same of lines with fewer words, in characters; and how many characters a token of such a line has.
+FEW, GRAM = ((LEAST_CHARS, 1),), 3
 #: What a line must have to be more than layout.
 WORDY = r"[\p{L}\p{N}]"
+SEEN, PAIRS = 1 << 18, 1 << 12
+SPREAD_ROWS = 200_000
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether a and b are at most `most` edits (insert, delete, replace) apart: bit-parallel, in a band of 2 most + 1 diagonals."""
-    if len(a) > len(b):
-        a, b = b, a
-    n, m = len(a), len(b)
-    if m - n > most:
-        return False
-    lo = 0
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    a, b = a[lo:], b[lo:]
-    while a and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    n, m = len(a), len(b)
-    if not n:
-        return m <= most
-    # bit k of a state: diagonal k - most (place in b less place in a) is reached with so many edits at the current place in a
-    width = 2 * most + 1
-    full = (1 << width) - 1
-    states = [1 << most]
-    for _ in range(most):
-        states.append((states[-1] | states[-1] << 1) & full)
-    for i, c in enumerate(a):
-        same = 0
-        for k in range(width):
-            j = i + k - most
-            if 0 <= j < m and b[j] == c:
-                same |= 1 << k
-        after: list[int] = []
-        for e, s in enumerate(states):
-            now = s & same
-            if e:
-                now |= states[e - 1] | states[e - 1] >> 1 | after[e - 1] << 1
-            after.append(now & full)
-        states = after
-    end = m - n + most
-    return 0 <= end < width and bool(states[most] >> end & 1)
-
-
-def segments(length: int, parts: int) -> list[tuple[int, int]]:
-    """(start, size) of the even split of `length` characters into `parts`, the longer segments last."""
-    size, more = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        n = size + (i >= parts - more)
-        out.append((at, n))
-        at += n
-    return out
+def edits_of(n: int, classes: tuple[tuple[int, int], ...]) -> int:
+    """The threshold of a sequence of n places; 0 if it is too short to have one."""
+    return max([0, *(t for lo, t in classes if lo <= n)])
 
 
-def probes(length: int, most: int) -> list[tuple[int, int, int, int]]:
-    """(partner's length, segment, start, size) of the substrings of a line of `length` at which a shorter or equal partner's segments can stand."""
+def plan(n: int, classes: tuple[tuple[int, int], ...]) -> list[tuple[int, int, int, int, int]]:
+    """(threshold, segment, start, size, index) of the substrings that stand for a sequence of n places; index: it is a segment of its own class."""
+    own = sum(lo <= n for lo, _ in classes) - 1
     out = []
-    for other in range(max(0, length - most), length + 1):
-        shift = length - other
-        for i, (at, n) in enumerate(segments(other, most + 1)):
-            # the multi-match-aware window: i edits at most to the left of the segment, most - i to its right
-            lo = max(at - i, at + shift - (most - i), 0)
-            hi = min(at + i, at + shift + (most - i), length - n)
-            out += [(other, i, s, n) for s in range(lo, hi + 1)]
+    for k in range(max(0, own - 1), own + 1):
+        lo, t = classes[k]
+        if k < own and n - t >= classes[own][0]:
+            continue  # no partner is short enough for the class below
+        size = lo // (t + 1)
+        # with segment i the first before whose end at most i edits stand, i edits stand before it
+        out += [(t, i, at, size, int(k == own and at == i * size)) for i in range(t + 1) for at in range(i * size - i, min(i * size + i, n - size) + 1)]
     return out
 
 
-def threshold(length: int, most: int, per: int | None) -> int:
-    """Edits that a line of `length` may be away from an equal or longer one: one for each `per` characters, `most` at least."""
-    return most if per is None else max(most, length // per)
+def sequences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, codes, starts, sizes, worded): what each text is a sequence of, word hashes or code points."""
+    for block in blocks(column):
+        found = words(block)
+        count = np.diff(found.first)
+        worded = count >= EDITS[0][0]
+        few = np.flatnonzero(~worded)
+        texts = [block.data[block.bounds[i] : block.bounds[i + 1]].tobytes().decode("utf-8", "replace") for i in few]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+        starts, sizes = found.first[:-1].astype(np.int64), count.astype(np.int64)
+        sizes[few] = [len(t) for t in texts]
+        starts[few] = len(found.hashes) + np.cumsum(sizes[few]) - sizes[few]
+        yield block.lo, np.concatenate((found.hashes, chars)), starts, sizes, worded
 
 
-def grid(length: int, most: int, per: int, least: int) -> list[tuple[int, int, int, int, int]]:
-    """(threshold, segment, start, size, probe) of the substrings of a line of `length` that stand for it.
+def within(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether the sequences a, b (codes, starts, sizes) of each pair are at most `most` edits apart.
 
-    Lines of one threshold t have t + 1 segments of one size, whatever their length. A segment that no edit touches
-    moves by few places, so it is indexed by `step` windows one place apart and probed at each `step`th place: one of
-    them is such a place. Where places are more than the line has, threshold and number are left out (-1): from there on
-    segments have one size.
+    Bit-parallel in a band: bit k of state e says that with e edits diagonal k - t (place in b less place in a) is
+    reached at the current place in a; all pairs move on by one place at once.
     """
-    out: list[tuple[int, int, int, int, int]] = []
-
-    def shape(t: int) -> tuple[int, int, int, int]:
-        lo = max(least, t * per if t > most else 0)
-        size, step = lo // (t + 1), 1 if t < 4 else 2 if t < 9 else 3 if t < 16 else 4
-        step = max(1, min(step, size))
-        return lo, (t + 1) * per - 1, size, step
-
-    own = threshold(length, most, per)
-    lo, _, size, step = shape(own)
-    wide = lambda t: 3 * t * t > 4 * (t + 1) * per
-    name = lambda t, i: (-1, -1) if wide(t) else (t, i)
-    out += [(*name(own, i), i * size + j, size - step + 1, 0) for i in range(own + 1) for j in range(step)]
-    if wide(own):
-        out += [(-1, -1, at, size - step + 1, 1) for at in range(0, length - size + step, step)]
-    for t in range(own, most - 1, -1):
-        lo, hi, size, step = shape(t)
-        n = size - step + 1
-        gaps = max(0, length - hi), min(t, length - lo)
-        if gaps[0] > t:
-            break
-        for i in range(0 if wide(t) else t + 1):
-            # the multi-match-aware window: i edits to the left of the segment at most, t - i to its right
-            first = max(i * size + max(-i, gaps[0] - (t - i)), 0)
-            last = min(i * size + step - 1 + min(i, gaps[1] + t - i), length - n)
-            out += [(t, i, at, n, 1) for at in range(first + -first % step, last + 1, step)]
+    (ca, sa, na), (cb, sb, nb) = a, b
+    swap = na > nb
+    codes = np.concatenate((ca, cb))
+    sa, sb = np.where(swap, sb + len(ca), sa), np.where(swap, sa, sb + len(ca))
+    na, nb = np.minimum(na, nb), np.maximum(na, nb)
+    out = np.zeros(len(most), bool)
+    todo = np.flatnonzero(nb - na <= most)
+    todo = todo[np.argsort(-na[todo], kind="stable")]
+    if not len(todo):
+        return out
+    top = int(most[todo].max())
+    sa, sb, na, nb = sa[todo], sb[todo], na[todo], nb[todo]
+    full = U((1 << 2 * top + 1) - 1)
+    states = [np.full(len(todo), 1 << top, U)]
+    for _ in range(top):
+        states.append((states[-1] | states[-1] << U(1)) & full)
+    for i in range(int(na[0])):
+        n = int(np.searchsorted(-na, -i))  # pairs that are longer than i
+        here, same = codes[sa[:n] + i], np.zeros(n, U)
+        for k in range(2 * top + 1):
+            j = i + k - top
+            ok = (j >= 0) & (nb[:n] > j)
+            same |= (ok & (codes[np.where(ok, sb[:n] + j, 0)] == here)).astype(U) << U(k)
+        before = None
+        for e, state in enumerate(states):
+            old = state[:n].copy()
+            now = old & same
+            if before is not None:
+                now |= before | before >> U(1) | states[e - 1][:n] << U(1)
+            state[:n] = now & full
+            before = old
+    end = (nb - na + top).astype(U)
+    out[todo] = np.choose(most[todo], [s >> end & U(1) for s in states]).astype(bool)
     return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch], most: int, per: int | None = None, least: int = 0) -> Iterator[pa.RecordBatch]:
-    """(key, line, probe) rows of lines given as (line, text)."""
-    plans: dict[int, np.ndarray] = {}
-
-    def plan(n: int) -> np.ndarray:
-        if n not in plans and per is not None:
-            each = np.array(grid(n, most, per, least), np.int64)
-            each[:, 1] += each[:, 0] << 32  # numbers of one threshold stand apart from those of others
-            plans[n] = each
-        elif n not in plans:
-            index = [(n, i, s, size, 0) for i, (s, size) in enumerate(segments(n, most + 1))]
-            plans[n] = np.array(index + [(*p, 1) for p in probes(n, most)], np.int64)
-        return plans[n]
-
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, line, index) rows of lines given as (line, text); a line that the task had shortly before is left out."""
+    plans: dict[tuple[int, bool], np.ndarray] = {}
+    seen: set[int] = set()
     for batch in batches:
-        lines, texts, lo = batch.column(0).to_numpy(), batch.column(1).to_pylist(), 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= BLOCK_CHARS):
-                chars, hi = chars + len(texts[hi]), hi + 1
-            sizes = np.array([len(t) for t in texts[lo:hi]])
-            codes = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            own = [plan(n) for n in sizes.tolist()]
-            count = np.array([len(p) for p in own])
-            rows, at = np.concatenate(own), np.repeat(base, count)
+        for lo, codes, starts, sizes, worded in sequences(batch.column(1)):
+            lines = batch.column(0).slice(lo, len(sizes)).to_numpy()
+            kept = []
+            for i, line in enumerate(lines.tolist()):
+                if line not in seen:
+                    seen.add(line)
+                    kept.append(i)
+            if len(seen) > SEEN:
+                seen = set()
+            own = []
+            for i in kept:
+                at = int(sizes[i]), bool(worded[i])
+                if at not in plans:
+                    plans[at] = np.array(plan(at[0], EDITS if at[1] else FEW), np.int64).reshape(-1, 5)
+                own.append(plans[at])
+            if not own:
+                continue
+            count, kept = np.array([len(p) for p in own]), np.array(kept)
+            rows, at = np.concatenate(own), np.repeat(starts[kept], count)
             hashes = span_hashes(codes, at + rows[:, 2], at + rows[:, 2] + rows[:, 3])
-            keys = mix(hashes + (rows[:, 0] * (most + 1) + rows[:, 1] + 1).astype(U) * U(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(lines[lo:hi], count)), pa.array(rows[:, 4].astype(bool))], names=["key", "line", "probe"])
-            lo = hi
+            name = (rows[:, 0] * 64 + rows[:, 1] * 2 + np.repeat(worded[kept], count) + 1).astype(U)
+            keys = mix(hashes + name * U(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(lines[kept], count)), pa.array(rows[:, 4].astype(bool))], names=["key", "line", "index"])
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool = False) -> DataFrame:
-    """ROW, id, place and text of every line of `least` characters or more, with two hashes that name its content; `short` adds shorter ones that have a letter or digit."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, token, most) of lines given as (line, text): each different word, or run of GRAM characters, and how many of the rarest one has to look at."""
+    for batch in batches:
+        for lo, codes, starts, sizes, worded in sequences(batch.column(1)):
+            lines = batch.column(0).slice(lo, len(sizes)).to_numpy()
+            for line, at, n, by_word in zip(lines.tolist(), starts.tolist(), sizes.tolist(), worded.tolist(), strict=True):
+                size = 1 if by_word else GRAM
+                begin = np.arange(at, at + n - size + 1)
+                own = np.unique(span_hashes(codes[at : at + n], begin - at, begin - at + size))
+                most = size * edits_of(n, EDITS if by_word else FEW) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), line)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), most, np.int32))], names=["line", "token", "most"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, line2) of the rows (line, line2, one text, another) whose texts are near."""
+    for whole in batches:
+        for lo in range(0, len(whole), PAIRS):
+            batch = whole.slice(lo, PAIRS)
+            sides = []
+            for c in (2, 3):
+                parts = list(sequences(batch.column(c)))
+                shift = np.cumsum([0, *(len(p[1]) for p in parts)])
+                sides.append([np.concatenate([p[k] + (s if k == 2 else 0) for p, s in zip(parts, shift, strict=False)]) for k in (1, 2, 3, 4)] if parts else [np.zeros(0, U), *[np.zeros(0, np.int64)] * 2, np.zeros(0, bool)])
+            (*a, worded), (*b, other) = sides
+            n = np.minimum(a[2], b[2])
+            most = sum((n >= at).astype(np.int64) * (t - u) for (at, t), (_, u) in zip(EDITS, ((0, 0), *EDITS), strict=False))
+            most = np.where(worded, most, (n >= FEW[0][0]) * FEW[0][1])
+            good = within(a, b, most) & (worded == other) & (most > 0) if len(batch) else np.zeros(0, bool)
+            yield batch.select(["line", "line2"]).filter(pa.array(good))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """ROW, id, place and text of every line of `least` characters or more, or with a letter or digit; two hashes name its content."""
     each = docs.select(*ROW, F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("place", "text"))
-    wanted = F.length("text") >= least
-    return each.where(wanted | F.col("text").rlike(WORDY) if short else wanted).select("*", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
-
-
-def line_verdicts(numbered: DataFrame, id_col: str, text_col: str, most: int, least: int, short: bool = False, per: int | None = None) -> DataFrame:
-    """line, line2, first (id, ROW, place of the first occurrence), n, near: the content stands earlier in the corpus with 1 to `threshold` edits."""
-    each = lines_of(numbered, id_col, text_col, least, short)
-    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", *ROW, "place"))
-    known = cut(each.groupBy("line", "line2").agg(first.alias("first"), F.count("*").alias("n")))
-    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(lambda batches: _keys(batches, most, per, least), "key long, line long, probe boolean")
-    keys = keys.groupBy("key", "line").agg(F.bool_or(~F.col("probe")).alias("index"), F.bool_or("probe").alias("probe"))
-    left, right = keys.where("index").select("key", F.col("line").alias("a")), keys.where("probe").select("key", F.col("line").alias("b"))
-    pairs = cut(left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return known.withColumn("near", F.lit(False))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    found = each.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "line").groupBy("line", "line2").agg(F.first("text").alias("text"))
-    order = known.select("line", "line2", "first")
-    texts = found.join(order, ["line", "line2"]).select("line", "line2", "first", "text")
-    name = lambda p: texts.select(F.col("line").alias(p), F.col("line2").alias(f"{p}2"), F.col("first").alias(f"{p}_first"), F.col("text").alias(f"{p}_text"))
-    both = pairs.join(name("a"), "a").join(name("b"), "b").where("a_text <> b_text")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [within(x, y, most) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["line", "line2"]).filter(pa.array(good, pa.bool_()))
-
-    if per is not None:
-        most_here = F.greatest(F.lit(most), F.floor(F.least(F.length("a_text"), F.length("b_text")) / per)).cast("int")
-        both = both.withColumn("most", most_here).where("abs(length(a_text) - length(b_text)) <= most").where("levenshtein(a_text, b_text, most) >= 0")
-
-    later = F.col("a_first") > F.col("b_first")
-    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
-    near = both.select(pick("a", "b").alias("line"), pick("a2", "b2").alias("line2"), "a_text", "b_text")
-    near = (near.mapInArrow(check, "line long, line2 long") if per is None else near.select("line", "line2")).distinct()
-    return known.join(near.withColumn("near", F.lit(True)), ["line", "line2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-
-
-def dropped_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False, per: int | None = None) -> DataFrame:
+    wanted = (F.length("text") >= least) | F.col("text").rlike(WORDY)
+    return each.where(wanted).select("*", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("id").isNull().alias("late"), "id", *ROW, "place"))
+
+
+def _spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """A narrow frame as the side of a join that is sent everywhere, if it has few enough rows."""
+    return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def near_lines(each: DataFrame, least: int) -> DataFrame | None:
+    """line, line2 of the lines of `each` that the corpus has before with 1 to t edits; None if no two share a segment."""
+    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(_keys, "key long, line long, index boolean")
+    own = Window.partitionBy("key")
+    shared = keys.withColumns({"lo": F.min("line").over(own), "hi": F.max("line").over(own), "any": F.max("index").over(own)}).where("lo <> hi AND any")
+    shared = cut(shared.groupBy("key", "line").agg(F.max("index").alias("index")))
+    if shared.isEmpty():
+        return None
+    wanted = cut(shared.select("line").distinct())
+    texts = table(each.join(_spread(wanted), "line").groupBy("line", "line2").agg(F.first("text").alias("text"), _first().alias("first"), F.count("*").alias("n")))
+    placed = cut(shared.join(texts.groupBy("line").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "line"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        side = lambda p: texts.select(F.col("line").alias(p), F.col("line2").alias(f"{p}2"), F.col("first").alias(f"{p}_first"), F.col("text").alias(f"{p}_text"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where("a_text <> b_text")
+        pick = lambda a, b: F.when(F.col("a_first") > F.col("b_first"), F.col(a)).otherwise(F.col(b))
+        later = both.select(pick("a", "b").alias("line"), pick("a2", "b2").alias("line2"), "a_text", "b_text")
+        return cut(later.mapInArrow(_verified, "line long, line2 long").distinct())
+
+    member = F.struct("line", "index")
+    hubs = placed.groupBy("key").agg(F.count("*").alias("m"), F.min_by(member, "first").alias("h1"), F.max_by(member, F.struct("n", F.xxhash64("line"))).alias("h2"))
+    star = placed.join(hubs, "key").select("line", "index", F.explode(F.array("h1", "h2")).alias("h")).where("line <> h.line AND (index OR h.index)")
+    tried = cut(star.select(F.least("line", "h.line").alias("a"), F.greatest("line", "h.line").alias("b")).distinct())
+    near = checked(tried)
+    # the others, among segments of three lines or more
+    open_ = cut(placed.join(hubs.where("m > 2").select("key"), "key", "left_semi"))
+    todo = cut(open_.select("line").distinct().join(near.select("line"), "line", "left_anti"))
+    if todo.isEmpty():
+        return near
+    tokens = cut(texts.select("line", "text").join(open_.select("line").distinct(), "line", "left_semi").mapInArrow(_tokens, "line long, token long, most int"))
+    rare = Window.partitionBy("line").orderBy("f", "token")
+    front = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("f")), "token").withColumn("at", F.row_number().over(rare)).where("at <= most AND f > 1").select("line", "token")
+    rows = cut(open_.select("key", "line", "index", "first").join(front, "line"))
+    left = rows.join(todo, "line", "left_semi")
+    right = rows.select("key", "token", F.col("line").alias("other"), F.col("index").alias("index2"), F.col("first").alias("first2"))
+    pairs = left.join(right, ["key", "token"]).where("first > first2 AND line <> other AND (index OR index2)").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+    return near.union(checked(pairs.join(tried, ["a", "b"], "left_anti"))).distinct()
+
+
+def dropped_places(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """ROW and dropped (sorted places of lines) of the rows of `docs`, numbered by with_row_id, that lose a line."""
-    verdicts = line_verdicts(docs, id_col, text_col, most, least, short, per).where("near OR n > 1").select("line", "line2", "first", "near")
-    each = lines_of(docs, id_col, text_col, least, short).drop("text").join(verdicts, ["line", "line2"])
-    stays = ~F.col("near") & (F.struct(*[F.col(f"first.{c}") for c in (*ROW, "place")]) == F.struct(*ROW, "place"))
-    return each.where(~stays).groupBy(*ROW).agg(F.sort_array(F.collect_list("place")).alias("dropped"))
+    each = lines_of(docs, id_col, text_col, least)
+    again = cut(each.groupBy("line", "line2").agg(_first().alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "line2", "first"))
+    near = near_lines(each, least)
+    stays = F.coalesce(F.struct(*[F.col(f"first.{c}") for c in (*ROW, "place")]) == F.struct(*ROW, "place"), F.lit(False))
+    verdicts = again.withColumn("near", F.lit(False))
+    if near is not None:
+        verdicts = cut(again.join(near.withColumn("near", F.lit(True)), ["line", "line2"], "full_outer").withColumn("near", F.coalesce("near", F.lit(False))))
+    lost = each.drop("text").join(_spread(verdicts), ["line", "line2"]).where(F.col("near") | ~stays)
+    return lost.groupBy(*ROW).agg(F.sort_array(F.collect_list("place")).alias("dropped"))
 
 
 def without_lines(text: Column, dropped: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(dropped, i))
-    return F.when(dropped.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # places are sorted, so the kept lines are the stretches between them
+    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(F.split(text, "\n", -1))))
+    lines = F.split(text, "\n", -1)
+    stretches = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(lines, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1))
+    return F.when(dropped.isNull(), text).otherwise(F.array_join(F.flatten(stretches), "\n"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EDITS, least: int = LEAST_CHARS, short: bool = False, per: int | None = None) -> DataFrame:
-    """`docs` with `text_col` less its repeated lines, and `__lines`, `__dropped`: how many it had and lost.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, lines: str = "__lines", dropped: str = "__dropped") -> DataFrame:
+    """`docs` with `text_col` less its repeated lines, and the columns `lines` and `dropped`: how many it had and lost.
 
-    A line of at least `least` characters goes if the corpus, in order of id (nulls last) and place, has the same line
-    before, or one with 1 to `most` edits; with `per` the edits grow with the shorter line, one for each `per` characters. The first of such lines stays. Shorter lines stay always; with `short` they go
-    if the corpus has the same line before, all but those without a letter or digit (blank lines, rules, lone brackets). A null or empty text
-    stays as it is; repeated rows keep their lines in the first of them only; an empty table gives no rows.
+    A line goes if the corpus, in order of id (nulls last), content and place, has the same line before, or one within the edits
+    that EDITS gives the shorter of the two; that one may itself have gone. Lines without a letter or digit (blank lines, rules,
+    lone brackets) of fewer than `least` characters stay always, other lines of fewer than `least` go by sameness only. A
+    null or empty text stays as it is; repeated rows keep their lines in the first of them only; an empty table gives no
+    rows. Other columns stay, whatever their names; one called as an added column is replaced.
     """
-    numbered = with_row_id(docs)
-    lost = dropped_places(numbered, id_col, text_col, most, least, short, per)
-    rows = numbered.join(lost.withColumnRenamed("dropped", "__places"), list(ROW), "left")
-    out = rows.withColumn("__lines", F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, without_lines(F.col(text_col), F.col("__places")))
-    return out.withColumn("__dropped", F.coalesce(F.size("__places"), F.lit(0)).cast("long")).select(*docs.columns, "__lines", "__dropped")
+    plain, at = plain_columns(docs)
+    numbered = with_row_id(plain)
+    text = F.col(at[text_col])
+    lost = cut(dropped_places(numbered.select(*ROW, at[id_col], at[text_col]), at[id_col], at[text_col], least))
+    size = lost.agg(F.count("*"), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
+    rows = numbered.join(F.broadcast(lost) if 10 * size[0] + size[1] < 10 * SPREAD_ROWS else lost, list(ROW), "left")
+    kept = [c for c in docs.columns if c not in (lines, dropped)]
+    out = [without_lines(text, F.col("dropped")) if c == text_col else F.col(at[c]) for c in kept]
+    counts = [F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long")]
+    return rows.select(*[c.alias(n) for c, n in zip([*out, *counts], [*kept, lines, dropped], strict=True)])
 
 
 def op6_segment_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its lines, those that it lost, and a digest of the text that is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True, per=EDIT_PER)
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

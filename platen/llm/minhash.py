@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, table, with_row_id
+from ._store import ROW, cut, plain_columns, table, with_row_id
 from ._text import U, blocks, mix, shingles, words
 from .graph import connected_components
 
@@ -191,12 +191,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with one row of each group of near duplicates: the first row of the smallest id (all rows of a null id)."""
-    numbered = with_row_id(docs)
-    kept = near_duplicates(numbered, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("id")).distinct()
-    first = numbered.select(F.col(id_col).cast("long").alias("id"), *ROW).groupBy("id").agg(F.min(F.struct(*ROW)).alias("r")).join(kept, "id", "left_semi")
-    lone = numbered.where(F.col(id_col).isNull()).select(*ROW)
-    return numbered.join(first.select("r.*").union(lone), list(ROW), "left_semi").select(*docs.columns)
+    """`docs` with one row of each group of near duplicates: the first row of the smallest id, by content (all rows of a null id)."""
+    plain, at = plain_columns(docs)
+    numbered = with_row_id(plain)
+    kept = near_duplicates(numbered, at[id_col], at[text_col], **how).where("kept").select(F.col(at[id_col]).alias("id")).distinct()
+    first = numbered.select(F.col(at[id_col]).cast("long").alias("id"), *ROW).groupBy("id").agg(F.min(F.struct(*ROW)).alias("r")).join(kept, "id", "left_semi")
+    lone = numbered.where(F.col(at[id_col]).isNull()).select(*ROW)
+    return numbered.join(first.select("r.*").union(lone), list(ROW), "left_semi").select(*at.values()).toDF(*docs.columns)
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

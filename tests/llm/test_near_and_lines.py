@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from platen.llm._text import blocks
-from platen.llm.line_dedup import dedup_lines, probes, segments, within
+from platen.llm.line_dedup import EDITS, FEW, dedup_lines, edits_of, plan, within
 from platen.llm.minhash import OnePermutation, near_duplicates, one_of_each_group
 
 
@@ -86,106 +86,123 @@ def edits(a, b):
     return row[-1]
 
 
-def changed(draw, text, times):
-    out = list(text)
+def changed(draw, items, times, pool):
+    out = list(items)
     for _ in range(times):
         i, what = draw.randrange(len(out) + 1), draw.randrange(3)
-        out[i : i + (what > 0)] = [draw.choice("abc")] if what < 2 else []
-    return "".join(out)
+        out[i : i + (what > 0)] = [draw.choice(pool)] if what < 2 else []
+    return out
 
 
-def test_edit_distance_and_probes_are_complete():
-    draw = random.Random(1)
-    for _ in range(4000):
-        a = "".join(draw.choice("ab") for _ in range(draw.randrange(10)))
-        b = changed(draw, a, draw.randrange(5))
-        assert all(within(a, b, m) == (edits(a, b) <= m) for m in (0, 1, 2, 3))
-    for _ in range(1500):
-        m = draw.choice((1, 2, 3))
-        a = "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(6, 15)))
-        s, t = sorted((a, changed(draw, a, m)), key=len)
-        index = {(len(s), i, s[x : x + n]) for i, (x, n) in enumerate(segments(len(s), m + 1))}
-        assert any((o, i, t[x : x + n]) in index for o, i, x, n in probes(len(t), m))
+def near(a, b):
+    """The definition: by words, or by characters where both have few words."""
+    wa, wb = a.split(), b.split()
+    if min(len(a), len(b)) < 40 or (len(wa) < 8) != (len(wb) < 8):
+        return False
+    x, y, most = (wa, wb, edits_of(min(len(wa), len(wb)), EDITS)) if len(wa) >= 8 else (a, b, 1)
+    return abs(len(x) - len(y)) <= most and edits(x, y) <= most
 
 
-def test_line_dedup_matches_brute_force(docs):
-    draw = random.Random(5)
-    pool = ["".join(draw.choice("abcdé ") for _ in range(draw.randrange(38, 60))) for _ in range(12)]
-    rows = [(i * 3 % 41, "\n".join(changed(draw, draw.choice(pool), draw.choice((0, 0, 1, 2, 4))) for _ in range(draw.randrange(6))), "a") for i in range(40)]
-    rows += [(500, None, "a"), (501, "", "a"), (None, pool[0] + "\nshort\n" + pool[1], "b"), (502, "short\n\nshort", "a"), (503, "x" * 30000 + "\n" + "x" * 30001, "a")]
-    got = {r["doc_id"]: (r["text"], r["__lines"], r["__dropped"]) for r in dedup_lines(docs(rows)).collect()}
-    seen, want = [], {}
+def expected(rows):
+    """Text that is left and lines that go, by id, of rows in the order of ids."""
+    seen, out = [], {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         keep = []
         for line in (t or "").split("\n"):
-            if len(line) < 40:
+            counts = len(line) >= 40 or any(c.isalnum() for c in line)
+            if not (counts and (line in seen or any(near(line, s) for s in seen))):
                 keep.append(line)
-            elif not any(abs(len(line) - len(s)) <= 1 and (line == s or len(s) < 1000 and edits(line, s) <= 1 or len(s) > 1000) for s in seen):
-                keep.append(line)
-            if len(line) >= 40:
+            if counts:
                 seen.append(line)
-        want[i] = "\n".join(keep) if t is not None else None
-    assert {i: g[0] for i, g in got.items()} == want
-    assert got[500][1:] == (0, 0) and got[501][1:] == (1, 0)
-    same = dedup_lines(docs([(1, pool[0], "a")] * 3)).collect()
-    assert sorted(r["text"] for r in same) == ["", "", pool[0]]
-    assert dedup_lines(docs([])).count() == 0
+        out[i] = ("\n".join(keep) if t is not None else None, len((t or "").split("\n")) - len(keep))
+    return out
 
 
-def test_grid_of_growing_thresholds_is_complete():
-    from platen.llm.line_dedup import grid, threshold
+def test_edit_distance_matches_brute_force():
+    draw = random.Random(1)
+    pairs = []
+    for _ in range(3000):
+        a = [draw.randrange(3) for _ in range(draw.randrange(12))]
+        pairs.append((a, changed(draw, a, draw.randrange(6), range(3)), draw.randrange(6)))
+    side = lambda k: (np.concatenate([np.array(p[k], np.uint64) for p in pairs]), np.cumsum([0, *(len(p[k]) for p in pairs[:-1])]), np.array([len(p[k]) for p in pairs]))
+    got = within(side(0), side(1), np.array([p[2] for p in pairs]))
+    assert got.tolist() == [edits(a, b) <= m for a, b, m in pairs] and 500 < got.sum() < 2500
 
+
+def test_segments_and_probes_are_complete():
     draw = random.Random(2)
-    for k in range(700):
-        n = draw.choice((40, 49, 50, 52, 74, 75, 99, 100, 130, 224, 225, 226, 400, 430, 900, 2100))
-        a = "".join(draw.choice("abcdefgh ") for _ in range(n))
-        t = threshold(n, 1, 25)
-        if k % 2:  # edits as evenly spread as can be
-            b = list(a)
-            for i in sorted(range(t), reverse=True):
-                at, what = (i + 1) * n // (t + 1), draw.randrange(3)
-                b[at : at + (what > 0)] = ["z"] if what < 2 else []
-            b = "".join(b)
-        else:
-            b = changed(draw, a, t)
-        s, l = sorted((a, b), key=len)
-        if len(s) < 40 or threshold(len(s), 1, 25) < t:
-            continue
-        mine = lambda text, probe: {(t, i, text[x : x + m]) for t, i, x, m, p in grid(len(text), 1, 25, 40) if p == probe}
-        assert mine(s, 0) & mine(l, 1), (n, len(s), len(l))
+    for classes, sizes in ((EDITS, (8, 9, 15, 16, 17, 18, 30, 62, 63, 64, 65, 67, 100, 254, 255, 256, 258, 260, 300)), (FEW, (40, 41, 70, 3000))):
+        for k in range(900):
+            a = [draw.randrange(50) for _ in range(draw.choice(sizes))]
+            t = edits_of(len(a), classes)
+            b = changed(draw, a, t, range(50)) if k % 3 else changed(draw, a[: len(a) // 2], t, range(50)) + a[len(a) // 2 :]
+            s, l = sorted((a, b), key=len)
+            if edits_of(len(s), classes) < t:
+                continue
+            own = lambda x, index: {(t, i, tuple(x[at : at + n])) for t, i, at, n, flag in plan(len(x), classes) if flag >= index}
+            assert own(s, 1) & own(l, 0), (len(s), len(l))
 
 
-def test_near_lines_with_growing_thresholds_match_brute_force(docs, tmp_path):
-    from platen.llm.line_dedup import op6_segment_line_dedup
-
-    draw = random.Random(8)
-    vocab = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(2, 9))) for _ in range(200)]
-    pool = []
-    for size in (8, 8, 10, 15, 20, 40, 40, 90):
-        pool.append(" ".join(draw.choice(vocab) for _ in range(size)))
+def test_line_dedup_matches_brute_force(docs):
+    draw = random.Random(5)
+    vocab = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(2, 9))) for _ in range(300)]
+    pool = [" ".join(draw.choice(vocab) for _ in range(n)) for n in (7, 8, 9, 12, 15, 16, 17, 30, 63, 64, 70, 255, 260)]
+    pool += ["".join(draw.choice("abcdé") for _ in range(n)) for n in (39, 40, 41, 60)]
     rows = []
-    for i in range(60):
+    for i in range(150):
         lines = []
-        for _ in range(2):
+        for _ in range(draw.randrange(5)):
             line = draw.choice(pool)
-            if draw.random() < 0.5:
-                w = line.split(" ")
-                w[draw.randrange(len(w))] = draw.choice(vocab)
-                line = " ".join(w)
-            lines.append(changed(draw, line, draw.choice((0, 1, 2, 4, 9, 16))))
-        rows.append((i, "\n".join(lines), "a"))
-    seen, want, far = [], {}, 0
-    for i, t, _ in rows:
-        want[i] = 0
-        for line in t.split("\n"):
-            gaps = [(edits(line, s), max(1, min(len(line), len(s)) // 25)) for s in seen if abs(len(line) - len(s)) < 40 and min(len(line), len(s)) >= 40]
-            near = line in seen or len(line) >= 40 and any(e <= m for e, m in gaps)
-            far += near and not any(e <= 1 for e, _ in gaps)
-            want[i] += near
-            seen.append(line)
-    assert far > 20
-    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
-    assert {r["doc_id"]: r["n_dropped"] for r in op6_segment_line_dedup(docs(rows).sparkSession, str(tmp_path)).collect()} == want
+            cut = " " in line
+            line = changed(draw, line.split(" ") if cut else line, draw.choice((0, 0, 1, 2, 3, 4, 5)), vocab if cut else "abcdé")
+            lines.append((" " if cut else "").join(line))
+        rows.append((i * 3 % 151, "\n".join(lines), "a"))
+    rows += [(500, None, "a"), (501, "", "a"), (None, pool[0] + "\nshort\n" + pool[1], "b"), (502, "short\n\nshort\n---\n---", "a"), (503, "x" * 30000 + "\n" + "x" * 30001, "a")]
+    got = {r["doc_id"]: (r["text"], r["__dropped"]) for r in dedup_lines(docs(rows)).collect()}
+    want = expected([r for r in rows if r[0] != 503]) | {503: ("x" * 30000, 1)}
+    assert got == want and sum(n for _, n in want.values()) > 100
+    assert [r["__lines"] for r in dedup_lines(docs([(500, None, "a"), (501, "", "a")])).orderBy("doc_id").collect()] == [0, 1]
+    same = dedup_lines(docs([(1, pool[3], "a")] * 3)).collect()
+    assert sorted(r["text"] for r in same) == ["", "", pool[3]]
+    assert dedup_lines(docs([])).count() == 0
+
+
+def test_one_segment_of_thousands_of_lines(docs):
+    """Lines that all share a segment: variants of one line, some of them far from each other, and others that only begin like it."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(24)]
+    lines = [" ".join(base)]
+    for k in range(2500):
+        if k % 5:  # changed after the first segment
+            w = list(base)
+            for at in draw.sample(range(8, 24), k % 4 + 1):
+                w[at] = word()
+        else:
+            w = base[:6] + [word() for _ in range(18)]
+        lines.append(" ".join(w))
+    draw.shuffle(lines)
+    rows = [(i, line, "a") for i, line in enumerate(lines)]
+    got = {r["doc_id"]: r["__dropped"] for r in dedup_lines(docs(rows)).collect()}
+    words, gone = [line.split() for line in lines], {}
+    for i, w in enumerate(words):  # no word moves here, so edits are places that differ
+        gone[i] = int(any(sum(x != y for x, y in zip(w, v, strict=True)) <= 2 for v in words[:i]))
+    assert got == gone and 400 < sum(gone.values()) < 2400
+
+
+def test_added_and_clashing_columns(frame):
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("__row", "__at", "__lines", "n_lost", "N_Lines", "copies", "turn", "line")]])
+    rows = [{"doc_id": i, "text": "All rights reserved.\nline %d" % i, "source": "a", "n_chars": 27, "__row": "r", "__at": f"p{i}", "__lines": "l", "n_lost": "k", "N_Lines": "m", "copies": "c", "turn": "t", "line": None} for i in range(4)]
+    table = frame(rows, schema)
+    out = dedup_lines(table, dropped="gone")
+    assert out.columns == [c for c in table.columns if c != "__lines"] + ["__lines", "gone"]
+    assert sorted((r["doc_id"], r["__at"], r["gone"]) for r in out.collect()) == [(i, f"p{i}", int(i > 0)) for i in range(4)]
+    for stage in (cp.line_dedup, cp.near_dedup, cp.source_mix):
+        got = stage(table.sparkSession, table, "")
+        assert got.columns == table.columns and {r["n_lost"] for r in got.collect()} <= {"k"}
 
 
 def test_short_lines_go_exactly(docs, tmp_path):
@@ -195,7 +212,7 @@ def test_short_lines_go_exactly(docs, tmp_path):
     rows = [(3, "All rights reserved.\n\nÉ\n}\n}\nLes.", "a"), (1, "Les.\nAll rights reserved.\nAll rights reserve.", "a"), (2, "é\n\n---\nLes.\nLes. ", "a"), (4, "---\nLes.", "b")]
     want = {1: "Les.\nAll rights reserved.\nAll rights reserve.", 2: "é\n\n---\nLes. ", 3: "\nÉ\n}\n}", 4: "---"}
     table = docs(rows)
-    assert {r["doc_id"]: r["text"] for r in dedup_lines(table, short=True).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(table).collect()} == want
     assert {r["doc_id"]: r["text"] for r in cp.line_dedup(table.sparkSession, table, "").collect()} == want
     table.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: r["n_dropped"] for r in op6_segment_line_dedup(table.sparkSession, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2, 4: 1}
