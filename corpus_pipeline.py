@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm._store import shared_dir
+from platen.llm._store import free_name, shared_dir
 from platen.llm.cube_mix import mix_documents
-from platen.llm.line_dedup import EDIT_PER, dedup_lines
+from platen.llm.line_dedup import dedup_lines
 from platen.llm.minhash import one_of_each_group
 from platen.llm.packing import pack
 from platen.llm.quality_gbt import quality_filter
@@ -26,9 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that the corpus has before them; one that loses all its words to that goes too. n_chars follows the text."""
-    out = dedup_lines(docs, short=True, per=EDIT_PER)
-    left = (F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n_chars = F.when(F.col("__dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
+    lost = free_name(docs, "n_lost")
+    out = dedup_lines(docs, lines=free_name(docs, "n_lines"), dropped=lost)
+    left = (F.col(lost) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(F.col(lost) == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
     return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
