@@ -8,6 +8,7 @@ belong, and one of rows still tied. Rows tied to the end have one score, and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ._store import cut
 
-BLOCK_ROWS, QUERY_GROUP = 1 << 16, 256
+#: Rows of a block at most and at least, and components; queries that meet one copy of a block.
+BLOCK_ROWS, LEAST_ROWS, BLOCK_VALUES, QUERY_ROWS = 1 << 16, 1 << 13, 1 << 22, 1 << 16
 
 
 class BitSlices:
@@ -26,11 +28,12 @@ class BitSlices:
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], vectors[order].astype(np.int64)
         pad = -len(ids) % 64
-        self.low = self.rows.min(axis=0)
+        low = self.rows.min(axis=0)
+        self.reach = np.abs(self.rows.astype(float)).max(axis=0)
         self.slices: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        for column in (self.rows - self.low).T:
+        for column in (self.rows - low).view(np.uint64).T:  # differences of 64-bit numbers fit 64 bits without a sign
             bits = max(1, int(column.max()).bit_length())
-            own = [self._packed(column >> b & 1, pad) for b in range(bits)]
+            own = [self._packed(column >> np.uint64(b) & np.uint64(1), pad) for b in range(bits)]
             self.slices.append([(s, ~s) for s in own])
         self.all = self._packed(np.ones(len(ids), np.int64), pad)
 
@@ -41,7 +44,7 @@ class BitSlices:
     def add(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, least significant first, of each row's inner product with `query` less a constant."""
         waiting: dict[int, list[np.ndarray]] = {}
-        for q, own in zip(query.tolist(), self.slices, strict=True):
+        for q, own in zip(query.tolist(), self.slices, strict=False):  # what one of them lacks is 0
             # below 0 the complement counts: q * v = |q| * (all ones - v) - |q| * all ones
             side, weight = int(q < 0), abs(q)
             for i in range(weight.bit_length()):
@@ -87,47 +90,80 @@ class BitSlices:
         at = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         rest = np.flatnonzero(np.unpackbits(tied.view(np.uint8), bitorder="little"))[: k - len(at)]  # rows stand in order of ids
         at = np.concatenate((at, rest))
-        return self.ids[at], self.rows[at] @ query
+        n = min(len(query), self.rows.shape[1])
+        if float(self.reach[:n] @ np.abs(query[:n].astype(float))) < 2.0**62:
+            return self.ids[at], self.rows[at, :n] @ query[:n]
+        scores = [sum(a * b for a, b in zip(row, query.tolist(), strict=False)) for row in self.rows[at].tolist()]
+        if any(abs(s) >= 1 << 63 for s in scores):
+            raise ValueError("a score doesn't fit 64 bits")
+        return self.ids[at], np.array(scores, np.int64)
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float, dims: int | None) -> DataFrame:
-    """id and v (array<int>): floor(scale * component) of the vectors that take part."""
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
+    """id and v (array<long>): floor(scale * component) of the vectors that take part."""
     v = F.col(vector_col)
     whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
-    if dims is None:
-        common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dims = common["n"] if common else 0
-    return rows.where(F.size("v") == dims)
+    unfit = F.raise_error(F.lit("a component doesn't fit 64 bits after scaling")).cast("long")
+    digit = lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(unfit)
+    return vectors.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: digit(x.cast("double") * scale)).alias("v"))
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, scale: float = 64.0, dims: int | None = None) -> DataFrame:
+def _dense(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of one width; shorter ones end in zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(sizes), int(sizes.max(initial=0)) if width is None else width), np.int64)
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    out[at, np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy()
+    return out
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k rows of highest integer inner product for each query (a row whose id `every` divides).
 
     Candidates are all rows but those of the query's own id. Rows with a null id, a null vector, null or non-finite
-    components or another number of components than `dims` (None: the commonest, the smaller of equally common ones) take no part. Repeated rows are
-    each candidates, and repeated query rows give one answer. An empty table gives no rows. Components are 32-bit
-    integers after scaling.
+    components take no part. Of vectors of different lengths the shorter one counts as if zeros followed. Repeated rows are
+    each candidates, and repeated query rows give one answer. An empty table gives no rows. Components and scores are
+    64-bit integers; one that doesn't fit ends the job with an error.
+
+    Rows are dealt into blocks, and a task reads a block first, indexes it, and then streams the queries past it. A block
+    is sent once for every QUERY_ROWS queries, a query once to every block.
     """
-    rows = cut(quantised(vectors, id_col, vector_col, scale, dims))
-    n, queries = rows.count(), rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
-    n_blocks, n_groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-queries.count() // QUERY_GROUP))
+    rows = cut(quantised(vectors, id_col, vector_col, scale))
+    n, wide = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    size = max(64, min(BLOCK_ROWS, BLOCK_VALUES // max(1, wide), max(LEAST_ROWS, -(-n // vectors.sparkSession.sparkContext.defaultParallelism))))
+    n_blocks, n_parts = max(1, -(-n // size)), max(1, -(-queries.count() // QUERY_ROWS))
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    blocks = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)).cast("int")).withColumn("part", spread(n_groups))
-    groups = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int")).withColumn("block", spread(n_blocks))
-
-    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        dense = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).astype(np.int64)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if own.num_rows and asked.num_rows:
-            index = BitSlices(own["id"].to_numpy(), dense(own))
-            for query_id, query in zip(asked["id"].to_pylist(), dense(asked), strict=True):
-                ids, scores = index.top(query, k, query_id)
-                found.append((np.full(len(ids), query_id), ids, scores))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table(columns, names=["query_id", "id", "score"])
-
-    near = blocks.groupBy("block", "part").cogroup(groups.groupBy("block", "part")).applyInArrow(search, "query_id long, id long, score long")
+    blocks = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)).cast("int")).withColumn("part", spread(n_parts))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int")).withColumn("block", spread(n_blocks))
+    names = ["block", "part", "asks", "id", "v"]
+    both = blocks.withColumn("asks", F.lit(False)).select(names).union(asked.withColumn("asks", F.lit(True)).select(names))
+    dealt = both.repartition(n_blocks * n_parts, "block", "part").sortWithinPartitions("block", "part", "asks", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, own, index = None, [], None
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.int64) * n_parts + batch.column(1).to_numpy()
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(key * 2 + asks)) + 1
+            for a, b in zip([0, *edges], [*edges, len(batch)], strict=True):
+                part = batch.slice(a, b - a)
+                if not len(part):
+                    continue
+                if key[a] != here:
+                    here, own, index = key[a], [], None
+                if not asks[a]:
+                    own.append(part)
+                    continue
+                if index is None and own:
+                    width = max(np.diff(p.column(4).offsets.to_numpy()).max() for p in own)
+                    index, own = BitSlices(np.concatenate([p.column(3).to_numpy() for p in own]), np.concatenate([_dense(p.column(4), width) for p in own])), []
+                found = [(q, *index.top(v, k, q)) for q, v in zip(part.column(3).to_pylist(), _dense(part.column(4)), strict=True)] if index else []
+                if found:
+                    columns = np.repeat([f[0] for f in found], [len(f[1]) for f in found]), *(np.concatenate([f[i] for f in found]) for i in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"])
+
+    near = dealt.mapInArrow(search, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

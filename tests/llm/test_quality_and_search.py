@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from platen.llm.quality_gbt import BASE, FEATURES, fit, judge, quality_filter, train
 from platen.llm.topk_bsi import BitSlices, top_k
@@ -71,7 +72,8 @@ def test_top_k_matches_brute_force(frame):
     rows = [(i, draw.normal(size=6).round(1).tolist()) for i in range(150)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (7, rows[7][1]), (300, None), (301, [1.0, None, 1, 1, 1, 1]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0]), (None, rows[1][1]), (320, [0.0] * 6)]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(frame([{"vec_id": i, "embedding": v, "rank": "clash"} for i, v in rows], VECS), k=9).collect()]
-    good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and len(v) == 6 and None not in v and np.isfinite(v).all()]
+    padded = lambda v: np.array([*v, *[0.0] * (6 - len(v))], np.float32).astype(float)
+    good = [(i, np.floor(64 * padded(v)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for q, v in {i: v for i, v in good if i % 20 == 0}.items():
         near = sorted(((-int(v @ u), i) for i, u in good if i != q))[:9]
@@ -103,12 +105,30 @@ def test_driver_gets_one_row_of_each_labelled_id(frame, docs, monkeypatch):
     assert sizes == [4]
 
 
-def test_a_stray_longer_vector_removes_no_others(frame):
-    import pyarrow as pa
-
-    from platen.llm.topk_bsi import top_k
-
-    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
-    rows = [{"vec_id": i, "embedding": [1.0, i / 8]} for i in range(5)] + [{"vec_id": 20, "embedding": [1.0, 1.0, 1.0]}]
-    got = [(r["query_id"], r["vec_id"]) for r in top_k(frame(rows, schema)).collect()]
-    assert sorted(got) == [(0, 1), (0, 2), (0, 3), (0, 4)]
+def test_vectors_of_other_lengths_and_large_components(frame):
+    """A shorter vector counts as if zeros followed; components and scores are whole 64-bit numbers, and what is larger fails."""
+    rows = [(i, [1.0, i / 8]) for i in range(5)] + [(20, [1.0, 1.0, 2.0]), (40, []), (41, [-3e9, 5e8, 1.0]), (60, [2.0**40, 1.0])]
+    make = lambda rows: frame([{"vec_id": i, "embedding": v, "rank": None} for i, v in rows], VECS)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(make(rows), k=4).collect()]
+    whole = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40, 60):
+        near = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]  # noqa: B905
+        want += [(q, k + 1, i, -score) for k, (score, i) in enumerate(near)]
+    assert sorted(got) == sorted(want)
+    for bad in ([(0, [1e30]), (1, [1.0])], [(0, [2.0**40]), (1, [2.0**40])]):
+        with pytest.raises(Exception, match="fit 64 bits"):
+            top_k(make(bad)).collect()
+
+
+def test_blocks_and_parts(frame, monkeypatch):
+    from platen.llm import topk_bsi
+
+    for name, value in (("BLOCK_ROWS", 64), ("LEAST_ROWS", 16), ("QUERY_ROWS", 3)):
+        monkeypatch.setattr(topk_bsi, name, value)
+    draw = np.random.default_rng(3)
+    rows = draw.integers(-9, 9, (500, 3))
+    got = top_k(frame([{"vec_id": i, "embedding": (v / 64).tolist(), "rank": None} for i, v in enumerate(rows)], VECS), k=5).collect()
+    for q in range(0, 500, 20):
+        near = sorted((-int(rows[q] @ rows[i]), i) for i in range(500) if i != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == near
