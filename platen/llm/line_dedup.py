@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ FEW, GRAM = ((LEAST_CHARS, 1),), 3
 #: What a line must have to be more than layout.
 WORDY = r"[\p{L}\p{N}]"
 SEEN, PAIRS = 1 << 18, 1 << 12
-SPREAD_ROWS = 200_000
+#: Rows of a frame that is sent to every executor at most: of some 100 bytes, and of one hash.
+SPREAD_ROWS, SPREAD_HASHES = 200_000, 1_000_000
 
 
 def edits_of(n: int, classes: tuple[tuple[int, int], ...]) -> int:
@@ -143,16 +145,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, token, most) of lines given as (line, text): each different word, or run of GRAM characters, and how many of the rarest one has to look at."""
+    """(line, token, size, edits, most) of lines given as (line, text): each different word, or run of GRAM characters; places and edits of the line, and how many of the rarest tokens one has to look at."""
     for batch in batches:
         for lo, codes, starts, sizes, worded in sequences(batch.column(1)):
             lines = batch.column(0).slice(lo, len(sizes)).to_numpy()
+            found: list[tuple[np.ndarray, ...]] = []
             for line, at, n, by_word in zip(lines.tolist(), starts.tolist(), sizes.tolist(), worded.tolist(), strict=True):
-                size = 1 if by_word else GRAM
-                begin = np.arange(at, at + n - size + 1)
-                own = np.unique(span_hashes(codes[at : at + n], begin - at, begin - at + size))
-                most = size * edits_of(n, EDITS if by_word else FEW) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), line)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), most, np.int32))], names=["line", "token", "most"])
+                size, edits = (1, edits_of(n, EDITS)) if by_word else (GRAM, edits_of(n, FEW))
+                begin = np.arange(n - size + 1)
+                own = np.unique(codes[at : at + n] if by_word else span_hashes(codes[at : at + n], begin, begin + size))
+                found.append((np.full(len(own), line), own.view(np.int64), *(np.full(len(own), x, np.int32) for x in (n, edits, size * edits + 1))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["line", "token", "size", "edits", "most"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +202,7 @@ def near_lines(each: DataFrame, least: int) -> DataFrame | None:
     if shared.isEmpty():
         return None
     wanted = cut(shared.select("line").distinct())
-    texts = table(each.join(_spread(wanted), "line").groupBy("line", "line2").agg(F.first("text").alias("text"), _first().alias("first"), F.count("*").alias("n")))
+    texts = table(each.join(_spread(wanted, SPREAD_HASHES), "line").groupBy("line", "line2").agg(F.first("text").alias("text"), _first().alias("first"), F.count("*").alias("n")))
     placed = cut(shared.join(texts.groupBy("line").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "line"))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -213,18 +217,21 @@ def near_lines(each: DataFrame, least: int) -> DataFrame | None:
     star = placed.join(hubs, "key").select("line", "index", F.explode(F.array("h1", "h2")).alias("h")).where("line <> h.line AND (index OR h.index)")
     tried = cut(star.select(F.least("line", "h.line").alias("a"), F.greatest("line", "h.line").alias("b")).distinct())
     near = checked(tried)
-    # the others, among segments of three lines or more
+    # the others, among the lines of segments that three lines or more share
     open_ = cut(placed.join(hubs.where("m > 2").select("key"), "key", "left_semi"))
     todo = cut(open_.select("line").distinct().join(near.select("line"), "line", "left_anti"))
     if todo.isEmpty():
         return near
-    tokens = cut(texts.select("line", "text").join(open_.select("line").distinct(), "line", "left_semi").mapInArrow(_tokens, "line long, token long, most int"))
+    # a line has as many keys as plan gives, so these arrays are short
+    marks = cut(open_.groupBy("line").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("index"), F.col("key"))).alias("own"), F.first("first").alias("first")))
+    tokens = cut(texts.select("line", "text").join(marks.select("line"), "line", "left_semi").mapInArrow(_tokens, "line long, token long, size int, edits int, most int"))
     rare = Window.partitionBy("line").orderBy("f", "token")
-    front = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("f")), "token").withColumn("at", F.row_number().over(rare)).where("at <= most AND f > 1").select("line", "token")
-    rows = cut(open_.select("key", "line", "index", "first").join(front, "line"))
+    front = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("f")), "token").withColumn("at", F.row_number().over(rare)).where("at <= most AND f > 1")
+    rows = cut(front.select("line", "token", "size", "edits").join(marks, "line"))
     left = rows.join(todo, "line", "left_semi")
-    right = rows.select("key", "token", F.col("line").alias("other"), F.col("index").alias("index2"), F.col("first").alias("first2"))
-    pairs = left.join(right, ["key", "token"]).where("first > first2 AND line <> other AND (index OR index2)").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+    right = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("line", "size", "edits", "keys", "own", "first")])
+    alike = "abs(size - size2) <= least(edits, edits2) AND (arrays_overlap(own, keys2) OR arrays_overlap(keys, own2))"
+    pairs = left.join(right, "token").where(f"first > first2 AND line <> line2 AND {alike}").select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
     return near.union(checked(pairs.join(tried, ["a", "b"], "left_anti"))).distinct()
 
 
@@ -241,12 +248,21 @@ def dropped_places(docs: DataFrame, id_col: str, text_col: str, least: int) -> D
     return lost.groupBy(*ROW).agg(F.sort_array(F.collect_list("place")).alias("dropped"))
 
 
-def without_lines(text: Column, dropped: Column) -> Column:
-    # places are sorted, so the kept lines are the stretches between them
-    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(F.split(text, "\n", -1))))
-    lines = F.split(text, "\n", -1)
-    stretches = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.slice(lines, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1))
-    return F.when(dropped.isNull(), text).otherwise(F.array_join(F.flatten(stretches), "\n"))
+def _cut_lines(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns `names` of rows whose last two columns are the text and its dropped places, with the text that is left and both counts."""
+    for batch in batches:
+        text, gone = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        lines = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0).cast(pa.int64())
+        has = gone.is_valid()
+        new = []
+        for t, places in zip(text.filter(has).to_pylist(), gone.filter(has).to_pylist(), strict=True):
+            parts = t.split("\n")
+            for place in reversed(places):
+                parts[place] = None
+            new.append("\n".join([x for x in parts if x is not None]))
+        left = pc.replace_with_mask(text, has, pa.array(new, text.type)) if new else text
+        dropped = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], left, lines, dropped], names=[*names, "text", "lines", "dropped"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, lines: str = "__lines", dropped: str = "__dropped") -> DataFrame:
@@ -260,14 +276,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     plain, at = plain_columns(docs)
     numbered = with_row_id(plain)
-    text = F.col(at[text_col])
     lost = cut(dropped_places(numbered.select(*ROW, at[id_col], at[text_col]), at[id_col], at[text_col], least))
     size = lost.agg(F.count("*"), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
     rows = numbered.join(F.broadcast(lost) if 10 * size[0] + size[1] < 10 * SPREAD_ROWS else lost, list(ROW), "left")
+    rest = [at[c] for c in docs.columns if c != text_col]
+    kinds = dict(plain.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rest) + (", " if rest else "") + "text string, lines long, dropped long"
+    out = rows.select(*rest, at[text_col], "dropped").mapInArrow(lambda batches: _cut_lines(batches, rest), schema)
     kept = [c for c in docs.columns if c not in (lines, dropped)]
-    out = [without_lines(text, F.col("dropped")) if c == text_col else F.col(at[c]) for c in kept]
-    counts = [F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long")]
-    return rows.select(*[c.alias(n) for c, n in zip([*out, *counts], [*kept, lines, dropped], strict=True)])
+    return out.select(*[F.col("text" if c == text_col else at[c]).alias(c) for c in kept], F.col("lines").alias(lines), F.col("dropped").alias(dropped))
 
 
 def op6_segment_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import table
-from .tokens import encoded, encoder
+from .tokens import encoded, task_encoder
 
 WIDE = 4
 FAN_IN = 64
@@ -114,20 +114,21 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, packer = encoder(tokenizer), None
+        packer = None
         end = np.array([end_id], "<u4").tobytes() if end_id is not None else b""
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            if packer is None and len(batch):
-                part = batch.column(2)[0].as_py()
-                packer = Packer(size, windows, part << 32, part)
-            for lo, found, bounds in encoded(batch.column(1), tool):
-                data, cuts = found.tobytes(), (bounds * WIDE).tolist()
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    own = data[a:b] + end
-                    packer.add(ids[lo + i], 0, len(own) // WIDE, own)
-                if len(packer.out) > 500:
-                    yield packer.rows()
+        with task_encoder(tokenizer) as tool:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                if packer is None and len(batch):
+                    part = batch.column(2)[0].as_py()
+                    packer = Packer(size, windows, part << 32, part)
+                for lo, found, bounds in encoded(batch.column(1), tool):
+                    data, cuts = found.tobytes(), (bounds * WIDE).tolist()
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        own = data[a:b] + end
+                        packer.add(ids[lo + i], 0, len(own) // WIDE, own)
+                        if len(packer.out) > 500:
+                            yield packer.rows()
         if packer:
             packer.leave()
             yield packer.rows()

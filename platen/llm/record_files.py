@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut, qualified, shared_dir
-from .tokens import encoded, encoder
+from .tokens import encoded, encoder, task_encoder
 
 MASK_DELTA = 0xA282EAD8
 HEAD, NAME, TAIL, ENTRY = "<QI", "<qBB", "<I", "<QQ"
@@ -73,24 +73,24 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_
         task = TaskContext.get()
         part = task.partitionId()
         system, root = fs.FileSystem.from_uri(uri)
-        tool = encoder(tokenizer)
-        width = 2 if tool.tool.get_vocab_size() <= 1 << 16 else 4
+        width = 2 if encoder(tokenizer).tool.get_vocab_size() <= 1 << 16 else 4
         end = np.array([] if end_id is None else [end_id], "<u4")
         own = f"{root}/.part-{part:05d}-{uuid.uuid4().hex}"
         n_records, n_tokens, at, data = 0, 0, 0, None
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo, found, bounds in encoded(batch.column(1), tool):
-                if data is None:
-                    data, index = system.open_output_stream(f"{own}.rec"), system.open_output_stream(f"{own}.idx")
-                records, entries = [], []
-                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
-                    tokens = np.concatenate((found[a:b], end))
-                    records.append(frame(ids[lo + i], tokens, width))
-                    entries.append(struct.pack(ENTRY, at, n_tokens))
-                    at, n_records, n_tokens = at + len(records[-1]), n_records + 1, n_tokens + len(tokens)
-                data.write(b"".join(records))
-                index.write(b"".join(entries))
+        with task_encoder(tokenizer) as tool:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for lo, found, bounds in encoded(batch.column(1), tool):
+                    if data is None:
+                        data, index = system.open_output_stream(f"{own}.rec"), system.open_output_stream(f"{own}.idx")
+                    records, entries = [], []
+                    for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                        tokens = np.concatenate((found[a:b], end))
+                        records.append(frame(ids[lo + i], tokens, width))
+                        entries.append(struct.pack(ENTRY, at, n_tokens))
+                        at, n_records, n_tokens = at + len(records[-1]), n_records + 1, n_tokens + len(tokens)
+                    data.write(b"".join(records))
+                    index.write(b"".join(entries))
         if data is None:
             return
         data.close(), index.close()

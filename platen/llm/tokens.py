@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from ._text import Block, blocks
 
 GROUP = 50
-MEMO_BYTES, LONGEST = 128 << 20, 200
+MEMO_BYTES, LONGEST = 64 << 20, 200
 #: Bytes after which nothing is cut: white space, separators, and the first bytes of wider white space.
 _OPEN = np.zeros(256, bool)
 _OPEN[[*range(9, 14), *range(28, 33), 0x85, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -36,6 +37,9 @@ class Memo:
     def __init__(self, most: int):
         self.half, self.size, self.young, self.old = most // 2, 0, {}, {}
 
+    def clear(self) -> None:
+        self.size, self.young, self.old = 0, {}, {}
+
     def values(self, keys: list[bytes], make) -> list[bytes]:
         """The value of each key (no key twice); make(places) gives those of the keys at these places, which are new."""
         young, old = self.young, self.old
@@ -147,6 +151,16 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     return Encoder(path, special_as_text=special_as_text)
 
 
+@contextmanager
+def task_encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for one task; its memo is given back afterwards, since other stages use the worker too."""
+    tool = encoder(path)
+    try:
+        yield tool
+    finally:
+        tool.memo.clear()
+
+
 def encoded(column: pa.Array, tool: Encoder, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of about `limit` bytes of texts; null is empty."""
     for block in blocks(column, limit):
@@ -158,11 +172,11 @@ def with_tokens(df: DataFrame, text_col: str, path: str, out: str = "tokens") ->
     kept = [(n, k) for n, k in df.dtypes if n != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
-        for batch in batches:
-            for lo, ids, bounds in encoded(batch.column(len(kept)), tool):
-                lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(bounds) - 1).columns[: len(kept)], lists], names=[*(n for n, _ in kept), out])
+        with task_encoder(path) as tool:
+            for batch in batches:
+                for lo, ids, bounds in encoded(batch.column(len(kept)), tool):
+                    lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int64))).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(bounds) - 1).columns[: len(kept)], lists], names=[*(n for n, _ in kept), out])
 
     from pyspark.sql import functions as F
 
