@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = ("__row", "__at")
+TEXT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +74,15 @@ def with_row_id(df: DataFrame) -> DataFrame:
         return table(df).select("*", *names)
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """`df`, which goes on to Python workers: Arrow batches get TEXT_ROWS rows at most, so that a worker and its executor hold few
+    whole texts at once. The setting is the session's; it is only ever lowered."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def fits_broadcast(df: DataFrame, rows: int = 500_000) -> bool:
     """Whether a narrow frame has few enough rows to be broadcast; callers need another way beyond it."""
     return df.limit(rows + 1).count() <= rows

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0xD6E8FEB86659FD93
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,7 +34,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of codes[start:end], equal for equal content wherever it stands (one pass, all spans)."""
-    size = 1 << max(20, int(len(codes)).bit_length())
+    size = 1 << max(18, int(len(codes)).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(codes) + 1, U)
     np.cumsum((codes.astype(U) + U(1)) * up[: len(codes)], out=sums[1:])

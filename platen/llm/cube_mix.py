@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, fits_broadcast, plain_columns, with_row_id
+from ._store import ROW, cut, fits_broadcast, plain_columns, to_python, with_row_id
 from ._text import blocks, mix, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             sizes = [np.diff(words(b).first) for b in blocks(batch.column(len(rest)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())], names=[*rest, "size"])
 
-    return docs.select(*rest, text_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", size long")
+    return to_python(docs.select(*rest, text_col)).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", size long")
 
 
 def flight(p: np.ndarray, x: np.ndarray, draws: np.ndarray) -> np.ndarray:

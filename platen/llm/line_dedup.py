@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, fits_broadcast, plain_columns, table, with_row_id
+from ._store import ROW, cut, fits_broadcast, plain_columns, table, to_python, with_row_id
 from ._text import U, blocks, mix, span_hashes, words
 
 LEAST_CHARS = 40
@@ -34,6 +34,8 @@ FEW, GRAM = ((LEAST_CHARS, 1),), 3
 #: What a line must have to be more than layout.
 WORDY = r"[\p{L}\p{N}]"
 SEEN, PAIRS = 1 << 18, 1 << 12
+#: Rarest words, beyond the threshold, of which lines within the threshold share all but what edits took.
+MORE = 8
 #: Rows of a frame that is sent to every executor at most: of some 100 bytes, and of one hash.
 SPREAD_ROWS, SPREAD_HASHES = 200_000, 1_000_000
 
@@ -89,29 +91,35 @@ def within(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     if not len(todo):
         return out
     top = int(most[todo].max())
-    sa, sb, na, nb = sa[todo], sb[todo], na[todo], nb[todo]
+    sa, sb, na, nb, most = sa[todo], sb[todo], na[todo], nb[todo], most[todo]
     full = U((1 << 2 * top + 1) - 1)
     states = [np.full(len(todo), 1 << top, U)]
     for _ in range(top):
         states.append((states[-1] | states[-1] << U(1)) & full)
-    for i in range(int(na[0])):
-        n = int(np.searchsorted(-na, -i))  # pairs that are longer than i
-        here, same = codes[sa[:n] + i], np.zeros(n, U)
+    i = 0
+    while True:
+        n = int(np.searchsorted(-na, -i))  # pairs that are longer than i; the others are at their end
+        if n < len(na):
+            end = (nb[n:] - na[n:] + top).astype(U)
+            out[todo[n:]] = np.choose(most[n:], [s[n:] >> end & U(1) for s in states]).astype(bool)
+        keep = np.arange(n) if i % 8 else np.flatnonzero(np.bitwise_or.reduce([s[:n] for s in states]))  # where no state is left, the pair is too far apart
+        todo, sa, sb, na, nb, most = (x[keep] for x in (todo, sa, sb, na, nb, most))
+        states = [s[keep] for s in states]
+        if not len(keep):
+            return out
+        here, same = codes[sa + i], np.zeros(len(keep), U)
         for k in range(2 * top + 1):
             j = i + k - top
-            ok = (j >= 0) & (nb[:n] > j)
-            same |= (ok & (codes[np.where(ok, sb[:n] + j, 0)] == here)).astype(U) << U(k)
-        before = None
+            if j >= 0:
+                ok = nb > j
+                same |= (ok & (codes[np.where(ok, sb + j, 0)] == here)).astype(U) << U(k)
+        after: list[np.ndarray] = []
         for e, state in enumerate(states):
-            old = state[:n].copy()
-            now = old & same
-            if before is not None:
-                now |= before | before >> U(1) | states[e - 1][:n] << U(1)
-            state[:n] = now & full
-            before = old
-    end = (nb - na + top).astype(U)
-    out[todo] = np.choose(most[todo], [s >> end & U(1) for s in states]).astype(bool)
-    return out
+            now = state & same
+            if e:
+                now |= states[e - 1] | states[e - 1] >> U(1) | after[e - 1] << U(1)
+            after.append(now & full)
+        states, i = after, i + 1
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +234,16 @@ def near_lines(each: DataFrame, least: int) -> DataFrame | None:
     marks = cut(open_.groupBy("line").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("index"), F.col("key"))).alias("own"), F.first("first").alias("first")))
     tokens = cut(texts.select("line", "text").join(marks.select("line"), "line", "left_semi").mapInArrow(_tokens, "line long, token long, size int, edits int, most int"))
     rare = Window.partitionBy("line").orderBy("f", "token")
-    front = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("f")), "token").withColumn("at", F.row_number().over(rare)).where("at <= most AND f > 1")
-    rows = cut(front.select("line", "token", "size", "edits").join(marks, "line"))
+    placed_ = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("f")), "token").withColumns({"at": F.row_number().over(rare), "all": F.count("*").over(Window.partitionBy("line"))})
+    front = cut(placed_.where(F.col("at") <= F.col("most") + (MORE - 1)))
+    # the first k words that two lines share are among the first t + k of each, so lines that share fewer are no partners
+    arrays = front.groupBy("line").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]).alias("front"), F.first(F.col("all") - F.col("most") + 1).alias("sure"))
+    rows = cut(front.where("at <= most AND f > 1").select("line", "token", "size", "edits").join(arrays.join(marks, "line"), "line"))
     left = rows.join(todo, "line", "left_semi")
-    right = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("line", "size", "edits", "keys", "own", "first")])
-    alike = "abs(size - size2) <= least(edits, edits2) AND (arrays_overlap(own, keys2) OR arrays_overlap(keys, own2))"
-    pairs = left.join(right, "token").where(f"first > first2 AND line <> line2 AND {alike}").select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
+    right = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("line", "size", "edits", "keys", "own", "first", "front", "sure")])
+    common = F.array_intersect("front", "front2")
+    alike = (F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= F.least(F.lit(MORE), F.greatest("sure", "sure2"))) & F.expr("abs(size - size2) <= least(edits, edits2) AND (arrays_overlap(own, keys2) OR arrays_overlap(keys, own2))")
+    pairs = left.join(right, "token").where(F.expr("first > first2 AND line <> line2") & alike).select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
     return near.union(checked(pairs.join(tried, ["a", "b"], "left_anti"))).distinct()
 
 
@@ -282,7 +294,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [at[c] for c in docs.columns if c != text_col]
     kinds = dict(plain.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in rest) + (", " if rest else "") + "text string, lines long, dropped long"
-    out = rows.select(*rest, at[text_col], "dropped").mapInArrow(lambda batches: _cut_lines(batches, rest), schema)
+    out = to_python(rows.select(*rest, at[text_col], "dropped")).mapInArrow(lambda batches: _cut_lines(batches, rest), schema)
     kept = [c for c in docs.columns if c not in (lines, dropped)]
     return out.select(*[F.col("text" if c == text_col else at[c]).alias(c) for c in kept], F.col("lines").alias(lines), F.col("dropped").alias(dropped))
 

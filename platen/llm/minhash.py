@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, plain_columns, table, with_row_id
+from ._store import ROW, cut, plain_columns, table, to_python, with_row_id
 from ._text import U, blocks, mix, shingles, words
 from .graph import connected_components
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, bands:
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "n", "k1", "k2", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>")
+    return to_python(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>")
 
 
 def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -97,7 +97,7 @@ def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     needed = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
     both = edges.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
-    return both.mapInArrow(run, "u long, v long")
+    return to_python(both).mapInArrow(run, "u long, v long")
 
 
 def rare_shingles(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -118,7 +118,7 @@ def rare_shingles(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(k[at]), pa.array(n[at]), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "k", "n", "h"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi")
-    each = table(texts.mapInArrow(run, "id long, k long, n long, h long"))
+    each = table(to_python(texts).mapInArrow(run, "id long, k long, n long, h long"))
     counted = each.join(each.groupBy("h").agg(F.count("*").alias("f")), "h")
     own = Window.partitionBy("id", "k")
     placed = counted.withColumns({"at": F.row_number().over(own.orderBy("f", "h")) - 1, "m": F.count_if(F.col("f") > 1).over(own)})

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import table, to_python
 from .tokens import encoded, task_encoder
 
 WIDE = 4
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             packer.leave()
             yield packer.rows()
 
-    now = table(rows.mapInArrow(first, PIECE))
+    now = table(to_python(rows).mapInArrow(first, PIECE))
     done = [now.where("sequence_id IS NOT NULL")]
     level, groups = 1, (now.agg(F.max("part")).first()[0] or 0) + 1
     open_ = now.where("sequence_id IS NULL")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import to_python
 from ._text import U, Block, blocks, mix, span_hashes, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees | None:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c) for c in x.T)], names=["q", "id", *FEATURES])
 
     # repeated ids give one row, so the driver sees `most` rows at most
-    each = texts.mapInArrow(run, f"q double, id long, {_columns(tuple(FEATURES), 'double')}").groupBy("id").agg(F.min(F.struct("q", *FEATURES)).alias("s"))
+    each = to_python(texts).mapInArrow(run, f"q double, id long, {_columns(tuple(FEATURES), 'double')}").groupBy("id").agg(F.min(F.struct("q", *FEATURES)).alias("s"))
     rows = each.select("s.q", "id", *[f"s.{c}" for c in FEATURES]).toPandas().sort_values(["id", *FEATURES])
     return train(rows[list(FEATURES)].to_numpy(), rows["q"].to_numpy(), list(FEATURES.values()))
 
@@ -205,7 +206,7 @@ def judge(docs: DataFrame, model: Trees | None, carry: list[str], text_col: str
                 part = batch.slice(block.lo, len(block))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *(pa.array(c) for c in base.T), pa.array(score), pa.array(failed), pa.array(~failed & (score > cut))], names=[*carry, *BASE, "score", "base_failed", "kept"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, {_columns(BASE, 'long')}, score double, base_failed boolean, kept boolean")
+    return to_python(docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("__text"))).mapInArrow(run, f"{schema}, {_columns(BASE, 'long')}, score double, base_failed boolean, kept boolean")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = 0.0) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, qualified, shared_dir
+from ._store import cut, qualified, shared_dir, to_python
 from .tokens import encoded, encoder, task_encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -99,7 +99,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_
             system.move(f"{own}.{name[-3:]}", name)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, n_records, n_tokens, *names)], names=["part", "n_records", "n_tokens", "data", "index"])
 
-    return cut(ordered.select("id", "text").mapInArrow(run, "part long, n_records long, n_tokens long, data string, index string"))
+    return cut(to_python(ordered.select("id", "text")).mapInArrow(run, "part long, n_records long, n_tokens long, data string, index string"))
 
 
 def read_records(files: DataFrame, uri: str, chunk: int = 256) -> DataFrame:

@@ -161,7 +161,7 @@ def task_encoder(path: str) -> Iterator[Encoder]:
         tool.memo.clear()
 
 
-def encoded(column: pa.Array, tool: Encoder, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, tool: Encoder, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of about `limit` bytes of texts; null is empty."""
     for block in blocks(column, limit):
         yield block.lo, *tool.encode(block)
