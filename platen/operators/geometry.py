@@ -14,7 +14,8 @@ from platen.sources.rasters import KEYS, clip8, dimensions
 def hough_segments(edges: DataFrame, theta_step: float = 1.0, threshold: int = 5, min_length: float = 3, max_gap: int = 2) -> DataFrame:
     """image_id, x1, y1, x2, y2, length, angle, votes: deterministic Hough transform.
 
-    Edge pixels vote for (theta, rho) cells; along each cell with enough votes, pixels closer than the gap form a segment.
+    Edge pixels vote for (theta, rho) cells. A pixel then counts for one cell only, of those with enough votes the one with most
+    (of ties the middle angle), so a thick or slanted line is one line; along a cell, pixels closer than the gap form a segment.
     """
     table = [(i, math.cos(math.radians(i * theta_step)), math.sin(math.radians(i * theta_step))) for i in range(round(180 / theta_step))]
     thetas = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(s).alias("s")) for i, c, s in table])
@@ -22,8 +23,12 @@ def hough_segments(edges: DataFrame, theta_step: float = 1.0, threshold: int = 5
     votes = votes.select(*KEYS, F.col("t.i").alias("theta"), F.floor(F.round(F.col("x") * F.col("t.c") + F.col("y") * F.col("t.s"), 6) + 0.5).cast("int").alias("rho"), F.round(F.col("y") * F.col("t.c") - F.col("x") * F.col("t.s"), 6).alias("along"))
     cell = ["image_id", "theta", "rho"]
     line = Window.partitionBy(*cell).orderBy("along", "x", "y")
-    gaps = votes.withColumn("n", F.count("*").over(Window.partitionBy(*cell))).where(F.col("n") >= threshold)
-    gaps = gaps.withColumn("new", (F.coalesce(F.col("along") - F.lag("along").over(line), F.lit(0.0)) > max_gap).cast("int"))
+    strong = votes.withColumn("n", F.count("*").over(Window.partitionBy(*cell))).where(F.col("n") >= threshold)
+    # at most one entry for each angle, so the array is short
+    each = strong.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("theta", "rho", "along", "n"))).alias("c"))
+    best = F.filter("c", lambda e: e["n"] == F.array_max(F.transform("c", lambda o: o["n"])))
+    own = each.withColumn("c", best).select(*KEYS, F.get("c", F.expr("(size(c) - 1) div 2").cast("int")).alias("c")).select(*KEYS, "c.theta", "c.rho", "c.along")
+    gaps = own.withColumn("new", (F.coalesce(F.col("along") - F.lag("along").over(line), F.lit(0.0)) > max_gap).cast("int"))
     parts = gaps.withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     end = F.struct("along", "x", "y")
     out = parts.groupBy(*cell, "part").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count("*").alias("votes"))
@@ -36,14 +41,15 @@ def skew_stats(segments: DataFrame) -> DataFrame:
     """image_id, angle, dispersion, lines: length-weighted mean of the angles near the median, within max(1, min(6, 2.5 MAD or 1.5))."""
     s = segments.select("image_id", F.col("angle").cast("double").alias("angle"), F.col("length").cast("double").alias("length"))
     med = s.groupBy("image_id").agg(F.percentile("angle", 0.5).alias("med"))
-    dev = s.join(med, "image_id").withColumn("dev", F.abs(F.col("angle") - F.col("med")))
-    mad = dev.groupBy("image_id").agg(F.percentile("dev", 0.5).alias("mad"))
+    off = s.join(med, "image_id").select("image_id", "med", "length", (F.col("angle") - F.col("med")).alias("off"))
+    mad = off.groupBy("image_id").agg(F.percentile(F.abs("off"), 0.5).alias("mad"))
     allowed = F.greatest(F.lit(1.0), F.least(F.lit(6.0), F.when(F.col("mad") > 0, 2.5 * F.col("mad")).otherwise(1.5)))
-    kept = dev.join(mad, "image_id").where(F.round("dev", 9) <= F.round(allowed, 9))
-    mean = kept.groupBy("image_id").agg((F.sum(F.col("length") * F.col("angle")) / F.sum("length")).alias("angle"), F.count("*").alias("lines"))
-    spread = kept.drop("angle").join(mean.select("image_id", F.col("angle").alias("mean")), "image_id").join(kept.select("image_id", "angle", "length").withColumnRenamed("length", "l2").groupBy("image_id").agg(F.sum(F.col("l2") * F.col("angle") * F.col("angle")).alias("sq"), F.sum("l2").alias("l")), "image_id")
-    var = spread.groupBy("image_id").agg(F.first(F.col("sq") / F.col("l") - F.col("mean") * F.col("mean")).alias("var"))
-    return mean.join(var, "image_id").select("image_id", "angle", F.sqrt(F.greatest("var", F.lit(0.0))).alias("dispersion"), "lines")
+    kept = off.join(mad, "image_id").where(F.round(F.abs("off"), 9) <= F.round(allowed, 9))
+    # offsets from the median are small, so their squares don't cancel
+    w = F.col("length")
+    g = kept.groupBy("image_id").agg(F.first("med").alias("med"), F.sum(w).alias("w"), F.sum(w * F.col("off")).alias("wo"), F.sum(w * F.col("off") * F.col("off")).alias("woo"), F.count("*").alias("lines"))
+    mean = F.col("wo") / F.col("w")
+    return g.select("image_id", (F.col("med") + mean).alias("angle"), F.sqrt(F.greatest(F.col("woo") / F.col("w") - mean * mean, F.lit(0.0))).alias("dispersion"), "lines")
 
 
 def line_families(segments: DataFrame, bins: int = 36) -> DataFrame:
@@ -65,6 +71,30 @@ def extremes(lines: DataFrame, per_side: int = 4) -> DataFrame:
     return low.unionByName(e.where(F.col("down") <= per_side).withColumn("side", F.lit("high"))).drop("up", "down")
 
 
+def unique_lines(lines: DataFrame, share: float = 0.015) -> DataFrame:
+    """lines (image_id, family, offset, id, diagonal) less those that lie within `share` of the diagonal after the line before them in their family."""
+    key = Window.partitionBy("image_id", "family").orderBy("offset", "id")
+    gap = F.col("offset") - F.lag("offset").over(key)
+    return lines.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > share * F.col("diagonal"))).drop("__gap")
+
+
+def quad_candidates(lines: DataFrame) -> DataFrame:
+    """image_id, ids (of the four sides), corners, support (mean length): every low and high line of one family with every low and high line of the other.
+
+    lines: image_id, id, family (primary or secondary), side (low or high, a few of each an image, see `extremes`), length and l (normal
+    form nx, ny, d). Sides that are one line, and parallel sides, make no candidate.
+    """
+    pick = lambda family, side, name: lines.where((F.col("family") == family) & (F.col("side") == side)).select("image_id", F.struct("id", "length", "l").alias(name))
+    four = pick("primary", "low", "a").join(pick("primary", "high", "b"), "image_id").where("a.id <> b.id").join(pick("secondary", "low", "c"), "image_id").join(pick("secondary", "high", "d"), "image_id").where("c.id <> d.id")
+    for i, (p, q) in enumerate((("a", "c"), ("a", "d"), ("b", "d"), ("b", "c"))):
+        four = intersect(four.withColumns({"__p": F.col(f"{p}.l"), "__q": F.col(f"{q}.l")}), "__p", "__q").withColumn(f"p{i}", F.struct(F.col("ix").alias("x"), F.col("iy").alias("y"))).drop("ix", "iy")
+    whole = F.lit(True)
+    for i in range(4):
+        whole = whole & F.col(f"p{i}.x").isNotNull()
+    ids = F.array(*[F.col(f"{n}.id") for n in "abcd"])
+    return four.where(whole).select("image_id", ids.alias("ids"), F.array(*[F.col(f"p{i}") for i in range(4)]).alias("corners"), (sum(F.col(f"{n}.length") for n in "abcd") / 4).alias("support"))
+
+
 def intersect(df: DataFrame, a: str, b: str) -> DataFrame:
     """ix, iy of the lines in normal form (structs a, b of nx, ny, d: nx x + ny y = d); null where they are parallel."""
     det = F.col(f"{a}.nx") * F.col(f"{b}.ny") - F.col(f"{b}.nx") * F.col(f"{a}.ny")
@@ -97,6 +127,12 @@ def geometry_scores(q: DataFrame) -> DataFrame:
     return out.withColumn("confidence", 0.35 * area_score(F.col("area_ratio")) + 0.30 * F.col("angle_score") + 0.20 * F.col("fit") + 0.15 * F.col("balance"))
 
 
+def line_confidence(q: DataFrame) -> DataFrame:
+    """q (area_ratio, angle_score, balance, support, height, width) with confidence of a quadrilateral of lines: 0.30 area, 0.35 angle, 0.20 balance, 0.15 line support."""
+    support = F.least(F.lit(1.0), F.col("support") / F.hypot("width", "height"))
+    return q.withColumn("confidence", 0.30 * area_score(F.col("area_ratio")) + 0.35 * F.col("angle_score") + 0.20 * F.col("balance") + 0.15 * support)
+
+
 def rank_boundary(q: DataFrame, accept: float = 0.68) -> DataFrame:
     """The best candidate of each image by 0.62 confidence + 0.38 border contrast (less where it touches the frame), and whether it is accepted."""
     score = (0.62 * F.col("confidence") + 0.38 * F.col("border_contrast")) * F.when(F.col("frame_contacts") > 0, 0.78).otherwise(1.0)
@@ -113,37 +149,59 @@ def border_value(px: DataFrame, share: float = 0.02) -> DataFrame:
     return each.groupBy("image_id").agg(F.percentile("v", 0.5).alias("fill"))
 
 
-def _sampled(grid: DataFrame, px: DataFrame, fill) -> DataFrame:
-    """grid (KEYS, sx, sy: where the source is read) with v by bilinear weights; corners outside take `fill`."""
-    corner = lambda a, b: F.struct((F.floor("sy") + a).cast("int").alias("y"), (F.floor("sx") + b).cast("int").alias("x"), ((F.col("sy") - F.floor("sy") if a else 1 - F.col("sy") + F.floor("sy")) * (F.col("sx") - F.floor("sx") if b else 1 - F.col("sx") + F.floor("sx"))).alias("w"))
-    four = grid.select(F.col("image_id"), F.col("y").alias("oy"), F.col("x").alias("ox"), *([] if not isinstance(fill, str) else [fill]), F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("c"))
-    four = four.select("image_id", "oy", "ox", *([fill] if isinstance(fill, str) else []), "c.*").where("w > 1e-9")
-    out = F.col(fill) if isinstance(fill, str) else F.lit(fill)
-    near = four.join(px.select(*KEYS, "v"), KEYS, "left").withColumn("v", F.coalesce("v", out))
+def _cubic(t):
+    """Weight of a pixel `t` away, for cubic interpolation with a = -0.75."""
+    t = F.abs(t)
+    near, far = (1.25 * t - 2.25) * t * t + 1, ((-0.75 * t + 3.75) * t - 6) * t + 3
+    return F.when(t <= 1, near).when(t < 2, far).otherwise(0.0)
+
+
+def _sampled(grid: DataFrame, px: DataFrame, fill, cubic: bool = False) -> DataFrame:
+    """grid (KEYS, sx, sy: where the source is read) with v by bilinear (or cubic) weights; places outside take `fill`, a number or a column of grid."""
+    linear = lambda t: F.greatest(F.lit(0.0), 1 - F.abs(t))
+    weight, reach = (_cubic, (-1, 0, 1, 2)) if cubic else (linear, (0, 1))
+    at = lambda axis, k: (F.floor(axis) + k).cast("int")
+    corner = lambda a, b: F.struct(at("sy", a).alias("y"), at("sx", b).alias("x"), (weight(F.col("sy") - at("sy", a)) * weight(F.col("sx") - at("sx", b))).alias("w"))
+    kept = [fill] if isinstance(fill, str) else []
+    all_ = grid.select("image_id", F.col("y").alias("oy"), F.col("x").alias("ox"), *kept, F.explode(F.array(*[corner(a, b) for a in reach for b in reach])).alias("c"))
+    all_ = all_.select("image_id", "oy", "ox", *kept, "c.*").where("abs(w) > 1e-9")
+    near = all_.join(px.select(*KEYS, "v"), KEYS, "left").withColumn("v", F.coalesce("v", F.col(fill) if kept else F.lit(fill)))
     return near.groupBy("image_id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(clip8(F.round(F.sum(F.col("w") * F.col("v")), 6)).alias("v"))
 
 
-def rotate(px: DataFrame, angle: float, fill: int = 255) -> DataFrame:
-    """Each image turned by `angle` degrees about its centre on a canvas that holds all of it, bilinear."""
-    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-    d = dimensions(px)
-    w = F.ceil(F.round(F.col("height") * abs(s) + F.col("width") * abs(c), 6)).cast("int")
-    h = F.ceil(F.round(F.col("height") * abs(c) + F.col("width") * abs(s), 6)).cast("int")
-    grid = d.withColumns({"w": w, "h": h}).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+def rotation_grid(dims: DataFrame, whole: bool = False) -> DataFrame:
+    """Where each pixel of the turned images is read: dims (image_id, height, width, a: radians, other columns kept) by output pixel with sx, sy.
+
+    The canvas holds all of the image; its sides are cut down to whole pixels (`whole`) or rounded up.
+    """
+    c, s = F.cos("a"), F.sin("a")
+    fit = (lambda e: F.floor(F.round(e, 6))) if whole else (lambda e: F.ceil(F.round(e, 6)))
+    size = lambda one, other: fit(F.col(one) * F.abs(s) + F.col(other) * F.abs(c)).cast("int")
+    grid = dims.withColumns({"w": size("height", "width"), "h": size("width", "height")})
+    grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
     dx, dy = F.col("x") - (F.col("w") - 1) / 2, F.col("y") - (F.col("h") - 1) / 2
-    grid = grid.withColumns({"sx": F.round(c * dx - s * dy + (F.col("width") - 1) / 2, 6), "sy": F.round(s * dx + c * dy + (F.col("height") - 1) / 2, 6)})
-    return _sampled(grid, px, fill)
+    return grid.withColumns({"sx": F.round(c * dx - s * dy + (F.col("width") - 1) / 2, 6), "sy": F.round(s * dx + c * dy + (F.col("height") - 1) / 2, 6)})
+
 
+def rotate(px: DataFrame, angle: float | str = 0.0, fill: int = 255, cubic: bool = False, angles: DataFrame | None = None) -> DataFrame:
+    """Each image turned by `angle` degrees about its centre on a canvas that holds all of it; `angle` may be a column of `angles` (image_id, ...).
+
+    Bilinear on a canvas rounded up, or `cubic` on one cut down. What lies outside the image is `fill`. Images without an angle stay out.
+    """
+    d = dimensions(px)
+    d = d.join(angles.select("image_id", F.radians(F.col(angle).cast("double")).alias("a")), "image_id").where("a IS NOT NULL") if angles is not None else d.withColumn("a", F.lit(math.radians(angle)))
+    return _sampled(rotation_grid(d, cubic), px, fill, cubic)
 
-def rectify(px: DataFrame, quads: DataFrame) -> DataFrame:
-    """Each image's quadrilateral (image_id, corners in order) drawn as an upright rectangle of its longest sides, bilinear.
+
+def rectify(px: DataFrame, quads: DataFrame, least: int = 40) -> DataFrame:
+    """Each image's quadrilateral (image_id, corners in order) drawn as an upright rectangle of its longest sides, bilinear; none if a side of that is below `least`.
 
     The map from the unit square to the corners is the closed form of the projective transform.
     """
     c = F.col("corners")
     s = quad_sides(c)
     size = lambda i, j: F.greatest(F.lit(2), F.ceil(F.round(F.greatest(s[i], s[j]), 6)).cast("int"))
-    q = quads.withColumns({"w": size(0, 2), "h": size(1, 3)})
+    q = quads.withColumns({"w": size(0, 2), "h": size(1, 3)}).where((F.col("w") >= least) & (F.col("h") >= least))
     x, y = [c[i]["x"].cast("double") for i in range(4)], [c[i]["y"].cast("double") for i in range(4)]
     q = q.withColumns({"dx1": x[1] - x[2], "dx2": x[3] - x[2], "dx3": x[0] - x[1] + x[2] - x[3], "dy1": y[1] - y[2], "dy2": y[3] - y[2], "dy3": y[0] - y[1] + y[2] - y[3]})
     det = F.col("dx1") * F.col("dy2") - F.col("dx2") * F.col("dy1")
@@ -169,11 +227,21 @@ def min_area_angle(points: DataFrame, step: float = 0.5) -> DataFrame:
     return r.groupBy("image_id", "i").agg(area.alias("area")).groupBy("image_id").agg(F.min_by(F.struct((F.col("i") * step).alias("angle"), "area"), F.struct("area", "i")).alias("b")).select("image_id", "b.*")
 
 
-def thumbnail(px: DataFrame, k: int = 4) -> DataFrame:
+def cell_means(px: DataFrame, k: int = 4) -> DataFrame:
     """Means of k x k cells."""
     return px.groupBy("image_id", F.expr(f"y div {k}").cast("int").alias("y"), F.expr(f"x div {k}").cast("int").alias("x")).agg(clip8(F.round(F.avg("v"), 6)).alias("v"))
 
 
+def thumbnail(px: DataFrame, most_width: int = 720, most_height: int = 960) -> DataFrame:
+    """Each image within the bounds, by area averages; scale is min(1, most_width / width, most_height / height), so smaller images stay as they are."""
+    from platen.operators.preservation import match_size
+
+    d = dimensions(px)
+    scale = F.least(F.lit(1.0), most_width / F.col("width"), most_height / F.col("height"))
+    side = lambda c: F.greatest(F.lit(1), F.floor(F.round(F.col(c) * scale, 6)).cast("int"))
+    return match_size(px, d.select("image_id", side("height").alias("height"), side("width").alias("width")))
+
+
 def crop(px: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
     inside = px.where(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1))
     return inside.withColumns({"x": F.col("x") - x, "y": F.col("y") - y})

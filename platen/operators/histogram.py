@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def otsu(px: DataFrame, inverse: bool = False) -> DataFrame:
     return px.join(otsu_threshold(px), "image_id").select(*KEYS, F.when(F.col("v") > F.col("t"), on).otherwise(off).alias("v"))
 
 
-def clahe(px: DataFrame, clip_limit: float = 1.5, grid_size: int = 8) -> DataFrame:
+def clahe(px: DataFrame, clip_limit: float = 1.5, tile_grid_size: int = 8) -> DataFrame:
     """Contrast-limited equalisation: clipped histograms of grid tiles, bilinear between the four nearest tiles' tables."""
     dims = dimensions(px)
-    th, tw = (F.ceil(F.col(d) / grid_size).cast("int") for d in ("height", "width"))
+    th, tw = (F.ceil(F.col(d) / tile_grid_size).cast("int") for d in ("height", "width"))
     tiled = px.join(dims.select("image_id", th.alias("th"), tw.alias("tw"), "height", "width"), "image_id")
     tile = tiled.withColumns({"ty": F.expr("y div th").cast("int"), "tx": F.expr("x div tw").cast("int")})
     keys = ["image_id", "ty", "tx"]
@@ -107,3 +109,45 @@ def normalize(px: DataFrame) -> DataFrame:
 def to_gray(bands: DataFrame) -> DataFrame:
     """Luma of (b, g, r); an alpha band is left out."""
     return bands.select(*KEYS, F.floor(F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"), 6) + 0.5).cast("int").alias("v"))
+
+
+#: sRGB to CIE XYZ (D65 white), and the white point that scales X and Z.
+_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+_RGB = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875991, 0.041556), (0.055648, -0.204043, 1.057311))
+_WHITE = (0.950456, 1.0, 1.088754)
+
+
+def _lab(b, g, r) -> tuple:
+    """L in 0..255, a and b of CIE LAB of 8-bit sRGB bands."""
+    linear = lambda c: F.when(c / 255 > 0.04045, F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255 / 12.92)
+    rgb = [linear(c) for c in (r, g, b)]
+    x, y, z = (sum(k * c for k, c in zip(row, rgb, strict=True)) / w for row, w in zip(_XYZ, _WHITE, strict=True))
+    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    light = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
+    return clip8(F.round(light * 255 / 100, 6)), clip8(F.round(500 * (root(x) - root(y)) + 128, 6)), clip8(F.round(200 * (root(y) - root(z)) + 128, 6))
+
+
+def _bgr(light, a, b) -> tuple:
+    """8-bit bands of LAB as _lab gives it."""
+    level = light * 100 / 255
+    fy = F.when(level > 7.9996, (level + 16) / 116).otherwise(7.787 * (level / 903.3) + 16 / 116)
+    y = F.when(level > 7.9996, F.pow(fy, F.lit(3.0))).otherwise(level / 903.3)
+    cube = lambda f: F.when(f > 0.206893, F.pow(f, F.lit(3.0))).otherwise((f - 16 / 116) / 7.787)
+    xyz = (cube(fy + (a - 128) / 500) * _WHITE[0], y, cube(fy - (b - 128) / 200) * _WHITE[2])
+    rgb = [sum(k * c for k, c in zip(row, xyz, strict=True)) for row in _RGB]
+    shown = lambda c: F.when(c > 0.0031308, 1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c)
+    red, green, blue = (clip8(F.round(shown(c) * 255, 6)) for c in rgb)
+    return blue, green, red
+
+
+def on_luminance(bands: DataFrame, treat: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """bands (KEYS, b, g, r; other columns, an alpha band for one, pass through) with the lightness of LAB treated as a raster of its own.
+
+    `treat` takes and returns rows (KEYS, v). A treatment that changes the size has no place here.
+    """
+    light, a, b = _lab(F.col("b"), F.col("g"), F.col("r"))
+    rest = [c for c in bands.columns if c not in (*KEYS, "b", "g", "r")]
+    lab = bands.select(*KEYS, *rest, light.alias("__l"), a.alias("__a"), b.alias("__b"))
+    treated = treat(lab.select(*KEYS, F.col("__l").alias("v"))).select(*KEYS, F.col("v").alias("__l"))
+    blue, green, red = _bgr(F.col("__l"), F.col("__a"), F.col("__b"))
+    return lab.drop("__l").join(treated, KEYS).select(*KEYS, blue.alias("b"), green.alias("g"), red.alias("r"), *rest)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from platen.operators.components import components
 from platen.operators.edges import auto_thresholds, canny
 from platen.operators.histogram import otsu
-from platen.operators.stencil import erode, gaussian, laplacian, median_denoise
+from platen.operators.stencil import blurred_lines, erode, gaussian, gaussian_kernel, laplacian_lines, median_lines, scanlines
 
 
 def share(test) -> F.Column:
@@ -21,19 +21,51 @@ def tone(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg(F.avg("v").alias("brightness"), F.stddev_pop("v").alias("contrast"), p.alias("p"), share(F.col("v") <= 5).alias("dark_clipped_ratio"), share(F.col("v") >= 250).alias("bright_clipped_ratio")).withColumn("dynamic_range", F.col("p")[1] - F.col("p")[0]).drop("p")
 
 
+def _variance(n, s1, s2) -> F.Column:
+    """Population variance from exact integer sums; one division, so every engine has the same value."""
+    return (n * s2 - s1 * s1).cast("double") / (n.cast("double") * n)
+
+
+def sharpness_lines(rows: DataFrame) -> DataFrame:
+    """image_id, sharpness of scanlines (image_id, y, v): variance of the Laplacian. Lines are summed before anything is grouped."""
+    lap = laplacian_lines(rows)
+    add = lambda of: F.aggregate("lap", F.lit(0).cast("long"), lambda s, e: s + of(e.cast("long")))
+    sums = lap.select("image_id", F.size("lap").alias("n"), add(lambda e: e).alias("s1"), add(lambda e: e * e).alias("s2"))
+    g = sums.groupBy("image_id").agg(F.sum("n").cast("decimal(38,0)").alias("n"), F.sum("s1").cast("decimal(38,0)").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2"))
+    return g.select("image_id", _variance(F.col("n"), F.col("s1"), F.col("s2")).alias("sharpness"))
+
+
 def sharpness(px: DataFrame) -> DataFrame:
-    return laplacian(px).groupBy("image_id").agg(F.var_pop("lap").alias("sharpness"))
+    return sharpness_lines(as_lines(px))
 
 
-def noise(px: DataFrame) -> DataFrame:
-    d = F.abs(F.col("v") - F.col("med"))
-    r = median_denoise(px, 3, out="med").withColumn("d", d)
-    return r.groupBy("image_id").agg(F.avg("d").alias("noise"), F.percentile("d", 0.9).alias("noise_p90"), share(F.col("d") >= 5).alias("affected_ratio"), share(F.col("d") >= 100).alias("impulse_ratio"))
+def as_lines(px: DataFrame) -> DataFrame:
+    """A raster as scanlines: image_id, y, v (array)."""
+    return scanlines(px.select("image_id", "y", "x", "v")).select("image_id", "y", F.transform("__row", lambda s: s["v"]).alias("v"))
+
 
+def noise_lines(rows: DataFrame) -> DataFrame:
+    """image_id, noise, noise_p90, affected_ratio, impulse_ratio of scanlines: what a 3 x 3 median takes away. Only residuals become rows, and their counts are grouped."""
+    each = median_lines(rows).select("image_id", F.explode(F.zip_with("v", "med", lambda a, b: F.abs(a - b))).alias("d")).groupBy("image_id", "d").agg(F.count("*").alias("k"))
+    ratio = lambda test: F.sum(F.when(test, F.col("k")).otherwise(0)) / F.sum("k")
+    return each.groupBy("image_id").agg((F.sum(F.col("d") * F.col("k")) / F.sum("k")).alias("noise"), F.percentile("d", 0.9, F.col("k")).alias("noise_p90"), ratio(F.col("d") >= 5).alias("affected_ratio"), ratio(F.col("d") >= 100).alias("impulse_ratio"))
 
-def illumination(px: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """Variation of the blurred image. sigma is max(shortest side / 30, 3); corpora here have a side below 90, so 3."""
-    g = gaussian(px, 0, sigma).groupBy("image_id").agg(F.avg("g").alias("m"), F.stddev_pop("g").alias("s"))
+
+def noise(px: DataFrame) -> DataFrame:
+    return noise_lines(as_lines(px))
+
+
+def illumination(px: DataFrame) -> DataFrame:
+    """Variation of the blurred image. sigma is max(shortest side / 30, 3): images of one sigma are blurred together."""
+    rows = as_lines(px)
+    short = rows.groupBy("image_id").agg(F.greatest(F.lit(90), F.least(F.count("*"), F.max(F.size("v")))).alias("side"))
+    sides = sorted(r["side"] for r in short.select("side").distinct().collect()) or [90]
+    out = None
+    for side in sides:
+        own = rows if len(sides) == 1 else rows.join(short.where(F.col("side") == side).select("image_id"), "image_id", "left_semi")
+        one = blurred_lines(own, "v", gaussian_kernel(0, side / 30), "reflect101", "g").select("image_id", F.explode("g").alias("g"))
+        out = one if out is None else out.unionByName(one)
+    g = out.groupBy("image_id").agg(F.avg("g").alias("m"), F.stddev_pop("g").alias("s"))
     return g.select("image_id", F.when(F.col("m") <= 1e-6, 0.0).otherwise(F.col("s") / F.col("m")).alias("illumination_variation"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platen.functions.scalars import is_convex, order_corners, quad_area
 from platen.operators.components import labelled_runs
 from platen.operators.edges import auto_thresholds, canny
-from platen.operators.geometry import _sampled, geometry_scores, hist_distance, hough_segments, min_area_angle, plausible_quads, rank_boundary, rectify, skew_stats
+from platen.operators.geometry import _sampled, geometry_scores, hist_distance, hough_segments, min_area_angle, plausible_quads, rank_boundary, rectify, rotate, rotation_grid, skew_stats
 from platen.operators.histogram import clahe, otsu
 from platen.operators.stencil import morph_close
 from platen.sources.rasters import KEYS, dimensions
@@ -82,6 +82,21 @@ def estimate_skew(px: DataFrame, threshold: int = 5, min_length: float = 3.0, ma
     return out.select("image_id", F.when(few, F.coalesce("b", F.lit(0.0))).otherwise(F.col("a")).alias("angle"), F.when(few, F.when(F.col("b").isNull(), 0.0).otherwise(0.5)).otherwise(F.least(F.lit(1.0), F.col("n") / 20)).alias("confidence"))
 
 
+def skew_audit(px: DataFrame, angles: tuple[float, ...] = (-10.0, -5.0, -2.0, 2.0, 5.0, 10.0), most_error: float = 0.75, **how) -> DataFrame:
+    """image_id, turned, angle, confidence, error, within: what estimate_skew finds in each image turned by known angles; the estimate of a page turned by a is -a.
+
+    All angles go in one pass, as images of their own.
+    """
+    turns = dict(enumerate(angles))
+    ids = px.select("image_id").distinct().select("image_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in turns.items()])).alias("t"))
+    ids = ids.select((F.col("image_id") * len(turns) + F.col("t.i")).alias("key"), "image_id", F.col("t.a").alias("turned"))
+    each = px.join(ids, "image_id").select(F.col("key").alias("image_id"), "y", "x", "v").repartition("image_id")
+    pages = cut(rotate(each, "turned", angles=ids.select(F.col("key").alias("image_id"), "turned")))
+    found = estimate_skew(pages, **how).withColumnRenamed("image_id", "key").join(ids, "key")
+    error = F.abs(F.col("angle") + F.col("turned"))
+    return found.select("image_id", "turned", "angle", "confidence", error.alias("error"), (error <= most_error).alias("within"))
+
+
 def skew_confidence(stats: DataFrame) -> DataFrame:
     """stats (lines, raw_lines, dispersion) with confidence: 0.35 n / 16, 0.30 agreement, 0.35 steadiness; 0 under three lines."""
     unit = lambda e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), e))
@@ -143,23 +158,18 @@ def deskew(pages: DataFrame, gated: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides = [F.col("y") < F.col("band"), F.col("y") >= F.col("height") - F.col("band"), F.col("x") < F.col("band"), F.col("x") >= F.col("width") - F.col("band")]
     each = pages.join(d, "image_id").select("image_id", "v", F.explode(F.filter(F.array(*[F.when(b, i) for i, b in enumerate(sides)]), lambda b: b.isNotNull())))
     fill = each.groupBy("image_id").agg(F.bround(F.percentile("v", 0.5)).cast("int").alias("fill"))
-    c, s = F.cos("a"), F.sin("a")
-    size = lambda one, other: F.ceil(F.round(F.col(one) * F.abs(s) + F.col(other) * F.abs(c), 6)).cast("int")
-    grid = d.join(fill, "image_id").withColumns({"w": size("height", "width"), "h": size("width", "height")})
-    grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    dx, dy = F.col("x") - (F.col("w") - 1) / 2, F.col("y") - (F.col("h") - 1) / 2
-    grid = grid.withColumns({"sx": F.round(c * dx - s * dy + (F.col("width") - 1) / 2, 6), "sy": F.round(s * dx + c * dy + (F.col("height") - 1) / 2, 6)})
+    grid = rotation_grid(d.join(fill, "image_id"))
     inside = F.col("sx").between(-0.5, F.col("width") - 0.5) & F.col("sy").between(-0.5, F.col("height") - 0.5)
     crops = safe_crop(grid.where(inside).select(*KEYS))
     turned = _sampled(grid, pages, "fill").select(*KEYS, F.col("v").cast("int").alias("v"))
     return pages.join(turn, "image_id", "left_anti").select(*KEYS, F.col("v").cast("int").alias("v")).unionByName(turned), crops
 
 
-def prepare(px: DataFrame, least_ring: int = 100, accept: float = 0.68) -> tuple[DataFrame, DataFrame]:
+def prepare(px: DataFrame, least_ring: int = 100, accept: float = 0.68, least_side: int = 40) -> tuple[DataFrame, DataFrame]:
     """(pages, log): rectified and deskewed rasters of the images whose boundary is detected, and a step log of every image with its check's status."""
     found = cut(detect_boundary(px, accept, least_ring))
     good = found.where("detected")
-    flat = cut(rectify(px.join(good.select("image_id"), "image_id", "left_semi"), good.select("image_id", order_corners(F.col("corners")).alias("corners"))))
+    flat = cut(rectify(px.join(good.select("image_id"), "image_id", "left_semi"), good.select("image_id", order_corners(F.col("corners")).alias("corners")), least_side))
     skew = cut(deskew_gate(detect_skew(flat, 4)))
     pages, crops = deskew(flat, skew)
     pages = cut(pages)
@@ -171,9 +181,9 @@ def prepare(px: DataFrame, least_ring: int = 100, accept: float = 0.68) -> tuple
     return pages, log.select("image_id", F.coalesce("detected", F.lit(False)).alias("boundary"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("action", F.lit("stopped")).alias("deskew"), "angle", F.col("retention").isNotNull().alias("crop_safe"), "residual", F.when(~F.col("prepared"), "stopped").otherwise(F.col("status")).alias("status"))
 
 
-def document_pipeline(px: DataFrame, treat: Callable[[DataFrame], DataFrame], least_ring: int = 100, accept: float = 0.68) -> DataFrame:
+def document_pipeline(px: DataFrame, treat: Callable[[DataFrame], DataFrame], least_ring: int = 100, accept: float = 0.68, least_side: int = 40) -> DataFrame:
     """`treat` (a row an image, with final) of the pages that pass the checks; the other images have final stopped (no page) or review_required."""
-    pages, log = prepare(px, least_ring, accept)
+    pages, log = prepare(px, least_ring, accept, least_side)
     log = cut(log)
     out = treat(pages.join(log.where("status = 'accept'").select("image_id"), "image_id", "left_semi"))
     rest = log.where("status <> 'accept'").select("image_id", F.when(F.col("status") == "stopped", "stopped").otherwise("review_required").alias("final"))

@@ -9,39 +9,85 @@ from pyspark.sql import functions as F
 
 from platen.operators import geometry, histogram, metrics, rules, stencil
 from platen.operators.preservation import verify_preservation
-from platen.sources.rasters import trunc8
+from platen.sources.rasters import dimensions, trunc8
 from platen.sources.store import cut
 
-#: id: (function, main parameter, least, most, odd, risk, automatic)
-OPERATIONS: dict[str, tuple[Callable, str | None, float | None, float | None, bool, str, bool]] = {
-    "clahe": (histogram.clahe, "clip_limit", 1e-9, None, False, "medium", True),
-    "histogram_equalization": (lambda px: histogram.hist_equalize(px), None, None, None, False, "high", False),
-    "median_denoise": (stencil.median_denoise, "k", 3, None, True, "medium-high", False),
-    "sharpen": (stencil.sharpen, "amount", 0, 2, False, "medium", True),
-    "global_threshold": (histogram.global_threshold, "threshold", 0, 255, False, "high", False),
-    "otsu_threshold": (lambda px: histogram.otsu(px), None, None, None, False, "medium-high", False),
-    "adaptive_threshold": (stencil.adaptive_threshold, "block_size", 3, None, True, "medium-high", False),
-    "morphological_opening": (stencil.morph_open, "kernel_size", 3, None, True, "high", False),
-    "morphological_closing": (stencil.morph_close, "kernel_size", 3, None, True, "high", False),
-    "bilateral_denoise": (stencil.bilateral, "diameter", 3, None, True, "medium", False),
-    "non_local_means_denoise": (stencil.non_local_means, "h", 1e-9, None, False, "medium-high", False),
-    "illumination_normalize": (stencil.illumination_normalize, "strength", 0, 1, False, "medium", True),
-    "gamma_correct": (histogram.gamma_correct, "gamma", 1e-9, None, False, "low", True),
-    "intensity_adjust": (histogram.intensity_adjust, "alpha", 1e-9, None, False, "medium", False),
-    "faded_text": (histogram.faded_text, "clip_limit", 1e-9, None, False, "medium", False),
-    "background_suppress": (stencil.background_suppress, "strength", 0, 1, False, "medium", False),
-    "weak_structure_suppress": (stencil.weak_structure_suppress, "strength", 0, 1, False, "medium-high", False),
-    "top_hat": (stencil.top_hat, "kernel_size", 3, None, True, "medium-high", False),
-    "black_hat": (stencil.black_hat, "kernel_size", 3, None, True, "medium-high", False),
-    "deskew": (geometry.rotate, "angle", -45, 45, False, "medium", False),
+#: Fixed values, id: (function, risk, side). Sides: automatic (may be applied without a user), manual (is shown and never applied by itself), free.
+OPERATIONS: dict[str, tuple[Callable, str, str]] = {
+    "clahe": (histogram.clahe, "medium", "automatic"),
+    "histogram_equalization": (histogram.hist_equalize, "high", "manual"),
+    "median_denoise": (stencil.median_denoise, "medium-high", "automatic"),
+    "sharpen": (stencil.sharpen, "medium", "automatic"),
+    "global_threshold": (histogram.global_threshold, "high", "manual"),
+    "otsu_threshold": (histogram.otsu, "medium-high", "manual"),
+    "adaptive_threshold": (stencil.adaptive_threshold, "medium-high", "manual"),
+    "morphological_opening": (stencil.morph_open, "high", "manual"),
+    "morphological_closing": (stencil.morph_close, "high", "manual"),
+    "bilateral_denoise": (stencil.bilateral, "medium", "manual"),
+    "non_local_means_denoise": (stencil.non_local_means, "medium", "manual"),
+    "illumination_normalize": (stencil.illumination_normalize, "medium", "automatic"),
+    "gamma_correct": (histogram.gamma_correct, "low", "automatic"),
+    "intensity_adjust": (histogram.intensity_adjust, "medium", "free"),
+    "faded_text_enhance": (histogram.faded_text, "medium", "manual"),
+    "background_suppress": (stencil.background_suppress, "medium-high", "manual"),
+    "weak_structure_suppress": (stencil.weak_structure_suppress, "high", "manual"),
+    "morphological_top_hat": (stencil.top_hat, "high", "manual"),
+    "morphological_black_hat": (stencil.black_hat, "high", "manual"),
+    "deskew": (geometry.rotate, "medium", "manual"),
 }
+#: Operation, parameter, default, least, most (None: no limit), step, odd. A least of 0 and `above` leave 0 out.
+PARAMETERS: tuple[tuple[str, str, float, float | None, float | None, float, str], ...] = (
+    ("clahe", "clip_limit", 1.5, 0, None, 0.1, "above"),
+    ("clahe", "tile_grid_size", 8, 2, None, 1, ""),
+    ("median_denoise", "kernel_size", 3, 3, None, 2, "odd"),
+    ("sharpen", "amount", 0.5, 0, 2, 0.05, ""),
+    ("sharpen", "sigma", 1.0, 0, 5, 0.1, "above"),
+    ("global_threshold", "threshold", 127, 0, 255, 1, ""),
+    ("adaptive_threshold", "block_size", 35, 3, None, 2, "odd"),
+    ("adaptive_threshold", "c", 11, None, None, 1, ""),
+    ("morphological_opening", "kernel_size", 3, 3, None, 2, "odd"),
+    ("morphological_closing", "kernel_size", 3, 3, None, 2, "odd"),
+    ("bilateral_denoise", "diameter", 5, 0, None, 2, "above"),
+    ("bilateral_denoise", "sigma_color", 25, 0, None, 1, "above"),
+    ("bilateral_denoise", "sigma_space", 25, 0, None, 1, "above"),
+    ("non_local_means_denoise", "strength", 5, 0, None, 1, "above"),
+    ("non_local_means_denoise", "template_window_size", 7, 3, None, 2, "odd"),
+    ("non_local_means_denoise", "search_window_size", 21, 3, None, 2, "odd"),
+    ("illumination_normalize", "kernel_size", 51, 15, None, 2, "odd"),
+    ("illumination_normalize", "strength", 0.65, 0, 1, 0.05, "above"),
+    ("gamma_correct", "gamma", 1.0, 0, None, 0.05, "above"),
+    ("intensity_adjust", "alpha", 1.0, 0, None, 0.05, "above"),
+    ("intensity_adjust", "beta", 0, -100, 100, 1, ""),
+    ("faded_text_enhance", "clip_limit", 1.4, 0, None, 0.1, "above"),
+    ("faded_text_enhance", "gamma", 0.95, 0, None, 0.05, "above"),
+    ("background_suppress", "kernel_size", 31, 15, None, 2, "odd"),
+    ("background_suppress", "strength", 0.45, 0, 1, 0.05, "above"),
+    ("weak_structure_suppress", "kernel_size", 31, 15, None, 2, "odd"),
+    ("weak_structure_suppress", "threshold", 12, 0, None, 1, "above"),
+    ("weak_structure_suppress", "strength", 0.35, 0, 1, 0.05, "above"),
+    ("morphological_top_hat", "kernel_size", 3, 3, None, 2, "odd"),
+    ("morphological_black_hat", "kernel_size", 5, 3, None, 2, "odd"),
+    ("deskew", "angle", 0, -45, 45, 0.1, ""),
+)
+#: Accepted steps and attempts of one run at most.
+MOST_ACCEPTED, MOST_ATTEMPTS = 1, 4
 
 
 def operations(spark: SparkSession) -> DataFrame:
     """The registry as a table of fixed size; the functions themselves are not in it."""
+    return spark.createDataFrame([(k, risk, side) for k, (_, risk, side) in OPERATIONS.items()], "operation_id string, risk string, side string")
+
+
+def parameter_catalog(spark: SparkSession) -> DataFrame:
+    """operation_id, parameter, default, least, most, step, above (least itself is out), odd."""
     limit = lambda x: None if x is None else float(x)
-    rows = [(k, p, limit(lo), limit(hi), odd, risk, auto) for k, (_, p, lo, hi, odd, risk, auto) in OPERATIONS.items()]
-    return spark.createDataFrame(rows, "operation_id string, parameter string, least double, most double, odd boolean, risk string, automatic boolean")
+    rows = [(op, name, float(value), limit(lo), limit(hi), float(step), rule == "above", rule == "odd") for op, name, value, lo, hi, step, rule in PARAMETERS]
+    return spark.createDataFrame(rows, "operation_id string, parameter string, default double, least double, most double, step double, above boolean, odd boolean")
+
+
+def policy(spark: SparkSession) -> DataFrame:
+    """operation_id, side and the caps of a run."""
+    return operations(spark).select("operation_id", "side", F.lit(MOST_ACCEPTED).alias("most_accepted"), F.lit(MOST_ATTEMPTS).alias("most_attempts"))
 
 
 def resolve_operations(requests: DataFrame) -> DataFrame:
@@ -50,11 +96,16 @@ def resolve_operations(requests: DataFrame) -> DataFrame:
 
 
 def validate_parameters(requests: DataFrame) -> DataFrame:
-    """requests (operation_id, value of the main parameter) with valid: known, in range, and odd where it has to be."""
-    r = requests.join(F.broadcast(operations(requests.sparkSession)), "operation_id", "left")
+    """requests (operation_id, parameter, value) with valid: both known, the value in range, and odd where it has to be.
+
+    A request without a parameter is valid if its operation is known.
+    """
+    known = operations(requests.sparkSession).select("operation_id", F.lit(True).alias("__op"))
+    r = requests.join(F.broadcast(known), "operation_id", "left").join(F.broadcast(parameter_catalog(requests.sparkSession)), ["operation_id", "parameter"], "left")
     v = F.col("value")
-    good = F.col("automatic").isNotNull() & (F.col("least").isNull() | (v >= F.col("least"))) & (F.col("most").isNull() | (v <= F.col("most"))) & (~F.coalesce("odd", F.lit(False)) | (v % 2 == 1))
-    return r.withColumn("valid", F.coalesce(good, F.lit(False))).select(*requests.columns, "valid")
+    good = F.col("odd").isNotNull() & (F.col("least").isNull() | (v > F.col("least")) | (~F.col("above") & (v == F.col("least")))) & (F.col("most").isNull() | (v <= F.col("most"))) & (~F.col("odd") | (v % 2 == 1))
+    valid = F.col("__op").isNotNull() & (F.col("parameter").isNull() | F.coalesce(good, F.lit(False)))
+    return r.select(*requests.columns, valid.alias("valid"))
 
 
 def apply_operation(px: DataFrame, operation_id: str, **parameters) -> DataFrame:
@@ -70,7 +121,37 @@ def sweep_gamma(px: DataFrame, gammas: tuple[float, ...]) -> DataFrame:
     return cases.withColumn("v", trunc8(F.round(F.pow(F.col("v") / 255, F.col("gamma")) * 255, 9)))
 
 
-CASES = (("clahe", {"clip_limit": 1.5}), ("clahe", {"clip_limit": 2.0}), ("histogram_equalization", {}), ("median_denoise", {"k": 3}), ("sharpen", {"amount": 0.25}), ("sharpen", {"amount": 0.5}), ("global_threshold", {"threshold": 127}), ("adaptive_threshold", {"block_size": 25, "c": 7}), ("morphological_opening", {"kernel_size": 3}), ("morphological_closing", {"kernel_size": 3}), ("clahe", {"clip_limit": 2.5}), ("median_denoise", {"k": 5}), ("sharpen", {"amount": 0.75}), ("global_threshold", {"threshold": 100}), ("global_threshold", {"threshold": 160}), ("otsu_threshold", {}), ("adaptive_threshold", {"block_size": 35, "c": 11}), ("adaptive_threshold", {"block_size": 51, "c": 15}), ("morphological_opening", {"kernel_size": 5}), ("morphological_closing", {"kernel_size": 5}))
+#: The operation cases of the evaluation.
+CASES = (("clahe", {"clip_limit": 1.5}), ("clahe", {"clip_limit": 2.0}), ("histogram_equalization", {}), ("median_denoise", {"kernel_size": 3}), ("sharpen", {"amount": 0.25}), ("sharpen", {"amount": 0.5}), ("global_threshold", {"threshold": 127}), ("adaptive_threshold", {"block_size": 25, "c": 7}), ("morphological_opening", {"kernel_size": 3}), ("morphological_closing", {"kernel_size": 3}), ("clahe", {"clip_limit": 2.5}), ("median_denoise", {"kernel_size": 5}), ("sharpen", {"amount": 0.75}), ("global_threshold", {"threshold": 100}), ("global_threshold", {"threshold": 160}), ("otsu_threshold", {}), ("adaptive_threshold", {"block_size": 35, "c": 11}), ("adaptive_threshold", {"block_size": 51, "c": 15}), ("morphological_opening", {"kernel_size": 5}), ("morphological_closing", {"kernel_size": 5}))
+
+
+#: Candidates that are compared with each other, by what they treat.
+CANDIDATES: tuple[tuple[str, str, str, dict], ...] = (
+    ("denoise", "median_k3", "median_denoise", {"kernel_size": 3}),
+    ("denoise", "median_k5", "median_denoise", {"kernel_size": 5}),
+    ("denoise", "bilateral_weak", "bilateral_denoise", {"diameter": 5, "sigma_color": 20.0, "sigma_space": 20.0}),
+    ("denoise", "bilateral_default", "bilateral_denoise", {"diameter": 5, "sigma_color": 25.0, "sigma_space": 25.0}),
+    ("denoise", "nlm_weak", "non_local_means_denoise", {"strength": 3, "template_window_size": 7, "search_window_size": 21}),
+    ("denoise", "nlm_default", "non_local_means_denoise", {"strength": 5, "template_window_size": 7, "search_window_size": 21}),
+    ("exposure", "gamma_085", "gamma_correct", {"gamma": 0.85}),
+    ("exposure", "gamma_070", "gamma_correct", {"gamma": 0.70}),
+    ("exposure", "intensity_weak", "intensity_adjust", {"alpha": 1.05, "beta": 5}),
+    ("exposure", "clahe", "clahe", {"clip_limit": 1.5, "tile_grid_size": 8}),
+    ("exposure", "faded_candidate", "faded_text_enhance", {"clip_limit": 1.4, "gamma": 0.95}),
+    ("illumination", "weak", "illumination_normalize", {"kernel_size": 51, "strength": 0.45}),
+    ("illumination", "default", "illumination_normalize", {"kernel_size": 51, "strength": 0.65}),
+    ("illumination", "wide", "illumination_normalize", {"kernel_size": 81, "strength": 0.65}),
+    ("illumination", "strong", "illumination_normalize", {"kernel_size": 81, "strength": 0.85}),
+    ("bleed_through", "background_weak", "background_suppress", {"kernel_size": 31, "strength": 0.30}),
+    ("bleed_through", "background_default", "background_suppress", {"kernel_size": 31, "strength": 0.45}),
+    ("bleed_through", "weak_structure", "weak_structure_suppress", {"kernel_size": 31, "threshold": 12, "strength": 0.35}),
+    ("bleed_through", "illumination_only", "illumination_normalize", {"kernel_size": 51, "strength": 0.45}),
+    ("bleed_through", "clahe_only", "clahe", {"clip_limit": 1.5, "tile_grid_size": 8}),
+    ("structure", "opening_k3", "morphological_opening", {"kernel_size": 3}),
+    ("structure", "closing_k3", "morphological_closing", {"kernel_size": 3}),
+    ("structure", "top_hat_k3", "morphological_top_hat", {"kernel_size": 3}),
+    ("structure", "black_hat_k5", "morphological_black_hat", {"kernel_size": 5}),
+)
 
 
 def _cases(px: DataFrame, of: list[tuple[int, DataFrame]]) -> DataFrame:
@@ -82,6 +163,50 @@ def _cases(px: DataFrame, of: list[tuple[int, DataFrame]]) -> DataFrame:
     return out.repartition("image_id")
 
 
+def _copies_of(px: DataFrame, ids: DataFrame, fan: int) -> DataFrame:
+    """The originals under the ids (image_id * fan + case) of treated rasters."""
+    wanted = ids.select(F.col("image_id").alias("__c"), F.expr(f"image_id div {fan}").alias("image_id"))
+    return px.join(wanted, "image_id").select(F.col("__c").alias("image_id"), "y", "x", "v").repartition("image_id")
+
+
+def candidate_changes(px: DataFrame, treated: DataFrame, fan: int = 32) -> DataFrame:
+    """image_id (of the treated raster), pixels, changed (by more than 3), change (sum of differences): exact counts."""
+    pair = _copies_of(px, treated.select("image_id").distinct(), fan).join(treated.withColumnRenamed("v", "v1"), ["image_id", "y", "x"])
+    d = F.abs(F.col("v") - F.col("v1"))
+    return pair.groupBy("image_id").agg(F.count("*").alias("pixels"), F.count_if(d > 3).alias("changed"), F.sum(d).alias("change"))
+
+
+def compare_candidates(px: DataFrame, kinds: tuple[str, ...] = (), verify: bool = True) -> DataFrame:
+    """image_id, kind, candidate, pixels, changed, change, and with `verify` the metrics after and the preservation status, of every candidate of `kinds` (all)."""
+    px = cut(px)
+    chosen = [c for c in CANDIDATES if not kinds or c[0] in kinds]
+    treated = cut(_cases(px, [(i, apply_operation(px, op, **p)) for i, (_, _, op, p) in enumerate(chosen)]))
+    out = candidate_changes(px, treated)
+    if verify:
+        after = _light(treated)
+        report = verify_preservation(_copies_of(px, treated.select("image_id").distinct(), 32), treated).select("image_id", "status")
+        out = out.join(after, "image_id", "left").join(report, "image_id", "left")
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("candidate")) for k, n, _, _ in chosen])
+    return out.select(F.expr("image_id div 32").alias("image_id"), names[F.pmod("image_id", F.lit(32)).cast("int")].alias("c"), *out.columns[1:]).select("image_id", "c.*", *out.columns[1:])
+
+
+def binarization_candidates(px: DataFrame, recs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rasters, records) of the binarizations that `recs` (image_id, operation_id, parameter, mode) recommends, made from the originals.
+
+    Records: image_id, operation_id, parameter, risk, status (of preservation) and decision, which is review_required always:
+    a binary result is never taken by itself.
+    """
+    own = recs.where("mode = 'binarization' AND operation_id = 'adaptive_threshold'").dropDuplicates(["image_id", "operation_id", "parameter"])
+    sizes = [r["parameter"] for r in own.select("parameter").distinct().collect()]  # recommendations have a few settings
+    out = px.limit(0).select("image_id", "y", "x", F.col("v").cast("int").alias("v"))
+    for size in sorted(sizes):
+        some = px.join(own.where(F.col("parameter") == size).select("image_id"), "image_id", "left_semi")
+        out = out.unionByName(stencil.adaptive_threshold(some, int(size), 11).select("image_id", "y", "x", F.col("v").cast("int").alias("v")))
+    out = cut(out.repartition("image_id"))
+    report = verify_preservation(px.join(own.select("image_id").distinct(), "image_id", "left_semi"), out).select("image_id", "status")
+    return out, own.select("image_id", "operation_id", "parameter", "risk").join(report, "image_id", "left").withColumn("decision", F.lit("review_required"))
+
+
 def _light(px: DataFrame) -> DataFrame:
     px = cut(px)
     return metrics.tone(px).join(metrics.sharpness(px), "image_id").join(metrics.noise(px), "image_id").join(metrics.illumination(px), "image_id").select("image_id", "brightness", "contrast", "sharpness", "noise", "illumination_variation")
@@ -106,7 +231,7 @@ def smart_pipeline(px: DataFrame) -> DataFrame:
     before = cut(_light(px).join(metrics.noise(px).select("image_id", "impulse_ratio"), "image_id").join(metrics.tone(px).select("image_id", "dynamic_range"), "image_id").join(metrics.edge_density(px), "image_id"))
     cond = cut(rules.conditions(before))
     recs = cut(rules.recommend(cond))
-    variants = [("illumination_normalize", "strength", (0.45, 0.65)), ("gamma_correct", "gamma", (0.65, 0.85, 1.15, 1.35)), ("clahe", "clip_limit", (1.2, 1.5, 2.0)), ("sharpen", "amount", (0.25,))]
+    variants = [("illumination_normalize", "strength", (0.45, 0.65)), ("gamma_correct", "gamma", (0.65, 0.85, 1.15, 1.35)), ("clahe", "clip_limit", (1.2, 1.5, 2.0)), ("median_denoise", "kernel_size", (3,)), ("sharpen", "amount", (0.25,))]
     tried = []
     for op, name, values in variants:
         for value in values:
@@ -116,18 +241,24 @@ def smart_pipeline(px: DataFrame) -> DataFrame:
     for one in tried[1:]:
         out = out.unionByName(one)
     out = cut(out.repartition("image_id"))
-    after = _light(out)
     ids = out.select("image_id").distinct()
-    report = verify_preservation(px.withColumn("__i", F.col("image_id")).join(ids.select(F.col("image_id").alias("__c"), F.expr("image_id div 128").alias("__i")), "__i").select(F.col("__c").alias("image_id"), "y", "x", "v"), out)
+    after = _light(out)
+    report = verify_preservation(_copies_of(px, ids, 128), out)
+    same = dimensions(out).toDF("image_id", "h1", "w1").join(dimensions(px).toDF("__i", "h0", "w0"), F.expr("image_id div 128 = __i")).select("image_id", ((F.col("h0") == F.col("h1")) & (F.col("w0") == F.col("w1"))).alias("same_size"))
     names = [c for c in after.columns if c != "image_id"]
-    both = after.select(F.expr("image_id div 128").alias("image_id"), F.pmod("image_id", F.lit(128)).cast("int").alias("priority"), *[F.col(c).alias(f"after_{c}") for c in names])
-    both = both.join(before.select("image_id", *[F.col(c).alias(f"before_{c}") for c in names]), "image_id").join(recs.select("image_id", "priority", "operation_id"), ["image_id", "priority"])
-    checked = rules.benefit(both).join(report.select(F.expr("image_id div 128").alias("image_id"), F.pmod("image_id", F.lit(128)).cast("int").alias("priority"), "status"), ["image_id", "priority"], "left").join(cond.select("image_id", "level"), "image_id")
-    decided = rules.candidate_decision(checked.withColumns({"executed": F.lit(True), "same_size": F.lit(True)})).select("image_id", "priority", "decision")
+    key = [F.expr("image_id div 128").alias("image_id"), F.pmod("image_id", F.lit(128)).cast("int").alias("priority")]
+    # a recommendation whose treatment left no raster has not been executed
+    automatic = recs.where(F.col("operation_id").isin([k for k, (_, _, side) in OPERATIONS.items() if side == "automatic"])).select("image_id", "priority", "operation_id")
+    both = automatic.join(after.join(same, "image_id").select(*key, "same_size", *[F.col(c).alias(f"after_{c}") for c in names]), ["image_id", "priority"], "left")
+    both = both.join(before.select("image_id", *[F.col(c).alias(f"before_{c}") for c in names]), "image_id")
+    checked = rules.benefit(both).join(report.select(*key, "status"), ["image_id", "priority"], "left").join(cond.select("image_id", "level"), "image_id")
+    checked = cut(checked.withColumns({"executed": F.col("same_size").isNotNull(), "same_size": F.coalesce("same_size", F.lit(True))}))
+    decided = rules.candidate_decision(checked).select("image_id", "priority", "decision", "status")
     steps = rules.enhancement_loop(recs.where("mode = 'enhancement'").join(decided, ["image_id", "priority"], "left").withColumns({"eligible": F.col("decision").isNotNull(), "decision": F.coalesce("decision", F.lit("deferred"))}))
     n = lambda test: F.coalesce(F.sum(test.cast("int")), F.lit(0))
-    g = steps.groupBy("image_id").agg(n(F.col("step_status").startswith("accepted")).alias("accepted"), n(F.col("step_status") == "accepted_with_caution").alias("cautions"), n(F.col("step_status").startswith("rejected")).alias("rejected"), n(F.col("step_status") == "deferred").alias("deferred"), F.max(F.when(F.col("step_status").startswith("accepted"), F.col("operation_id"))).alias("operation_id"))
-    all_ = recs.groupBy("image_id").agg(F.count("*").alias("recommendations"), n(F.col("mode") == "binarization").alias("binarized"))
-    rows = cond.select("image_id", "level").join(all_, "image_id", "left").join(g, "image_id", "left").fillna(0)
-    return rules.final_decision(rows.withColumns({"limit_hit": F.col("rejected") >= 4, "verified": F.lit(True)})).select("image_id", "level", "recommendations", "operation_id", "final")
-
+    taken = F.col("step_status").startswith("accepted")
+    g = steps.groupBy("image_id").agg(n(taken).alias("accepted"), n(F.col("step_status") == "accepted_with_caution").alias("cautions"), n(F.col("step_status").startswith("rejected")).alias("rejected"), n(F.col("step_status") == "deferred").alias("deferred"), F.max(F.when(taken, F.col("operation_id"))).alias("operation_id"), F.coalesce(F.bool_and(F.when(taken, F.col("status").isNotNull())), F.lit(True)).alias("verified"))
+    _, binary = binarization_candidates(px, recs)
+    all_ = recs.groupBy("image_id").agg(F.count("*").alias("recommendations")).join(binary.groupBy("image_id").agg(F.count("*").alias("binarized")), "image_id", "left")
+    rows = cond.select("image_id", "level").join(all_, "image_id", "left").join(g, "image_id", "left").fillna(0).fillna(True, ["verified"])
+    return rules.final_decision(rows.withColumn("limit_hit", F.col("rejected") >= MOST_ATTEMPTS)).select("image_id", "level", "recommendations", "operation_id", "binarized", "final")

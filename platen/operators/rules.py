@@ -212,6 +212,17 @@ def enhancement_loop(r: DataFrame, most_accepted: int = 1, most_attempts: int =
     return r.withColumn("step_status", status).drop("fresh", "attempts", "accepted_before")
 
 
+def audit(steps: DataFrame, most_accepted: int = 1, most_attempts: int = 4) -> DataFrame:
+    """violation, images, audited: how many of the audited images break each rule of a run (steps: image_id, priority, operation_id, step_status)."""
+    taken, turned = F.col("step_status").startswith("accepted"), F.col("step_status").startswith("rejected")
+    tried = F.when(taken | turned, F.col("operation_id"))
+    last = F.max(F.when(taken, F.col("priority"))).over(Window.partitionBy("image_id"))
+    g = steps.withColumn("__at", last).groupBy("image_id").agg(F.count_if(taken).alias("a"), F.count_if(taken | turned).alias("t"), F.count_distinct(tried).alias("k"), F.count_if(turned & (F.col("priority") > F.col("__at"))).alias("l"))
+    rules = {"more_than_one_accepted": F.col("a") > most_accepted, "more_than_four_attempts": F.col("t") > most_attempts, "operation_repeated": F.col("t") > F.col("k"), "attempt_after_acceptance": F.col("l") > 0}
+    sums = g.agg(F.count("*").alias("audited"), *[F.count_if(test).alias(name) for name, test in rules.items()])
+    return sums.select("audited", F.explode(F.array(*[F.struct(F.lit(name).alias("violation"), F.col(name).alias("images")) for name in rules])).alias("v")).select("v.*", "audited")
+
+
 def final_decision(s: DataFrame) -> DataFrame:
     """s (image_id, recommendations, accepted, cautions, limit_hit, rejected, deferred, binarized, verified) with final."""
     out = (

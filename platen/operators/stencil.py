@@ -1,50 +1,73 @@
 """Neighbourhood operators.
 
-Scanlines are gathered as arrays, first along x, then along y; both groupings cluster within an image, so a raster
-that is partitioned by image takes no further shuffle. Borders: reflect101 (the edge pixel is the mirror), replicate,
-or ignore (null outside).
+A scanline is one row (image_id, y, array of values), so an image has as many rows as lines, not pixels. Neighbours along x are
+places in the array, padded at both ends, and neighbours along y come from a window over the image's lines; a raster that is
+partitioned by image takes no further shuffle, and pixels become rows again only where a caller needs them. Borders:
+reflect101 (the edge pixel is the mirror), replicate, or ignore (null outside). Images are full rectangles.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.sources.rasters import KEYS, clip8, trunc8
 
 
-def _at(row: Column, i: Column, border: str) -> Column:
-    n = F.size(row)
+def _index(i: Column, n: Column, border: str) -> Column:
+    """The place in 0..n-1 that stands for place i; outside stays outside where borders are ignored."""
     if border == "reflect101":
         m = F.pmod(i, F.greatest(2 * (n - 1), F.lit(1)))
-        i = F.when(n == 1, 0).otherwise(F.when(m < n, m).otherwise(2 * (n - 1) - m))
+        i = F.when(n == 1, 0).when(m < n, m).otherwise(2 * (n - 1) - m)
     elif border == "replicate":
         i = F.greatest(F.lit(0), F.least(n - 1, i))
-    return F.get(row, i.cast("int"))
+    return i.cast("int")
 
 
-def _along(px: DataFrame, line: str, place: str, value: str, out: str, of) -> DataFrame:
-    """Adds `out`, of(row, i) of each pixel; row holds `value` along `place` in its line."""
-    rest = [c for c in px.columns if c not in ("image_id", line, place)]
-    rows = px.groupBy("image_id", line).agg(F.sort_array(F.collect_list(F.struct(place, *rest))).alias("__row"))
-    row = F.transform("__row", lambda s: s[value])
-    rows = rows.withColumn("__v", row)
-    each = F.transform("__row", lambda s, i: F.struct(s[place].alias(place), *[s[c].alias(c) for c in rest], of(F.col("__v"), i).alias(out)))
-    return rows.select("image_id", line, F.explode(each).alias("s")).select("image_id", line, "s.*")
+def padded(line: Column, r: int, border: str) -> Column:
+    """An array with r places more at both ends."""
+    n = F.size(line)
+    part = lambda a, b: F.transform(F.sequence(a, b), lambda i: F.get(line, _index(i, n, border)))
+    return F.concat(part(F.lit(-r), F.lit(-1)), line, part(n, n + r - 1)) if r else line
 
 
-def _band(row: Column, i: Column, r: int, border: str) -> Column:
-    return F.array(*[_at(row, i + d, border) for d in range(-r, r + 1)])
+def around(rows: DataFrame, line: Column, r: int, border: str, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """rows (by, y, ...) with __near: `line` of the 2 r + 1 rows around each, in order (null where there is none)."""
+    w = Window.partitionBy(*by).orderBy("y")
+    rows = rows.withColumns({"__i": F.row_number().over(w) - 1, "__h": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "__w": F.collect_list(line).over(w.rowsBetween(-r, r))})
+    first = F.greatest(F.lit(0), F.col("__i") - r)
+    at = lambda d: F.get("__w", (_index(F.col("__i") + d, F.col("__h"), border) - first).cast("int"))
+    return rows.withColumn("__near", F.array(*[at(d) for d in range(-r, r + 1)])).drop("__i", "__h", "__w")
+
+
+def scanlines(px: DataFrame) -> DataFrame:
+    """image_id, y, __row: the line's pixels (x and the other columns) in order of x."""
+    rest = [c for c in px.columns if c not in ("image_id", "y", "x")]
+    return px.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *rest))).alias("__row"))
+
+
+def _each(rows: DataFrame, px: DataFrame, out: str, of: Callable[[Column], Column]) -> DataFrame:
+    """Pixels of scanlines with `out`, of(i) of the pixel at place i."""
+    rest = [c for c in px.columns if c not in (*KEYS, out)]
+    one = F.transform("__row", lambda s, i: F.struct(s["x"].alias("x"), *[s[c].alias(c) for c in rest], of(i).alias(out)))
+    return rows.select("image_id", "y", F.explode(one).alias("s")).select("image_id", "y", "s.*")
+
+
+def _stencil(px: DataFrame, r: int, border: str, value: str, out: str, of: Callable[[Callable[[int], Column], Column], Column]) -> DataFrame:
+    """Adds `out`: of(line, i), where line(d) is the padded line d below and its place i + r is the pixel's own."""
+    rows = scanlines(px).withColumn("__v", F.transform("__row", lambda s: s[value]))
+    none = F.array_repeat(F.get("__v", F.lit(-1)), F.size("__v") + 2 * r)
+    rows = around(rows, padded(F.col("__v"), r, border), r, border)
+    line = (lambda d: F.coalesce(F.col("__near")[d + r], none)) if border == "ignore" else (lambda d: F.col("__near")[d + r])
+    return _each(rows.withColumns({f"__l{d + r}": line(d) for d in range(-r, r + 1)}).drop("__near"), px, out, lambda i: of(lambda d: F.col(f"__l{d + r}"), i))
 
 
 def neighbours(px: DataFrame, r: int = 1, border: str = "reflect101", value: str = "v", out: str = "n") -> DataFrame:
     """Adds `out`: the (2r+1)^2 values around each pixel, row by row."""
-    across = _along(px, "y", "x", value, "__h", lambda row, i: _band(row, i, r, border))
-    none = F.array(*[F.lit(None).cast("int")] * (2 * r + 1))
-    full = _along(across, "x", "y", "__h", out, lambda row, i: F.flatten(F.transform(_band(row, i, r, border), lambda h: F.coalesce(h, none))))
-    return full.select("image_id", "y", "x", *[c for c in px.columns if c not in KEYS], out)
+    return _stencil(px, r, border, value, out, lambda line, i: F.concat(*[F.slice(line(d), i + 1, 2 * r + 1) for d in range(-r, r + 1)]))
 
 
 def gaussian_kernel(ksize: int = 0, sigma: float = 0.0) -> list[float]:
@@ -57,30 +80,61 @@ def gaussian_kernel(ksize: int = 0, sigma: float = 0.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def convolve(px: DataFrame, kernel: list[float], border: str = "reflect101", value: str = "v", out: str = "g") -> DataFrame:
-    """Adds `out`: the separable convolution with `kernel` along both axes."""
-    weights, r = F.array(*[F.lit(w) for w in kernel]), len(kernel) // 2
+def blurred_lines(rows: DataFrame, line: str, kernel: list[float], border: str, out: str, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """rows (by, y, array `line`, ...) with array `out`: the separable convolution with `kernel` along both axes."""
+    r = len(kernel) // 2
+    weights = F.array(*[F.lit(w) for w in kernel])
+    weighed = lambda part: F.aggregate(F.zip_with(part, weights, lambda a, w: a * w), F.lit(0.0), lambda s, a: s + a)
+    rows = rows.withColumn("__p", padded(F.col(line), r, border)).withColumn("__p", F.transform(line, lambda _, i: weighed(F.slice("__p", i + 1, 2 * r + 1))))
+    rows = around(rows, F.col("__p"), r, border, by)
+    pairs = F.arrays_zip(F.col("__near").alias("l"), weights.alias("w"))
+    total = F.aggregate(pairs, F.transform("__p", lambda _: F.lit(0.0)), lambda s, p: F.zip_with(s, p["l"], lambda a, b: a + b * p["w"]))
+    return rows.withColumn(out, total).drop("__near", "__p")
 
-    def line(row: Column, i: Column) -> Column:
-        step = lambda acc, w: F.struct((acc["s"] + w * _at(row, i + acc["k"], border)).alias("s"), (acc["k"] + 1).alias("k"))
-        return F.aggregate(weights, F.struct(F.lit(0.0).alias("s"), F.lit(-r).alias("k")), step)["s"]
 
-    across = _along(px, "y", "x", value, "__h", line)
-    return _along(across, "x", "y", "__h", out, line).select("image_id", "y", "x", *[c for c in px.columns if c not in KEYS], out)
+def convolve(px: DataFrame, kernel: list[float], border: str = "reflect101", value: str = "v", out: str = "g") -> DataFrame:
+    """Adds `out`: the separable convolution with `kernel` along both axes."""
+    rows = scanlines(px).withColumn("__v", F.transform("__row", lambda s: s[value]))
+    return _each(blurred_lines(rows, "__v", kernel, border, "__g"), px, out, lambda i: F.get("__g", i))
 
 
 def gaussian(px: DataFrame, ksize: int = 0, sigma: float = 0.0, border: str = "reflect101", value: str = "v", out: str = "g") -> DataFrame:
     return convolve(px, gaussian_kernel(ksize, sigma), border, value, out)
 
 
+def _laplace(line, i: Column) -> Column:
+    at = lambda d, k: F.get(line(d), i + k)
+    return at(-1, 1) + at(0, 0) + at(0, 2) + at(1, 1) - 4 * at(0, 1)
+
+
 def laplacian(px: DataFrame, value: str = "v", out: str = "lap") -> DataFrame:
-    n = F.col("__n")
-    return neighbours(px, 1, "reflect101", value, "__n").withColumn(out, n[1] + n[3] + n[5] + n[7] - 4 * n[4]).drop("__n")
+    return _stencil(px, 1, "reflect101", value, out, _laplace)
 
 
-def median_denoise(px: DataFrame, k: int = 3, value: str = "v", out: str = "v") -> DataFrame:
-    """Median of the k x k neighbourhood, borders replicated."""
-    return neighbours(px, k // 2, "replicate", value, "__n").withColumn(out, F.sort_array("__n")[k * k // 2]).drop("__n")
+def _middle(line, i: Column, r: int) -> Column:
+    k = 2 * r + 1
+    return F.get(F.sort_array(F.concat(*[F.slice(line(d), i + 1, k) for d in range(-r, r + 1)])), F.lit(k * k // 2))
+
+
+def median_denoise(px: DataFrame, kernel_size: int = 3, value: str = "v", out: str = "v") -> DataFrame:
+    """Median of the square neighbourhood, borders replicated."""
+    r = kernel_size // 2
+    return _stencil(px, r, "replicate", value, out, lambda line, i: _middle(line, i, r))
+
+
+def lines_with(rows: DataFrame, r: int, border: str, out: str, of) -> DataFrame:
+    """rows (image_id, y, v: array) with array `out` of of(line, i), as in _stencil, without making pixels of them."""
+    near = around(rows, padded(F.col("v"), r, border), r, border)
+    return near.withColumn(out, F.transform("v", lambda _, i: of(lambda d: F.col("__near")[d + r], i))).drop("__near")
+
+
+def laplacian_lines(rows: DataFrame) -> DataFrame:
+    return lines_with(rows, 1, "reflect101", "lap", _laplace)
+
+
+def median_lines(rows: DataFrame, kernel_size: int = 3) -> DataFrame:
+    r = kernel_size // 2
+    return lines_with(rows, r, "replicate", "med", lambda line, i: _middle(line, i, r))
 
 
 def sharpen(px: DataFrame, amount: float = 0.5, sigma: float = 1.0) -> DataFrame:
@@ -151,23 +205,28 @@ def bilateral(px: DataFrame, diameter: int = 5, sigma_color: float = 25.0, sigma
     return n.withColumn("v", clip8(sum(w * v for w, v in terms) / sum(w for w, _ in terms))).drop("__n")
 
 
-def non_local_means(px: DataFrame, h: float = 5.0, template: int = 7, search: int = 21) -> DataFrame:
-    """Weighted mean over a search window; weights fall with the mean squared difference of the templates around."""
-    r = search // 2
-    # one column of differences for each offset would be a wide frame: offsets are rows, images stay partitions
-    n = neighbours(px, r, "reflect101", "v", "__n")
-    each = n.select(*KEYS, "v", F.posexplode("__n").alias("o", "w")).withColumn("d", ((F.col("w") - F.col("v")) * (F.col("w") - F.col("v"))).cast("double"))
-    box = [1.0 / template] * template
-    one = each.withColumn("key", F.struct("image_id", "o"))
-    flat = one.select(F.col("key").alias("image_id"), "y", "x", "w", "d").repartition("image_id")
-    near = convolve(flat, box, "reflect101", "d", "m").withColumn("k", F.exp(-F.greatest(F.col("m"), F.lit(0.0)) / F.lit(h * h)))
-    out = near.select(F.col("image_id.image_id").alias("image_id"), "y", "x", "w", "k").groupBy(*KEYS).agg((F.sum(F.col("w") * F.col("k")) / F.sum("k")).alias("m"))
-    return out.select(*KEYS, clip8(F.col("m")).alias("v"))
+def non_local_means(px: DataFrame, strength: float = 5.0, template_window_size: int = 7, search_window_size: int = 21) -> DataFrame:
+    """Weighted mean over a search window; weights fall with the mean squared difference of the templates around.
 
+    A line meets the line of each offset as an array, so offsets multiply lines, not pixels, and nothing leaves the image's partition.
+    """
+    r = search_window_size // 2
+    rows = scanlines(px).select("image_id", "y", "__row", F.transform("__row", lambda s: s["v"]).alias("v"))
+    near = around(rows.select("image_id", "y", "v"), padded(F.col("v"), r, "reflect101"), r, "reflect101")
+    shifted = near.select("image_id", "y", "v", F.posexplode("__near").alias("dy", "l")).select("image_id", "y", "v", "dy", "l", F.explode(F.sequence(F.lit(0), F.lit(2 * r))).alias("dx"))
+    each = shifted.select("image_id", "y", (F.col("dy") * (2 * r + 1) + F.col("dx")).alias("o"), F.slice("l", F.col("dx") + 1, F.size("v")).alias("w"), "v")
+    each = each.withColumn("d", F.zip_with("w", "v", lambda a, b: ((a - b) * (a - b)).cast("double"))).drop("v")
+    box = [1.0 / template_window_size] * template_window_size
+    mean = blurred_lines(each, "d", box, "reflect101", "m", ("image_id", "o"))
+    mean = mean.select("image_id", "y", "w", F.transform("m", lambda m: F.exp(-F.greatest(m, F.lit(0.0)) / F.lit(float(strength * strength)))).alias("k"))
+    pair = F.struct(F.zip_with("w", "k", lambda a, k: a * k).alias("a"), F.col("k").alias("b"))
+    sums = mean.groupBy("image_id", "y").agg(F.collect_list(pair).alias("all"))
+    total = lambda name: F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0][name], lambda s, p: F.zip_with(s, p[name], lambda a, b: a + b))
+    out = sums.select("image_id", "y", F.zip_with(total("a"), total("b"), lambda a, b: a / b).alias("__g"))
+    return _each(rows.drop("v").join(out, ["image_id", "y"]), px.select(*KEYS, "v"), "v", lambda i: clip8(F.get("__g", i)))
 
-def illumination_normalize(px: DataFrame, kernel_size: int = 51, strength: float = 0.65) -> DataFrame:
-    from pyspark.sql import Window
 
+def illumination_normalize(px: DataFrame, kernel_size: int = 51, strength: float = 0.65) -> DataFrame:
     g = gaussian(px, kernel_size).withColumn("__m", F.avg("g").over(Window.partitionBy("image_id")))
     flat = F.col("v") / F.greatest(F.col("g"), F.lit(1.0)) * F.col("__m")
     return g.withColumn("v", trunc8(F.round((1 - strength) * F.col("v") + strength * flat, 9))).drop("g", "__m")

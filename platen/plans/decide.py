@@ -10,6 +10,7 @@ from platen.operators import preservation as P
 from platen.operators import rules as D
 from platen.operators import stencil as K
 from platen.operators.histogram import gamma_correct, global_threshold
+from platen.operators.registry import OPERATIONS, binarization_candidates
 from platen.plans import measure as Q
 from platen.plans import sql as S
 from platen.sources import rasters as R
@@ -93,8 +94,8 @@ UNION ALL SELECT image_id, 40, 'median_denoise', 3, 'enhancement', 'medium-high'
 UNION ALL SELECT image_id, 70, 'adaptive_threshold', 35, 'binarization', 'medium-high' FROM c WHERE uneven <> 'none'"""
 of_conditions("d6a_recommendations", D.recommend, RECS)
 of_conditions("w1_recommendation_order", lambda c: D.recommend(c).select("image_id", "operation_id", F.row_number().over(Window.partitionBy("image_id").orderBy("priority", "operation_id")).alias("place")), f"SELECT image_id, operation_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY priority, operation_id) AS INTEGER) AS place FROM ({RECS})")
-AUTOMATIC = ("illumination_normalize", "gamma_correct", "clahe", "sharpen")
-of_conditions("f7_eligible", lambda c: D.recommend(c).where((F.col("mode") == "enhancement") & F.col("operation_id").isin(*AUTOMATIC)).select("image_id", "priority", "operation_id"), f"SELECT image_id, priority, operation_id FROM ({RECS}) WHERE mode = 'enhancement' AND operation_id IN {AUTOMATIC}")
+AUTOMATIC = [k for k, (_, _, side) in OPERATIONS.items() if side == "automatic"]
+of_conditions("f7_eligible", lambda c: D.recommend(c).where((F.col("mode") == "enhancement") & F.col("operation_id").isin(*AUTOMATIC)).select("image_id", "priority", "operation_id"), f"SELECT image_id, priority, operation_id FROM ({RECS}) WHERE mode = 'enhancement' AND operation_id IN ('clahe', 'gamma_correct', 'illumination_normalize', 'median_denoise', 'sharpen')")
 
 
 def split_auto(c):
@@ -105,7 +106,17 @@ def split_auto(c):
     return side("left_semi", "automatic").unionByName(side("left_anti", "deferred"))
 
 
-of_conditions("j12_split_auto", split_auto, f"SELECT image_id, operation_id, CASE WHEN operation_id IN {AUTOMATIC} THEN 'automatic' ELSE 'deferred' END AS side FROM ({RECS})")
+of_conditions("j12_split_auto", split_auto, f"SELECT image_id, operation_id, CASE WHEN operation_id IN ('clahe', 'gamma_correct', 'illumination_normalize', 'median_denoise', 'sharpen') THEN 'automatic' ELSE 'deferred' END AS side FROM ({RECS})")
+BINARIZED = f"{S.blurred('px', 'gb', K.gaussian_kernel(35), 'replicate')}, out AS (SELECT image_id, y, x, CASE WHEN v > floor(g + 0.5) - 11 THEN 255 ELSE 0 END AS v FROM gb)"
+
+
+def binarized(spark, d):
+    px = cut(corpus(spark, d))
+    rasters, records = binarization_candidates(px, cut(D.recommend(cut(D.conditions(measured(spark, d))))))
+    return records.join(Q.digest(rasters).select("image_id", "n", "total"), "image_id").select("image_id", "operation_id", "parameter", "decision", "n", "total")
+
+
+query("d12_binarization_candidates", f"{W}{FULL}, {BINARIZED}, rc AS ({RECS}), dg2 AS ({Q.DIGEST}) SELECT rc.image_id, operation_id, parameter::DOUBLE AS parameter, 'review_required' AS decision, n, total FROM rc JOIN dg2 USING (image_id) WHERE mode = 'binarization'")(binarized)
 of_conditions("d6a_avoid", D.avoid, """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY k) - 1 AS INTEGER) AS seq, op AS operation_id FROM (
 SELECT image_id, 0 AS k, 'median_denoise' AS op FROM c WHERE impulse_noise AND level = 'high' UNION ALL SELECT image_id, 1, 'bilateral_denoise' FROM c WHERE noise <> 'none' AND NOT impulse_noise UNION ALL SELECT image_id, 2, 'non_local_means_denoise' FROM c WHERE noise <> 'none' AND NOT impulse_noise
 UNION ALL SELECT image_id, 3, 'sharpen' FROM c WHERE low_sharpness <> 'none' AND (noise <> 'none' OR level = 'high') UNION ALL SELECT image_id, 4 + k, op FROM c, (VALUES (0, 'histogram_equalization'), (1, 'global_threshold'), (2, 'morphological_opening'), (3, 'morphological_closing')) t(k, op))""")

@@ -38,13 +38,21 @@ def digest(px):
     return px.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * (F.col("x") + 1)).alias("by_x"), F.sum(v * (F.col("y") + 1)).alias("by_y"))
 
 
+def digest_lines(rows):
+    """digest of scanlines (image_id, y, v); a line is summed before anything is grouped."""
+    total = lambda of: F.aggregate(F.transform("v", of), F.lit(0).cast("long"), lambda s, e: s + e)
+    one = rows.select("image_id", "y", F.size("v").cast("long").alias("n"), total(lambda v: v.cast("long")).alias("t"), total(lambda v, x: v.cast("long") * (x + 1)).alias("bx"))
+    return one.groupBy("image_id").agg(F.sum("n").alias("n"), F.sum("t").alias("total"), F.sum("bx").alias("by_x"), F.sum(F.col("t") * (F.col("y") + 1)).alias("by_y"))
+
+
 DIGEST = "SELECT image_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (x + 1)) AS BIGINT) AS by_x, CAST(sum(v * (y + 1)) AS BIGINT) AS by_y FROM out GROUP BY image_id"
 
 
 def treated(name: str, corpus, f, ctes: str, out: str):
     """Registers a treatment: f over a corpus; `ctes` and `out` (a SELECT) are its SQL."""
-    base = S.TEXT if corpus is T else S.VECTOR
-    query(name, f"WITH {base}{', ' + ctes if ctes else ''}, out AS ({out}) {DIGEST}")(lambda spark, d: digest(f(corpus(spark, d))))
+    base = S.VECTOR if corpus is V else S.TEXT
+    seen = digest_lines if corpus is R.corpus_lines else digest
+    query(name, f"WITH {base}{', ' + ctes if ctes else ''}, out AS ({out}) {DIGEST}")(lambda spark, d: seen(f(corpus(spark, d))))
 
 
 def clip8(e: str) -> str:
@@ -62,6 +70,28 @@ query("s6_image_record", f"WITH {S.TEXT} SELECT image_id, max(y) + 1 AS height,
 
 # projections
 query("p1_gray", f"WITH {S.TEXT}, out AS (SELECT image_id, y, x, CAST(floor(round(0.299 * (v * 7 % 256) + 0.587 * (v * 5 % 256) + 0.114 * (v * 3 % 256), 6) + 0.5) AS INTEGER) AS v FROM px) {DIGEST}")(lambda spark, d: digest(H.to_gray(R.colour(T(spark, d)))))
+def luminance(spark, d):
+    """Colour rasters whose lightness is cut at a threshold, as sums of bands."""
+    out = H.on_luminance(R.colour(V(spark, d)), lambda px: H.global_threshold(px, 127))
+    return out.groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("b", "g", "r")])
+
+
+def lab_sql() -> str:
+    """Lightness and colour of LAB, and back, as SQL."""
+    lin = {c: f"CASE WHEN {e} / 255.0::DOUBLE > 0.04045 THEN pow(({e} / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) ELSE {e} / 255.0::DOUBLE / 12.92 END" for c, e in (("r", "(v * 7 % 256)"), ("g", "(v * 5 % 256)"), ("b", "(v * 3 % 256)"))}
+    root = lambda t: f"CASE WHEN {t} > 0.008856 THEN pow({t}, 1.0::DOUBLE / 3) ELSE 7.787::DOUBLE * {t} + 16.0::DOUBLE / 116 END"
+    cube = lambda f: f"CASE WHEN {f} > 0.206893 THEN pow({f}, 3.0::DOUBLE) ELSE ({f} - 16.0::DOUBLE / 116) / 7.787 END"
+    shown = lambda c: clip8(f"round((CASE WHEN {c} > 0.0031308 THEN 1.055::DOUBLE * pow({c}, 1.0::DOUBLE / 2.4) - 0.055 ELSE 12.92::DOUBLE * {c} END) * 255, 6)")
+    return f"""li AS (SELECT image_id, {lin['r']} AS r, {lin['g']} AS g, {lin['b']} AS b FROM px),
+xyz AS (SELECT image_id, (0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b) / 0.950456::DOUBLE AS x, 0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b AS y, (0.019334::DOUBLE * r + 0.119193::DOUBLE * g + 0.950227::DOUBLE * b) / 1.088754::DOUBLE AS z FROM li),
+lab AS (SELECT image_id, {clip8('round((CASE WHEN y > 0.008856 THEN 116.0::DOUBLE * pow(y, 1.0::DOUBLE / 3) - 16 ELSE 903.3::DOUBLE * y END) * 255 / 100, 6)')} AS l, {clip8(f"round(500.0::DOUBLE * (({root('x')}) - ({root('y')})) + 128, 6)")} AS a, {clip8(f"round(200.0::DOUBLE * (({root('y')}) - ({root('z')})) + 128, 6)")} AS b FROM xyz),
+cut AS (SELECT image_id, CASE WHEN l > 127 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS l, a, b FROM lab), fy AS (SELECT *, CASE WHEN l > 7.9996 THEN (l + 16) / 116 ELSE 7.787::DOUBLE * (l / 903.3) + 16.0::DOUBLE / 116 END AS f, CASE WHEN l > 7.9996 THEN pow((l + 16) / 116, 3.0::DOUBLE) ELSE l / 903.3 END AS y FROM cut),
+fx AS (SELECT *, f + (a - 128) / 500.0::DOUBLE AS p, f - (b - 128) / 200.0::DOUBLE AS q FROM fy), co AS (SELECT image_id, ({cube('p')}) * 0.950456::DOUBLE AS x, y, ({cube('q')}) * 1.088754::DOUBLE AS z FROM fx),
+rgb AS (SELECT image_id, 3.240479::DOUBLE * x + (-1.537150::DOUBLE) * y + (-0.498535::DOUBLE) * z AS r, (-0.969256::DOUBLE) * x + 1.875991::DOUBLE * y + 0.041556::DOUBLE * z AS g, 0.055648::DOUBLE * x + (-0.204043::DOUBLE) * y + 1.057311::DOUBLE * z AS b FROM co)
+SELECT image_id, count(*) AS n, CAST(sum({shown('b')}) AS BIGINT) AS b, CAST(sum({shown('g')}) AS BIGINT) AS g, CAST(sum({shown('r')}) AS BIGINT) AS r FROM rgb GROUP BY image_id"""
+
+
+query("p2_on_luminance", f"WITH {S.VECTOR}, {lab_sql()}")(luminance)
 for name, g in (("p3_gamma_dark", 0.65), ("p3_gamma_bright", 1.35)):
     treated(name, T, lambda px, g=g: H.gamma_correct(px, g), "", f"SELECT image_id, y, x, {trunc8(f'round(pow(v / 255.0::DOUBLE, {g}::DOUBLE) * 255, 9)')} AS v FROM px")
 treated("p4_intensity", T, lambda px: H.intensity_adjust(px, 1.5, -40), "", f"SELECT image_id, y, x, {clip8('abs(round(v * 1.5::DOUBLE - 40, 9))')} AS v FROM px")
@@ -71,7 +101,7 @@ treated("p6_normalize", T, H.normalize, "e AS (SELECT *, min(v) OVER w AS lo, ma
 # stencils
 G1 = K.gaussian_kernel(0, 1.0)
 treated("k2_laplacian", T, lambda px: K.laplacian(px).withColumn("v", F.abs("lap")), S.around("px", "nb"), "SELECT image_id, y, x, abs(n1 + n3 + n5 + n7 - 4 * n4) AS v FROM nb")
-treated("k3_median", T, K.median_denoise, S.around("px", "nb", "replicate"), "SELECT image_id, y, x, list_sort([n0, n1, n2, n3, n4, n5, n6, n7, n8])[5] AS v FROM nb")
+treated("k3_median", R.corpus_lines, lambda rows: K.median_lines(rows).select("image_id", "y", F.col("med").alias("v")), S.around("px", "nb", "replicate"), "SELECT image_id, y, x, list_sort([n0, n1, n2, n3, n4, n5, n6, n7, n8])[5] AS v FROM nb")
 for name, f, op in (("k6_erode", K.erode, "least"), ("k6_dilate", K.dilate, "greatest")):
     treated(name, T, f, S.around("px", "nb", "ignore"), f"SELECT image_id, y, x, {op}(n0, n1, n2, n3, n4, n5, n6, n7, n8) AS v FROM nb")
 for name, f, a, b in (("k7_open", K.morph_open, "least", "greatest"), ("k7_close", K.morph_close, "greatest", "least")):
@@ -89,7 +119,7 @@ mirror = "CASE WHEN _ < 0 THEN -_ WHEN _ > 7 THEN 14 - _ ELSE _ END"
 treated("k9_bilateral", V, K.bilateral, f"""o(d) AS (VALUES (-2), (-1), (0), (1), (2)), disc AS (SELECT a.d AS dy, b.d AS dx FROM o a, o b WHERE a.d * a.d + b.d * b.d <= 4),
 pl AS (SELECT image_id, y, x, v, dy * dy + dx * dx AS dd, {mirror.replace('_', '(y + dy)')} AS ty, {mirror.replace('_', '(x + dx)')} AS tx FROM px, disc),
 w AS (SELECT a.image_id, a.y, a.x, q.v AS qv, exp(-a.dd / 1250.0::DOUBLE - pow(q.v - a.v, 2) / 1250.0::DOUBLE) AS w FROM pl a JOIN px q ON q.image_id = a.image_id AND q.y = a.ty AND q.x = a.tx)""", f"SELECT image_id, y, x, {clip8('sum(w * qv) / sum(w)')} AS v FROM w GROUP BY image_id, y, x")
-query("k10_non_local_means")(lambda spark, d: digest(K.non_local_means(V(spark, d), 5.0, 7, 7)))
+query("k10_non_local_means")(lambda spark, d: digest(K.non_local_means(V(spark, d))))
 element = ", ".join(f"({i // 5 - 2}, {i % 5 - 2})" for i, on in enumerate(K._ellipse(5)) if on)
 treated("k7_black_hat", V, K.black_hat, f"el(dy, dx) AS (VALUES {element}), di AS (SELECT p.image_id, p.y, p.x, any_value(p.v) AS was, max(q.v) AS v FROM px p CROSS JOIN el JOIN px q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL), cl AS (SELECT p.image_id, p.y, p.x, any_value(p.was) AS was, min(q.v) AS v FROM di p CROSS JOIN el JOIN di q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)", "SELECT image_id, y, x, greatest(0, v - was) AS v FROM cl")
 
@@ -115,11 +145,14 @@ treated("h4_faded_text", V, H.faded_text, f"gm AS (SELECT image_id, y, x, {trunc
 # metrics
 TONE = "SELECT image_id, round(avg(v), 3) AS brightness, round(stddev_pop(v), 3) AS contrast, round(quantile_cont(v, 0.95) - quantile_cont(v, 0.05), 3) AS dynamic_range, round(avg(CASE WHEN v <= 5 THEN 1 ELSE 0 END), 4) AS dark_clipped_ratio, round(avg(CASE WHEN v >= 250 THEN 1 ELSE 0 END), 4) AS bright_clipped_ratio FROM px GROUP BY image_id"
 query("a1_a2_a3_a8_tone", f"WITH {S.TEXT} {TONE}")(lambda spark, d: rounded(M.tone(T(spark, d)), brightness=3, contrast=3, dynamic_range=3, dark_clipped_ratio=4, bright_clipped_ratio=4))
-SHARP = "SELECT image_id, round(var_pop(n1 + n3 + n5 + n7 - 4 * n4), 3) AS sharpness FROM nb GROUP BY image_id"
-query("a4_sharpness", f"WITH {S.TEXT}, {S.around('px', 'nb')} {SHARP}")(lambda spark, d: rounded(M.sharpness(T(spark, d)), sharpness=3))
+#: Variance from exact sums, so that both engines divide the same numbers.
+EXACT = "CAST(count(*) * sum(l::HUGEINT * l) - sum(l)::HUGEINT * sum(l) AS DOUBLE) / (count(*)::DOUBLE * count(*))"
+LAP = "(SELECT image_id, n1 + n3 + n5 + n7 - 4 * n4 AS l FROM nb)"
+SHARP = f"SELECT image_id, round({EXACT}, 3) AS sharpness FROM {LAP} GROUP BY image_id"
+query("a4_sharpness", f"WITH {S.TEXT}, {S.around('px', 'nb')} SELECT image_id, {EXACT} AS sharpness FROM {LAP} GROUP BY image_id")(lambda spark, d: M.sharpness_lines(R.corpus_lines(spark, d)))
 NOISE = "SELECT image_id, round(avg(d), 3) AS noise, round(quantile_cont(d, 0.9), 3) AS noise_p90, round(avg(CASE WHEN d >= 5 THEN 1 ELSE 0 END), 4) AS affected_ratio, round(avg(CASE WHEN d >= 100 THEN 1 ELSE 0 END), 4) AS impulse_ratio FROM rs GROUP BY image_id"
 RESIDUAL = "rs AS (SELECT image_id, y, x, v, abs(v - list_sort([n0, n1, n2, n3, n4, n5, n6, n7, n8])[5]) AS d FROM nm)"
-query("a5_noise", f"WITH {S.TEXT}, {S.around('px', 'nm', 'replicate')}, {RESIDUAL} {NOISE}")(lambda spark, d: rounded(M.noise(T(spark, d)), noise=3, noise_p90=3, affected_ratio=4, impulse_ratio=4))
+query("a5_noise", f"WITH {S.TEXT}, {S.around('px', 'nm', 'replicate')}, {RESIDUAL} SELECT image_id, sum(d)::DOUBLE / count(*) AS noise, round(quantile_cont(d, 0.9), 6) AS noise_p90, count(*) FILTER (d >= 5)::DOUBLE / count(*) AS affected_ratio, count(*) FILTER (d >= 100)::DOUBLE / count(*) AS impulse_ratio FROM rs GROUP BY image_id")(lambda spark, d: rounded(M.noise_lines(R.corpus_lines(spark, d)), noise_p90=6))
 ILLUM = "SELECT image_id, round(CASE WHEN avg(g) <= 1e-6 THEN 0 ELSE stddev_pop(g) / avg(g) END, 4) AS illumination_variation FROM gl GROUP BY image_id"
 query("a6_illumination", f"WITH {S.VECTOR}, {S.blurred('px', 'gl', K.gaussian_kernel(0, 3.0))} {ILLUM}")(lambda spark, d: rounded(M.illumination(V(spark, d)), illumination_variation=4))
 BLEED = "SELECT image_id, round(avg(CASE WHEN d BETWEEN 4 AND 18 THEN 1 ELSE 0 END), 4) AS weak_structure_ratio, round(avg(CASE WHEN d > 18 THEN 1 ELSE 0 END), 4) AS strong_structure_ratio, round(avg(CASE WHEN d BETWEEN 4 AND 18 THEN 1 ELSE 0 END) / greatest(avg(CASE WHEN d > 18 THEN 1 ELSE 0 END), 1e-6), 4) AS weak_to_strong_ratio FROM bd GROUP BY image_id"

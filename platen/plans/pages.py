@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platen.operators import geometry as G
 from platen.operators import prepare as P
 from platen.operators.edges import auto_thresholds, canny
 from platen.operators.registry import smart_pipeline
@@ -50,7 +49,7 @@ query("g2_region_quads")(lambda spark, d: P.region_quads(V(spark, d)).select("im
 query("a27_detect_boundary")(lambda spark, d: P.detect_boundary(V(spark, d), 0.5, 4).select("image_id", "score", "detected"))
 query("g7_estimate_skew")(lambda spark, d: P.estimate_skew(V(spark, d), 4))
 query("g8_detect_skew")(lambda spark, d: P.detect_skew(V(spark, d), 4, 4))
-query("e4_skew_audit")(lambda spark, d: P.estimate_skew(G.rotate(V(spark, d), 5.0), 4))
+query("e4_skew_audit")(lambda spark, d: P.skew_audit(V(spark, d), threshold=4))
 
 
 def support(spark, d):
@@ -60,5 +59,5 @@ def support(spark, d):
 
 
 query("e5_edge_support")(lambda spark, d: Q.rounded(support(spark, d), support=4))
-query("d15_prepare")(lambda spark, d: P.prepare(V(spark, d), 4, 0.5)[1])
-query("d17_document_pipeline")(lambda spark, d: P.document_pipeline(V(spark, d), smart_pipeline, 4, 0.5))
+query("d15_prepare")(lambda spark, d: P.prepare(V(spark, d), 4, 0.5, 2)[1])
+query("d17_document_pipeline")(lambda spark, d: P.document_pipeline(V(spark, d), smart_pipeline, 4, 0.5, 2))

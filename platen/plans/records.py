@@ -88,7 +88,7 @@ query("p12_angles", f"WITH {SG} SELECT image_id, id, angle, round(least((angle +
 query("f4_keep_segments", f"WITH {SG} SELECT image_id, id FROM sg WHERE length >= 12 AND abs(angle) <= 35")(lambda spark, d: segments(spark, d).where("length >= 12 AND abs(angle) <= 35").select("image_id", "id"))
 query("a24_skew_stats", f"""WITH {SG}, md AS (SELECT image_id, quantile_cont(angle, 0.5) AS med FROM sg GROUP BY 1), dv AS (SELECT sg.*, med, abs(angle - med) AS dev FROM sg JOIN md USING (image_id)), ma AS (SELECT image_id, quantile_cont(dev, 0.5) AS mad FROM dv GROUP BY 1),
 kp AS (SELECT dv.* FROM dv JOIN ma USING (image_id) WHERE round(dev, 9) <= round(greatest(1, least(6, CASE WHEN mad > 0 THEN 2.5 * mad ELSE 1.5 END)), 9)), mn AS (SELECT image_id, sum(length * angle) / sum(length) AS mean FROM kp GROUP BY 1)
-SELECT image_id, round(any_value(mean), 3) AS angle, round(sqrt(sum(length * pow(angle - mean, 2)) / sum(length)), 3) AS dispersion, count(*) AS lines FROM kp JOIN mn USING (image_id) GROUP BY image_id""")(lambda spark, d: Q.rounded(G.skew_stats(segments(spark, d)), angle=3, dispersion=3))
+SELECT image_id, round(any_value(mean), 6) AS angle, round(sqrt(sum(length * pow(angle - mean, 2)) / sum(length)), 6) AS dispersion, count(*) AS lines FROM kp JOIN mn USING (image_id) GROUP BY image_id""")(lambda spark, d: Q.rounded(G.skew_stats(segments(spark, d)), angle=6, dispersion=6))
 query("g9_line_families", f"""WITH {SG}, b AS (SELECT *, CAST(floor((angle + 90) / 5.0) AS BIGINT) % 36 AS bin FROM sg), w AS (SELECT image_id, bin, sum(length) AS w FROM b GROUP BY ALL), t AS (SELECT image_id, arg_min(bin, (-round(w, 6), bin)) AS top FROM w GROUP BY 1),
 f AS (SELECT b.image_id, b.id, (top + 0.5) * 5 - 90 AS main, abs(angle - ((top + 0.5) * 5 - 90)) % 180 AS d0 FROM b JOIN t USING (image_id)) SELECT image_id, id, CASE WHEN least(d0, 180 - d0) <= 20 THEN 'primary' ELSE 'secondary' END AS family FROM f WHERE least(d0, 180 - d0) <= 20 OR 90 - least(d0, 180 - d0) <= 20""")(lambda spark, d: G.line_families(segments(spark, d)).select("image_id", "id", "family"))
 OFFSETS = "SELECT image_id, id, 'p' AS family, CAST(y1 AS DOUBLE) AS \"offset\" FROM sg"
@@ -100,7 +100,7 @@ query("w2_longest_per_image", f"WITH {SG} SELECT image_id, id FROM (SELECT *, ro
 query("w3_best_per_image", f"WITH {SG} SELECT image_id, arg_min(id, (-length, id)) AS id FROM sg GROUP BY image_id")(lambda spark, d: segments(spark, d).groupBy("image_id").agg(F.min_by("id", F.struct(-F.col("length"), "id")).alias("id")))
 query("w4_first_occurrence", "SELECT l_partkey, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey FROM lineitem GROUP BY l_partkey")(lambda spark, d: read(spark, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))).where("k = 1").select("l_partkey", "l_orderkey"))
 NORMAL = "struct_pack(nx := CAST(-(y2 - y1) AS DOUBLE), ny := CAST(x2 - x1 AS DOUBLE), d := CAST(-(y2 - y1) * x1 + (x2 - x1) * y1 AS DOUBLE))"
-query("p13_j11_intersections", f"WITH {SG}, n AS (SELECT image_id, id, {NORMAL} AS l FROM sg), p AS (SELECT a.image_id, a.id AS a, b.id AS b, a.l AS p, b.l AS q FROM n a JOIN n b ON a.image_id = b.image_id AND a.id < b.id), e AS (SELECT *, p.nx * q.ny - q.nx * p.ny AS det FROM p) SELECT image_id, a, b, CASE WHEN abs(det) > 1e-9 THEN round((p.d * q.ny - q.d * p.ny) / det, 3) END AS ix, CASE WHEN abs(det) > 1e-9 THEN round((p.nx * q.d - q.nx * p.d) / det, 3) END AS iy FROM e")(
+query("p13_j11_intersections", f"WITH {SG}, n AS (SELECT image_id, id, {NORMAL} AS l FROM sg), p AS (SELECT a.image_id, a.id AS a, b.id AS b, a.l AS p, b.l AS q FROM n a JOIN n b ON a.image_id = b.image_id AND a.id < b.id), e AS (SELECT *, p.nx * q.ny - q.nx * p.ny AS det FROM p) SELECT image_id, a, b, CASE WHEN abs(det) > 1e-9 THEN (p.d * q.ny - q.d * p.ny) / det END AS ix, CASE WHEN abs(det) > 1e-9 THEN (p.nx * q.d - q.nx * p.d) / det END AS iy FROM e")(
     lambda spark, d: _intersections(segments(spark, d))
 )
 
@@ -109,7 +109,31 @@ def _intersections(s):
     line = F.struct((-(F.col("y2") - F.col("y1"))).cast("double").alias("nx"), (F.col("x2") - F.col("x1")).cast("double").alias("ny"), (-(F.col("y2") - F.col("y1")) * F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("y1")).cast("double").alias("d"))
     n = s.select("image_id", "id", line.alias("l"))
     both = n.select("image_id", F.col("id").alias("a"), F.col("l").alias("p")).join(n.select("image_id", F.col("id").alias("b"), F.col("l").alias("q")), "image_id").where("a < b")
-    return Q.rounded(G.intersect(both, "p", "q").select("image_id", "a", "b", "ix", "iy"), ix=3, iy=3)
+    return G.intersect(both, "p", "q").select("image_id", "a", "b", "ix", "iy")
+
+
+#: A number of its own for each line, since line items repeat theirs.
+UID = "id * 1000000000000 + x1 * 1000000000 + y1 * 1000000 + x2 * 1000 + y2 + 20"
+
+
+def sides(spark, d):
+    """Two lines of each side an image at most, from the line items: families by line number, offsets by their first point."""
+    s = segments(spark, d)
+    line = F.struct((-(F.col("y2") - F.col("y1"))).cast("double").alias("nx"), (F.col("x2") - F.col("x1")).cast("double").alias("ny"), (-(F.col("y2") - F.col("y1")) * F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("y1")).cast("double").alias("d"))
+    family = F.when(F.col("id") % 2 == 0, "primary").otherwise("secondary")
+    return G.extremes(s.select("image_id", F.expr(UID).alias("id"), "length", line.alias("l"), family.alias("family"), F.col("y1").cast("double").alias("offset")), 2)
+
+
+SIDES = f"""{SG}, n AS (SELECT image_id, {UID} AS id, length, CASE WHEN id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS family, CAST(y1 AS DOUBLE) AS "offset", {NORMAL} AS l FROM sg),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, family ORDER BY "offset", id) AS u, row_number() OVER (PARTITION BY image_id, family ORDER BY "offset" DESC, id) AS w FROM n), e AS (SELECT *, 'low' AS side FROM r WHERE u <= 2 UNION ALL SELECT *, 'high' FROM r WHERE w <= 2),
+q AS (SELECT a.image_id, a.id AS a, b.id AS b, c.id AS c, d.id AS d, (a.length + b.length + c.length + d.length) / 4 AS support, a.l.nx * c.l.ny - c.l.nx * a.l.ny AS t0, a.l.d * c.l.ny - c.l.d * a.l.ny AS x0, a.l.nx * d.l.ny - d.l.nx * a.l.ny AS t1, b.l.nx * d.l.ny - d.l.nx * b.l.ny AS t2, b.l.nx * c.l.ny - c.l.nx * b.l.ny AS t3
+FROM e a JOIN e b ON a.image_id = b.image_id AND a.family = 'primary' AND b.family = 'primary' AND a.side = 'low' AND b.side = 'high' AND a.id <> b.id JOIN e c ON c.image_id = a.image_id AND c.family = 'secondary' AND c.side = 'low' JOIN e d ON d.image_id = a.image_id AND d.family = 'secondary' AND d.side = 'high' AND c.id <> d.id)"""
+query("j11_quad_candidates", f"WITH {SIDES} SELECT image_id, a, b, c, d, support, x0 / t0 AS x FROM q WHERE abs(t0) > 1e-9 AND abs(t1) > 1e-9 AND abs(t2) > 1e-9 AND abs(t3) > 1e-9")(
+    lambda spark, d: G.quad_candidates(sides(spark, d)).select("image_id", *[F.col("ids")[i].alias(n) for i, n in enumerate("abcd")], "support", F.col("corners")[0]["x"].alias("x"))
+)
+query("g9_unique_lines", f"WITH {SG}, o AS (SELECT image_id, id, CASE WHEN id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS family, CAST(y1 AS DOUBLE) AS \"offset\" FROM sg), g AS (SELECT *, \"offset\" - lag(\"offset\") OVER (PARTITION BY image_id, family ORDER BY \"offset\", id) AS gap FROM o) SELECT image_id, id, family FROM g WHERE gap IS NULL OR gap > 0.015::DOUBLE * 800")(
+    lambda spark, d: G.unique_lines(segments(spark, d).select("image_id", "id", F.when(F.col("id") % 2 == 0, "primary").otherwise("secondary").alias("family"), F.col("y1").cast("double").alias("offset"), F.lit(800.0).alias("diagonal"))).select("image_id", "id", "family")
+)
 
 
 # quadrilaterals of a 100 x 100 frame
@@ -155,7 +179,7 @@ query("g1_order_corners", f"WITH {QUADS}, e AS (SELECT image_id, unnest([struct_
 )
 
 # rasters
-query("s12_thumbnail", f"WITH {S.TEXT}, out AS (SELECT image_id, y // 4 AS y, x // 4 AS x, {Q.clip8('round(avg(v), 6)')} AS v FROM px GROUP BY ALL) {Q.DIGEST}")(lambda spark, d: Q.digest(G.thumbnail(T(spark, d))))
+query("s12_thumbnail", f"WITH {S.TEXT}, out AS (SELECT image_id, y // 4 AS y, x // 4 AS x, {Q.clip8('round(avg(v), 6)')} AS v FROM px GROUP BY ALL) {Q.DIGEST}")(lambda spark, d: Q.digest(G.cell_means(T(spark, d))))
 query("p11_crop", f"WITH {S.TEXT}, out AS (SELECT image_id, y - 1 AS y, x - 4 AS x, v FROM px WHERE x BETWEEN 4 AND 23 AND y BETWEEN 1 AND 10) {Q.DIGEST}")(lambda spark, d: Q.digest(G.crop(T(spark, d), 4, 1, 20, 10)))
 query("a22_border_value", f"WITH {S.TEXT}, e AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY 1), b AS (SELECT p.*, h, w, greatest(1, floor(h * 0.02)) AS my, greatest(1, floor(w * 0.02)) AS mx FROM px p JOIN e USING (image_id)), u AS (SELECT image_id, v FROM b WHERE y < my UNION ALL SELECT image_id, v FROM b WHERE y >= h - my UNION ALL SELECT image_id, v FROM b WHERE x < mx UNION ALL SELECT image_id, v FROM b WHERE x >= w - mx) SELECT image_id, quantile_cont(v, 0.5) AS fill FROM u GROUP BY image_id")(lambda spark, d: G.border_value(T(spark, d)))
 query("a28_min_area_angle", f"WITH {S.VECTOR}, pt AS (SELECT image_id, y, x FROM px WHERE v > 127), t AS (SELECT CAST(unnest(range(180)) AS INTEGER) AS i), r AS (SELECT image_id, i, x * cos(radians(i * 0.5)) + y * sin(radians(i * 0.5)) AS u, y * cos(radians(i * 0.5)) - x * sin(radians(i * 0.5)) AS w FROM pt, t), a AS (SELECT image_id, i, round((max(u) - min(u)) * (max(w) - min(w)), 6) AS area FROM r GROUP BY ALL) SELECT image_id, round(min(area), 4) AS area FROM a GROUP BY image_id")(
@@ -180,8 +204,14 @@ _C, _S = "cos(radians(5.0::DOUBLE))", "sin(radians(5.0::DOUBLE))"
 query("g10_rotate", f"WITH {S.VECTOR}, dm AS (SELECT image_id, 8 AS h, 8 AS w, CAST(ceil(round(8 * {_S} + 8 * {_C}, 6)) AS INTEGER) AS n FROM px GROUP BY image_id), rg AS (SELECT image_id, n, unnest(range(n)) AS y FROM dm), rh AS (SELECT image_id, n, y, unnest(range(n)) AS x FROM rg), gg AS (SELECT image_id, y, x, round({_C} * (x - (n - 1) / 2.0::DOUBLE) - {_S} * (y - (n - 1) / 2.0::DOUBLE) + 3.5, 6) AS sx, round({_S} * (x - (n - 1) / 2.0::DOUBLE) + {_C} * (y - (n - 1) / 2.0::DOUBLE) + 3.5, 6) AS sy FROM rh), {SAMPLE.format(keys='image_id, y, x', grid='gg', fill=255)} {Q.DIGEST}")(
     lambda spark, d: Q.digest(G.rotate(V(spark, d), 5.0))
 )
-query("g11_rectify")(lambda spark, d: Q.digest(G.rectify(V(spark, d), V(spark, d).select("image_id").distinct().withColumn("corners", F.expr("array(named_struct('x', 1D, 'y', 0D), named_struct('x', 6D + image_id % 2, 'y', 1D), named_struct('x', 7D, 'y', 6D), named_struct('x', 0D, 'y', 5D + image_id % 3))")))))
-query("g6_hough_segments")(lambda spark, d: G.hough_segments(V(spark, d).where("v > 200").select(*R.KEYS), 5.0, 4, 3, 1))
+query("g11_rectify")(lambda spark, d: Q.digest(G.rectify(V(spark, d), V(spark, d).select("image_id").distinct().withColumn("corners", F.expr("array(named_struct('x', 1D, 'y', 0D), named_struct('x', 6D + image_id % 2, 'y', 1D), named_struct('x', 7D, 'y', 6D), named_struct('x', 0D, 'y', 5D + image_id % 3))")), 2)))
+HOUGH = """ed AS (SELECT image_id, y, x FROM px WHERE v > 200), th AS (SELECT CAST(i AS INTEGER) AS i, cos(radians(i * 5.0::DOUBLE)) AS c, sin(radians(i * 5.0::DOUBLE)) AS s FROM (SELECT unnest(range(36)) AS i)),
+vo AS (SELECT image_id, y, x, i AS theta, CAST(floor(round(x * c + y * s, 6) + 0.5) AS INTEGER) AS rho, round(y * c - x * s, 6) AS along FROM ed, th), ce AS (SELECT *, count(*) OVER (PARTITION BY image_id, theta, rho) AS n FROM vo), st AS (SELECT *, max(n) OVER (PARTITION BY image_id, y, x) AS top FROM ce WHERE n >= 4),
+pk AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY theta) AS k, count(*) OVER (PARTITION BY image_id, y, x) AS m FROM st WHERE n = top), ow AS (SELECT * FROM pk WHERE k - 1 = (m - 1) // 2),
+ga AS (SELECT *, CASE WHEN along - lag(along) OVER w > 1 THEN 1 ELSE 0 END AS new FROM ow WINDOW w AS (PARTITION BY image_id, theta, rho ORDER BY along, x, y)), pa AS (SELECT *, sum(new) OVER (PARTITION BY image_id, theta, rho ORDER BY along, x, y ROWS UNBOUNDED PRECEDING) AS part FROM ga),
+sg AS (SELECT image_id, theta * 5.0::DOUBLE - 90 AS angle, arg_min(x, (along, x, y)) AS x1, arg_min(y, (along, x, y)) AS y1, arg_max(x, (along, x, y)) AS x2, arg_max(y, (along, x, y)) AS y2, count(*) AS votes FROM pa GROUP BY image_id, theta, rho, part)
+SELECT image_id, x1, y1, x2, y2, round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 6) AS length, angle, votes FROM sg WHERE round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 6) >= 3"""
+query("g6_hough_segments", f"WITH {S.VECTOR}, {HOUGH}")(lambda spark, d: G.hough_segments(V(spark, d).where("v > 200").select(*R.KEYS), 5.0, 4, 3, 1))
 
 # decisions on records
 BEFORE = "SELECT l_orderkey * 10 + l_linenumber AS image_id, CASE l_linenumber % 6 WHEN 0 THEN 'gamma_correct' WHEN 1 THEN 'clahe' WHEN 2 THEN 'sharpen' WHEN 3 THEN 'median_denoise' WHEN 4 THEN 'illumination_normalize' ELSE 'deskew' END AS operation_id, CAST(l_partkey % 256 AS DOUBLE) AS before_brightness, CAST((l_partkey + l_suppkey) % 256 AS DOUBLE) AS after_brightness, CAST(l_suppkey % 60 AS DOUBLE) AS before_contrast, CAST((l_suppkey * 3) % 60 AS DOUBLE) AS after_contrast, CAST(l_orderkey % 500 AS DOUBLE) AS before_sharpness, CAST((l_orderkey * 7) % 500 AS DOUBLE) AS after_sharpness, CAST(l_partkey % 30 AS DOUBLE) AS before_noise, CAST(l_suppkey % 30 AS DOUBLE) AS after_noise, CAST(l_partkey % 40 AS DOUBLE) / 100 AS before_illumination_variation, CAST(l_suppkey % 40 AS DOUBLE) / 100 AS after_illumination_variation FROM lineitem"
@@ -223,27 +253,49 @@ FINAL = f"""{LOOP}, g AS (SELECT image_id, sum(CASE WHEN starts_with(step_status
 fd AS (SELECT image_id, CASE WHEN ac > 0 THEN CASE WHEN image_id % 10 = 0 THEN 'review_required' WHEN ca > 0 THEN 'accepted_with_caution' ELSE 'accepted' END WHEN re >= 4 THEN 'review_required' WHEN re > 0 THEN 'unchanged_due_to_risk' WHEN de > 0 THEN 'review_required' ELSE 'no_treatment' END AS final FROM g)"""
 query("d13_final_decision", f"WITH {FINAL} SELECT image_id, final FROM fd")(lambda spark, d: finals(spark, d).select("image_id", "final"))
 query("a25_decision_counts", f"WITH {FINAL} SELECT final, count(*) AS n FROM fd GROUP BY final")(lambda spark, d: finals(spark, d).groupBy("final").agg(F.count("*").alias("n")))
-query("e2_audit", f"WITH {LOOP} SELECT image_id, count(*) FILTER (starts_with(step_status, 'accepted')) AS accepted, count(*) FILTER (starts_with(step_status, 'rejected')) AS rejected FROM l GROUP BY image_id HAVING count(*) FILTER (starts_with(step_status, 'accepted')) > 1 OR count(*) FILTER (starts_with(step_status, 'rejected')) > 3")(
-    lambda spark, d: D.enhancement_loop(candidates(spark, d)).groupBy("image_id").agg(F.count_if(F.col("step_status").startswith("accepted")).alias("accepted"), F.count_if(F.col("step_status").startswith("rejected")).alias("rejected")).where("accepted > 1 OR rejected > 3")
-)
+AUDIT = """l2 AS (SELECT *, starts_with(step_status, 'accepted') AS ac, starts_with(step_status, 'rejected') AS re, max(CASE WHEN starts_with(step_status, 'accepted') THEN priority END) OVER (PARTITION BY image_id) AS last_at FROM l), v AS (
+SELECT image_id, 'more_than_one_accepted' AS violation FROM l2 GROUP BY image_id HAVING count(*) FILTER (ac) > 1 UNION ALL SELECT image_id, 'more_than_four_attempts' FROM l2 GROUP BY image_id HAVING count(*) FILTER (ac OR re) > 4
+UNION ALL SELECT image_id, 'operation_repeated' FROM l2 WHERE ac OR re GROUP BY image_id HAVING count(*) > count(DISTINCT operation_id) UNION ALL SELECT image_id, 'attempt_after_acceptance' FROM l2 GROUP BY image_id HAVING count(*) FILTER (re AND priority > last_at) > 0)"""
+query("e2_audit", f"WITH {LOOP}, {AUDIT}, n AS (SELECT violation, count(*) AS n FROM v GROUP BY violation), k(violation) AS (VALUES ('more_than_one_accepted'), ('more_than_four_attempts'), ('operation_repeated'), ('attempt_after_acceptance')) SELECT violation, coalesce(n, 0) AS images, (SELECT count(DISTINCT image_id) FROM l) AS audited FROM k LEFT JOIN n USING (violation)")(lambda spark, d: D.audit(D.enhancement_loop(candidates(spark, d))))
 query("u3_deferred", f"WITH c AS ({CAND}) SELECT DISTINCT image_id, operation_id FROM c EXCEPT SELECT image_id, operation_id FROM c WHERE eligible")(lambda spark, d: candidates(spark, d).select("image_id", "operation_id").distinct().join(candidates(spark, d).where("eligible"), ["image_id", "operation_id"], "left_anti"))
 query("u2_code_overlap", f"WITH c AS ({CAND}) SELECT image_id, CAST(bool_or(operation_id IN ('clahe', 'sharpen')) AS BOOLEAN) AS hit FROM c GROUP BY image_id")(lambda spark, d: candidates(spark, d).groupBy("image_id").agg(F.arrays_overlap(F.collect_set("operation_id"), F.array(F.lit("clahe"), F.lit("sharpen"))).alias("hit")))
 query("u1_union_candidates", f"WITH c AS ({CAND}) SELECT image_id, count(*) AS n FROM (SELECT image_id FROM c WHERE eligible UNION ALL SELECT image_id FROM c WHERE passed) GROUP BY image_id")(lambda spark, d: candidates(spark, d).where("eligible").select("image_id").unionByName(candidates(spark, d).where("passed").select("image_id")).groupBy("image_id").agg(F.count("*").alias("n")))
 
 # registry
-REQ = "SELECT o_orderkey AS request_id, CASE o_orderkey % 6 WHEN 0 THEN 'clahe' WHEN 1 THEN 'gamma_correct' WHEN 2 THEN 'median_denoise' WHEN 3 THEN 'adaptive_threshold' WHEN 4 THEN 'no_such_operation' ELSE 'sharpen' END AS operation_id, CAST(o_custkey % 12 AS DOUBLE) - 1 AS value FROM orders"
+#: Requests with every parameter of the catalogue, unknown operations and parameters, and values on both sides of every limit.
+NAMED = ", ".join(f"({i}, '{op}', '{name}')" for i, (op, name, *_) in enumerate([*O.PARAMETERS, ("no_such_operation", "angle"), ("clahe", "no_such_parameter"), ("otsu_threshold", "threshold")]))
+COUNT = len(O.PARAMETERS) + 3
+REQ = f"SELECT o_orderkey AS request_id, r.operation_id, r.parameter, CASE o_custkey % 4 WHEN 0 THEN o_custkey % 300 - 120 WHEN 1 THEN o_custkey % 21 ELSE (o_custkey % 50) / 10.0D - 1 END AS value FROM orders JOIN (VALUES {NAMED}) r(k, operation_id, parameter) ON o_orderkey % {COUNT} = r.k"
+REQ_SQL = REQ.replace("10.0D", "10.0::DOUBLE")
+#: The limits, written out.
+LIMITS = """CASE operation_id || '.' || parameter WHEN 'clahe.clip_limit' THEN value > 0 WHEN 'clahe.tile_grid_size' THEN value >= 2 WHEN 'median_denoise.kernel_size' THEN value >= 3 AND value % 2 = 1 WHEN 'sharpen.amount' THEN value BETWEEN 0 AND 2 WHEN 'sharpen.sigma' THEN value > 0 AND value <= 5 WHEN 'global_threshold.threshold' THEN value BETWEEN 0 AND 255
+WHEN 'adaptive_threshold.block_size' THEN value >= 3 AND value % 2 = 1 WHEN 'adaptive_threshold.c' THEN true WHEN 'morphological_opening.kernel_size' THEN value >= 3 AND value % 2 = 1 WHEN 'morphological_closing.kernel_size' THEN value >= 3 AND value % 2 = 1 WHEN 'bilateral_denoise.diameter' THEN value > 0 WHEN 'bilateral_denoise.sigma_color' THEN value > 0 WHEN 'bilateral_denoise.sigma_space' THEN value > 0
+WHEN 'non_local_means_denoise.strength' THEN value > 0 WHEN 'non_local_means_denoise.template_window_size' THEN value >= 3 AND value % 2 = 1 WHEN 'non_local_means_denoise.search_window_size' THEN value >= 3 AND value % 2 = 1 WHEN 'illumination_normalize.kernel_size' THEN value >= 15 AND value % 2 = 1 WHEN 'illumination_normalize.strength' THEN value > 0 AND value <= 1 WHEN 'gamma_correct.gamma' THEN value > 0
+WHEN 'intensity_adjust.alpha' THEN value > 0 WHEN 'intensity_adjust.beta' THEN value BETWEEN -100 AND 100 WHEN 'faded_text_enhance.clip_limit' THEN value > 0 WHEN 'faded_text_enhance.gamma' THEN value > 0 WHEN 'background_suppress.kernel_size' THEN value >= 15 AND value % 2 = 1 WHEN 'background_suppress.strength' THEN value > 0 AND value <= 1 WHEN 'weak_structure_suppress.kernel_size' THEN value >= 15 AND value % 2 = 1
+WHEN 'weak_structure_suppress.threshold' THEN value > 0 WHEN 'weak_structure_suppress.strength' THEN value > 0 AND value <= 1 WHEN 'morphological_top_hat.kernel_size' THEN value >= 3 AND value % 2 = 1 WHEN 'morphological_black_hat.kernel_size' THEN value >= 3 AND value % 2 = 1 WHEN 'deskew.angle' THEN value BETWEEN -45 AND 45 ELSE false END"""
+SIDE = "CASE WHEN operation_id IN ('clahe', 'gamma_correct', 'illumination_normalize', 'median_denoise', 'sharpen') THEN 'automatic' WHEN operation_id = 'intensity_adjust' THEN 'free' ELSE 'manual' END"
 
 
 def requests(spark, d):
     read(spark, d, "orders").createOrReplaceTempView("platen_orders")
-    return spark.sql(REQ.replace("FROM orders", "FROM platen_orders"))
+    return spark.sql(REQ.replace("FROM orders", "FROM platen_orders")).withColumn("value", F.col("value").cast("double"))
 
 
-query("j6_resolve_operations", f"WITH r AS ({REQ}) SELECT request_id, CASE WHEN operation_id = 'no_such_operation' THEN 'UNKNOWN_OPERATION' ELSE 'OK' END AS status FROM r")(lambda spark, d: O.resolve_operations(requests(spark, d)).select("request_id", "status"))
-query("f2_validate_parameters", f"WITH r AS ({REQ}) SELECT request_id, CASE operation_id WHEN 'clahe' THEN value > 0 WHEN 'gamma_correct' THEN value > 0 WHEN 'median_denoise' THEN value >= 3 AND value % 2 = 1 WHEN 'adaptive_threshold' THEN value >= 3 AND value % 2 = 1 WHEN 'sharpen' THEN value BETWEEN 0 AND 2 ELSE false END AS valid FROM r")(lambda spark, d: O.validate_parameters(requests(spark, d)).select("request_id", "valid"))
-query("r1_d18_operations", "SELECT op.operation_id, count(*) AS n FROM (VALUES ('clahe'), ('gamma_correct'), ('median_denoise'), ('adaptive_threshold'), ('sharpen')) op(operation_id) JOIN (" + REQ + ") r USING (operation_id) GROUP BY 1")(lambda spark, d: O.operations(spark).join(requests(spark, d), "operation_id").groupBy("operation_id").agg(F.count("*").alias("n")))
+query("j6_resolve_operations", f"WITH r AS ({REQ_SQL}) SELECT request_id, CASE WHEN operation_id = 'no_such_operation' THEN 'UNKNOWN_OPERATION' ELSE 'OK' END AS status FROM r")(lambda spark, d: O.resolve_operations(requests(spark, d)).select("request_id", "status"))
+query("f2_validate_parameters", f"WITH r AS ({REQ_SQL}) SELECT request_id, {LIMITS} AS valid FROM r")(lambda spark, d: O.validate_parameters(requests(spark, d)).select("request_id", "valid"))
+query("r1_d18_operations", f"WITH r AS ({REQ_SQL}) SELECT operation_id, {SIDE} AS side, 1 AS most_accepted, 4 AS most_attempts, count(*) AS n FROM r WHERE operation_id <> 'no_such_operation' GROUP BY ALL")(lambda spark, d: O.policy(spark).join(requests(spark, d), "operation_id").groupBy("operation_id", "side", "most_accepted", "most_attempts").agg(F.count("*").alias("n")))
+query("r3_parameter_steps", f"WITH r AS ({REQ_SQL}), c(operation_id, parameter, base, step) AS (VALUES {', '.join(f"('{op}', '{name}', {float(base)}::DOUBLE, {float(step)}::DOUBLE)" for op, name, base, _, _, step, _ in O.PARAMETERS)}) SELECT request_id, base + step * floor(value / 3) AS stepped FROM r JOIN c USING (operation_id, parameter)")(
+    lambda spark, d: requests(spark, d).join(O.parameter_catalog(spark), ["operation_id", "parameter"]).select("request_id", (F.col("default") + F.col("step") * F.floor(F.col("value") / 3)).alias("stepped"))
+)
 query("j10_parameter_sweep", f"WITH {S.VECTOR}, g AS (SELECT * FROM (VALUES (0.65::DOUBLE), (0.85::DOUBLE), (1.15::DOUBLE), (1.35::DOUBLE)) t(gamma)), s AS (SELECT image_id, gamma, {Q.trunc8('round(pow(v / 255.0::DOUBLE, gamma) * 255, 9)')} AS v FROM px, g) SELECT image_id, gamma, round(avg(v), 3) AS brightness, round(stddev_pop(v), 3) AS contrast FROM s GROUP BY ALL")(
     lambda spark, d: O.sweep_gamma(V(spark, d), (0.65, 0.85, 1.15, 1.35)).groupBy("image_id", "gamma").agg(F.round(F.avg("v"), 3).alias("brightness"), F.round(F.stddev_pop("v"), 3).alias("contrast"))
 )
+_T = {"gamma_085": f"SELECT image_id * 8 AS image_id, y, x, {Q.trunc8('round(pow(v / 255.0::DOUBLE, 0.85::DOUBLE) * 255, 9)')} AS v FROM px", "gamma_070": f"SELECT image_id * 8 + 1, y, x, {Q.trunc8('round(pow(v / 255.0::DOUBLE, 0.7::DOUBLE) * 255, 9)')} FROM px", "intensity_weak": f"SELECT image_id * 8 + 2, y, x, {Q.clip8('abs(round(v * 1.05::DOUBLE + 5, 9))')} FROM px"}
+_NINE = "(n0, n1, n2, n3, n4, n5, n6, n7, n8)"
+E3_SQL = f"""WITH {S.VECTOR}, {S.around('px', 'oa', 'ignore')}, om AS (SELECT image_id, y, x, least{_NINE} AS v FROM oa), {S.around('om', 'ob', 'ignore')}, {S.around('px', 'ca', 'ignore')}, cm AS (SELECT image_id, y, x, greatest{_NINE} AS v FROM ca), {S.around('cm', 'cb', 'ignore')},
+tr AS ({_T['gamma_085']} UNION ALL {_T['gamma_070']} UNION ALL {_T['intensity_weak']} UNION ALL SELECT image_id * 8 + 3, y, x, greatest{_NINE} FROM ob UNION ALL SELECT image_id * 8 + 4, y, x, least{_NINE} FROM cb)
+SELECT p.image_id, ['gamma_085', 'gamma_070', 'intensity_weak', 'opening_k3', 'closing_k3'][t.image_id % 8 + 1] AS candidate, count(*) AS pixels, count(*) FILTER (abs(p.v - t.v) > 3) AS changed, CAST(sum(abs(p.v - t.v)) AS BIGINT) AS change FROM tr t JOIN px p ON p.image_id = t.image_id // 8 AND p.y = t.y AND p.x = t.x GROUP BY ALL"""
+query("e3_candidate_changes", E3_SQL)(lambda spark, d: O.compare_candidates(V(spark, d), ("exposure", "structure"), verify=False).where(F.col("candidate").isin(*_T, "opening_k3", "closing_k3")).select("image_id", "candidate", "pixels", "changed", "change"))
+query("e3_compare_candidates")(lambda spark, d: Q.rounded(O.compare_candidates(V(spark, d), ("structure",)), brightness=3, contrast=3, sharpness=3, noise=3, illumination_variation=4))
 query("e1_operation_evaluation")(lambda spark, d: O.evaluate_operations(V(spark, d)))
 query("d14_smart_pipeline")(lambda spark, d: O.smart_pipeline(R.conditioned(V(spark, d))))

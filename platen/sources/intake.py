@@ -62,7 +62,12 @@ def lineage_closure(results: DataFrame) -> DataFrame:
     from platen.sources.store import cut
 
     now = cut(results.select("result_id", F.col("parent_result_id").alias("up"), F.when(F.col("parent_result_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent_result_id", "result_id").alias("root")))
-    while not now.where("up IS NOT NULL").isEmpty():
+    # a chain has fewer links than there are results, so it is at its end after so many doublings
+    for left in range(now.count().bit_length() + 1, -1, -1):
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+        if not left:
+            raise ValueError(f"results descend from themselves: {sorted(str(r['result_id']) for r in now.where('up IS NOT NULL').limit(5).collect())}")
         far = now.select(F.col("result_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
         now = cut(now.join(far, "up", "left").select("result_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")))
     return now.select("result_id", "root", "depth")
@@ -91,8 +96,20 @@ def write_results(px: DataFrame, path: str) -> None:
     px.write.mode("append").partitionBy("result_id").parquet(path)
 
 
-def write_manifest(results: DataFrame, path: str) -> None:
-    results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("append").text(path)
+def write_manifest(results: DataFrame, path: str, rasters: str | None = None) -> None:
+    """Adds one JSON line for each result (result_id, source_image_id, parent_result_id, ...; null where it has no parent).
+
+    If that fails, the rasters that write_results has put under `rasters` for these results are removed again.
+    """
+    try:
+        results.select(F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+    except Exception:
+        if rasters:
+            spark = results.sparkSession
+            for r in results.select("result_id").distinct().toLocalIterator():
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{rasters}/result_id={r['result_id']}")
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        raise
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -44,6 +44,17 @@ def conditioned(px: DataFrame) -> DataFrame:
     return px.withColumn("v", F.expr(f"cast(case pmod(image_id, 8) {cases} else v end as int)"))
 
 
+def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The conditioned text rasters as scanlines: image_id, y, v (array); no pixel becomes a row."""
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull() & (text != "")).select(F.col(id_col).cast("long").alias("image_id"), F.concat(text, F.expr(f"repeat(' ', pmod(-length({text_col}), {width}))")).alias("t"))
+    codes = rows.repartition("image_id").select("image_id", F.transform(F.split("t", ""), lambda c: F.ascii(c) % 256).alias("c"))
+    lines = codes.select("image_id", "c", F.explode(F.sequence(F.lit(0), F.expr(f"cast(size(c) div {width} as int) - 1"))).alias("y"))
+    v = F.slice("c", F.col("y") * width + 1, width)
+    cases = " ".join(f"when {k} then transform(v, (v, x) -> cast({e} as int))" for k, e in CONDITIONS.items())
+    return lines.select("image_id", "y", v.alias("v")).withColumn("v", F.expr(f"case pmod(image_id, 8) {cases} else v end"))
+
+
 def vector_raster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", width: int = 8) -> DataFrame:
     """Whole vectors; constant ones are 0 everywhere. Null vectors have no raster."""
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("image_id"), F.transform(vector_col, lambda e: e.cast("double")).alias("e"))
@@ -63,6 +74,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditioned(text_raster(read(spark, sf_dir, "documents")))
 
 
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`corpus` as scanlines."""
+    return text_lines(read(spark, sf_dir, "documents"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector rasters of all embeddings."""
     return vector_raster(read(spark, sf_dir, "embeddings"))

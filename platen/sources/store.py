@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint. A folder is set only where the session has none (tests)."""
+    """The same rows from a checkpoint. A folder is set only where the session has none and runs on one machine (tests)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="platen-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="platen-"))
     return df.checkpoint()

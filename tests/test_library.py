@@ -63,7 +63,7 @@ def test_noise_and_median(spark):
 
 def test_treatments_keep_shape_and_range(spark):
     px = raster(spark, BOX)
-    for name, more in (("gamma_correct", {"gamma": 0.65}), ("histogram_equalization", {}), ("otsu_threshold", {}), ("sharpen", {}), ("morphological_opening", {}), ("top_hat", {}), ("clahe", {"clip_limit": 2.0})):
+    for name, more in (("gamma_correct", {"gamma": 0.65}), ("histogram_equalization", {}), ("otsu_threshold", {}), ("sharpen", {}), ("morphological_opening", {}), ("morphological_top_hat", {}), ("clahe", {"clip_limit": 2.0})):
         out = grid(registry.apply_operation(px, name, **more))
         assert len(out) == 12 and all(len(r) == 16 and all(0 <= v <= 255 for v in r) for r in out), name
     with pytest.raises(KeyError):
@@ -112,7 +112,78 @@ def test_text_raster_takes_whole_texts(spark):
     assert px.count() == 96 and px.where("v = 233").count() == 70
 
 
-QUICK = ["s2_text_raster", "p3_gamma_dark", "h2_otsu_threshold", "a1_a2_a3_a8_tone", "c1_components", "s4_ingest_gate", "s9_manifest_read", "j7_check_lineage", "j8_lineage_closure", "p14_quad_geometry", "d9_j9_benefit", "d11_w5_enhancement_loop", "d13_final_decision", "a24_skew_stats"]
+def test_luminance_keeps_colour(spark):
+    """Gray bands go through LAB and back unharmed, full colours but for the rounding of its 8-bit bands, and only the lightness is treated."""
+    rows = [(1, 0, x, v, v, v, x) for x, v in enumerate((0, 30, 127, 128, 200, 255))] + [(1, 1, x, *c, 7) for x, c in enumerate(((255, 0, 0), (0, 255, 0), (0, 0, 255), (10, 200, 90), (250, 250, 5), (60, 70, 80)))]
+    bands = spark.createDataFrame(rows, "image_id long, y int, x int, b int, g int, r int, a int")
+    same = {(r["y"], r["x"]): r for r in histogram.on_luminance(bands, lambda px: px).collect()}
+    for _, y, x, b, g, r, a in rows:
+        got = same[y, x]
+        assert max(abs(got["b"] - b), abs(got["g"] - g), abs(got["r"] - r)) <= (1 if y == 0 else 8) and got["a"] == a
+    dark = {(r["y"], r["x"]): r for r in histogram.on_luminance(bands, lambda px: histogram.gamma_correct(px, 2.0)).collect()}
+    assert all(sum(dark[k][c] for c in "bgr") <= sum(same[k][c] for c in "bgr") + 3 for k in same)
+
+
+def test_rotation_modes(spark):
+    px = raster(spark, BOX).union(raster(spark, BOX, 2))
+    angles = spark.createDataFrame([(1, 90.0), (2, 0.0)], "image_id long, turn double")
+    out = geometry.rotate(px, "turn", angles=angles)
+    assert grid(out.where("image_id = 2")) == BOX and len(grid(out.where("image_id = 1"))) == 16
+    assert grid(geometry.rotate(raster(spark, BOX), 0.0, cubic=True)) == BOX
+    assert geometry.rectify(px, spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 9.0, "y": 0.0}, {"x": 9.0, "y": 9.0}, {"x": 0.0, "y": 9.0}])], "image_id long, corners array<struct<x: double, y: double>>")).count() == 0
+
+
+def test_bounded_thumbnail(spark):
+    px = raster(spark, BOX)
+    assert grid(geometry.thumbnail(px)) == BOX
+    small = grid(geometry.thumbnail(px, 8, 8))
+    assert (len(small), len(small[0])) == (6, 8)
+
+
+def test_lines_and_their_quads(spark):
+    s = "image_id long, family string, offset double, id long, diagonal double"
+    lines = spark.createDataFrame([(1, "p", o, i, 100.0) for i, o in enumerate((0.0, 1.0, 9.0, 10.6, 30.0))], s)
+    assert [r["id"] for r in geometry.unique_lines(lines).orderBy("offset").collect()] == [0, 2, 3, 4]
+    l = "image_id long, id long, family string, side string, length double, l struct<nx: double, ny: double, d: double>"
+    sides = [(1, 0, "primary", "low", 10.0, (0.0, 1.0, 0.0)), (1, 1, "primary", "high", 20.0, (0.0, 1.0, 6.0)), (1, 2, "secondary", "low", 30.0, (1.0, 0.0, 0.0)), (1, 3, "secondary", "high", 40.0, (1.0, 0.0, 8.0))]
+    q = geometry.quad_candidates(spark.createDataFrame(sides, l)).collect()
+    assert len(q) == 1 and [(p["x"], p["y"]) for p in q[0]["corners"]] == [(0, 0), (8, 0), (8, 6), (0, 6)] and q[0]["support"] == 25
+
+
+def test_policy_and_parameters(spark):
+    side = {r["operation_id"]: r["side"] for r in registry.policy(spark).collect()}
+    assert sorted(k for k, v in side.items() if v == "automatic") == ["clahe", "gamma_correct", "illumination_normalize", "median_denoise", "sharpen"]
+    assert {"faded_text_enhance", "morphological_top_hat", "morphological_black_hat"} < set(side) and sum(v == "manual" for v in side.values()) == 14
+    rows = [(1, "clahe", "clip_limit", 0.0), (2, "clahe", "clip_limit", 0.1), (3, "median_denoise", "kernel_size", 4.0), (4, "otsu_threshold", None, None), (5, "nothing", None, None)]
+    got = registry.validate_parameters(spark.createDataFrame(rows, "request_id int, operation_id string, parameter string, value double")).orderBy("request_id").collect()
+    assert [r["valid"] for r in got] == [False, True, False, True, False]
+
+
+def test_binarization_is_left_to_review(spark):
+    px = raster(spark, BOX)
+    recs = spark.createDataFrame([(1, "adaptive_threshold", 35.0, "binarization", "medium-high"), (1, "clahe", 1.5, "enhancement", "medium")], "image_id long, operation_id string, parameter double, mode string, risk string")
+    rasters, records = registry.binarization_candidates(px, recs)
+    r = records.collect()
+    assert len(r) == 1 and r[0]["decision"] == "review_required" and r[0]["status"] and {v for row in grid(rasters) for v in row} <= {0, 255}
+
+
+def test_lineage_that_runs_in_a_circle(spark):
+    from platen.sources.intake import lineage_closure
+
+    s = "result_id string, parent_result_id string"
+    good = lineage_closure(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], s)).orderBy("depth").collect()
+    assert [(r["result_id"], r["root"], r["depth"]) for r in good] == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2)]
+    with pytest.raises(ValueError, match="from themselves"):
+        lineage_closure(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], s))
+
+
+def test_audit_finds_violations(spark):
+    rows = [(1, 0, "a", "accepted"), (1, 1, "b", "accepted"), (2, 0, "a", "accepted"), (2, 1, "b", "rejected_no_benefit"), (3, 0, "a", "rejected_no_benefit"), (3, 1, "a", "rejected_no_benefit"), (4, 0, "a", "deferred")]
+    got = {r["violation"]: r["images"] for r in rules.audit(spark.createDataFrame(rows, "image_id long, priority int, operation_id string, step_status string")).collect()}
+    assert got == {"more_than_one_accepted": 1, "more_than_four_attempts": 0, "operation_repeated": 1, "attempt_after_acceptance": 1}
+
+
+QUICK = ["s2_text_raster", "p3_gamma_dark", "h2_otsu_threshold", "a1_a2_a3_a8_tone", "c1_components", "s4_ingest_gate", "s9_manifest_read", "j7_check_lineage", "j8_lineage_closure", "p14_quad_geometry", "d9_j9_benefit", "d11_w5_enhancement_loop", "d13_final_decision", "a24_skew_stats", "f2_validate_parameters", "r1_d18_operations", "g6_hough_segments", "j11_quad_candidates", "p2_on_luminance", "a5_noise"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -50,8 +50,8 @@ def test_each_image_ends_in_one_row(spark):
         seen.append({r["image_id"] for r in px.select("image_id").distinct().collect()})
         return px.select("image_id").distinct().selectExpr("image_id", "'treated' as final")
 
-    got = prepare.document_pipeline(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), treat, 50).collect()
-    # the page is under 40 pixels high, so its check rejects it; the flat image has no boundary
+    got = prepare.document_pipeline(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), treat, 50, least_side=2).collect()
+    # the page is under 40 pixels high, so its check rejects it (and by default it is not rectified at all); the flat image has no boundary
     assert {r["image_id"]: r["final"] for r in got} == {1: "review_required", 2: "stopped"} and len(got) == 2 and seen == [set()]
 
 
@@ -60,4 +60,4 @@ def test_all_operation_cases_are_evaluated(spark):
 
     px = spark.createDataFrame([(1, y, x, (y * 37 + x * 91) % 256) for y in range(8) for x in range(8)], "image_id long, y int, x int, v int")
     got = [(r["operation_id"], r["label"]) for r in evaluate_operations(px).select("operation_id", "label").collect()]
-    assert len(got) == len(set(got)) == 20 and {"block_size_51__c_15", "k_5", "amount_0.75", "threshold_160", "clip_limit_2.5"} <= {g[1] for g in got}
+    assert len(got) == len(set(got)) == 20 and {"block_size_51__c_15", "kernel_size_5", "amount_0.75", "threshold_160", "clip_limit_2.5"} <= {g[1] for g in got}
