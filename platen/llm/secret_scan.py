@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import cut
@@ -42,34 +42,33 @@ KINDS = (
 )
 
 
-def spans(text: Column, kind: Kind, order: int) -> Column:
-    """Array of (start, order, end, value digest) of a kind's matches, leftmost and not overlapping, in code points."""
+def matches(text: Column, kind: Kind, order: int) -> Column:
+    """Array of (kind, i, gap, n, digest) of a kind's matches, leftmost and not overlapping: code points since the match before, and of
+    the match itself; digest of its value, null if it fails."""
     found, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
-    sized = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("m")))
+    sized = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     value = lambda m: F.regexp_extract(m, kind.pattern, kind.group) if kind.group else m
     good = lambda m: reduce(and_, [value(m).rlike(p) for p in kind.has], F.length(value(m)) >= kind.least)
     digest = lambda m: F.when(good(m), F.sha2(value(m), 256))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,digest:string>>").alias("done"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["n"]).alias("at"),
-        F.concat(acc["done"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), digest(x["m"]).alias("digest")))).alias("done"),
-    )
-    return F.filter(F.aggregate(sized, start, step)["done"], lambda s: s["digest"].isNotNull())
+    return F.transform(sized, lambda x, i: F.struct(F.lit(order).alias("kind"), i.alias("i"), x["gap"].alias("gap"), F.length(x["m"]).alias("n"), digest(x["m"]).alias("digest")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """One row for each document: id, owner, repo, found (all candidate spans, by start, then kind). Checkpointed with a row number."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): row and id of each document; row, owner, repo, start, kind, end, digest of each candidate span. Texts are read once, and places are running sums over rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = lambda cols: F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
-    each = [spans(F.col("text"), kind, i) for i, kind in enumerate(KINDS)]
+    each = [matches(F.col("text"), kind, i) for i, kind in enumerate(KINDS)]
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), name(owner_cols).alias("owner"), name(repo_cols).alias("repo"))
-    return cut(rows.select("id", "owner", "repo", F.sort_array(F.concat(*each)).alias("found"))).withColumn("row", F.monotonically_increasing_id())
+    found = cut(rows.select("id", "owner", "repo", F.concat(*each).alias("found"))).withColumn("row", F.monotonically_increasing_id())
+    parts = found.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("m")).select("row", "owner", "repo", "m.*")
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = parts.withColumn("end", end).where("digest IS NOT NULL").select("row", "owner", "repo", (F.col("end") - F.col("n")).alias("start"), "kind", "end", "digest")
+    return found.select("row", "id"), cut(spans)
 
 
-def ownership(scanned: DataFrame) -> DataFrame:
+def ownership(spans: DataFrame) -> DataFrame:
     """digest, n_repos, n_owners, n_seen over the corpus; counts are taken before the shuffle first, so a value that every row shows is cheap."""
-    each = scanned.select("owner", "repo", F.explode("found").alias("s")).select("owner", "repo", "s.digest")
-    by_repo = each.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n_seen"))
+    by_repo = spans.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n_seen"))
     by_owner = by_repo.groupBy("digest", "owner").agg(F.count("*").alias("n_repos"), F.sum("n_seen").alias("n_seen"))
     return by_owner.groupBy("digest").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n_seen").alias("n_seen"))
 
@@ -82,18 +81,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty; a null owner or repository is a name of its own; repeated rows are each returned; an empty table gives no
     rows. Other columns are ignored.
     """
-    scanned = scan(docs, id_col, text_col, owner_cols, repo_cols)
-    verdict = ownership(scanned).select("digest", ((F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)).alias("live"))
-    each = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).withColumn("digest", F.col("s.digest"))
+    rows, spans = scan(docs, id_col, text_col, owner_cols, repo_cols)
+    verdict = ownership(spans).select("digest", ((F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)).alias("live"))
     names = F.array(*[F.lit(k.name) for k in KINDS])
-    judged = each.join(verdict, "digest").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live"))).alias("all"))
+    judged = spans.join(verdict, "digest").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("all"))
     n_base = sum(k.base for k in KINDS)
     base = F.filter("all", lambda s: s["kind"] < n_base)
     clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     kept = F.filter("all", lambda s: (s["kind"] < n_base) | (s["live"] & clear(s)))
     shown = F.transform(kept, lambda s: F.struct(s["start"], s["end"], F.element_at(names, s["kind"] + 1).alias("kind"), s["live"]))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,live:boolean>>")
-    return scanned.select("row", "id").join(judged.select("row", shown.alias("found")), "row", "left").select(F.col("id").alias(id_col), F.coalesce("found", none).alias("found"))
+    return rows.join(judged.select("row", shown.alias("found")), "row", "left").select(F.col("id").alias(id_col), F.coalesce("found", none).alias("found"))
 
 
 def op2_secret_ownership(spark, sf_dir: str) -> DataFrame:
