@@ -3,7 +3,11 @@
 Conversations that begin with the same turns share those turns' nodes. Nodes are emitted once, depth-first, as one
 token sequence (tokens are code points unless a tokenizer file is given); each carries its place in the sequence, the
 position ids of its tokens (which go on from its parent's) and the intervals of its ancestors, which are what its
-tokens may attend to beside the node itself.
+tokens may attend to beside the node itself. Intervals that touch are one, so a path that doesn't branch has one interval.
+
+Conversations are sorted by their paths, a digest for each turn. That is depth-first order: of every conversation, the turns
+beyond what it shares with the one before are new. So work and memory follow the number of turns, however long a
+conversation is and however many share its first turn.
 
 The template is `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. In roles and texts a backslash is doubled and `<|` becomes `<\\|`,
 in roles a line end becomes `\\n`, so no text holds a control string and unescaping gives every text back.
@@ -11,27 +15,29 @@ in roles a line end becomes `\\n`, so no text holds a control string and unescap
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, table, to_python
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+def escape(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
-def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+def marked(role: str, text: str) -> str:
+    """A turn in the template."""
+    return f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}"
 
 
-def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+def unescape(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
 def unescape_role(role: Column) -> Column:
@@ -40,91 +46,148 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|"))), "\\")
 
 
-def tree_paths(turns: DataFrame) -> DataFrame:
-    """conv_id and path: one struct (node, parent, depth, role, text) for each turn, in order; `node` names the turns so far."""
+DIGEST = 16
+PATH = "conv_id long, key binary, sizes array<long>, roles array<string>, texts array<string>"
+MADE = "conv_id long, starts array<long>, start long, n_tokens long, position long, depth int, parent long, ancestors array<struct<start: long, end: long>>, loss boolean, formatted string"
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+KINDS = [pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 3, pa.int32(), pa.int64(), _SPAN, pa.bool_(), pa.string()]
+NAMES = ["conv_id", "starts", "start", "n_tokens", "position", "depth", "parent", "ancestors", "loss", "formatted"]
+
+
+def paths_of(turns: DataFrame, tokenizer: str | None) -> DataFrame:
+    """One row for each conversation: its turns in order, key (a digest of every prefix, one after the other) and each turn's tokens."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     kept = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", text(F.col("role")).alias("role"), text(F.col("text")).alias("text")).alias("t"))
-    grouped = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    name = lambda parent, t: F.sha2(F.concat_ws("\n", parent, F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256)
-    names = F.aggregate("ts", F.array(F.lit("")), lambda done, t: F.concat(done, F.array(name(F.element_at(done, -1), t))))
-    step = lambda t, i: F.struct(F.element_at("names", i + 2).alias("node"), F.element_at("names", i + 1).alias("parent"), i.alias("depth"), t["role"].alias("role"), t["text"].alias("text"))
-    return grouped.withColumn("names", names).select("conv_id", F.transform("ts", step).alias("path"), F.slice("names", 2, F.size("ts")).alias("names"))
+    grouped = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("conv_id", F.transform("ts", lambda t: t["role"]).alias("roles"), F.transform("ts", lambda t: t["text"]).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            keys, shown = [], []
+            for own_roles, own_texts in zip(roles, texts, strict=True):
+                at, key = b"", []
+                for r, x in zip(own_roles, own_texts, strict=True):
+                    r, x = r.encode("utf-8", "surrogatepass"), x.encode("utf-8", "surrogatepass")
+                    at = hashlib.blake2b(at + len(r).to_bytes(8) + r + x, digest_size=DIGEST).digest()
+                    key.append(at)
+                keys.append(b"".join(key))
+                shown.append([marked(r, x) for r, x in zip(own_roles, own_texts, strict=True)])
+            sizes = _sizes(shown, tokenizer)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["conv_id", "key", "sizes", "roles", "texts"])
+
+    return to_python(grouped).mapInArrow(run, PATH)
+
+
+def _sizes(shown: list[list[str]], tokenizer: str | None) -> list[list[int]]:
+    if tokenizer is None:
+        return [[len(x) for x in own] for own in shown]
+    from .tokens import encoded, encoder
+
+    flat: list[int] = []
+    for _, _, bounds in encoded(pa.array([x for own in shown for x in own], pa.string()), encoder(tokenizer)):
+        flat += (bounds[1:] - bounds[:-1]).tolist()
+    left = iter(flat)
+    return [[next(left) for _ in own] for own in shown]
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """How many digests two keys have in common at their beginning."""
+    n, lo = min(len(a), len(b)) // DIGEST, 0
+    while lo < n:  # a prefix's digest stands for all of the prefix
+        mid = (lo + n + 1) // 2
+        if a[(mid - 1) * DIGEST : mid * DIGEST] == b[(mid - 1) * DIGEST : mid * DIGEST]:
+            lo = mid
+        else:
+            n = mid - 1
+    return lo
 
 
 def prefix_tree(turns: DataFrame, partitions: int | None = None, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of conversations given as rows (conv_id, turn, role, text).
 
     nodes: start (of its tokens in the one depth-first sequence), n_tokens, position (id of its first token; the others
-    follow), depth, ancestors (array of start, end: intervals of the sequence, root first), formatted (the marked
-    turn), loss (an assistant's turn: its text counts), tokens (ids, if `tokenizer` names a file; else the code points of
-    `formatted` are the tokens). leaves: conv_id, start of the conversation's last node.
+    follow), depth, parent (its start; null at the root), ancestors (array of start, end: what its tokens may attend to before the
+    node, in order, touching intervals joined), formatted (the marked turn), loss (an assistant's turn: its text counts), tokens (ids,
+    if `tokenizer` names a file; else the code points of `formatted` are the tokens). leaves: conv_id, starts of the nodes of its turns.
 
     Null roles and texts are empty; a null conv_id is a conversation like any other; turns in one conversation
     are in order of turn, role, text (null turns first), and repeated rows count as often as they stand there. An empty
     table gives empty frames. Other columns are ignored. Only the conversations' own turns are ever gathered in one row.
     """
-    spark = turns.sparkSession
-    paths = cut(tree_paths(turns))
-    # depth-first order is the order of root-to-node paths; 16 hex digits a turn tell siblings apart, the node name settles ties
-    keyed = paths.select(F.posexplode("path").alias("i", "p"), "names").select("p.*", F.array_join(F.transform(F.slice("names", 1, F.col("i") + 1), lambda n: F.substring(n, 1, 16)), "").alias("order"))
-    role = escape_role(F.first("role"))
-    unique = keyed.groupBy("node").agg(F.first("depth").alias("depth"), F.first("order").alias("order"), (F.first("role") == "assistant").alias("loss"), F.concat(F.lit(START), role, F.lit("\n"), escape(F.first("text")), F.lit(END)).alias("formatted"))
-    if tokenizer:
-        from .tokens import with_tokens
+    count = partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = table(paths_of(turns, tokenizer))
+    ordered = cut(paths.repartitionByRange(count, "key", "conv_id").sortWithinPartitions("key", "conv_id")).withColumn("part", F.spark_partition_id())
 
-        unique = with_tokens(unique, "formatted", tokenizer).withColumn("n_tokens", F.size("tokens").cast("long"))
-    else:
-        unique = unique.withColumn("n_tokens", F.length("formatted").cast("long"))
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(unique.repartitionByRange(count, "order", "node").sortWithinPartitions("order", "node")).withColumn("part", F.spark_partition_id())
-
-    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, base, top, stack = -1, 0, 0, []
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, sizes, starts, total = None, None, b"", None, [], 0
         for batch in batches:
-            for part, depth, n in zip(batch["part"].tolist(), batch["depth"].tolist(), batch["n_tokens"].tolist(), strict=True):  # noqa: B007
-                top = min(top, depth) if base else depth
-                while stack and stack[-1][0] >= depth:
-                    stack.pop()
-                stack.append((depth, base, base + n))
-                base += n
-        if base:
-            yield pd.DataFrame({"part": [part], "n": [base], "top": [top], "ends": [[list(x) for x in stack]]})
-
-    # what a partition hands on is bounded by its deepest path: how long it is, and the path that is open at its end
-    before, carry, path = {}, 0, []
-    found = ordered.select("part", "depth", "n_tokens").mapInPandas(tails, "part int, n long, top int, ends array<array<long>>").collect()
+            for p, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if first is None:
+                    part, first, sizes = p, key, own
+                same = _shared(key, last)
+                del starts[same:]
+                for n in own[same:]:
+                    starts.append(total)
+                    total += n
+                last = key
+                tail = own
+        if first is not None:
+            columns = [pa.array([part], pa.int32()), pa.array([first], pa.binary()), pa.array([sizes], pa.list_(pa.int64())), pa.array([last], pa.binary()), pa.array([starts], pa.list_(pa.int64())), pa.array([tail], pa.list_(pa.int64())), pa.array([total])]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "first_sizes", "last", "starts", "last_sizes", "total"])
+
+    # what a partition hands on is its last conversation's path, so the driver sees one path a partition
+    found = ordered.select("part", "key", "sizes").mapInArrow(ends, "part int, first binary, first_sizes array<long>, last binary, starts array<long>, last_sizes array<long>, total long").collect()
+    before: dict[int, tuple[int, bytes, list[int], list[int]]] = {}
+    carry, key, starts, sizes = 0, b"", [], []
     for r in sorted(found, key=lambda r: r["part"]):
-        before[r["part"]] = (carry, path)
-        path = path[: r["top"]] + [(carry + a, carry + b) for _, a, b in r["ends"]]
-        carry += r["n"]
+        before[r["part"]] = (carry, key, starts, sizes)
+        same = _shared(bytes(r["first"]), key)
+        shared = sum(r["first_sizes"][:same])
+        starts = [starts[d] if x < shared else carry + x - shared for d, x in enumerate(r["starts"])]
+        key, sizes, carry = bytes(r["last"]), r["last_sizes"], carry + r["total"] - shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, last, stack = None, b"", []  # of the open path: (start, end, position after it, intervals up to it)
+
+        def push(start: int, n: int) -> tuple[int, int, list[tuple[int, int]]]:
+            """(position, parent, ancestors) of a node that goes on the stack."""
+            place, spans, parent = (stack[-1][2], stack[-1][3], stack[-1][0]) if stack else (0, [], None)
+            own = [*spans[:-1], (spans[-1][0], start + n)] if spans and spans[-1][1] == start else [*spans, (start, start + n)]
+            stack.append((start, start + n, place + n, own))
+            return place, parent, spans
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, stack = None, []
         for batch in batches:
-            if base is None and len(batch):
-                base, stack = before[int(batch["part"].iloc[0])][0], list(before[int(batch["part"].iloc[0])][1])
-            starts, positions, above = [], [], []
-            for depth, n in zip(batch["depth"].tolist(), batch["n_tokens"].tolist(), strict=True):
-                del stack[depth:]
-                starts.append(base)
-                positions.append(sum(b - a for a, b in stack))
-                above.append([{"start": a, "end": b} for a, b in stack])
-                stack.append((base, base + n))
-                base += n
-            yield batch.drop(columns="part").assign(start=starts, position=positions, ancestors=above)
-
-    names = [c for c in ("node", "depth", "n_tokens", "loss", "formatted", "tokens", "part") if c in ordered.columns]
-    kinds = dict(ordered.dtypes)
-    out = ordered.select(*names).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names if c != "part") + ", start long, position long, ancestors array<struct<start: long, end: long>>")
-    nodes = cut(out)
-    leaves = paths.select("conv_id", F.element_at("names", -1).alias("node")).join(nodes.select("node", "start"), "node").select("conv_id", "start")
-    return nodes.drop("node"), leaves
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                if base is None:
+                    base, last, starts, sizes = before[r["part"]]
+                    for start, n in zip(starts, sizes, strict=True):
+                        push(start, n)
+                same = _shared(r["key"], last)
+                del stack[same:]
+                for d in range(same, len(r["sizes"])):
+                    n = r["sizes"][d]
+                    place, parent, spans = push(base, n)
+                    rows.append((None, None, base, n, place, d, parent, [{"start": a, "end": b} for a, b in spans], r["roles"][d] == "assistant", marked(r["roles"][d], r["texts"][d])))
+                    base += n
+                last = r["key"]
+                rows.append((r["conv_id"], [x[0] for x in stack], *[None] * 8))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+
+    made = table(to_python(ordered).mapInArrow(run, MADE))
+    nodes = made.where("start IS NOT NULL").drop("conv_id", "starts")
+    if tokenizer:
+        from .tokens import with_tokens
+
+        nodes = with_tokens(nodes, "formatted", tokenizer)
+    return nodes, made.where("starts IS NOT NULL").select("conv_id", "starts")
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """conv_id and turns (role, text, loss_text, formatted_chars) as the emitted sequence has them, by attention intervals."""
-    own = nodes.select("start", F.concat(F.transform("ancestors", lambda a: a["start"]), F.array("start")).alias("starts"))
-    steps = leaves.join(own, "start").select("conv_id", F.posexplode("starts").alias("i", "start"))
+    """conv_id and turns (role, text, loss_text, formatted_chars) as the emitted sequence has them, node by node of each conversation's path."""
+    steps = leaves.select("conv_id", F.posexplode("starts").alias("i", "start"))
     body = F.expr(f"substr(formatted, {len(START) + 1}, length(formatted) - {len(START) + len(END)})")
     cut_at = F.instr("body", "\n")
     parsed = nodes.select("start", "loss", "formatted", body.alias("body")).select("start", "loss", F.length("formatted").alias("n"), unescape_role(F.expr("substr(body, 1, instr(body, '\\n') - 1)")).alias("role"), unescape(F.col("body").substr(cut_at + 1, F.length("body"))).alias("text"))
