@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from ._text import Block, blocks
 
 GROUP = 50
-MEMO_BYTES, LONGEST = 64 << 20, 200
+MEMO_BYTES, LONGEST = 96 << 20, 200
 #: Bytes after which nothing is cut: white space, separators, and the first bytes of wider white space.
 _OPEN = np.zeros(256, bool)
 _OPEN[[*range(9, 14), *range(28, 33), 0x85, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -161,7 +161,7 @@ def task_encoder(path: str) -> Iterator[Encoder]:
         tool.memo.clear()
 
 
-def encoded(column: pa.Array, tool: Encoder, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, tool: Encoder, limit: int = 3 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of about `limit` bytes of texts; null is empty."""
     for block in blocks(column, limit):
         yield block.lo, *tool.encode(block)
