@@ -58,6 +58,10 @@ def support(spark, d):
     return P.edge_support(canny(auto_thresholds(px), "lo", "hi"), quads)
 
 
-query("e5_edge_support")(lambda spark, d: Q.rounded(support(spark, d), support=4))
+E5_SQL = f"""WITH RECURSIVE {S.VECTOR}, {Q.AUTO}, {Q.canny_sql('pt', 'lo', 'hi', 'lo,hi')}, im AS (SELECT DISTINCT image_id FROM px), sd(side, ax, ay, bx, "by") AS (VALUES (0, 0, 0, 7, 0), (1, 7, 0, 7, 7), (2, 7, 7, 0, 7), (3, 0, 7, 0, 0)),
+sp AS (SELECT image_id, side, CAST(floor(ax + (k / 19.0::DOUBLE) * (bx - ax) + 0.5) AS INTEGER) AS x, CAST(floor(ay + (k / 19.0::DOUBLE) * ("by" - ay) + 0.5) AS INTEGER) AS y FROM im, sd, (SELECT unnest(range(20)) AS k)),
+wd AS (SELECT DISTINCT e.image_id, e.y + i AS y, e.x + j AS x, 1 AS hit FROM edges e, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)), ht AS (SELECT sp.image_id, side, avg(coalesce(hit, 0)) AS s FROM sp LEFT JOIN wd USING (image_id, y, x) GROUP BY ALL)
+SELECT image_id, round(0.7::DOUBLE * avg(s) + 0.3::DOUBLE * min(s), 6) AS support FROM ht GROUP BY image_id"""
+query("e5_edge_support", E5_SQL)(lambda spark, d: Q.rounded(support(spark, d), support=6))
 query("d15_prepare")(lambda spark, d: P.prepare(V(spark, d), 4, 0.5, 2)[1])
 query("d17_document_pipeline")(lambda spark, d: P.document_pipeline(V(spark, d), smart_pipeline, 4, 0.5, 2))
