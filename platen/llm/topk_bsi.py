@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._store import cut
 
 #: Rows of a block at most and at least, and components; queries that meet one copy of a block.
-BLOCK_ROWS, LEAST_ROWS, BLOCK_VALUES, QUERY_ROWS = 1 << 16, 1 << 13, 1 << 22, 1 << 16
+BLOCK_ROWS, LEAST_ROWS, BLOCK_VALUES, QUERY_ROWS = 1 << 16, 1 << 15, 1 << 22, 1 << 16
 
 
 class BitSlices:
