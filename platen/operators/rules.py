@@ -212,6 +212,14 @@ def enhancement_loop(r: DataFrame, most_accepted: int = 1, most_attempts: int =
     return r.withColumn("step_status", status).drop("fresh", "attempts", "accepted_before")
 
 
+def analyze(m: DataFrame) -> DataFrame:
+    """The whole record of each image: its metrics, the sorted diagnosis codes with their severities, and the preservation profile."""
+    found = diagnose(m).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("code", "severity"))).alias("diagnoses"))
+    none = F.array().cast("array<struct<code:string,severity:string>>")
+    profile = preservation_profile(m).select("image_id", "points", "level", "indicators")
+    return m.join(profile, "image_id").join(found, "image_id", "left").withColumn("diagnoses", F.coalesce("diagnoses", none))
+
+
 def audit(steps: DataFrame, most_accepted: int = 1, most_attempts: int = 4) -> DataFrame:
     """violation, images, audited: how many of the audited images break each rule of a run (steps: image_id, priority, operation_id, step_status)."""
     taken, turned = F.col("step_status").startswith("accepted"), F.col("step_status").startswith("rejected")

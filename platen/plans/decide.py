@@ -71,6 +71,10 @@ query("a26_code_sets", f"{W}{METRICS}, {DIAG} SELECT image_id, string_agg(DISTIN
 query("a12_preservation_profile", f"{W}{METRICS}, {PROFILE} SELECT image_id, points, level, concat_ws(',', CASE WHEN edge_density >= 0.12 THEN 'dense_edge_structure' END, CASE WHEN contrast < 35 THEN 'weak_contrast_details' END, CASE WHEN sharpness < 60 THEN 'weak_edge_definition' END, CASE WHEN dynamic_range < 60 THEN 'limited_dynamic_range' END) AS indicators FROM pl JOIN m USING (image_id)")(
     lambda spark, d: D.preservation_profile(measured(spark, d)).withColumn("indicators", F.array_join("indicators", ","))
 )
+RECORD = ["brightness", "contrast", "dynamic_range", "sharpness", "noise", "impulse_ratio", "illumination_variation", "edge_density"]
+query("a11_full_record", f"{W}{METRICS}, {DIAG}, {PROFILE}, cs AS (SELECT image_id, string_agg(code || ':' || severity, ',' ORDER BY code) AS diagnoses FROM dg GROUP BY image_id) SELECT m.image_id, {', '.join(RECORD)}, points, level, coalesce(diagnoses, '') AS diagnoses FROM m JOIN pl USING (image_id) LEFT JOIN cs USING (image_id)")(
+    lambda spark, d: D.analyze(measured(spark, d)).select("image_id", *RECORD, "points", "level", F.array_join(F.transform("diagnoses", lambda x: F.concat_ws(":", x["code"], x["severity"])), ",").alias("diagnoses"))
+)
 COLS = ["image_id", *D.CONDITIONS, "level", "impulse_noise", "gaussian_noise"]
 query("d2_conditions", f"{W}{FULL} SELECT {', '.join(COLS)} FROM c")(lambda spark, d: D.conditions(measured(spark, d)).select(*COLS))
 
