@@ -14,6 +14,7 @@ from .record_files import op9_record_files
 from .secret_scan import op2_secret_ownership
 from .shard_tree import op3_weighted_hash_tree
 from .topk_bsi import OP7_SQL, op7_bit_sliced_topk
+from .turn_repair import op12_branch_and_bound_repair
 
 QUERIES = {
     "op1_chat_prefix_tree": op1_chat_prefix_tree,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_cube_mix": op8_cube_mix,
     "op9_record_files": op9_record_files,
     "op10_online_packing": op10_online_packing,
+    "op12_branch_and_bound_repair": op12_branch_and_bound_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_bit_sliced_topk": OP7_SQL}
