@@ -78,11 +78,11 @@ class Words:
     first: np.ndarray
 
 
-def words(block: Block, lower: bool = False) -> Words:
-    """Words are runs of bytes other than space and 0x09 to 0x0D; `lower` folds A-Z."""
+def words(block: Block, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """Words are runs of bytes other than `apart` (space and 0x09 to 0x0D); `lower` folds A-Z."""
     data = _LOWER[block.data] if lower else block.data
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~apart[data]
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     edges = block.bounds[1:-1]
     edges = edges[(edges > 0) & (edges < len(data))]

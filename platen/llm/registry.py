@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat_tree import op1_chat_prefix_tree
 from .cube_mix import op8_cube_mix
+from .dual_tree import OP11_SQL, op11_dual_tree_search
 from .line_dedup import op6_segment_line_dedup
 from .minhash import op4_minhash_near_dedup
 from .packing import op10_online_packing
@@ -27,7 +28,8 @@ QUERIES = {
     "op8_cube_mix": op8_cube_mix,
     "op9_record_files": op9_record_files,
     "op10_online_packing": op10_online_packing,
+    "op11_dual_tree_search": op11_dual_tree_search,
     "op12_branch_and_bound_repair": op12_branch_and_bound_repair,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op7_bit_sliced_topk": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_bit_sliced_topk": OP7_SQL, "op11_dual_tree_search": OP11_SQL}
