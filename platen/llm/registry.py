@@ -9,6 +9,7 @@ from .cube_mix import op8_cube_mix
 from .dual_tree import OP11_SQL, op11_dual_tree_search
 from .line_dedup import op6_segment_line_dedup
 from .minhash import op4_minhash_near_dedup
+from .ngram_join import op13_blocked_ngram_join
 from .packing import op10_online_packing
 from .quality_gbt import op5_quality_gbt
 from .record_files import op9_record_files
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_online_packing": op10_online_packing,
     "op11_dual_tree_search": op11_dual_tree_search,
     "op12_branch_and_bound_repair": op12_branch_and_bound_repair,
+    "op13_blocked_ngram_join": op13_blocked_ngram_join,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_bit_sliced_topk": OP7_SQL, "op11_dual_tree_search": OP11_SQL}
