@@ -99,3 +99,30 @@ def test_fronts_share_what_they_must():
         assert common >= 1
         beyond = max(n - J.front(n, percent) for n in (a, b))
         assert common >= both - beyond - max(J.spare(a, percent), J.spare(b, percent)) + 1
+
+
+def test_overlaps_and_forests_match_brute_force():
+    draw = np.random.default_rng(7)
+    for pool in (40, 400, 5000):
+        sets = [np.unique(draw.integers(0, pool, int(draw.integers(1, 60)))).astype(np.uint64) for _ in range(50)]
+        for left, right in ((np.arange(50), np.arange(50)), (np.arange(20), np.arange(20, 50))):
+            got = J.overlaps(sets, left, right)
+            assert all(got[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(left) for j, b in enumerate(right) if a != b)
+            for percent in (20, 50):
+                edges = J.forest(sets, left, right, percent)
+                want = [(a, b) for i, a in enumerate(left) for j, b in enumerate(right) if a != b and 100 * got[i, j] >= percent * (len(sets[a]) + len(sets[b]) - got[i, j])]
+                assert roots(50, edges) == roots(50, want) and len(edges) <= 2 * 50
+
+
+def roots(n, edges):
+    root = list(range(n))
+    for _ in range(n):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    return root
+
+
+def test_families_over_several_blocks(docs, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 5)  # read on the driver alone
+    rows = corpus(12, sizes=(8, 25, 60), copies=40)
+    assert in_order(tuple(r) for r in J.ngram_components(docs(rows)).collect()) == in_order(brute(rows))
