@@ -11,8 +11,9 @@ What doesn't have to be multiplied is left out, and none of it loses a pair that
 Each column names its most central row, and rows that share many columns with a central row form families. A family's rows are
 multiplied on their full sets in blocks of bounded size, in numpy: overlap counts add up over blocks of columns, pairs below the
 bound of their sizes go, and a block gives out a forest of links, so that near copies aren't paired out. Rows of different
-families and components meet in the columns they share; counts add up in each task and then over tasks, pairs below the
-bound that follows from their sizes go before a text is read, and the few others are confirmed on full sets.
+families and components meet in the columns they share, unless bitmaps of their fronts rule them out; counts add up in each task
+and then over tasks, pairs below the bound that follows from their sizes go before a text is read, and the few others are
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from .minhash import confirmed
 
 #: Rows and n-grams of a block, columns multiplied at once, and rows of a column that is multiplied by its pairs.
 BLOCK_ROWS, BLOCK_GRAMS, COLUMNS, RARE = 1024, 1 << 21, 4096, 8
+#: Words of a front's bitmap.
+MAPS = 4
+BITMAP = tuple(f"m{i}" for i in range(MAPS))
 
 
 def needed(n, percent: int):
@@ -58,7 +62,7 @@ def spare(n, percent: int):
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """id, n (distinct n-grams of the whole text), k1 and k2 (128 bits that are equal for equal sets), front (the front's n-grams; none if n is 0)."""
+    """id, n (distinct n-grams of the whole text), k1 and k2 (128 bits that are equal for equal sets), front (the front's n-grams; none if n is 0), m0 to m3 (a bitmap of the front)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,15 +73,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 sizes = np.where(n > 0, front(n, percent), 0)
                 flat = np.concatenate([s[:p] for s, p in zip(sets, sizes.tolist(), strict=True)]).view(np.int64)
                 ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, len(block)), pa.array(n), *k, pa.ListArray.from_arrays(ends, pa.array(flat))], names=["id", "n", "k1", "k2", "front"])
+                bits = np.zeros((len(sets), 64 * MAPS), bool)
+                bits[np.repeat(np.arange(len(sets)), sizes), flat & (64 * MAPS - 1)] = True
+                maps = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                columns = [batch.column(0).slice(block.lo, len(block)), pa.array(n), *k, pa.ListArray.from_arrays(ends, pa.array(flat)), *[pa.array(m) for m in maps.T.copy()]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "k1", "k2", "front", *BITMAP])
 
-    return to_python(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, k1 long, k2 long, front array<long>")
+    return to_python(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, k1 long, k2 long, front array<long>, " + ", ".join(f"{m} long" for m in BITMAP))
 
 
 def different(prints: DataFrame) -> DataFrame:
-    """row, id (the least), n, k (half of the set's 128 bits), front: one row for each different set, as a table."""
-    each = prints.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("front").alias("front"))
-    return table(each.select(F.monotonically_increasing_id().alias("row"), "id", "n", F.col("k1").alias("k"), "front"))
+    """row, id (the least), n, k (half of the set's 128 bits), front, m0 to m3: one row for each different set, as a table."""
+    each = prints.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "front", *BITMAP)])
+    return table(each.select(F.monotonically_increasing_id().alias("row"), "id", "n", F.col("k1").alias("k"), "front", *BITMAP))
 
 
 def incidence(rows: DataFrame, percent: int) -> DataFrame:
@@ -99,6 +107,13 @@ def bound(a: Column, b: Column, percent: int) -> Column:
     return both - beyond - F.greatest(spare(a, percent), spare(b, percent)) + 1
 
 
+def able(a: Column, b: Column, other: str, percent: int) -> Column:
+    """Whether sets of sizes a and b can link, by their fronts' bitmaps (the second one's named with `other`): an n-gram whose bit the other front lacks isn't in that front."""
+    gone = lambda x, y: sum(F.bit_count(F.col(f"{m}{x}").bitwiseAND(F.bitwise_not(F.col(f"{m}{y}")))) for m in BITMAP)
+    most = F.least(front(a, percent) - gone("", other), front(b, percent) - gone(other, ""))
+    return most >= F.ceil((a + b) * percent / (100 + percent)) - F.greatest(a - front(a, percent), b - front(b, percent))
+
+
 def in_cells(matrix: DataFrame, percent: int) -> DataFrame:
     """The rows with b (their class by size) and, twice, cell: sizes that can link lie in one class or in two that follow each other, and such rows meet in the cell of the greater one."""
     b = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 1))).cast("int")
@@ -217,16 +232,16 @@ def family_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
 
 def across(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u > v: ids of rows in different families and components (groups: row, id, family, c) whose overlap reaches the bound of their sizes."""
+    """(u, v), u > v: ids of rows in different families and components (groups: row, id, family, c, m0 to m3) whose overlap reaches the bound of their sizes."""
     held = table(cells.drop("shared").join(groups, "row"))
     most = held.groupBy("h", "cell", "family").agg(F.count("*").alias("rows")).groupBy("h", "cell").agg(F.max_by("family", F.struct("rows", "family")).alias("most"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi")
     # of two rows in different families, one is outside the column's largest
     left = held.join(most.select("h", "cell", "most"), ["h", "cell"]).where("family <> most")
-    right = held.select("h", "cell", F.col("row").alias("row2"), F.col("id").alias("v"), F.col("n").alias("n2"), F.col("b").alias("b2"), F.col("c").alias("d"), F.col("family").alias("family2"))
+    right = held.select("h", "cell", F.col("row").alias("row2"), F.col("id").alias("v"), F.col("n").alias("n2"), F.col("b").alias("b2"), F.col("c").alias("d"), F.col("family").alias("family2"), *[F.col(m).alias(f"{m}_") for m in BITMAP])
     fits = (F.col("cell") == F.greatest("b", "b2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("id") != F.col("v"))
     # where both are outside it, each looks for the other, and one of them is enough
     once = (F.col("family2") == F.col("most")) | (F.col("row") > F.col("row2"))
-    apart = left.join(right, ["h", "cell"]).where(fits & (F.col("c") != F.col("d")) & (F.col("family") != F.col("family2")) & once)
+    apart = left.join(right, ["h", "cell"]).where(fits & (F.col("c") != F.col("d")) & (F.col("family") != F.col("family2")) & once & able(F.col("n"), F.col("n2"), "_", percent))
     one, other = F.struct("row", "id", "n"), F.struct(F.col("row2").alias("row"), F.col("v").alias("id"), F.col("n2").alias("n"))
     summed = apart.groupBy(F.greatest(one, other).alias("a"), F.least(one, other).alias("b")).agg(F.count("*").alias("shared"))
     return summed.where(F.col("shared") >= bound(F.col("a.n"), F.col("b.n"), percent)).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
@@ -255,8 +270,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = cut(family_links(near.select("id", "k", "n", "family", "b"), docs, id_col, text_col, size, percent))
 
     joined = connected_components(links).toDF("id", "component")
-    groups = sizes.select("row").join(rows.select("row", "id"), "row").join(own, "row", "left").join(joined, "id", "left")
-    groups = groups.select("row", "id", F.coalesce("family", -F.col("row") - 1).alias("family"), F.coalesce("component", "id").alias("c"))
+    groups = sizes.select("row").join(rows.select("row", "id", *BITMAP), "row").join(own, "row", "left").join(joined, "id", "left")
+    groups = groups.select("row", "id", F.coalesce("family", -F.col("row") - 1).alias("family"), F.coalesce("component", "id").alias("c"), *BITMAP)
     fresh = cut(across(cells, groups, percent))
     links = links.union(cut(confirmed(fresh, docs, id_col, text_col, size, percent)))
 

@@ -126,3 +126,20 @@ def test_families_over_several_blocks(docs, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_ROWS", 5)  # read on the driver alone
     rows = corpus(12, sizes=(8, 25, 60), copies=40)
     assert in_order(tuple(r) for r in J.ngram_components(docs(rows)).collect()) == in_order(brute(rows))
+
+
+def test_bitmaps_rule_out_no_link(spark, docs):
+    """Every pair that links passes the bitmaps' test, and pairs that share a passage alone mostly don't."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = corpus(21, sizes=(5, 25, 60, 150)) + [(10000 + i, passage + " " + " ".join(f"q{draw.randrange(9999)}" for _ in range(50)), "a") for i in range(30)]
+    prints = J.sketches(docs(rows), "doc_id", "text", 4, 85).where("n > 0")
+    left = prints.select("id", "n", *J.BITMAP)
+    right = prints.select(F.col("id").alias("v"), F.col("n").alias("n2"), *[F.col(m).alias(f"{m}_") for m in J.BITMAP])
+    passed = {(r["id"], r["v"]) for r in left.join(right, F.col("id") > F.col("v")).where(J.able(F.col("n"), F.col("n2"), "_", 85)).collect()}
+    sets = {r[0]: sets_of(r[1], 4) for r in rows}
+    linked = {(u, v) for u in sets for v in sets if u > v and 100 * len(sets[u] & sets[v]) >= 85 * len(sets[u] | sets[v])}
+    assert linked and linked <= passed
+    assert sum(u >= 10000 and v >= 10000 for u, v in passed) < 0.1 * 30 * 29 / 2
