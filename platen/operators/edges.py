@@ -12,7 +12,7 @@ from platen.sources.store import cut
 
 
 def gradients(px: DataFrame, value: str = "v") -> DataFrame:
-    """Adds mag (L1 of the Sobel gradient) and sector: 0 along x, 1 diagonal down, 2 along y, 3 diagonal up."""
+    """Adds gx and gy (Sobel), mag (L1 of them) and sector: 0 along x, 1 diagonal down, 2 along y, 3 diagonal up."""
     n = F.col("__n")
     gx = (n[2] + 2 * n[5] + n[8]) - (n[0] + 2 * n[3] + n[6])
     gy = (n[6] + 2 * n[7] + n[8]) - (n[0] + 2 * n[1] + n[2])
@@ -20,24 +20,35 @@ def gradients(px: DataFrame, value: str = "v") -> DataFrame:
     ax, ay = F.abs("gx"), F.abs("gy")
     # tan 22.5 degrees = 0.41421356
     sector = F.when(ay <= ax * 0.41421356, 0).when(ax <= ay * 0.41421356, 2).when(F.col("gx") * F.col("gy") > 0, 1).otherwise(3)
-    return out.withColumns({"mag": ax + ay, "sector": sector}).drop("gx", "gy")
+    return out.withColumns({"mag": ax + ay, "sector": sector})
 
 
-def canny(px: DataFrame, low, high, value: str = "v") -> DataFrame:
-    """image_id, y, x of edge pixels. Thresholds are numbers or column names of px; weak pixels stay if 8-connected to a strong one."""
+def canny(px: DataFrame, low, high, value: str = "v", gradient: bool = False) -> DataFrame:
+    """image_id, y, x of edge pixels (with `gradient` also gx, gy). Thresholds are numbers or column names of px; weak pixels stay if 8-connected to a strong one."""
     lo, hi = (F.col(t) if isinstance(t, str) else F.lit(float(t)) for t in (low, high))
     m = neighbours(gradients(px, value).withColumns({"__lo": lo, "__hi": hi}), 1, "ignore", "mag", "__m")
     at = lambda i: F.coalesce(F.col("__m")[i], F.lit(0))
     peak = F.lit(False)
     for sector, (before, after) in enumerate(((3, 5), (0, 8), (1, 7), (2, 6))):
         peak = peak | ((F.col("sector") == sector) & (F.col("mag") > at(before)) & (F.col("mag") >= at(after)))
-    kept = cut(m.where(peak & (F.col("mag") > F.col("__lo"))).select(*KEYS, (F.col("mag") > F.col("__hi")).alias("strong")))
+    slope = ["gx", "gy"] if gradient else []
+    kept = cut(m.where(peak & (F.col("mag") > F.col("__lo"))).select(*KEYS, *slope, (F.col("mag") > F.col("__hi")).alias("strong")))
     lines = cut(labelled_runs(kept.select(*KEYS)))
     inside = kept.where("strong").join(lines, ["image_id", "y"]).where("x BETWEEN s AND e").select("comp").distinct()
     good = lines.join(inside, "comp", "left_semi")
+    if gradient:
+        return kept.join(good, ["image_id", "y"]).where("x BETWEEN s AND e").select(*KEYS, *slope)
     return good.select("image_id", "y", F.explode(F.sequence("s", "e")).alias("x"))
 
 
+def median_thresholds(px: DataFrame, low: float, high: float, least: int, apart: int) -> DataFrame:
+    """px with lo and hi: `low` times each image's median but `least` at least, and `high` times it but `apart` above lo at least, up to 255."""
+    med = px.groupBy("image_id").agg(F.percentile("v", 0.5).alias("m"))
+    lo = F.floor(F.greatest(F.lit(float(least)), low * F.col("m")))
+    hi = F.floor(F.least(F.lit(255.0), F.greatest(F.col("lo") + apart, high * F.col("m"))))
+    return px.join(med.withColumn("lo", lo).withColumn("hi", hi).drop("m"), "image_id")
+
+
 def auto_thresholds(px: DataFrame) -> DataFrame:
     """px with lo and hi from each image's median: 0.66 and 1.33 times it, or 50 and 150 where these are equal."""
     med = px.groupBy("image_id").agg(F.percentile("v", 0.5).alias("m"))

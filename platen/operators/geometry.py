@@ -9,32 +9,111 @@ from pyspark.sql import functions as F
 
 from platen.functions.scalars import angle_distance, area_score, is_convex, quad_angles, quad_area, quad_sides
 from platen.sources.rasters import KEYS, clip8, dimensions
+from platen.sources.store import cut
 
 
-def hough_segments(edges: DataFrame, theta_step: float = 1.0, threshold: int = 5, min_length: float = 3, max_gap: int = 2) -> DataFrame:
-    """image_id, x1, y1, x2, y2, length, angle, votes: deterministic Hough transform.
+def _number(value: float | str) -> F.Column:
+    """A number, or a column of that name."""
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
+def _directions(step: float) -> tuple[F.Column, F.Column]:
+    """Cosines and sines of the angles [0, 180) at `step`, as arrays."""
+    angles = [math.radians(i * step) for i in range(round(180 / step))]
+    return F.array(*[F.lit(math.cos(a)) for a in angles]), F.array(*[F.lit(math.sin(a)) for a in angles])
 
-    Edge pixels vote for (theta, rho) cells. A pixel then counts for one cell only, of those with enough votes the one with most
-    (of ties the middle angle), so a thick or slanted line is one line; along a cell, pixels closer than the gap form a segment.
+
+def _segments(votes: DataFrame, theta_step: float, threshold: float | str, min_length: float | str, max_gap: float | str, wide: bool = False) -> DataFrame:
+    """Segments of votes (KEYS, theta, rho, along, columns named as limits). A pixel counts for one cell only, of those with enough votes the
+    one with most (of ties the middle angle), so a thick or slanted line is one line; along a cell, pixels closer than the gap form a segment.
+
+    With `wide`, a cell goes along with the stronger one beside it, since a slanted line of pixels changes between two.
     """
-    table = [(i, math.cos(math.radians(i * theta_step)), math.sin(math.radians(i * theta_step))) for i in range(round(180 / theta_step))]
-    thetas = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(s).alias("s")) for i, c, s in table])
-    votes = edges.select(*KEYS, F.explode(thetas).alias("t"))
-    votes = votes.select(*KEYS, F.col("t.i").alias("theta"), F.floor(F.round(F.col("x") * F.col("t.c") + F.col("y") * F.col("t.s"), 6) + 0.5).cast("int").alias("rho"), F.round(F.col("y") * F.col("t.c") - F.col("x") * F.col("t.s"), 6).alias("along"))
     cell = ["image_id", "theta", "rho"]
+    limits = [c for c in (threshold, min_length, max_gap) if isinstance(c, str)]
     line = Window.partitionBy(*cell).orderBy("along", "x", "y")
-    strong = votes.withColumn("n", F.count("*").over(Window.partitionBy(*cell))).where(F.col("n") >= threshold)
+    if wide:
+        votes = cut(votes)
+        up = Window.partitionBy("image_id", "theta").orderBy("rho")
+        beside = lambda move, d: F.when(move("rho").over(up) == F.col("rho") + d, move("n").over(up)).otherwise(0)
+        cells = votes.groupBy(*cell).agg(F.count("*").alias("n")).withColumns({"after": beside(F.lead, 1), "before": beside(F.lag, -1)})
+        first = F.when(F.col("before") > F.col("after"), F.col("rho") - 1).otherwise(F.col("rho"))
+        cells = cells.select(*cell, (F.col("n") + F.greatest("before", "after")).alias("n"), first.alias("first"))
+        strong = votes.join(cells, cell).where(F.col("n") >= _number(threshold)).drop("rho").withColumnRenamed("first", "rho")
+    else:
+        strong = votes.withColumn("n", F.count("*").over(Window.partitionBy(*cell))).where(F.col("n") >= _number(threshold))
     # at most one entry for each angle, so the array is short
-    each = strong.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("theta", "rho", "along", "n"))).alias("c"))
+    each = strong.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("theta", "rho", "along", "n"))).alias("c"), *[F.first(c).alias(c) for c in limits])
     best = F.filter("c", lambda e: e["n"] == F.array_max(F.transform("c", lambda o: o["n"])))
-    own = each.withColumn("c", best).select(*KEYS, F.get("c", F.expr("(size(c) - 1) div 2").cast("int")).alias("c")).select(*KEYS, "c.theta", "c.rho", "c.along")
-    gaps = own.withColumn("new", (F.coalesce(F.col("along") - F.lag("along").over(line), F.lit(0.0)) > max_gap).cast("int"))
+    own = each.withColumn("c", best).select(*KEYS, *limits, F.get("c", F.expr("(size(c) - 1) div 2").cast("int")).alias("c")).select(*KEYS, *limits, "c.theta", "c.rho", "c.along")
+    gaps = own.withColumn("new", (F.coalesce(F.col("along") - F.lag("along").over(line), F.lit(0.0)) > _number(max_gap)).cast("int"))
     parts = gaps.withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     end = F.struct("along", "x", "y")
-    out = parts.groupBy(*cell, "part").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count("*").alias("votes"))
+    out = parts.groupBy(*cell, "part").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count("*").alias("votes"), *[F.first(c).alias(c) for c in limits])
     length = F.round(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")), 6)
     angle = F.lit(theta_step) * F.col("theta") - 90
-    return out.select("image_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), length.alias("length"), angle.alias("angle"), "votes").where(F.col("length") >= min_length)
+    return out.withColumn("length", length).where(F.col("length") >= _number(min_length)).select("image_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "length", angle.alias("angle"), "votes")
+
+
+def _place(theta: F.Column, c: F.Column, s: F.Column) -> tuple[F.Column, F.Column]:
+    """(rho, along): a pixel's place across and along a line whose normal has the angle at place theta of c and s."""
+    cos, sin = F.get(c, theta), F.get(s, theta)
+    return F.round(F.col("x") * cos + F.col("y") * sin, 6), F.round(F.col("y") * cos - F.col("x") * sin, 6)
+
+
+def hough_segments(edges: DataFrame, theta_step: float = 1.0, threshold: int = 5, min_length: float = 3, max_gap: int = 2) -> DataFrame:
+    """image_id, x1, y1, x2, y2, length, angle, votes: deterministic Hough transform, in which every edge pixel votes for every angle.
+
+    For images of some dozen pixels; `page_segments` votes for far less.
+    """
+    c, s = _directions(theta_step)
+    votes = edges.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(round(180 / theta_step) - 1))).alias("theta"))
+    rho, along = _place(F.col("theta"), c, s)
+    return _segments(votes.select(*KEYS, "theta", F.floor(rho + 0.5).cast("int").alias("rho"), along.alias("along")), theta_step, threshold, min_length, max_gap)
+
+
+#: Of page_segments: degrees between coarse angles, to how many of them on both sides of its gradient a pixel votes, pixels of a coarse cell
+#: across its lines, the part of the votes that a coarse cell needs, and how many of its coarse cells a pixel keeps.
+COARSE, SIDES, ACROSS, PART, KEPT = 3, 3, 8, 3, 2
+
+
+def coarse_votes(edges: DataFrame, limits: tuple[str, ...] = ()) -> DataFrame:
+    """KEYS, limits, j, rho, w: the coarse cells that edge pixels (KEYS, gx, gy) vote for, with angles near the normal that their gradient gives, and how near."""
+    n = 180 // COARSE
+    c, s = _directions(COARSE)
+    normal = F.floor(F.degrees(F.atan2(F.col("gy").cast("double"), F.col("gx").cast("double"))) / COARSE + 0.5).cast("int")
+    votes = edges.select(*KEYS, *limits, normal.alias("o"), F.explode(F.sequence(F.lit(-SIDES), F.lit(SIDES))).alias("d"))
+    votes = votes.select(*KEYS, *limits, F.pmod(F.col("o") + F.col("d"), F.lit(n)).cast("int").alias("j"), (SIDES + 1 - F.abs("d")).alias("w"))
+    return votes.select(*KEYS, *limits, "j", "w", F.floor(_place(F.col("j"), c, s)[0] / ACROSS).cast("int").alias("rho"))
+
+
+def fine_votes(coarse: DataFrame, theta_step: float, threshold: float | str, limits: tuple[str, ...] = ()) -> DataFrame:
+    """KEYS, limits, theta, rho, along: votes for the fine angles of the strongest coarse cells of each pixel; cells with too few votes are out.
+
+    A line of `threshold` votes may cross PART coarse cells, so one of them has that part of its votes. Cells are compared by how well
+    their pixels' gradients agree with them, since a strip across text holds many pixels that belong to other lines.
+    """
+    cell = Window.partitionBy("image_id", "j", "rho")
+    strong = coarse.withColumns({"n": F.count("*").over(cell), "all": F.sum("w").over(cell)}).where(PART * F.col("n") >= _number(threshold))
+    each = strong.groupBy(*KEYS).agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("all"), "j"))), 1, KEPT).alias("top"), *[F.first(c).alias(c) for c in limits])
+    fine = round(COARSE / theta_step)
+    c, s = _directions(theta_step)
+    # one angle more on both sides: a line on the border of two coarse cells is stronger in the next angle's
+    reach = F.sequence(F.lit(-(fine // 2) - 1), F.lit(fine // 2 + 1))
+    theta = F.transform("top", lambda t: F.transform(reach, lambda d: F.pmod(t["j"] * fine + d, F.lit(round(180 / theta_step))).cast("int")))
+    votes = each.select(*KEYS, *limits, F.explode(F.array_distinct(F.flatten(theta))).alias("theta"))
+    rho, along = _place(F.col("theta"), c, s)
+    return votes.select(*KEYS, *limits, "theta", F.floor(rho + 0.5).cast("int").alias("rho"), along.alias("along"))
+
+
+def page_segments(edges: DataFrame, theta_step: float = 1.0, threshold: float | str = 40, min_length: float | str = 40, max_gap: float | str = 10) -> DataFrame:
+    """Segments as of hough_segments, from edge pixels with gradients (KEYS, gx, gy) by votes from coarse to fine.
+
+    A pixel votes for 2 SIDES + 1 coarse angles about its normal, and for the fine angles of its best coarse cells, so votes are
+    some 20 a pixel, not 180 or 360. Limits are numbers or names of columns of `edges`, so that each image can have its own.
+    """
+    limits = tuple(dict.fromkeys(c for c in (threshold, min_length, max_gap) if isinstance(c, str)))
+    return _segments(fine_votes(coarse_votes(edges, limits), theta_step, threshold, limits), theta_step, threshold, min_length, max_gap, wide=True)
 
 
 def skew_stats(segments: DataFrame) -> DataFrame:
@@ -117,6 +196,13 @@ def plausible_quads(q: DataFrame) -> DataFrame:
     return q.withColumns({"area_ratio": area, "reject": reject, "frame_contacts": touch})
 
 
+def touched_sides(c: F.Column, share: float = 0.04) -> F.Column:
+    """How many sides of the frame (columns height, width) corners come within `share` of."""
+    mx, my = share * F.col("width"), share * F.col("height")
+    tests = (lambda p: p["x"] <= mx, lambda p: p["x"] >= F.col("width") - 1 - mx, lambda p: p["y"] <= my, lambda p: p["y"] >= F.col("height") - 1 - my)
+    return sum(F.exists(c, t).cast("int") for t in tests)
+
+
 def geometry_scores(q: DataFrame) -> DataFrame:
     """Adds angle_score (1 - mean error / 65), balance (root of the side ratios) and confidence (0.35 area, 0.30 angle, 0.20 fit, 0.15 balance)."""
     c = F.col("corners")

@@ -61,17 +61,18 @@ def clahe(px: DataFrame, clip_limit: float = 1.5, tile_grid_size: int = 8) -> Da
     bins = excess.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
     full = bins.join(clipped.select(*keys, "v", "kept"), [*keys, "v"], "left").withColumn("h", F.coalesce("kept", F.lit(0.0)) + F.col("more"))
     up = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    lut = full.withColumn("out", F.least(F.lit(255.0), F.floor(F.round(F.sum("h").over(up) * 255 / F.col("area"), 6) + 0.5))).select(*keys, "v", "out")
-    fy, fx = (F.col("y") + 0.5) / F.col("th") - 0.5, (F.col("x") + 0.5) / F.col("tw") - 0.5
+    out = F.least(F.lit(255.0), F.floor(F.round(F.sum("h").over(up) * 255 / F.col("area"), 6) + 0.5)).cast("int")
+    lut = full.select(*keys, "v", out.alias("out")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "out"))), lambda e: e["out"]).alias("lut"))
+    # an image's tables are one row, at most tile_grid_size ** 2 of them; a pixel lies between the middles of four tiles
+    lut = lut.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ty", "tx", "lut"))), lambda e: e["lut"]).alias("luts"))
     last = lambda d, t: F.floor((F.col(d) - 1) / F.col(t)).cast("int")
-    at = tiled.withColumns({"fy": fy, "fx": fx, "my": last("height", "th"), "mx": last("width", "tw")})
-    corner = lambda dy, dx: F.struct(
-        F.greatest(F.lit(0), F.least(F.col("my"), F.floor("fy").cast("int") + dy)).alias("ty"),
-        F.greatest(F.lit(0), F.least(F.col("mx"), F.floor("fx").cast("int") + dx)).alias("tx"),
-        ((F.col("fy") - F.floor("fy") if dy else 1 - F.col("fy") + F.floor("fy")) * (F.col("fx") - F.floor("fx") if dx else 1 - F.col("fx") + F.floor("fx"))).alias("w"),
-    )
-    four = at.select(*KEYS, "v", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("c")).select(*KEYS, "v", "c.*")
-    return four.join(lut, [*keys, "v"]).groupBy(*KEYS).agg(clip8(F.round(F.sum(F.col("w") * F.col("out")), 6)).alias("v"))
+    at = tiled.withColumns({"fy": (F.col("y") + 0.5) / F.col("th") - 0.5, "fx": (F.col("x") + 0.5) / F.col("tw") - 0.5, "my": last("height", "th"), "mx": last("width", "tw")})
+    at = at.select(*KEYS, "v", "fy", "fx", "my", "mx", F.floor("fy").cast("int").alias("cy"), F.floor("fx").cast("int").alias("cx")).join(lut, "image_id")
+    held = lambda e, most: F.greatest(F.lit(0), F.least(F.col(most), e))
+    value = lambda dy, dx: F.get(F.get("luts", held(F.col("cy") + dy, "my") * (F.col("mx") + 1) + held(F.col("cx") + dx, "mx")), F.col("v"))
+    py, qx = F.col("fy") - F.col("cy"), F.col("fx") - F.col("cx")
+    total = (1 - py) * (1 - qx) * value(0, 0) + (1 - py) * qx * value(0, 1) + py * (1 - qx) * value(1, 0) + py * qx * value(1, 1)
+    return at.select(*KEYS, clip8(F.round(total, 6)).alias("v"))
 
 
 def gamma_correct(px: DataFrame, gamma: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from platen.operators.components import components
 from platen.operators.edges import auto_thresholds, canny
 from platen.operators.histogram import otsu
-from platen.operators.stencil import blurred_lines, erode, gaussian, gaussian_kernel, laplacian_lines, median_lines, scanlines
+from platen.operators.stencil import _index, erode, gaussian, laplacian_lines, median_lines, scanlines
 
 
 def share(test) -> F.Column:
@@ -16,9 +16,14 @@ def share(test) -> F.Column:
 
 
 def tone(px: DataFrame) -> DataFrame:
-    """brightness, contrast, dynamic_range, dark_clipped_ratio, bright_clipped_ratio: one pass and one shuffle."""
-    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.95)))
-    return px.groupBy("image_id").agg(F.avg("v").alias("brightness"), F.stddev_pop("v").alias("contrast"), p.alias("p"), share(F.col("v") <= 5).alias("dark_clipped_ratio"), share(F.col("v") >= 250).alias("bright_clipped_ratio")).withColumn("dynamic_range", F.col("p")[1] - F.col("p")[0]).drop("p")
+    """brightness, contrast, dynamic_range, dark_clipped_ratio, bright_clipped_ratio, from the counts of an image's values."""
+    h = px.groupBy("image_id", "v").agg(F.count("*").alias("k"))
+    k, v = F.col("k"), F.col("v").cast("long")
+    whole = lambda e: F.sum(e).cast("decimal(38,0)")
+    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.95)), F.col("k"))
+    part = lambda test: (F.sum(F.when(test, k).otherwise(0)) / F.sum(k))
+    g = h.groupBy("image_id").agg((F.sum(k * v) / F.sum(k)).alias("brightness"), F.sqrt(_variance(whole(k), whole(k * v), whole(k * v * v))).alias("contrast"), p.alias("p"), part(v <= 5).alias("dark_clipped_ratio"), part(v >= 250).alias("bright_clipped_ratio"))
+    return g.withColumn("dynamic_range", F.col("p")[1] - F.col("p")[0]).drop("p")
 
 
 def _variance(n, s1, s2) -> F.Column:
@@ -27,12 +32,10 @@ def _variance(n, s1, s2) -> F.Column:
 
 
 def sharpness_lines(rows: DataFrame) -> DataFrame:
-    """image_id, sharpness of scanlines (image_id, y, v): variance of the Laplacian. Lines are summed before anything is grouped."""
-    lap = laplacian_lines(rows)
-    add = lambda of: F.aggregate("lap", F.lit(0).cast("long"), lambda s, e: s + of(e.cast("long")))
-    sums = lap.select("image_id", F.size("lap").alias("n"), add(lambda e: e).alias("s1"), add(lambda e: e * e).alias("s2"))
-    g = sums.groupBy("image_id").agg(F.sum("n").cast("decimal(38,0)").alias("n"), F.sum("s1").cast("decimal(38,0)").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2"))
-    return g.select("image_id", _variance(F.col("n"), F.col("s1"), F.col("s2")).alias("sharpness"))
+    """image_id, sharpness of scanlines (image_id, y, v): variance of the Laplacian, from sums that combine as pixels are made."""
+    lap = F.col("lap").cast("long")
+    g = laplacian_lines(rows).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(lap).alias("s1"), F.sum(lap * lap).alias("s2"))
+    return g.select("image_id", _variance(*[F.col(c).cast("decimal(38,0)") for c in ("n", "s1", "s2")]).alias("sharpness"))
 
 
 def sharpness(px: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def as_lines(px: DataFrame) -> DataFrame:
 
 def noise_lines(rows: DataFrame) -> DataFrame:
     """image_id, noise, noise_p90, affected_ratio, impulse_ratio of scanlines: what a 3 x 3 median takes away. Only residuals become rows, and their counts are grouped."""
-    each = median_lines(rows).select("image_id", F.explode(F.zip_with("v", "med", lambda a, b: F.abs(a - b))).alias("d")).groupBy("image_id", "d").agg(F.count("*").alias("k"))
+    each = median_lines(rows).select("image_id", F.abs(F.col("v") - F.col("med")).alias("d")).groupBy("image_id", "d").agg(F.count("*").alias("k"))
     ratio = lambda test: F.sum(F.when(test, F.col("k")).otherwise(0)) / F.sum("k")
     return each.groupBy("image_id").agg((F.sum(F.col("d") * F.col("k")) / F.sum("k")).alias("noise"), F.percentile("d", 0.9, F.col("k")).alias("noise_p90"), ratio(F.col("d") >= 5).alias("affected_ratio"), ratio(F.col("d") >= 100).alias("impulse_ratio"))
 
@@ -55,16 +58,31 @@ def noise(px: DataFrame) -> DataFrame:
     return noise_lines(as_lines(px))
 
 
+def along_lines(line: F.Column, weights: F.Column) -> F.Column:
+    """The convolution of an array with an array of weights (odd in number, a column of its own), mirrored at both ends."""
+    r = F.expr("cast((size(__w) - 1) div 2 as int)")
+    n = F.size(line)
+    outside = lambda a, b: F.transform(F.sequence(a, b), lambda i: F.get(line, _index(i, n, "reflect101")))
+    whole = F.concat(outside(-r, F.lit(-1)), line, outside(n, n + r - 1))
+    at = lambda i: F.aggregate(F.zip_with(F.slice(whole, i + 1, F.size(weights)), weights, lambda a, w: a * w), F.lit(0.0), lambda s, a: s + a)
+    return F.transform(line, lambda _, i: at(i))
+
+
 def illumination(px: DataFrame) -> DataFrame:
-    """Variation of the blurred image. sigma is max(shortest side / 30, 3): images of one sigma are blurred together."""
+    """Variation of the blurred image. sigma is max(shortest side / 30, 3).
+
+    Each image carries its own weights as an array, so images of all sizes go through one plan: lines are blurred, turned into
+    columns, and these are blurred.
+    """
     rows = as_lines(px)
-    short = rows.groupBy("image_id").agg(F.greatest(F.lit(90), F.least(F.count("*"), F.max(F.size("v")))).alias("side"))
-    sides = sorted(r["side"] for r in short.select("side").distinct().collect()) or [90]
-    out = None
-    for side in sides:
-        own = rows if len(sides) == 1 else rows.join(short.where(F.col("side") == side).select("image_id"), "image_id", "left_semi")
-        one = blurred_lines(own, "v", gaussian_kernel(0, side / 30), "reflect101", "g").select("image_id", F.explode("g").alias("g"))
-        out = one if out is None else out.unionByName(one)
+    sigma = F.greatest(F.lit(90), F.least(F.count("*"), F.max(F.size("v")))) / 30
+    own = rows.groupBy("image_id").agg(sigma.alias("sigma")).withColumn("r", F.expr("cast((floor(6 * sigma + 1.5) + 1 - floor(6 * sigma + 1.5) % 2) div 2 as int)"))
+    own = own.withColumn("raw", F.transform(F.sequence(-F.col("r"), F.col("r")), lambda i: F.exp(-(i * i) / (2 * F.col("sigma") * F.col("sigma")))))
+    own = own.select("image_id", F.transform("raw", lambda w: w / F.aggregate("raw", F.lit(0.0), lambda s, a: s + a)).alias("__w"))
+    w = F.col("__w")
+    level = rows.join(own, "image_id").select("image_id", "y", along_lines(F.col("v"), w).alias("v"))
+    columns = level.select("image_id", "y", F.posexplode("v").alias("x", "v")).groupBy("image_id", "x").agg(F.sort_array(F.collect_list(F.struct("y", "v"))).alias("c"))
+    out = columns.join(own, "image_id").withColumn("c", F.col("c.v")).select("image_id", F.explode(along_lines(F.col("c"), w)).alias("g"))
     g = out.groupBy("image_id").agg(F.avg("g").alias("m"), F.stddev_pop("g").alias("s"))
     return g.select("image_id", F.when(F.col("m") <= 1e-6, 0.0).otherwise(F.col("s") / F.col("m")).alias("illumination_variation"))
 

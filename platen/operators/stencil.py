@@ -1,9 +1,9 @@
 """Neighbourhood operators.
 
 A scanline is one row (image_id, y, array of values), so an image has as many rows as lines, not pixels. Neighbours along x are
-places in the array, padded at both ends, and neighbours along y come from a window over the image's lines; a raster that is
-partitioned by image takes no further shuffle, and pixels become rows again only where a caller needs them. Borders:
-reflect101 (the edge pixel is the mirror), replicate, or ignore (null outside). Images are full rectangles.
+places in the array, padded at both ends, and neighbours along y come from a window over a band of the image's lines; a raster that
+is partitioned by image takes no further shuffle, and pixels become rows again only where a caller needs them, in compiled code.
+Borders: reflect101 (the edge pixel is the mirror), replicate, or ignore (null outside). Images are full rectangles from (0, 0) on.
 """
 
 from __future__ import annotations
@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 from platen.sources.rasters import KEYS, clip8, trunc8
 
 
+#: Rows of a band.
+BAND = 1024
+
+
+def _div(a: Column, n: int) -> Column:
+    return F.floor(a / n).cast("int")
+
+
 def _index(i: Column, n: Column, border: str) -> Column:
     """The place in 0..n-1 that stands for place i; outside stays outside where borders are ignored."""
     if border == "reflect101":
@@ -34,13 +42,21 @@ def padded(line: Column, r: int, border: str) -> Column:
     return F.concat(part(F.lit(-r), F.lit(-1)), line, part(n, n + r - 1)) if r else line
 
 
-def around(rows: DataFrame, line: Column, r: int, border: str, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """rows (by, y, ...) with __near: `line` of the 2 r + 1 rows around each, in order (null where there is none)."""
-    w = Window.partitionBy(*by).orderBy("y")
-    rows = rows.withColumns({"__i": F.row_number().over(w) - 1, "__h": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "__w": F.collect_list(line).over(w.rowsBetween(-r, r))})
-    first = F.greatest(F.lit(0), F.col("__i") - r)
-    at = lambda d: F.get("__w", (_index(F.col("__i") + d, F.col("__h"), border) - first).cast("int"))
-    return rows.withColumn("__near", F.array(*[at(d) for d in range(-r, r + 1)])).drop("__i", "__h", "__w")
+def around(rows: DataFrame, line: Column, r: int, border: str, by: tuple[str, ...] = ("image_id",), band: int = BAND) -> DataFrame:
+    """rows (by, y from 0 on, ...) with __near: `line` of the 2 r + 1 rows around each, in order (null where there is none).
+
+    An image is cut into bands of `band` rows. The r rows on both sides of a band go along with it and are dropped afterwards, so
+    no window holds more than band + 2 r rows, however high the image.
+    """
+    w = Window.partitionBy(*by, "__b").orderBy("y")
+    y = F.col("y")
+    rows = rows.withColumn("__b", F.explode(F.sequence(_div(F.greatest(y - r, F.lit(0)), band), _div(y + r, band))))
+    # a band whose last row is below the halo's end holds the image's last row
+    rows = rows.withColumns({"__h": F.max("y").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1, "__w": F.collect_list(line).over(w.rowsBetween(-r, r))})
+    rows = rows.where(F.col("__b") == _div(y, band))
+    first = F.greatest(F.lit(0), y - r)
+    at = lambda d: F.get("__w", (_index(y + d, F.col("__h"), border) - first).cast("int"))
+    return rows.withColumn("__near", F.array(*[at(d) for d in range(-r, r + 1)])).drop("__b", "__h", "__w")
 
 
 def scanlines(px: DataFrame) -> DataFrame:
@@ -52,8 +68,8 @@ def scanlines(px: DataFrame) -> DataFrame:
 def _each(rows: DataFrame, px: DataFrame, out: str, of: Callable[[Column], Column]) -> DataFrame:
     """Pixels of scanlines with `out`, of(i) of the pixel at place i."""
     rest = [c for c in px.columns if c not in (*KEYS, out)]
-    one = F.transform("__row", lambda s, i: F.struct(s["x"].alias("x"), *[s[c].alias(c) for c in rest], of(i).alias(out)))
-    return rows.select("image_id", "y", F.explode(one).alias("s")).select("image_id", "y", "s.*")
+    one = rows.select("*", F.posexplode("__row").alias("__i", "__s"))
+    return one.select("image_id", "y", "__s.x", *[F.col(f"__s.{c}").alias(c) for c in rest], of(F.col("__i")).alias(out))
 
 
 def _stencil(px: DataFrame, r: int, border: str, value: str, out: str, of: Callable[[Callable[[int], Column], Column], Column]) -> DataFrame:
@@ -93,7 +109,11 @@ def blurred_lines(rows: DataFrame, line: str, kernel: list[float], border: str,
 
 
 def convolve(px: DataFrame, kernel: list[float], border: str = "reflect101", value: str = "v", out: str = "g") -> DataFrame:
-    """Adds `out`: the separable convolution with `kernel` along both axes."""
+    """Adds `out`: the separable convolution with `kernel` along both axes. A small one is written out for each pixel, so that it is compiled."""
+    if len(kernel) <= 5:
+        r = len(kernel) // 2
+        down = lambda line, at: sum(F.get(line(d), at) * kernel[d + r] for d in range(-r, r + 1))
+        return _stencil(px, r, border, value, out, lambda line, i: sum(down(line, i + j) * kernel[j] for j in range(2 * r + 1)))
     rows = scanlines(px).withColumn("__v", F.transform("__row", lambda s: s[value]))
     return _each(blurred_lines(rows, "__v", kernel, border, "__g"), px, out, lambda i: F.get("__g", i))
 
@@ -112,8 +132,14 @@ def laplacian(px: DataFrame, value: str = "v", out: str = "lap") -> DataFrame:
 
 
 def _middle(line, i: Column, r: int) -> Column:
+    """Median of the square. Of 3 x 3 by compare and exchange: the middle of the greatest low, the middle middle and the least high of three sorted columns."""
     k = 2 * r + 1
-    return F.get(F.sort_array(F.concat(*[F.slice(line(d), i + 1, k) for d in range(-r, r + 1)])), F.lit(k * k // 2))
+    if k != 3:
+        return F.get(F.sort_array(F.concat(*[F.slice(line(d), i + 1, k) for d in range(-r, r + 1)])), F.lit(k * k // 2))
+    three = lambda a, b, c: (F.least(a, b, c), a + b + c - F.least(a, b, c) - F.greatest(a, b, c), F.greatest(a, b, c))
+    columns = [three(*[F.get(line(d), i + j) for d in (-1, 0, 1)]) for j in range(3)]
+    low, middle, high = zip(*columns, strict=True)
+    return three(F.greatest(*low), three(*middle)[1], F.least(*high))[1]
 
 
 def median_denoise(px: DataFrame, kernel_size: int = 3, value: str = "v", out: str = "v") -> DataFrame:
@@ -122,19 +148,22 @@ def median_denoise(px: DataFrame, kernel_size: int = 3, value: str = "v", out: s
     return _stencil(px, r, "replicate", value, out, lambda line, i: _middle(line, i, r))
 
 
-def lines_with(rows: DataFrame, r: int, border: str, out: str, of) -> DataFrame:
-    """rows (image_id, y, v: array) with array `out` of of(line, i), as in _stencil, without making pixels of them."""
+def line_pixels(rows: DataFrame, r: int, border: str, out: str, of) -> DataFrame:
+    """Pixels (KEYS, v) of scanlines (image_id, y, v: array) with `out`, of(line, i) as in _stencil; made for what is grouped at once."""
     near = around(rows, padded(F.col("v"), r, border), r, border)
-    return near.withColumn(out, F.transform("v", lambda _, i: of(lambda d: F.col("__near")[d + r], i))).drop("__near")
+    near = near.select("image_id", "y", *[F.get("__near", F.lit(d + r)).alias(f"__l{d + r}") for d in range(-r, r + 1)], F.posexplode("v").alias("x", "v"))
+    return near.select(*KEYS, "v", of(lambda d: F.col(f"__l{d + r}"), F.col("x")).alias(out))
 
 
 def laplacian_lines(rows: DataFrame) -> DataFrame:
-    return lines_with(rows, 1, "reflect101", "lap", _laplace)
+    """Pixels of scanlines with lap."""
+    return line_pixels(rows, 1, "reflect101", "lap", _laplace)
 
 
 def median_lines(rows: DataFrame, kernel_size: int = 3) -> DataFrame:
+    """Pixels of scanlines with med."""
     r = kernel_size // 2
-    return lines_with(rows, r, "replicate", "med", lambda line, i: _middle(line, i, r))
+    return line_pixels(rows, r, "replicate", "med", lambda line, i: _middle(line, i, r))
 
 
 def sharpen(px: DataFrame, amount: float = 0.5, sigma: float = 1.0) -> DataFrame:
@@ -146,22 +175,42 @@ def adaptive_threshold(px: DataFrame, block_size: int = 35, c: float = 11) -> Da
     return g.withColumn("v", F.when(F.col("v") > F.floor(F.col("g") + 0.5) - c, 255).otherwise(0)).drop("g")
 
 
-def _ellipse(k: int) -> list[bool]:
-    """The elliptic element of size k, row by row."""
+def _halves(k: int, shape: str) -> list[int]:
+    """How far the element of size k reaches to both sides, for each of its rows."""
     r = k // 2
-    out = []
-    for dy in range(-r, r + 1):
-        half = math.floor(r * math.sqrt((r * r - dy * dy) / (r * r)) + 0.5) if r else 0
-        out += [abs(dx) <= half for dx in range(-r, r + 1)]
-    return out
+    if shape == "rect" or not r:
+        return [r] * (2 * r + 1)
+    return [math.floor(r * math.sqrt((r * r - dy * dy) / (r * r)) + 0.5) for dy in range(-r, r + 1)]
+
+
+def _running(line: Column, half: int, pick) -> Column:
+    """The extreme of the places up to `half` to both sides; spans double until they suffice, so a place costs as many steps as half has bits."""
+    if not half:
+        return line
+    n, k, width = F.size(line), 2 * half + 1, 1
+    none = F.array_repeat(F.get(line, F.lit(-1)), half)
+    best = F.concat(none, line, none)
+    while width < k:
+        step = min(width, k - width)
+        best = F.zip_with(best, F.slice(best, step + 1, n + 2 * half), lambda a, b: pick(a, b))
+        width += step
+    return F.slice(best, 1, n)
 
 
 def _extreme(px: DataFrame, k: int, shape: str, value: str, out: str, least: bool, iterations: int = 1) -> DataFrame:
-    pick = F.array_min if least else F.array_max
+    """Extremes run along x, then along y: by windows where all rows of the element reach as far, else over the element's rows."""
+    pick = F.least if least else F.greatest
+    r, halves = k // 2, _halves(k, shape)
     for _ in range(iterations):
-        n = neighbours(px, k // 2, "ignore", value, "__n")
-        chosen = F.col("__n") if shape == "rect" else F.array(*[F.col("__n")[i] for i, on in enumerate(_ellipse(k)) if on])
-        px, value = n.withColumn(out, pick(F.filter(chosen, lambda e: e.isNotNull()))).drop("__n"), out
+        rows = scanlines(px).withColumn("__v", F.col(f"__row.{value}"))
+        if len(set(halves)) == 1:
+            rows = rows.withColumn("__v", _running(F.col("__v"), halves[0], pick))
+            near = around(rows, F.col("__v"), r, "ignore")
+            near = near.withColumns({f"__l{d}": F.get("__near", F.lit(d)) for d in range(2 * r + 1)}).drop("__near")
+        else:
+            near = around(rows, F.col("__v"), r, "ignore")
+            near = near.withColumns({f"__l{d}": _running(F.get("__near", F.lit(d)), halves[d], pick) for d in range(2 * r + 1)}).drop("__near")
+        px, value = _each(near, px, out, lambda i: pick(*[F.get(f"__l{d}", i) for d in range(2 * r + 1)]) if r else F.get("__v", i)), out
     return px
 
 

@@ -38,21 +38,13 @@ def digest(px):
     return px.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * (F.col("x") + 1)).alias("by_x"), F.sum(v * (F.col("y") + 1)).alias("by_y"))
 
 
-def digest_lines(rows):
-    """digest of scanlines (image_id, y, v); a line is summed before anything is grouped."""
-    total = lambda of: F.aggregate(F.transform("v", of), F.lit(0).cast("long"), lambda s, e: s + e)
-    one = rows.select("image_id", "y", F.size("v").cast("long").alias("n"), total(lambda v: v.cast("long")).alias("t"), total(lambda v, x: v.cast("long") * (x + 1)).alias("bx"))
-    return one.groupBy("image_id").agg(F.sum("n").alias("n"), F.sum("t").alias("total"), F.sum("bx").alias("by_x"), F.sum(F.col("t") * (F.col("y") + 1)).alias("by_y"))
-
-
 DIGEST = "SELECT image_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (x + 1)) AS BIGINT) AS by_x, CAST(sum(v * (y + 1)) AS BIGINT) AS by_y FROM out GROUP BY image_id"
 
 
 def treated(name: str, corpus, f, ctes: str, out: str):
     """Registers a treatment: f over a corpus; `ctes` and `out` (a SELECT) are its SQL."""
-    base = S.VECTOR if corpus is V else S.TEXT
-    seen = digest_lines if corpus is R.corpus_lines else digest
-    query(name, f"WITH {base}{', ' + ctes if ctes else ''}, out AS ({out}) {DIGEST}")(lambda spark, d: seen(f(corpus(spark, d))))
+    base = S.VECTOR if corpus is V else S.PAGES if corpus is R.pages else S.TEXT
+    query(name, f"WITH {base}{', ' + ctes if ctes else ''}, out AS ({out}) {DIGEST}")(lambda spark, d: digest(f(corpus(spark, d))))
 
 
 def clip8(e: str) -> str:
@@ -65,6 +57,7 @@ def trunc8(e: str) -> str:
 
 # sources
 query("s2_text_raster", f"WITH {S.TEXT}, out AS (SELECT * FROM raw) {DIGEST}")(lambda spark, d: digest(R.text_raster(R.read(spark, d, "documents"))))
+treated("s2_page_raster", R.pages, lambda px: px, "", "SELECT * FROM px")
 treated("s2_vector_raster", V, lambda px: px, "", "SELECT * FROM px")
 query("s6_image_record", f"WITH {S.TEXT} SELECT image_id, max(y) + 1 AS height, max(x) + 1 AS width FROM px GROUP BY image_id")(lambda spark, d: R.dimensions(T(spark, d)))
 
@@ -101,7 +94,7 @@ treated("p6_normalize", T, H.normalize, "e AS (SELECT *, min(v) OVER w AS lo, ma
 # stencils
 G1 = K.gaussian_kernel(0, 1.0)
 treated("k2_laplacian", T, lambda px: K.laplacian(px).withColumn("v", F.abs("lap")), S.around("px", "nb"), "SELECT image_id, y, x, abs(n1 + n3 + n5 + n7 - 4 * n4) AS v FROM nb")
-treated("k3_median", R.corpus_lines, lambda rows: K.median_lines(rows).select("image_id", "y", F.col("med").alias("v")), S.around("px", "nb", "replicate"), "SELECT image_id, y, x, list_sort([n0, n1, n2, n3, n4, n5, n6, n7, n8])[5] AS v FROM nb")
+treated("k3_median", R.corpus_lines, lambda rows: K.median_lines(rows).select("image_id", "y", "x", F.col("med").alias("v")), S.around("px", "nb", "replicate"), "SELECT image_id, y, x, list_sort([n0, n1, n2, n3, n4, n5, n6, n7, n8])[5] AS v FROM nb")
 for name, f, op in (("k6_erode", K.erode, "least"), ("k6_dilate", K.dilate, "greatest")):
     treated(name, T, f, S.around("px", "nb", "ignore"), f"SELECT image_id, y, x, {op}(n0, n1, n2, n3, n4, n5, n6, n7, n8) AS v FROM nb")
 for name, f, a, b in (("k7_open", K.morph_open, "least", "greatest"), ("k7_close", K.morph_close, "greatest", "least")):
@@ -120,7 +113,7 @@ treated("k9_bilateral", V, K.bilateral, f"""o(d) AS (VALUES (-2), (-1), (0), (1)
 pl AS (SELECT image_id, y, x, v, dy * dy + dx * dx AS dd, {mirror.replace('_', '(y + dy)')} AS ty, {mirror.replace('_', '(x + dx)')} AS tx FROM px, disc),
 w AS (SELECT a.image_id, a.y, a.x, q.v AS qv, exp(-a.dd / 1250.0::DOUBLE - pow(q.v - a.v, 2) / 1250.0::DOUBLE) AS w FROM pl a JOIN px q ON q.image_id = a.image_id AND q.y = a.ty AND q.x = a.tx)""", f"SELECT image_id, y, x, {clip8('sum(w * qv) / sum(w)')} AS v FROM w GROUP BY image_id, y, x")
 query("k10_non_local_means")(lambda spark, d: digest(K.non_local_means(V(spark, d))))
-element = ", ".join(f"({i // 5 - 2}, {i % 5 - 2})" for i, on in enumerate(K._ellipse(5)) if on)
+element = ", ".join(f"({i - 2}, {dx})" for i, half in enumerate(K._halves(5, "ellipse")) for dx in range(-half, half + 1))
 treated("k7_black_hat", V, K.black_hat, f"el(dy, dx) AS (VALUES {element}), di AS (SELECT p.image_id, p.y, p.x, any_value(p.v) AS was, max(q.v) AS v FROM px p CROSS JOIN el JOIN px q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL), cl AS (SELECT p.image_id, p.y, p.x, any_value(p.was) AS was, min(q.v) AS v FROM di p CROSS JOIN el JOIN di q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)", "SELECT image_id, y, x, greatest(0, v - was) AS v FROM cl")
 
 # histograms

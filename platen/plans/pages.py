@@ -10,6 +10,7 @@ from platen.operators.registry import smart_pipeline
 from platen.plans import measure as Q
 from platen.plans import sql as S
 from platen.sources import rasters as R
+from platen.sources.store import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +49,7 @@ query("g13_safe_crop", f"WITH {S.VECTOR}, sp AS (SELECT image_id, y, min(x) AS l
 query("g2_region_quads")(lambda spark, d: P.region_quads(V(spark, d)).select("image_id", "candidate", F.round("fit", 4).alias("fit")))
 query("a27_detect_boundary")(lambda spark, d: P.detect_boundary(V(spark, d), 0.5, 4).select("image_id", "score", "detected"))
 query("g7_estimate_skew")(lambda spark, d: P.estimate_skew(V(spark, d), 4))
-query("g8_detect_skew")(lambda spark, d: P.detect_skew(V(spark, d), 4, 4))
+query("g8_detect_skew")(lambda spark, d: P.detect_skew(V(spark, d), 4, 4, 3.0, 2))
 query("e4_skew_audit")(lambda spark, d: P.skew_audit(V(spark, d), threshold=4))
 
 
@@ -63,5 +64,58 @@ sp AS (SELECT image_id, side, CAST(floor(ax + (k / 19.0::DOUBLE) * (bx - ax) + 0
 wd AS (SELECT DISTINCT e.image_id, e.y + i AS y, e.x + j AS x, 1 AS hit FROM edges e, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)), ht AS (SELECT sp.image_id, side, avg(coalesce(hit, 0)) AS s FROM sp LEFT JOIN wd USING (image_id, y, x) GROUP BY ALL)
 SELECT image_id, round(0.7::DOUBLE * avg(s) + 0.3::DOUBLE * min(s), 6) AS support FROM ht GROUP BY image_id"""
 query("e5_edge_support", E5_SQL)(lambda spark, d: Q.rounded(support(spark, d), support=6))
-query("d15_prepare")(lambda spark, d: P.prepare(V(spark, d), 4, 0.5, 2)[1])
-query("d17_document_pipeline")(lambda spark, d: P.document_pipeline(V(spark, d), smart_pipeline, 4, 0.5, 2))
+#: Limits for rasters of 8 x 8 pixels.
+TINY = {"least_ring": 4, "accept": 0.5, "least_side": 2, "band": 2.5, "lines": False, "min_side": 4, "threshold": 5}
+query("d15_prepare")(lambda spark, d: P.prepare(V(spark, d), **TINY)[1])
+query("d17_document_pipeline")(lambda spark, d: P.document_pipeline(V(spark, d), smart_pipeline, **TINY))
+
+
+# Drawn pages: what was drawn says what has to be found, so the SQL of these queries knows nothing of how.
+def drawn(spark, d):
+    """The drawn pages, once."""
+    return cut(R.pages(spark, d))
+
+
+def truth(spark, d):
+    return R.page_truth(read(spark, d, "benchmark")).select("image_id", F.col("angle").alias("drawn"), F.col("corners").alias("true"))
+
+
+def boundary_pages(spark, d):
+    """Each page that was drawn, the detector that found it, and whether its corners lie within 3 pixels of the drawn ones."""
+    found = P.detect_boundary(drawn(spark, d), band=None, lines=True, min_side=80)
+    both = found.join(truth(spark, d), "image_id", "left")
+    far = F.array_max(F.zip_with("corners", "true", lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])))
+    return both.select("image_id", "detector", "detected", F.coalesce(far <= 3, F.lit(False)).alias("near"))
+
+
+query("g5_boundary_pages", f"WITH {S.FRAMES} SELECT image_id, CASE WHEN kind = {R.SPLIT} THEN 'lines' ELSE 'region' END AS detector, true AS detected, true AS near FROM fr WHERE kind <> {R.BLANK}")(boundary_pages)
+
+
+def skew_pages(spark, d):
+    """Whether each page's skew is found with the confidence that deskewing asks for, and lies within 0.75 degrees of the drawn one."""
+    found = P.detect_skew(drawn(spark, d)).join(truth(spark, d), "image_id", "left")
+    return found.select("image_id", (F.col("confidence") >= 0.7).alias("found"), F.coalesce(F.abs(F.col("angle") - F.col("drawn")) <= 0.75, F.lit(False)).alias("near"))
+
+
+query("g8_skew_pages", f"WITH {S.FRAMES} SELECT image_id, kind <> {R.BLANK} AS found, kind <> {R.BLANK} AS near FROM fr")(skew_pages)
+
+
+def border_pages(spark, d):
+    quads = truth(spark, d).select("image_id", F.lit(1).alias("candidate"), F.col("true").alias("corners"))
+    return P.border_contrast(drawn(spark, d), quads, None).select("image_id", F.round("border_contrast", 6).alias("border_contrast"))
+
+
+_AT = lambda a, b: f"(width - 1) / 2.0::DOUBLE + (c * ({a}) - s * ({b})) / 1000.0::DOUBLE, (height - 1) / 2.0::DOUBLE + (s * ({a}) + c * ({b})) / 1000.0::DOUBLE"
+_CORNERS = [_AT(a, b) for a, b in ((-R.PAGE_HALF, "-half"), (R.PAGE_HALF, "-half"), (R.PAGE_HALF, "half"), (-R.PAGE_HALF, "half"))]
+_SIDES = " UNION ALL ".join(f"SELECT image_id, {i} AS side, height, width, {', '.join(f'{v} AS {n}' for v, n in zip(_CORNERS[i].split(', ') + _CORNERS[(i + 1) % 4].split(', '), ('ax', 'ay', 'bx', 'y2'), strict=True))} FROM fr WHERE kind <> {R.BLANK}" for i in range(4))
+A27_SQL = f"""WITH {S.PAGES}, sd0 AS ({_SIDES}),
+sd AS (SELECT image_id, side, ax, ay, bx - ax AS dx, y2 - ay AS dy, greatest(5, CAST(floor(least(height, width) * 0.012::DOUBLE + 0.5) AS INTEGER)) AS z FROM sd0),
+p4 AS (SELECT p.*, s.side, s.dx * (p.y - s.ay) - s.dy * (p.x - s.ax) AS a, (p.x - s.ax) * s.dx + (p.y - s.ay) * s.dy AS t, s.dx * s.dx + s.dy * s.dy AS l, (z + CASE WHEN z % 2 = 0 THEN 1 ELSE 0 END) / 2.0::DOUBLE AS r FROM px p JOIN sd s USING (image_id)),
+pi AS (SELECT *, min(a) OVER (PARTITION BY image_id, y, x) >= 0 AS inside FROM p4),
+h AS (SELECT image_id, inside, v // 8 AS bin, count(*) AS n FROM pi WHERE t BETWEEN 0 AND l AND a * a <= r * r * l GROUP BY ALL),
+q AS (SELECT *, n / sum(n) OVER (PARTITION BY image_id, inside) AS p, sum(n) OVER (PARTITION BY image_id, inside) AS total FROM h),
+b AS (SELECT i.image_id, i.bin, i.p, i.total FROM q i WHERE i.inside), o AS (SELECT image_id, bin, p, total FROM q WHERE NOT inside),
+d AS (SELECT coalesce(b.image_id, o.image_id) AS image_id, sum(2 * pow(coalesce(b.p, 0) - coalesce(o.p, 0), 2) / (coalesce(b.p, 0) + coalesce(o.p, 0))) AS chi FROM b FULL JOIN o ON b.image_id = o.image_id AND b.bin = o.bin GROUP BY 1)
+SELECT image_id, round(greatest(0, least(1, chi / 2)), 6) AS border_contrast FROM d"""
+query("a27_border_pages", A27_SQL)(border_pages)
+query("d15_prepare_pages")(lambda spark, d: P.prepare(drawn(spark, d))[1].select("image_id", "boundary", "deskew", "status"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from platen.sources.rasters import CONDITIONS, WIDTH
+from platen.sources.rasters import COLUMNS, CONDITIONS, LINE, MARGIN, PAGE_HALF, PAGE_LEAST, PAGE_VALUE, TILTS, WIDTH
 
 _CASES = " ".join(f"WHEN {k} THEN {e.replace(' div ', ' // ')}" for k, e in CONDITIONS.items())
 
@@ -21,6 +21,17 @@ px AS MATERIALIZED (SELECT image_id, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS
   CAST(CASE WHEN hi > lo THEN floor(255 * (c - lo) / (hi - lo) + 0.5) ELSE 0 END AS INTEGER) AS v FROM flat)"""
 
 
+#: Drawn pages' frames as `fr`, and their pixels as `px`.
+FRAMES = f"""
+f0 AS (SELECT item_id AS image_id, coalesce(text, '') AS text, CAST(item_id % 4 AS INTEGER) AS kind, [{', '.join(str(c) for c, _ in TILTS)}][item_id % 7 + 1] AS c, [{', '.join(str(s) for _, s in TILTS)}][item_id % 7 + 1] AS s,
+  CAST(greatest({PAGE_LEAST}, {MARGIN + 1} + {LINE // 2} * ceil(length(coalesce(text, '')) / {COLUMNS})) AS INTEGER) AS half FROM benchmark),
+fr AS (SELECT *, CAST(2 * half + 60 + (2 * abs(s) * {PAGE_HALF}) // 1000 AS INTEGER) AS height, CAST({2 * PAGE_HALF + 80} + (2 * abs(s) * half) // 1000 AS INTEGER) AS width FROM f0)"""
+PAGES = f"""{FRAMES},
+fy AS (SELECT *, unnest(range(height)) AS y FROM fr), fx AS (SELECT *, unnest(range(width)) AS x FROM fy),
+uw AS (SELECT *, c * (2 * x - width + 1) + s * (2 * y - height + 1) AS u, c * (2 * y - height + 1) - s * (2 * x - width + 1) AS w FROM fx),
+px AS MATERIALIZED (SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST({PAGE_VALUE.format(u='u', w='w', div='//')} AS INTEGER) AS v FROM uw)"""
+
+
 def around(src: str, out: str, border: str = "reflect101", value: str = "v", keep: str = "v") -> str:
     """CTE `out`: the 3 x 3 neighbourhood n0..n8 of each pixel of `src`."""
     fill = {"reflect101": "coalesce({a}, {b}, {v})", "replicate": "coalesce({a}, {v})", "ignore": "{a}"}[border]

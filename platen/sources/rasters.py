@@ -48,7 +48,8 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The conditioned text rasters as scanlines: image_id, y, v (array); no pixel becomes a row."""
     text = F.col(text_col)
     rows = docs.where(text.isNotNull() & (text != "")).select(F.col(id_col).cast("long").alias("image_id"), F.concat(text, F.expr(f"repeat(' ', pmod(-length({text_col}), {width}))")).alias("t"))
-    codes = rows.repartition("image_id").select("image_id", F.transform(F.split("t", ""), lambda c: F.ascii(c) % 256).alias("c"))
+    # dealt out for parsing only; what looks at neighbours deals lines out by image and band
+    codes = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("image_id", F.transform(F.split("t", ""), lambda c: F.ascii(c) % 256).alias("c"))
     lines = codes.select("image_id", "c", F.explode(F.sequence(F.lit(0), F.expr(f"cast(size(c) div {width} as int) - 1"))).alias("y"))
     v = F.slice("c", F.col("y") * width + 1, width)
     cases = " ".join(f"when {k} then transform(v, (v, x) -> cast({e} as int))" for k, e in CONDITIONS.items())
@@ -84,6 +85,54 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_raster(read(spark, sf_dir, "embeddings"))
 
 
+#: Drawn pages. Directions (cosine and sine in thousandths) by image_id % 7; half the page's width, its margin, lines of text and characters in pixels.
+TILTS = ((1000, 0), (999, 35), (998, -70), (995, 105), (999, -35), (998, 70), (995, -105))
+PAGE_HALF, PAGE_LEAST, MARGIN, LINE, INK, CELL, COLUMNS = 110, 60, 11, 12, 5, 6, 33
+#: Kinds by image_id % 4: a page on a dark ground, one on a ground whose right half is brighter than the page, one on a shaded ground, no page.
+DARK, SPLIT, SHADED, BLANK = range(4)
+
+
+def page_frames(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """image_id, text, kind, c, s (direction), half (half the page's height), height, width of a page for each text. The page grows with its text."""
+    image, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    tilt = F.get(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in TILTS]), F.pmod(image, F.lit(7)).cast("int"))
+    half = F.greatest(F.lit(PAGE_LEAST), F.lit(MARGIN + 1) + LINE // 2 * F.ceil(F.length(text) / COLUMNS)).cast("int")
+    d = items.select(image.alias("image_id"), text.alias("text"), F.pmod(image, F.lit(4)).cast("int").alias("kind"), tilt["c"].alias("c"), tilt["s"].alias("s"), half.alias("half"))
+    return d.withColumns({"height": F.expr(f"cast(2 * half + 60 + (2 * abs(s) * {PAGE_HALF}) div 1000 as int)"), "width": F.expr(f"cast({2 * PAGE_HALF + 80} + (2 * abs(s) * half) div 1000 as int)")})
+
+
+def page_raster(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """A drawn page for each text, whole: a tilted sheet about the middle of its ground, with the text's characters as dark cells in lines of COLUMNS. All in whole numbers."""
+    # few rows become many, so their number says how to deal them, not their size
+    f = page_frames(items, id_col, text_col).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    px = f.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    px = px.withColumns({"u": F.expr("c * (2 * x - width + 1) + s * (2 * y - height + 1)"), "w": F.expr("c * (2 * y - height + 1) - s * (2 * x - width + 1)")})
+    return px.select(*KEYS, F.expr(PAGE_VALUE.format(u="u", w="w", div="div")).cast("int").alias("v"))
+
+
+#: Value of a pixel; {u} and {w}, its place along and across the page's lines in half thousandths of a pixel, from the middle of the page.
+PAGE_VALUE = f"""case when kind = {BLANK} then 220
+when abs({{u}}) > {2000 * PAGE_HALF} or abs({{w}}) > 2000 * half then case kind when {SPLIT} then case when 2 * x < width then 45 else 245 end when {SHADED} then 40 + x {{div}} 8 else 45 end
+when {{u}} + {2000 * (PAGE_HALF - MARGIN)} >= 0 and {{u}} + {2000 * (PAGE_HALF - MARGIN)} < {2000 * CELL * COLUMNS} and {{w}} + 2000 * (half - {MARGIN + 1}) >= 0
+  and ({{w}} + 2000 * (half - {MARGIN + 1})) % {2000 * LINE} < {2000 * INK}
+  and substring(text, cast((({{w}} + 2000 * (half - {MARGIN + 1})) {{div}} {2000 * LINE}) * {COLUMNS} + ({{u}} + {2000 * (PAGE_HALF - MARGIN)}) {{div}} {2000 * CELL} + 1 as int), 1) > ' ' then 30
+when kind = {SPLIT} then 150 else 235 end"""
+
+
+def page_truth(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """page_frames with angle (degrees) and corners (top left, top right, bottom right, bottom left) of each page as drawn."""
+    f = page_frames(items, id_col, text_col).where(F.col("kind") != BLANK)
+    at = lambda a, b: F.struct(((F.col("width") - 1) / 2 + (F.col("c") * a - F.col("s") * b) / 1000).alias("x"), ((F.col("height") - 1) / 2 + (F.col("s") * a + F.col("c") * b) / 1000).alias("y"))
+    h = F.col("half")
+    corners = F.array(at(F.lit(-PAGE_HALF), -h), at(F.lit(PAGE_HALF), -h), at(F.lit(PAGE_HALF), h), at(F.lit(-PAGE_HALF), h))
+    return f.withColumns({"angle": F.degrees(F.atan2(F.col("s").cast("double"), F.col("c").cast("double"))), "corners": corners})
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn pages of all benchmark items."""
+    return page_raster(read(spark, sf_dir, "benchmark"))
+
+
 def dimensions(px: DataFrame) -> DataFrame:
     """image_id, height, width."""
     return px.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))

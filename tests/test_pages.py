@@ -50,7 +50,7 @@ def test_each_image_ends_in_one_row(spark):
         seen.append({r["image_id"] for r in px.select("image_id").distinct().collect()})
         return px.select("image_id").distinct().selectExpr("image_id", "'treated' as final")
 
-    got = prepare.document_pipeline(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), treat, 50, least_side=2).collect()
+    got = prepare.document_pipeline(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), treat, least_ring=50, least_side=2, band=2.5, lines=False, min_side=4, threshold=5).collect()
     # the page is under 40 pixels high, so its check rejects it (and by default it is not rectified at all); the flat image has no boundary
     assert {r["image_id"]: r["final"] for r in got} == {1: "review_required", 2: "stopped"} and len(got) == 2 and seen == [set()]
 
