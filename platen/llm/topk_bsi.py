@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ._store import cut
 
-#: Rows of a block at most and at least, and components; queries that meet one copy of a block.
-BLOCK_ROWS, LEAST_ROWS, BLOCK_VALUES, QUERY_ROWS = 1 << 16, 1 << 15, 1 << 22, 1 << 16
+#: Rows of a block at most and at least, and components; queries that meet one copy of a block, at most and, where there are more tasks than blocks, at least.
+BLOCK_ROWS, LEAST_ROWS, BLOCK_VALUES, QUERY_ROWS, LEAST_QUERIES = 1 << 16, 1 << 15, 1 << 22, 1 << 16, 16
 
 
 class BitSlices:
@@ -122,17 +122,20 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Candidates are all rows but those of the query's own id. Rows with a null id, a null vector, null or non-finite
     components take no part. Of vectors of different lengths the shorter one counts as if zeros followed. Repeated rows are
-    each candidates, and repeated query rows give one answer. An empty table gives no rows. Components and scores are
+    each candidates; of the query rows of one id the least vector asks, so there is one answer. An empty table gives no rows. Components and scores are
     64-bit integers; one that doesn't fit ends the job with an error.
 
     Rows are dealt into blocks, and a task reads a block first, indexes it, and then streams the queries past it. A block
-    is sent once for every QUERY_ROWS queries, a query once to every block.
+    is sent once for every QUERY_ROWS queries, a query once to every block. Where there are fewer blocks than tasks, queries are
+    split instead, and a block is sent once to each part of them.
     """
     rows = cut(quantised(vectors, id_col, vector_col, scale))
     n, wide = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
-    size = max(64, min(BLOCK_ROWS, BLOCK_VALUES // max(1, wide), max(LEAST_ROWS, -(-n // vectors.sparkSession.sparkContext.defaultParallelism))))
-    n_blocks, n_parts = max(1, -(-n // size)), max(1, -(-queries.count() // QUERY_ROWS))
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    size = max(64, min(BLOCK_ROWS, BLOCK_VALUES // max(1, wide), max(LEAST_ROWS, -(-n // tasks))))
+    n_blocks, asks = max(1, -(-n // size)), queries.count()
+    n_parts = max(1, -(-asks // QUERY_ROWS), min(-(-tasks // n_blocks), -(-asks // LEAST_QUERIES)))
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     blocks = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)).cast("int")).withColumn("part", spread(n_parts))
     asked = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int")).withColumn("block", spread(n_blocks))

@@ -132,3 +132,15 @@ def test_blocks_and_parts(frame, monkeypatch):
     for q in range(0, 500, 20):
         near = sorted((-int(rows[q] @ rows[i]), i) for i in range(500) if i != q)[:5]
         assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == near
+
+
+def test_least_vector_of_a_repeated_query_id_asks(frame):
+    """Two rows of one query id with other vectors give one answer, the same one however the rows are dealt."""
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(1, 90)] + [(20, [1.0, 2.0]), (20, [0.5, 9.0]), (20, [3.0, 0.0])]
+    shape = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    table = frame([{"vec_id": i, "embedding": v} for i, v in rows], shape)
+    first = {tuple(r) for r in top_k(table, k=5, scale=64.0).where("query_id = 20").collect()}
+    again = {tuple(r) for r in top_k(table.repartition(7), k=5, scale=64.0).where("query_id = 20").collect()}
+    least = min([int(64 * c) for c in v] for i, v in rows if i == 20)
+    best = sorted((-sum(a * int(64 * b) for a, b in zip(least, v, strict=True)), i) for i, v in rows if i != 20)[:5]
+    assert first == again == {(20, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
