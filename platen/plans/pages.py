@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from platen.operators import prepare as P
 from platen.operators.edges import auto_thresholds, canny
+from platen.operators.geometry import min_area_angle
 from platen.operators.registry import smart_pipeline
 from platen.plans import measure as Q
 from platen.plans import sql as S
@@ -119,3 +120,16 @@ d AS (SELECT coalesce(b.image_id, o.image_id) AS image_id, sum(2 * pow(coalesce(
 SELECT image_id, round(greatest(0, least(1, chi / 2)), 6) AS border_contrast FROM d"""
 query("a27_border_pages", A27_SQL)(border_pages)
 query("d15_prepare_pages")(lambda spark, d: P.prepare(drawn(spark, d))[1].select("image_id", "boundary", "deskew", "status"))
+
+
+def angle_pages(spark, d):
+    """Whether the smallest rectangle about each sheet (but those on a half-bright ground) has the drawn direction within half a degree, and the drawn area within 2 %."""
+    f = R.page_frames(read(spark, d, "benchmark")).where(F.col("kind").isin(R.DARK, R.SHADED)).select("image_id", "half")
+    sheet = drawn(spark, d).where("v >= 200").join(f.select("image_id"), "image_id", "left_semi")
+    found = min_area_angle(sheet).join(truth(spark, d), "image_id").join(f, "image_id")
+    turned = F.pmod(F.col("angle") - F.col("drawn"), F.lit(90.0))
+    area = F.lit(4.0 * R.PAGE_HALF) * F.col("half")
+    return found.select("image_id", (F.least(turned, 90 - turned) <= 0.5).alias("near"), (F.abs(F.col("area") / area - 1) <= 0.02).alias("same_area"))
+
+
+query("a28_angle_pages", f"WITH {S.FRAMES} SELECT image_id, true AS near, true AS same_area FROM fr WHERE kind IN ({R.DARK}, {R.SHADED})")(angle_pages)

@@ -125,7 +125,7 @@ def sides(spark, d):
 
 
 SIDES = f"""{SG}, n AS (SELECT image_id, {UID} AS id, length, CASE WHEN id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS family, CAST(y1 AS DOUBLE) AS "offset", {NORMAL} AS l FROM sg),
-r AS (SELECT *, row_number() OVER (PARTITION BY image_id, family ORDER BY "offset", id) AS u, row_number() OVER (PARTITION BY image_id, family ORDER BY "offset" DESC, id) AS w FROM n), e AS (SELECT *, 'low' AS side FROM r WHERE u <= 2 UNION ALL SELECT *, 'high' FROM r WHERE w <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, family ORDER BY "offset", id) AS u, row_number() OVER (PARTITION BY image_id, family ORDER BY "offset" DESC, id) AS w FROM n), e AS MATERIALIZED (SELECT *, 'low' AS side FROM r WHERE u <= 2 UNION ALL SELECT *, 'high' FROM r WHERE w <= 2),
 q AS (SELECT a.image_id, a.id AS a, b.id AS b, c.id AS c, d.id AS d, (a.length + b.length + c.length + d.length) / 4 AS support, a.l.nx * c.l.ny - c.l.nx * a.l.ny AS t0, a.l.d * c.l.ny - c.l.d * a.l.ny AS x0, a.l.nx * d.l.ny - d.l.nx * a.l.ny AS t1, b.l.nx * d.l.ny - d.l.nx * b.l.ny AS t2, b.l.nx * c.l.ny - c.l.nx * b.l.ny AS t3
 FROM e a JOIN e b ON a.image_id = b.image_id AND a.family = 'primary' AND b.family = 'primary' AND a.side = 'low' AND b.side = 'high' AND a.id <> b.id JOIN e c ON c.image_id = a.image_id AND c.family = 'secondary' AND c.side = 'low' JOIN e d ON d.image_id = a.image_id AND d.family = 'secondary' AND d.side = 'high' AND c.id <> d.id)"""
 query("j11_quad_candidates", f"WITH {SIDES} SELECT image_id, a, b, c, d, support, x0 / t0 AS x FROM q WHERE abs(t0) > 1e-9 AND abs(t1) > 1e-9 AND abs(t2) > 1e-9 AND abs(t3) > 1e-9")(

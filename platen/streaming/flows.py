@@ -39,13 +39,19 @@ def stream_decision_counts(decisions: DataFrame, window: str = "1 hour", late: s
 LEDGER = "image_id long, priority int, operation_id string, step_status string"
 
 
-def stream_attempts(attempts: DataFrame, most_accepted: int = 1, most_attempts: int = 4) -> DataFrame:
+def stream_attempts(attempts: DataFrame, most_accepted: int = 1, most_attempts: int = 4, ts: str | None = None, late: str = "10 minutes", keep_ms: int = 3_600_000) -> DataFrame:
     """Step status of arriving attempts (image_id, priority, operation_id, eligible, decision) by image: one accepted, four tried, none twice.
 
     The state of an image is its accepted and tried counts and the operations tried; the batch form is rules.enhancement_loop.
+    With a time column `ts`, an image's state ends `keep_ms` after its last attempt, once the watermark (`late` behind the newest attempt) has passed
+    that. Attempts older than the watermark are dropped; a newer one of an image whose state has ended begins a new ledger. Without it,
+    state stays as long as the stream.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         accepted, tried, seen = state.get if state.exists else (0, 0, "")
         names = set(seen.split("\n")) - {""}
         rows = pd.concat(list(batches)).sort_values(["priority", "operation_id"])
@@ -61,6 +67,10 @@ def stream_attempts(attempts: DataFrame, most_accepted: int = 1, most_attempts:
             names.add(r.operation_id)
             out.append((key[0], r.priority, r.operation_id, status))
         state.update((accepted, tried, "\n".join(sorted(names))))
+        if ts:
+            state.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
         yield pd.DataFrame(out, columns=["image_id", "priority", "operation_id", "step_status"])
 
-    return attempts.groupBy("image_id").applyInPandasWithState(step, LEDGER, "accepted int, tried int, seen string", "append", GroupStateTimeout.NoTimeout)
+    timed = attempts.withWatermark(ts, late) if ts else attempts
+    end = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return timed.groupBy("image_id").applyInPandasWithState(step, LEDGER, "accepted int, tried int, seen string", "append", end)

@@ -75,3 +75,24 @@ def test_ingest_each_once(spark, tmp_path):
     assert {r["reject_code"] for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {"UNSUPPORTED_FILE_TYPE", "UNREADABLE_IMAGE"}
     found = spark.read.parquet(str(tmp_path / "d")).collect()
     assert found and {r["image_id"] for r in found} == {1} and len({r["code"] for r in found}) == len(found)
+
+
+def test_state_of_the_ledger_ends(spark, tmp_path):
+    """After an hour without attempts an image's state is gone: its operations aren't known any more, and the state store shrinks."""
+    shape = "image_id long, priority int, operation_id string, eligible boolean, decision string, ts timestamp"
+    query = None
+    seen, kept = [], []
+    for hour, images in ((0, (1, 2, 3)), (1, (2,)), (5, (4,)), (6, (1, 4))):
+        rows = [(i, 1, "clahe", True, "rejected", hour) for i in images]
+        part = spark.createDataFrame(rows, "image_id long, priority int, operation_id string, eligible boolean, decision string, hour int")
+        part.selectExpr("image_id", "priority", "operation_id", "eligible", "decision", f"timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {hour}, 0, 0) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if query is None:
+            query = stream_attempts(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), ts="ts").writeStream.format("memory").queryName("ending").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        seen.append(sorted((r["image_id"], r["step_status"]) for r in spark.sql("SELECT * FROM ending").collect())[:])
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    query.stop()
+    assert seen[0] == [(1, "rejected"), (2, "rejected"), (3, "rejected")]
+    assert (2, "skipped") in seen[1]
+    assert seen[3].count((1, "rejected")) == 2 and (4, "skipped") in seen[3]  # 1 begins anew, 4 is still known
+    assert kept[2] < 4 and kept[3] <= 2
