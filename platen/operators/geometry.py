@@ -318,13 +318,20 @@ def cell_means(px: DataFrame, k: int = 4) -> DataFrame:
     return px.groupBy("image_id", F.expr(f"y div {k}").cast("int").alias("y"), F.expr(f"x div {k}").cast("int").alias("x")).agg(clip8(F.round(F.avg("v"), 6)).alias("v"))
 
 
+def line_report(segments: DataFrame, within: float = 20.0) -> DataFrame:
+    """image_id, lines, level (lines within `within` degrees of level) and weighted_angle, their mean angle weighted by length; null where there are none."""
+    level = F.abs("angle") <= within
+    weight = F.sum(F.when(level, F.col("length")))
+    return segments.groupBy("image_id").agg(F.count("*").alias("lines"), F.count_if(level).alias("level"), F.when(weight > 0, F.sum(F.when(level, F.col("length") * F.col("angle"))) / weight).alias("weighted_angle"))
+
+
 def thumbnail(px: DataFrame, most_width: int = 720, most_height: int = 960) -> DataFrame:
-    """Each image within the bounds, by area averages; scale is min(1, most_width / width, most_height / height), so smaller images stay as they are."""
+    """Each image within the bounds, by area averages; scale is min(1, most_width / width, most_height / height), so smaller images stay as they are. Sides are rounded half to even."""
     from platen.operators.preservation import match_size
 
     d = dimensions(px)
     scale = F.least(F.lit(1.0), most_width / F.col("width"), most_height / F.col("height"))
-    side = lambda c: F.greatest(F.lit(1), F.floor(F.round(F.col(c) * scale, 6)).cast("int"))
+    side = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * scale).cast("int"))
     return match_size(px, d.select("image_id", side("height").alias("height"), side("width").alias("width")))
 
 

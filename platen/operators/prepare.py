@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platen.functions.scalars import is_convex, norm_angle, order_corners, quad_area
@@ -30,9 +30,10 @@ from platen.operators.geometry import (
     touched_sides,
     unique_lines,
 )
-from platen.operators.histogram import clahe, otsu
+from platen.operators.histogram import clahe, otsu, to_gray
 from platen.operators.metrics import as_lines
 from platen.operators.stencil import gaussian, morph_close
+from platen.sources.intake import read_rasters
 from platen.sources.rasters import KEYS, dimensions
 from platen.sources.store import cut
 
@@ -311,3 +312,14 @@ def document_pipeline(px: DataFrame, treat: Callable[[DataFrame], DataFrame], **
     out = treat(pages.join(log.where("status = 'accept'").select("image_id"), "image_id", "left_semi"))
     rest = log.where("status <> 'accept'").select("image_id", F.when(F.col("status") == "stopped", "stopped").otherwise("review_required").alias("final"))
     return out.unionByName(rest, allowMissingColumns=True)
+
+
+def process_files(spark: SparkSession, path: str, treat: Callable[[DataFrame], DataFrame], **limits) -> DataFrame:
+    """original_name, image_id, reject_code, and document_pipeline's columns for every image file under `path`: gate, gray, preparation, treatment, decision.
+
+    A file that the gate rejects has final `rejected`. Limits as in prepare.
+    """
+    records, bands = read_rasters(spark, path)
+    done = document_pipeline(cut(to_gray(bands).repartition("image_id")), treat, **limits)
+    out = records.select("image_id", "original_name", "reject_code").join(done, "image_id", "left")
+    return out.withColumn("final", F.when(F.col("reject_code").isNotNull(), "rejected").otherwise(F.col("final")))

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from platen.operators import prepare as P
 from platen.operators.edges import auto_thresholds, canny
-from platen.operators.geometry import min_area_angle
+from platen.operators.geometry import min_area_angle, thumbnail
+from platen.operators.histogram import to_gray
 from platen.operators.registry import smart_pipeline
 from platen.plans import measure as Q
 from platen.plans import sql as S
 from platen.sources import rasters as R
-from platen.sources.store import cut
+from platen.sources.intake import read_rasters, write_images
+from platen.sources.store import cut, new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +135,25 @@ def angle_pages(spark, d):
 
 
 query("a28_angle_pages", f"WITH {S.FRAMES} SELECT image_id, true AS near, true AS same_area FROM fr WHERE kind IN ({R.DARK}, {R.SHADED})")(angle_pages)
+
+
+# Files: the drawn pages are written as images and read back.
+def pages_as_files(spark, d):
+    """Digest of every drawn page after the round trip through image files, and what the gate says of its file."""
+    folder = new_folder(spark, "images")
+    write_images(drawn(spark, d), folder)
+    records, bands = read_rasters(spark, folder)
+    own = records.select("image_id", F.regexp_extract("original_name", r"^(-?\d+)\.png$", 1).cast("long").alias("page"), "height", "width", F.coalesce("reject_code", F.lit("accepted")).alias("gate"))
+    return Q.digest(to_gray(bands)).join(own, "image_id").drop("image_id").withColumnRenamed("page", "image_id")
+
+
+query("s1_s7_image_files", f"WITH {S.PAGES}, out AS (SELECT * FROM px), dg AS ({Q.DIGEST}) SELECT dg.*, height, width, 'accepted' AS gate FROM dg JOIN fr USING (image_id)")(pages_as_files)
+#: A bound that the drawn pages exceed in one side or both.
+THUMB = (120, 160)
+S12_SQL = f"""WITH {S.PAGES}, sc AS (SELECT image_id, height AS h, width AS w, least(1.0::DOUBLE, {THUMB[0]} / width::DOUBLE, {THUMB[1]} / height::DOUBLE) AS k FROM fr),
+gl AS (SELECT *, CAST(greatest(1, round_even(h * k, 0)) AS INTEGER) AS th, CAST(greatest(1, round_even(w * k, 0)) AS INTEGER) AS tw FROM sc),
+cy AS (SELECT p.*, h, w, th, tw, unnest(range(p.y * th // h, ((p.y + 1) * th - 1) // h + 1)) AS ty FROM px p JOIN gl USING (image_id)),
+ov AS (SELECT *, unnest(range(x * tw // w, ((x + 1) * tw - 1) // w + 1)) AS tx FROM cy),
+wt AS (SELECT image_id, ty AS y, tx AS x, v, (least((y + 1) * th, (ty + 1) * h) - greatest(y * th, ty * h)) * (least((x + 1) * tw, (tx + 1) * w) - greatest(x * tw, tx * w)) AS o FROM ov),
+out AS (SELECT image_id, y, x, {Q.clip8('round(sum(o::DOUBLE * v) / sum(o), 6)')} AS v FROM wt GROUP BY ALL) {Q.DIGEST}"""
+query("s12_bounded_thumbnail", S12_SQL)(lambda spark, d: Q.digest(thumbnail(drawn(spark, d), *THUMB)))

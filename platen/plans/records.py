@@ -96,6 +96,7 @@ query("w7_extreme_lines", f"WITH {SG}, o AS ({OFFSETS}), r AS (SELECT *, row_num
     lambda spark, d: G.extremes(segments(spark, d).select("image_id", "id", F.lit("p").alias("family"), F.col("y1").cast("double").alias("offset"))).select("image_id", "id", "side")
 )
 query("w6_line_report", f"WITH {SG} SELECT image_id, id, length FROM sg ORDER BY length DESC, image_id, id LIMIT 30")(lambda spark, d: segments(spark, d).orderBy(F.desc("length"), "image_id", "id").limit(30).select("image_id", "id", "length"))
+query("w6_weighted_angle", f"WITH {SG} SELECT image_id, count(*) AS lines, count(*) FILTER (abs(angle) <= 20) AS level, round(sum(length * angle) FILTER (abs(angle) <= 20) / sum(length) FILTER (abs(angle) <= 20), 6) AS weighted_angle FROM sg GROUP BY image_id")(lambda spark, d: Q.rounded(G.line_report(segments(spark, d)), weighted_angle=6))
 query("w2_longest_per_image", f"WITH {SG} SELECT image_id, id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY length DESC, id) AS k FROM sg) WHERE k <= 2")(lambda spark, d: segments(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("length"), "id"))).where("k <= 2").select("image_id", "id"))
 query("w3_best_per_image", f"WITH {SG} SELECT image_id, arg_min(id, (-length, id)) AS id FROM sg GROUP BY image_id")(lambda spark, d: segments(spark, d).groupBy("image_id").agg(F.min_by("id", F.struct(-F.col("length"), "id")).alias("id")))
 query("w4_first_occurrence", "SELECT l_partkey, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey FROM lineitem GROUP BY l_partkey")(lambda spark, d: read(spark, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))).where("k = 1").select("l_partkey", "l_orderkey"))

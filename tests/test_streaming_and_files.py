@@ -2,8 +2,12 @@ import json
 import struct
 import zlib
 
+from pyspark.sql import functions as F
+
+from platen.operators.prepare import process_files
 from platen.operators.rules import enhancement_loop
-from platen.sources.intake import list_corpus, mint_id, read_manifest, scan_images, unpack, write_manifest, write_report, write_results
+from platen.plans.pages import TINY
+from platen.sources.intake import list_corpus, mint_id, read_manifest, read_rasters, scan_images, unpack, write_images, write_manifest, write_report, write_results
 from platen.streaming.flows import stream_attempts, stream_decision_counts, stream_ingest
 
 ATTEMPTS = "image_id long, priority int, operation_id string, eligible boolean, decision string"
@@ -96,3 +100,33 @@ def test_state_of_the_ledger_ends(spark, tmp_path):
     assert (2, "skipped") in seen[1]
     assert seen[3].count((1, "rejected")) == 2 and (4, "skipped") in seen[3]  # 1 begins anew, 4 is still known
     assert kept[2] < 4 and kept[3] <= 2
+
+
+def test_files_from_gate_to_decision(spark, tmp_path):
+    """A bright sheet, an empty ground, a file that is no image, one that is too large and one that isn't allowed; limits for small pictures."""
+    (tmp_path / "sheet.png").write_bytes(png([[230 if 4 <= x < 20 and 4 <= y < 18 else 20 for x in range(24)] for y in range(22)]))
+    (tmp_path / "dark.png").write_bytes(png([[20] * 24] * 22))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "broken.png").write_bytes(b"not an image")
+    (tmp_path / "notes.txt").write_text("x")
+    (tmp_path / "huge.png").write_bytes(b"\0" * (20 * 1024 * 1024 + 1))
+    taken = lambda px: px.select("image_id").distinct().withColumn("final", F.lit("accepted"))
+    rows = process_files(spark, str(tmp_path), taken, **TINY).collect()
+    found = {r["original_name"]: (r["reject_code"], r["final"]) for r in rows}
+    assert len(rows) == len(found) == 5
+    assert found["broken.png"] == ("UNREADABLE_IMAGE", "rejected") and found["notes.txt"] == ("UNSUPPORTED_FILE_TYPE", "rejected") and found["huge.png"] == ("FILE_TOO_LARGE", "rejected")
+    assert found["dark.png"] == (None, "stopped")
+    assert found["sheet.png"][0] is None and found["sheet.png"][1] in ("accepted", "review_required")
+
+
+def test_bands_of_files(spark, tmp_path):
+    """Colour files keep their three bands, gray ones have them equal, and an empty folder has no rows."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rgb = b"".join(b"\0" + bytes([v, 0, 255, 10, v, 13]) for v in (0, 92))
+    (tmp_path / "c.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rgb)) + chunk(b"IEND", b""))
+    (tmp_path / "g.png").write_bytes(png([[0, 10, 92]]))
+    records, bands = read_rasters(spark, str(tmp_path))
+    names = {r["image_id"]: (r["original_name"], r["height"], r["width"], r["reject_code"]) for r in records.collect()}
+    assert sorted(names.values()) == [("c.png", 2, 2, None), ("g.png", 1, 3, None)]
+    got = {(names[r["image_id"]][0], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in bands.collect()}
+    assert got == {("c.png", 0, 0): (0, 0, 255), ("c.png", 0, 1): (10, 0, 13), ("c.png", 1, 0): (92, 0, 255), ("c.png", 1, 1): (10, 92, 13), **{("g.png", 0, x): (v,) * 3 for x, v in enumerate((0, 10, 92))}}
