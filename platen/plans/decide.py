@@ -152,3 +152,24 @@ query("j2_match_size", f"WITH {S.VECTOR}, ov AS (SELECT p.image_id, t.t AS y, u.
 )
 for name, treat in (("a21_d7_d8_median_report", K.median_denoise), ("a21_d7_d8_threshold_report", lambda px: global_threshold(px, 127))):
     query(name)(lambda spark, d, treat=treat: P.verify_preservation(corpus(spark, d), treat(corpus(spark, d))).withColumn("warnings", F.to_json("warnings")))
+
+
+# Preservation metrics of pairs: every vector raster against itself in four steps of gray.
+def stepped(spark, d):
+    return R.vectors(spark, d).select(*R.KEYS, F.col("v").alias("v0"), (F.col("v") - F.col("v") % 64).alias("v1"))
+
+
+_STRETCH = lambda c: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN {Q.clip8(f'({c} - min({c}) OVER w) * 255::DOUBLE / (max({c}) OVER w - min({c}) OVER w)')} ELSE 0 END AS v"
+STACKED = f"""{S.VECTOR}, pr AS (SELECT image_id, y, x, v AS v0, v - v % 64 AS v1 FROM px),
+st AS MATERIALIZED (SELECT image_id * 4 AS image_id, y, x, {_STRETCH('v0')} FROM pr WINDOW w AS (PARTITION BY image_id) UNION ALL SELECT image_id * 4 + 1, y, x, {_STRETCH('v1')} FROM pr WINDOW w AS (PARTITION BY image_id) UNION ALL SELECT image_id * 4 + 2, y, x, v0 FROM pr)"""
+EDGES = f"""WITH RECURSIVE {STACKED}, {Q.AUTO.replace('px', 'st')}, {Q.canny_sql('pt', 'lo', 'hi', 'lo,hi')},
+wd AS (SELECT DISTINCT e.image_id // 4 AS image_id, e.y + i AS y, e.x + j AS x FROM edges e, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE e.image_id % 4 = 1),
+kp AS (SELECT e.image_id // 4 AS image_id, avg(CASE WHEN wd.y IS NULL THEN 0 ELSE 1 END) AS kept FROM edges e LEFT JOIN wd ON wd.image_id = e.image_id // 4 AND wd.y = e.y AND wd.x = e.x WHERE e.image_id % 4 = 0 GROUP BY 1),
+ct AS (SELECT image_id // 4 AS image_id, count(*) FILTER (image_id % 4 = 2) AS n0, count(*) FILTER (image_id % 4 = 1) AS n1 FROM edges GROUP BY 1), im AS (SELECT DISTINCT image_id FROM px)
+SELECT image_id, round(coalesce(kept, 1), 6) AS edge_retention, round(CASE WHEN coalesce(n0, 0) > 0 THEN n1::DOUBLE / n0 WHEN coalesce(n1, 0) = 0 THEN 1 ELSE n1 END, 6) AS edge_inflation FROM im LEFT JOIN kp USING (image_id) LEFT JOIN ct USING (image_id)"""
+query("a13_a14_edge_metrics", EDGES)(lambda spark, d: Q.rounded(P.edge_metrics(stepped(spark, d)), edge_retention=6, edge_inflation=6))
+PARTS = f"""WITH RECURSIVE {STACKED.replace(' UNION ALL SELECT image_id * 4 + 2, y, x, v0 FROM pr', '')}, {S.blurred('st', 'g3', K.gaussian_kernel(3))}, sm AS (SELECT image_id, y, x, CAST(floor(round(g, 6) + 0.5) AS INTEGER) AS v FROM g3), {S.otsu('sm', 'ot')},
+mk AS (SELECT image_id, y, x FROM sm JOIN ot USING (image_id) WHERE v <= t), {S.parts('mk', 'cc')}, ar AS (SELECT image_id, comp, sum(e - s + 1) AS area FROM cc GROUP BY ALL HAVING sum(e - s + 1) BETWEEN 3 AND 5000),
+ct AS (SELECT image_id // 4 AS image_id, count(*) FILTER (image_id % 4 = 0) AS n0, count(*) FILTER (image_id % 4 = 1) AS n1 FROM ar GROUP BY 1), im AS (SELECT DISTINCT image_id FROM px)
+SELECT image_id, round(CASE WHEN coalesce(n0, 0) = 0 THEN 1 ELSE least(1, n1::DOUBLE / n0) END, 6) AS component_retention FROM im LEFT JOIN ct USING (image_id)"""
+query("a15_component_retention", PARTS)(lambda spark, d: Q.rounded(P.component_retention(stepped(spark, d)), component_retention=6))
