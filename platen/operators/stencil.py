@@ -272,7 +272,7 @@ def non_local_means(px: DataFrame, strength: float = 5.0, template_window_size:
     sums = mean.groupBy("image_id", "y").agg(F.collect_list(pair).alias("all"))
     total = lambda name: F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0][name], lambda s, p: F.zip_with(s, p[name], lambda a, b: a + b))
     out = sums.select("image_id", "y", F.zip_with(total("a"), total("b"), lambda a, b: a / b).alias("__g"))
-    return _each(rows.drop("v").join(out, ["image_id", "y"]), px.select(*KEYS, "v"), "v", lambda i: clip8(F.get("__g", i)))
+    return _each(rows.drop("v").join(out, ["image_id", "y"]), px.select(*KEYS, "v"), "v", lambda i: clip8(F.round(F.get("__g", i), 6)))
 
 
 def illumination_normalize(px: DataFrame, kernel_size: int = 51, strength: float = 0.65) -> DataFrame:
