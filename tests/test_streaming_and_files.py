@@ -130,3 +130,6 @@ def test_bands_of_files(spark, tmp_path):
     assert sorted(names.values()) == [("c.png", 2, 2, None), ("g.png", 1, 3, None)]
     got = {(names[r["image_id"]][0], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in bands.collect()}
     assert got == {("c.png", 0, 0): (0, 0, 255), ("c.png", 0, 1): (10, 0, 13), ("c.png", 1, 0): (92, 0, 255), ("c.png", 1, 1): (10, 92, 13), **{("g.png", 0, x): (v,) * 3 for x, v in enumerate((0, 10, 92))}}
+    (tmp_path / "none").mkdir()
+    records, bands = read_rasters(spark, str(tmp_path / "none"))
+    assert records.count() == 0 and bands.count() == 0
