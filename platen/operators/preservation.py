@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def align(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*KEYS, F.col("v").alias("v0")).join(b.select(*KEYS, F.col("v").alias("v1")), KEYS)
 
 
+def with_original(px: DataFrame, treat: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`align` of px and a treatment that changes v pixel by pixel: the original rides along with its pixel, so no join is needed."""
+    return treat(px.withColumn("v0", F.col("v"))).select(*KEYS, "v0", F.col("v").alias("v1"))
+
+
 def match_size(px: DataFrame, dims: DataFrame) -> DataFrame:
     """px resampled to dims (image_id, height, width) by area: source pixels weigh by how much of the target cell they cover.
 
@@ -75,7 +82,7 @@ def ink_metrics(pair: DataFrame, ref: str = "v0") -> DataFrame:
     t = otsu_threshold(pair.select(*KEYS, F.col("v0").alias("v")))
     ink = lambda c: share(F.col(c) < F.col("t"))
     extreme = share((F.col("v1") <= 10) | (F.col("v1") >= 245))
-    g = pair.join(t, "image_id").groupBy("image_id").agg(ink(ref).alias("r"), ink("v0").alias("o"), ink("v1").alias("p"), (extreme > 0.9).alias("binary"))
+    g = pair.join(t.hint("shuffle_hash"), "image_id").groupBy("image_id").agg(ink(ref).alias("r"), ink("v0").alias("o"), ink("v1").alias("p"), (extreme > 0.9).alias("binary"))
     off = ~F.col("binary") | (F.col("r") <= 1e-6) | (F.col("o") <= 1e-6)
     ratio = lambda c: F.when(off, 1.0).otherwise(F.least(F.lit(5.0), F.col("p") / F.col(c)))
     return g.select("image_id", ratio("r").alias("ink_retention"), ratio("o").alias("ink_inflation_ratio"))

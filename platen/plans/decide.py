@@ -133,8 +133,8 @@ of_conditions("e6_condition_report", lambda c: D.requires_treatment(c).join(c, "
 PAIR = "{src}, pr AS MATERIALIZED (SELECT a.image_id, a.y, a.x, a.v AS v0, b.v AS v1 FROM px a JOIN tr b USING (image_id, y, x))"
 BINARY = PAIR.format(src=f"{S.TEXT}, tr AS (SELECT image_id, y, x, CASE WHEN v > 100 THEN 255 ELSE 0 END AS v FROM px)")
 GAMMA = PAIR.format(src=f"{S.TEXT}, tr AS (SELECT image_id, y, x, {Q.trunc8('round(pow(v / 255.0::DOUBLE, 1.35::DOUBLE) * 255, 9)')} AS v FROM px)")
-binary = lambda spark, d: P.align(R.corpus(spark, d), global_threshold(R.corpus(spark, d), 100))
-darker = lambda spark, d: P.align(R.corpus(spark, d), gamma_correct(R.corpus(spark, d), 1.35))
+binary = lambda spark, d: P.with_original(R.corpus(spark, d), lambda px: global_threshold(px, 100))
+darker = lambda spark, d: P.with_original(R.corpus(spark, d), lambda px: gamma_correct(px, 1.35))
 query("j1_a16_a23_similarity", f"WITH {GAMMA} SELECT image_id, round(1 - avg(abs(v0 - v1)) / 255, 4) AS structure_similarity, round(avg(CASE WHEN abs(v0 - v1) > 3 THEN 1 ELSE 0 END), 4) AS changed_ratio, round(avg(abs(v0 - v1)), 3) AS mean_change FROM pr GROUP BY image_id")(lambda spark, d: Q.rounded(P.similarity(darker(spark, d)), structure_similarity=4, changed_ratio=4, mean_change=3))
 CLIP = "cl AS (SELECT image_id, avg(CASE WHEN v1 <= 10 OR v1 >= 245 THEN 1 ELSE 0 END) > 0.9 AS bo, greatest(0, avg(CASE WHEN v1 <= 5 THEN 1 ELSE 0 END) - avg(CASE WHEN v0 <= 5 THEN 1 ELSE 0 END)) AS d, greatest(0, avg(CASE WHEN v1 >= 250 THEN 1 ELSE 0 END) - avg(CASE WHEN v0 >= 250 THEN 1 ELSE 0 END)) AS b FROM pr GROUP BY image_id) SELECT image_id, bo AS binary_output, CASE WHEN bo THEN 0 ELSE round(d, 4) END AS new_dark_clipped_ratio, CASE WHEN bo THEN 0 ELSE round(b, 4) END AS new_bright_clipped_ratio, CASE WHEN bo THEN 0 ELSE round(d + b, 4) END AS total_new_clipping FROM cl"
 for name, sql, f in (("a17_clipping_gamma", GAMMA, darker), ("a17_clipping_binary", BINARY, binary)):
