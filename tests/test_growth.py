@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from platen.operators import histogram, preservation
+from platen.operators import histogram, preservation, stencil
 
 from conftest import SF
 
@@ -27,3 +27,30 @@ def test_with_original_is_align(spark):
     treat = lambda p: histogram.global_threshold(p, 100)
     key = lambda df: sorted(map(tuple, df.select("image_id", "y", "x", "v0", "v1").collect()))
     assert key(preservation.with_original(px, treat)) == key(preservation.align(px, treat(px)))
+
+
+@pytest.mark.parametrize("name", ["p6_normalize", "h2_otsu", "h1_equalize", "a22_border_value"])
+def test_tables_of_images_meet_pixels_without_sorting_them(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "SortMergeJoin" not in text and ("Window" not in text or name in ("h1_equalize", "h2_otsu"))
+
+
+@pytest.mark.parametrize("name", ["k2_laplacian", "k6_erode", "k6_dilate", "k7_open", "k7_close", "k7_top_hat", "a19_isolated_impulse"])
+def test_lines_are_not_collected_from_pixels(spark, name):
+    """Lines come from the texts, in one order for the whole chain."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert "ObjectHashAggregate" not in text and text.count("Exchange hashpartitioning") == 1
+    assert text.count("Sort [image_id") == 1
+
+
+def test_chains_in_bands_are_chains_of_whole_images(spark, monkeypatch):
+    px = spark.createDataFrame([(i, y, x, (i * 37 + y * y * 11 + x * 29 + (y * x) % 5 * 60) % 256) for i in range(2) for y in range(23) for x in range(6)], "image_id long, y int, x int, v int")
+    lines = px.groupBy("image_id", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("v"))
+    key = lambda df: sorted(map(tuple, df.select("image_id", "y", "x", "v").collect()))
+    lone = lambda df: sorted((r["image_id"], r["y"], tuple(r["__med"]), tuple(r["__lone"])) for r in df.collect())
+    steps = (stencil.ERODE, stencil.DILATE)
+    whole = [key(stencil.line_values(stencil.extreme_lines(lines, steps, 5, s))) for s in ("rect", "ellipse")] + [lone(stencil.isolated_lines(lines))]
+    one_by_one = [key(stencil.dilate(stencil.erode(px, 5, s), 5, s)) for s in ("rect", "ellipse")]
+    assert whole[:2] == one_by_one
+    monkeypatch.setattr(stencil.banded, "__defaults__", (("image_id",), 4))
+    assert whole == [key(stencil.line_values(stencil.extreme_lines(lines, steps, 5, s))) for s in ("rect", "ellipse")] + [lone(stencil.isolated_lines(lines))]
