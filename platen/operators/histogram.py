@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.sources.rasters import KEYS, clip8, dimensions, trunc8
+from platen.operators.stencil import line_values, scanlines
+from platen.sources.rasters import KEYS, clip8, trunc8
 
 
 def histogram(px: DataFrame, *by: str) -> DataFrame:
@@ -48,46 +49,72 @@ def otsu(px: DataFrame, inverse: bool = False) -> DataFrame:
     return px.join(otsu_threshold(px).hint("shuffle_hash"), "image_id").select(*KEYS, F.when(F.col("v") > F.col("t"), on).otherwise(off).alias("v"))
 
 
-def clahe(px: DataFrame, clip_limit: float = 1.5, tile_grid_size: int = 8) -> DataFrame:
-    """Contrast-limited equalisation: clipped histograms of grid tiles, bilinear between the four nearest tiles' tables."""
-    dims = dimensions(px)
+def clahe_lines(rows: DataFrame, clip_limit: float = 1.5, tile_grid_size: int = 8) -> DataFrame:
+    """Contrast-limited equalisation of scanlines (image_id, y, v: array): clipped histograms of grid tiles, bilinear between the four nearest tiles' tables.
+
+    A tile keeps the values that it has, with their clipped counts, and what its clipping spreads over all 256; a table's entry is summed
+    from these where a pixel asks for it, so a tile never takes more room than its pixels. Lines, not pixels, meet their image's tiles.
+    """
+    dims = rows.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.max(F.size("v")).alias("width"))
     th, tw = (F.ceil(F.col(d) / tile_grid_size).cast("int") for d in ("height", "width"))
-    tiled = px.join(dims.select("image_id", th.alias("th"), tw.alias("tw"), "height", "width"), "image_id")
-    tile = tiled.withColumns({"ty": F.expr("y div th").cast("int"), "tx": F.expr("x div tw").cast("int")})
-    keys = ["image_id", "ty", "tx"]
-    hist = tile.groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    area = hist.groupBy(*keys).agg(F.sum("n").alias("area"))
-    limit = F.greatest(F.lit(1.0), F.floor(F.lit(float(clip_limit)) * F.col("area") / 256))
-    clipped = hist.join(area, keys).withColumn("limit", limit).withColumn("kept", F.least("n", "limit"))
-    excess = clipped.groupBy(*keys).agg(F.first("area").alias("area"), (F.sum(F.col("n") - F.col("kept")) / 256).alias("more"))
-    bins = excess.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
-    full = bins.join(clipped.select(*keys, "v", "kept"), [*keys, "v"], "left").withColumn("h", F.coalesce("kept", F.lit(0.0)) + F.col("more"))
-    up = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    out = F.least(F.lit(255.0), F.floor(F.round(F.sum("h").over(up) * 255 / F.col("area"), 6) + 0.5)).cast("int")
-    lut = full.select(*keys, "v", out.alias("out")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "out"))), lambda e: e["out"]).alias("lut"))
-    # an image's tables are one row, at most tile_grid_size ** 2 of them; a pixel lies between the middles of four tiles
-    lut = lut.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ty", "tx", "lut"))), lambda e: e["lut"]).alias("luts"))
     last = lambda d, t: F.floor((F.col(d) - 1) / F.col(t)).cast("int")
-    at = tiled.withColumns({"fy": (F.col("y") + 0.5) / F.col("th") - 0.5, "fx": (F.col("x") + 0.5) / F.col("tw") - 0.5, "my": last("height", "th"), "mx": last("width", "tw")})
-    at = at.select(*KEYS, "v", "fy", "fx", "my", "mx", F.floor("fy").cast("int").alias("cy"), F.floor("fx").cast("int").alias("cx")).join(lut, "image_id")
-    held = lambda e, most: F.greatest(F.lit(0), F.least(F.col(most), e))
-    value = lambda dy, dx: F.get(F.get("luts", held(F.col("cy") + dy, "my") * (F.col("mx") + 1) + held(F.col("cx") + dx, "mx")), F.col("v"))
-    py, qx = F.col("fy") - F.col("cy"), F.col("fx") - F.col("cx")
-    total = (1 - py) * (1 - qx) * value(0, 0) + (1 - py) * qx * value(0, 1) + py * (1 - qx) * value(1, 0) + py * qx * value(1, 1)
-    return at.select(*KEYS, clip8(F.round(total, 6)).alias("v"))
+    dims = dims.select("image_id", th.alias("th"), tw.alias("tw"), "height", "width").select("image_id", "th", "tw", last("height", "th").alias("my"), last("width", "tw").alias("mx"))
+    sized = rows.select("image_id", "y", "v").join(dims.hint("shuffle_hash"), "image_id")
+    keys = ["image_id", "ty", "tx"]
+    each = sized.select("image_id", F.expr("cast(y div th as int)").alias("ty"), "tw", F.posexplode("v").alias("x", "v"))
+    hist = each.groupBy("image_id", "ty", F.expr("cast(x div tw as int)").alias("tx"), "v").agg(F.count("*").alias("n"))
+    tiles = hist.groupBy(*keys).agg(F.sum("n").alias("area"), F.collect_list(F.struct("v", "n")).alias("h"))
+    tiles = tiles.withColumn("limit", F.greatest(F.lit(1.0), F.floor(F.lit(float(clip_limit)) * F.col("area") / 256)))
+    more = F.aggregate("h", F.lit(0.0), lambda s, e: s + e["n"] - F.least(e["n"], F.col("limit"))) / 256
+    kept = F.transform("h", lambda e: F.struct(e["v"].alias("v"), F.least(e["n"], F.col("limit")).alias("kept")))
+    # an image's tiles are one row, at most tile_grid_size ** 2 of them; a pixel lies between the middles of four
+    tiles = tiles.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ty", "tx", "area", more.alias("more"), kept.alias("h")))).alias("tiles"))
+    at = sized.join(tiles.hint("merge"), "image_id")
+    held = lambda e, most: F.greatest(F.lit(0), F.least(F.col(most), e.cast("int")))
+    at = at.withColumn("fy", (F.col("y") + 0.5) / F.col("th") - 0.5).withColumn("py", F.col("fy") - F.floor("fy"))
+    at = at.withColumns({f"r{d}": held(F.floor("fy") + d, "my") * (F.col("mx") + 1) for d in (0, 1)})
+    at = at.withColumn("fx", F.transform("v", lambda _, x: (x + 0.5) / F.col("tw") - 0.5))
+    at = at.withColumn("c", F.transform("fx", lambda f: F.struct(held(F.floor(f), "mx").alias("a"), held(F.floor(f) + 1, "mx").alias("b"), (f - F.floor(f)).alias("q"))))
+
+    def entry(tile, v):
+        total = F.aggregate(tile["h"], (v + 1) * tile["more"], lambda s, e: s + F.when(e["v"] <= v, e["kept"]).otherwise(0.0))
+        return F.least(F.lit(255.0), F.floor(F.round(total * 255 / tile["area"], 6) + 0.5))
+
+    def value(v, x):
+        c, py = F.get("c", x), F.col("py")
+        of = lambda row, place: entry(F.get("tiles", F.col(row) + c[place]), v)
+        total = (1 - py) * (1 - c["q"]) * of("r0", "a") + (1 - py) * c["q"] * of("r0", "b") + py * (1 - c["q"]) * of("r1", "a") + py * c["q"] * of("r1", "b")
+        return clip8(F.round(total, 6))
+
+    return at.select("image_id", "y", F.transform("v", value).alias("v"))
+
+
+def clahe(px: DataFrame, clip_limit: float = 1.5, tile_grid_size: int = 8) -> DataFrame:
+    """`clahe_lines` of pixels."""
+    rows = scanlines(px.select(*KEYS, "v")).select("image_id", "y", F.transform("__row", lambda s: s["v"]).alias("v"))
+    return line_values(clahe_lines(rows, clip_limit, tile_grid_size))
 
 
 def gamma_correct(px: DataFrame, gamma: float = 1.0) -> DataFrame:
     """v through ((v/255)^gamma) * 255, cut down."""
     if gamma <= 0:
         raise ValueError("gamma has to be above 0")
-    return px.withColumn("v", trunc8(F.round(F.pow(F.col("v") / 255, F.lit(float(gamma))) * 255, 9)))
+    return px.withColumn("v", _gamma(F.col("v"), gamma))
+
+
+def _gamma(v: Column, gamma: float) -> Column:
+    return trunc8(F.round(F.pow(v / 255, F.lit(float(gamma))) * 255, 9))
 
 
 def faded_text(px: DataFrame, clip_limit: float = 1.4, gamma: float = 0.95) -> DataFrame:
     return clahe(gamma_correct(px, gamma), clip_limit)
 
 
+def faded_text_lines(rows: DataFrame, clip_limit: float = 1.4, gamma: float = 0.95) -> DataFrame:
+    """`faded_text` of scanlines (image_id, y, v: array)."""
+    return clahe_lines(rows.withColumn("v", F.transform("v", lambda v: _gamma(v, gamma))), clip_limit)
+
+
 def intensity_adjust(px: DataFrame, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
     if alpha <= 0 or not -100 <= beta <= 100:
         raise ValueError("alpha has to be above 0 and beta in -100..100")

@@ -34,7 +34,8 @@ def match_size(px: DataFrame, dims: DataFrame) -> DataFrame:
     Each source pixel names the few target cells that it overlaps, so the overlap join is an equi-join.
     """
     own = dimensions(px).toDF("image_id", "h", "w")
-    both = px.join(own.join(dims, "image_id"), "image_id")
+    # rasters look small to the planner, which knows their texts' size: what is held in memory is the row an image
+    both = px.join(own.join(dims, "image_id").hint("shuffle_hash"), "image_id")
 
     def cells(place: str, size: str, goal: str):
         lo, hi = F.expr(f"{place} * {goal} div {size}"), F.expr(f"(({place} + 1) * {goal} - 1) div {size}")

@@ -251,8 +251,11 @@ def _extreme(px: DataFrame, steps: tuple, k: int, shape: str, value: str, out: s
 
 
 def line_values(rows: DataFrame) -> DataFrame:
-    """Pixels (KEYS, v) of scanlines (image_id, y, v: array)."""
-    return rows.select("image_id", "y", F.posexplode("v").alias("x", "v"))
+    """Pixels (KEYS, v) of scanlines (image_id, y, v: array, not empty).
+
+    Of the inner form Spark would work out each array once more, below, to see whether it is empty.
+    """
+    return rows.select("image_id", "y", F.posexplode_outer("v").alias("x", "v"))
 
 
 def erode(px: DataFrame, k: int = 3, shape: str = "rect", iterations: int = 1, value: str = "v", out: str = "v") -> DataFrame:

@@ -66,6 +66,15 @@ def vector_raster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return px.select("image_id", F.expr(f"cast(p div {width} as int)").alias("y"), F.expr(f"cast(p % {width} as int)").alias("x"), v.cast("int").alias("v"))
 
 
+def vector_lines(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", width: int = 8) -> DataFrame:
+    """`vector_raster` as scanlines: image_id, y, v (array), those of an image in one partition."""
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("image_id"), F.transform(vector_col, lambda e: e.cast("double")).alias("e"))
+    rows = rows.withColumns({"lo": F.array_min("e"), "hi": F.array_max("e")}).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    v = F.transform("e", lambda c: F.when(F.col("hi") > F.col("lo"), F.floor(255 * (c - F.col("lo")) / (F.col("hi") - F.col("lo")) + 0.5)).otherwise(0).cast("int"))
+    lines = rows.where(F.size("e") > 0).select("image_id", v.alias("v")).select("image_id", "v", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size(v) - 1) div {width} as int)"))).alias("y"))
+    return lines.select("image_id", "y", F.slice("v", F.col("y") * width + 1, width).alias("v"))
+
+
 def colour(px: DataFrame) -> DataFrame:
     """Bands (b, g, r) of a gray raster, by fixed multiples."""
     return px.select(*KEYS, *[(F.col("v") * k % 256).alias(n) for n, k in (("b", 3), ("g", 5), ("r", 7))])
@@ -91,6 +100,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_raster(read(spark, sf_dir, "embeddings"))
 
 
+def vector_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`vectors` as scanlines."""
+    return vector_lines(read(spark, sf_dir, "embeddings"))
+
+
 #: Drawn pages. Directions (cosine and sine in thousandths) by image_id % 7; half the page's width, its margin, lines of text and characters in pixels.
 TILTS = ((1000, 0), (999, 35), (998, -70), (995, 105), (999, -35), (998, 70), (995, -105))
 PAGE_HALF, PAGE_LEAST, MARGIN, LINE, INK, CELL, COLUMNS = 110, 60, 11, 12, 5, 6, 33

@@ -54,3 +54,9 @@ def test_chains_in_bands_are_chains_of_whole_images(spark, monkeypatch):
     assert whole[:2] == one_by_one
     monkeypatch.setattr(stencil.banded, "__defaults__", (("image_id",), 4))
     assert whole == [key(stencil.line_values(stencil.extreme_lines(lines, steps, 5, s))) for s in ("rect", "ellipse")] + [lone(stencil.isolated_lines(lines))]
+
+
+@pytest.mark.parametrize("name", ["h3_clahe", "h3_clahe_text", "h4_faded_text"])
+def test_tiles_hold_only_values_that_they_have(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "sequence(0, 255" not in text and "Window" not in text and text.count("Exchange") <= text.count("FileScan")
