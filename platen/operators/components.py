@@ -46,7 +46,7 @@ def labelled_runs(mask: DataFrame) -> DataFrame:
     what is joined and repeated is small; runs of neighbouring rows whose spans touch are one component."""
     lines = cut(runs(mask)).withColumn("run", F.monotonically_increasing_id())
     below = lines.select("image_id", (F.col("y") - 1).alias("y"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("run").alias("v"))
-    edges = lines.join(below, ["image_id", "y"]).where("s2 <= e + 1 AND e2 >= s - 1").select(F.col("run").alias("u"), "v")
+    edges = lines.join(below.hint("merge"), ["image_id", "y"]).where("s2 <= e + 1 AND e2 >= s - 1").select(F.col("run").alias("u"), "v")
     roots = spread_minimum(edges)
     return lines.join(roots, lines["run"] == roots["node"], "left").select("image_id", "y", "s", "e", F.coalesce("root", "run").alias("comp"))
 

@@ -34,10 +34,10 @@ def canny(px: DataFrame, low, high, value: str = "v", gradient: bool = False) ->
     slope = ["gx", "gy"] if gradient else []
     kept = cut(m.where(peak & (F.col("mag") > F.col("__lo"))).select(*KEYS, *slope, (F.col("mag") > F.col("__hi")).alias("strong")))
     lines = cut(labelled_runs(kept.select(*KEYS)))
-    inside = kept.where("strong").join(lines, ["image_id", "y"]).where("x BETWEEN s AND e").select("comp").distinct()
-    good = lines.join(inside, "comp", "left_semi")
+    inside = kept.where("strong").join(lines.hint("merge"), ["image_id", "y"]).where("x BETWEEN s AND e").select("comp").distinct()
+    good = lines.join(inside.hint("merge"), "comp", "left_semi")
     if gradient:
-        return kept.join(good, ["image_id", "y"]).where("x BETWEEN s AND e").select(*KEYS, *slope)
+        return kept.join(good.hint("merge"), ["image_id", "y"]).where("x BETWEEN s AND e").select(*KEYS, *slope)
     return good.select("image_id", "y", F.explode(F.sequence("s", "e")).alias("x"))
 
 
@@ -46,7 +46,7 @@ def median_thresholds(px: DataFrame, low: float, high: float, least: int, apart:
     med = px.groupBy("image_id").agg(F.percentile("v", 0.5).alias("m"))
     lo = F.floor(F.greatest(F.lit(float(least)), low * F.col("m")))
     hi = F.floor(F.least(F.lit(255.0), F.greatest(F.col("lo") + apart, high * F.col("m"))))
-    return px.join(med.withColumn("lo", lo).withColumn("hi", hi).drop("m"), "image_id")
+    return px.join(med.withColumn("lo", lo).withColumn("hi", hi).drop("m").hint("shuffle_hash"), "image_id")
 
 
 def auto_thresholds(px: DataFrame) -> DataFrame:
@@ -54,4 +54,4 @@ def auto_thresholds(px: DataFrame) -> DataFrame:
     med = px.groupBy("image_id").agg(F.percentile("v", 0.5).alias("m"))
     lo, hi = F.floor(F.greatest(F.lit(0.0), 0.66 * F.col("m"))), F.floor(F.least(F.lit(255.0), 1.33 * F.col("m")))
     low, high = F.when(lo == hi, 50).otherwise(lo), F.when(lo == hi, 150).otherwise(hi)
-    return px.join(med.select("image_id", low.alias("lo"), high.alias("hi")), "image_id")
+    return px.join(med.select("image_id", low.alias("lo"), high.alias("hi")).hint("shuffle_hash"), "image_id")

@@ -39,7 +39,7 @@ def _segments(votes: DataFrame, theta_step: float, threshold: float | str, min_l
         cells = votes.groupBy(*cell).agg(F.count("*").alias("n")).withColumns({"after": beside(F.lead, 1), "before": beside(F.lag, -1)})
         first = F.when(F.col("before") > F.col("after"), F.col("rho") - 1).otherwise(F.col("rho"))
         cells = cells.select(*cell, (F.col("n") + F.greatest("before", "after")).alias("n"), first.alias("first"))
-        strong = votes.join(cells, cell).where(F.col("n") >= _number(threshold)).drop("rho").withColumnRenamed("first", "rho")
+        strong = votes.join(cells.hint("merge"), cell).where(F.col("n") >= _number(threshold)).drop("rho").withColumnRenamed("first", "rho")
     else:
         strong = votes.withColumn("n", F.count("*").over(Window.partitionBy(*cell))).where(F.col("n") >= _number(threshold))
     # at most one entry for each angle, so the array is short
@@ -252,7 +252,7 @@ def _sampled(grid: DataFrame, px: DataFrame, fill, cubic: bool = False) -> DataF
     kept = [fill] if isinstance(fill, str) else []
     all_ = grid.select("image_id", F.col("y").alias("oy"), F.col("x").alias("ox"), *kept, F.explode(F.array(*[corner(a, b) for a in reach for b in reach])).alias("c"))
     all_ = all_.select("image_id", "oy", "ox", *kept, "c.*").where("abs(w) > 1e-9")
-    near = all_.join(px.select(*KEYS, "v"), KEYS, "left").withColumn("v", F.coalesce("v", F.col(fill) if kept else F.lit(fill)))
+    near = all_.join(px.select(*KEYS, "v").hint("merge"), KEYS, "left").withColumn("v", F.coalesce("v", F.col(fill) if kept else F.lit(fill)))
     return near.groupBy("image_id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(clip8(F.round(F.sum(F.col("w") * F.col("v")), 6)).alias("v"))
 
 

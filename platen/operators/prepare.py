@@ -44,7 +44,7 @@ def region_quads(px: DataFrame, top: int = 48) -> DataFrame:
     ends = lines.select("image_id", "comp", "y", F.explode(F.array("s", "e")).alias("x"))
     plus, minus = F.struct(F.col("x") + F.col("y"), "x", "y"), F.struct(F.col("y") - F.col("x"), "x", "y")
     area = lines.groupBy("image_id", "comp").agg(F.sum(F.col("e") - F.col("s") + 1).alias("area"))
-    q = ends.groupBy("image_id", "comp").agg(F.min(plus).alias("tl"), F.min(minus).alias("tr"), F.max(plus).alias("br"), F.max(minus).alias("bl")).join(area, ["image_id", "comp"])
+    q = ends.groupBy("image_id", "comp").agg(F.min(plus).alias("tl"), F.min(minus).alias("tr"), F.max(plus).alias("br"), F.max(minus).alias("bl")).join(area.hint("merge"), ["image_id", "comp"])
     corner = lambda c: F.struct(F.col(f"{c}.x").cast("double").alias("x"), F.col(f"{c}.y").cast("double").alias("y"))
     q = q.withColumn("corners", F.array(*[corner(c) for c in ("tl", "tr", "br", "bl")]))
     order = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "comp"))
@@ -82,7 +82,7 @@ def ring_pixels(px: DataFrame, quads: DataFrame, band: str) -> DataFrame:
         flat += [number(a["x"]).alias(f"ax{i}"), number(a["y"]).alias(f"ay{i}"), number(b["x"] - a["x"]).alias(f"dx{i}"), number(b["y"] - a["y"]).alias(f"dy{i}")]
     # corners become plain columns before the join, so that what is done for each pixel is short
     spans = ring_spans(quads, band).select("image_id", "candidate", number(F.col(band)).alias("r"), number(F.col("a.x")).alias("ax"), number(F.col("a.y")).alias("ay"), number(F.col("dx")).alias("dx"), number(F.col("dy")).alias("dy"), "y", "x0", "x1", *flat)
-    near = spans.join(as_lines(px), ["image_id", "y"]).withColumn("x1", F.least(F.col("x1"), F.size("v") - 1)).where("x0 <= x1 AND dx * dx + dy * dy > 0")
+    near = spans.join(as_lines(px).hint("merge"), ["image_id", "y"]).withColumn("x1", F.least(F.col("x1"), F.size("v") - 1)).where("x0 <= x1 AND dx * dx + dy * dy > 0")
     each = near.withColumn("x", F.explode(F.sequence("x0", "x1")))
     across = "dx{0} * (y - ay{0}) - dy{0} * (x - ax{0})"
     beside = "(x - ax) * dx + (y - ay) * dy BETWEEN 0 AND dx * dx + dy * dy AND pow(dx * (y - ay) - dy * (x - ax), 2) <= r * r * (dx * dx + dy * dy)"
@@ -120,7 +120,7 @@ def line_quads(px: DataFrame, step: float = 1.0) -> DataFrame:
     diagonal = F.hypot("width", "height")
     part = lambda least, e: F.greatest(F.lit(least), F.floor(e).cast("int"))
     limits = dims.select("image_id", part(40, F.least("height", "width") * 0.06).alias("votes_"), part(40, diagonal * 0.14).alias("length_"), part(10, diagonal * 0.035).alias("gap_"))
-    segments = cut(page_segments(cut(edges).join(limits, "image_id"), step, "votes_", "length_", "gap_"))
+    segments = cut(page_segments(cut(edges).join(limits.hint("shuffle_hash"), "image_id"), step, "votes_", "length_", "gap_"))
     enough = segments.groupBy("image_id").count().where("count >= 4")
     dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
     named = segments.join(enough, "image_id", "left_semi").join(dims, "image_id").withColumn("id", F.struct("x1", "y1", "x2", "y2")).withColumn("angle", norm_angle(F.degrees(F.atan2(dy, dx))))
@@ -175,7 +175,7 @@ def edge_support(edges: DataFrame, quads: DataFrame, samples: int = 20) -> DataF
     at = lambda axis: F.floor(F.col(f"a.{axis}") + t * (F.col(f"b.{axis}") - F.col(f"a.{axis}")) + 0.5).cast("int")
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     wide = edges.select("image_id", "y", "x", step.alias("o")).select("image_id", (F.col("y") + F.col("o.i")).alias("y"), (F.col("x") + F.col("o.j")).alias("x")).distinct().withColumn("hit", F.lit(1))
-    hits = pts.select("image_id", "side", at("y").alias("y"), at("x").alias("x")).join(wide, KEYS, "left").groupBy("image_id", "side").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("s"))
+    hits = pts.select("image_id", "side", at("y").alias("y"), at("x").alias("x")).join(wide.hint("merge"), KEYS, "left").groupBy("image_id", "side").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("s"))
     return hits.groupBy("image_id").agg((0.7 * F.avg("s") + 0.3 * F.min("s")).alias("support"))
 
 
@@ -217,7 +217,7 @@ def page_lines(px: DataFrame) -> DataFrame:
     edges = canny(median_thresholds(cut(clahe(cut(smooth))), 0.60, 1.40, 30, 30), "lo", "hi", gradient=True)
     part = lambda least, share: F.greatest(F.lit(least), F.floor(F.col("width") * share).cast("int"))
     limits = dimensions(px).select("image_id", part(35, 0.045).alias("votes_"), part(40, 0.12).alias("length_"), part(8, 0.025).alias("gap_"))
-    return page_segments(cut(edges).join(limits, "image_id"), 0.5, "votes_", "length_", "gap_")
+    return page_segments(cut(edges).join(limits.hint("shuffle_hash"), "image_id"), 0.5, "votes_", "length_", "gap_")
 
 
 def detect_skew(px: DataFrame, min_side: int = 80, threshold: int | None = None, min_length: float = 3.0, max_gap: int = 2) -> DataFrame:
@@ -277,7 +277,7 @@ def deskew(pages: DataFrame, gated: DataFrame) -> tuple[DataFrame, DataFrame]:
     turn = gated.where("action = 'apply'").select("image_id", F.radians(F.col("angle").cast("double")).alias("a"))
     d = dimensions(pages).join(turn, "image_id").withColumn("band", F.greatest(F.lit(3), F.bround(F.least("height", "width") * 0.02).cast("int")))
     sides = [F.col("y") < F.col("band"), F.col("y") >= F.col("height") - F.col("band"), F.col("x") < F.col("band"), F.col("x") >= F.col("width") - F.col("band")]
-    each = pages.join(d, "image_id").select("image_id", "v", F.explode(F.filter(F.array(*[F.when(b, i) for i, b in enumerate(sides)]), lambda b: b.isNotNull())))
+    each = pages.join(d.hint("shuffle_hash"), "image_id").select("image_id", "v", F.explode(F.filter(F.array(*[F.when(b, i) for i, b in enumerate(sides)]), lambda b: b.isNotNull())))
     fill = each.groupBy("image_id").agg(F.bround(F.percentile("v", 0.5)).cast("int").alias("fill"))
     grid = rotation_grid(d.join(fill, "image_id"))
     inside = F.col("sx").between(-0.5, F.col("width") - 0.5) & F.col("sy").between(-0.5, F.col("height") - 0.5)

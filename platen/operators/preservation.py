@@ -20,7 +20,7 @@ IMPULSE_REFERENCE = 0.005
 
 def align(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pixel by pixel: v0 of a, v1 of b."""
-    return a.select(*KEYS, F.col("v").alias("v0")).join(b.select(*KEYS, F.col("v").alias("v1")), KEYS)
+    return a.select(*KEYS, F.col("v").alias("v0")).join(b.select(*KEYS, F.col("v").alias("v1")).hint("merge"), KEYS)
 
 
 def with_original(px: DataFrame, treat: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -120,7 +120,7 @@ def edge_metrics(pair: DataFrame, ref: str = "v0") -> DataFrame:
     of = lambda k: found.where(F.pmod("image_id", F.lit(4)) == k).select(F.expr("image_id div 4").alias("image_id"), "y", "x")
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     wide = of(1).withColumn("s", step).select("image_id", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x")).distinct().withColumn("hit", F.lit(1))
-    kept = of(0).join(wide, KEYS, "left").groupBy("image_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("edge_retention"))
+    kept = of(0).join(wide.hint("merge"), KEYS, "left").groupBy("image_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("edge_retention"))
     count = lambda k, c: of(k).groupBy("image_id").agg(F.count("*").alias(c))
     out = pair.select("image_id").distinct().join(kept, "image_id", "left").join(count(2, "n0"), "image_id", "left").join(count(1, "n1"), "image_id", "left").fillna(0, ["n0", "n1"]).fillna(1.0, ["edge_retention"])
     inflation = F.when(F.col("n0") > 0, F.col("n1") / F.col("n0")).when(F.col("n1") == 0, 1.0).otherwise(F.col("n1").cast("double"))

@@ -60,3 +60,9 @@ def test_chains_in_bands_are_chains_of_whole_images(spark, monkeypatch):
 def test_tiles_hold_only_values_that_they_have(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "sequence(0, 255" not in text and "Window" not in text and text.count("Exchange") <= text.count("FileScan")
+
+
+def test_pixels_of_pages_are_never_sent(spark):
+    """The planner takes drawn pages for as small as their texts, so it sent all their pixels through the driver."""
+    text = plan(entry.queries()["s12_bounded_thumbnail"](spark, SF))
+    assert "ShuffledHashJoin" in text and text.count("BroadcastExchange") <= 1
