@@ -11,9 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platen.functions.groups import dealt, starts, whole_groups
 from platen.sources.rasters import KEYS, clip8, trunc8
 
 
@@ -329,25 +332,88 @@ def bilateral(px: DataFrame, diameter: int = 5, sigma_color: float = 25.0, sigma
     return n.withColumn("v", clip8(sum(w * v for w, v in terms) / sum(w for w, _ in terms))).drop("__n")
 
 
-def non_local_means(px: DataFrame, strength: float = 5.0, template_window_size: int = 7, search_window_size: int = 21) -> DataFrame:
-    """Weighted mean over a search window; weights fall with the mean squared difference of the templates around.
+#: Rows of a band that non-local means holds as one array, and how many values of small images go through together.
+MEANS_BAND, TOGETHER = 256, 1 << 17
+
+
+def _places(first: int, count: int, top: int, n: int) -> np.ndarray:
+    """Where `count` places from `first` on are found in an array that begins at `top`, mirrored (reflect101) in 0..n-1."""
+    i = np.arange(first, first + count) % max(2 * (n - 1), 1)
+    return np.where(i < n, i, 2 * (n - 1) - i) - top
+
+
+def _means(v: np.ndarray, top: int, height: int, first: int, last: int, strength: float, t: int, r: int) -> np.ndarray:
+    """Non-local means of the rows first..last of images of one size; v (images, rows from `top` on, width) holds the rows that these need."""
+    width, side = v.shape[2], 2 * t + 1
+    # rows whose differences the templates need, and the values that these meet
+    low, high = max(0, first - t), min(height - 1, last + t)
+    own = v[:, low - top : high + 1 - top]
+    wide = v[:, _places(low - r, high - low + 1 + 2 * r, top, height)][:, :, _places(-r, width + 2 * r, 0, width)]
+    over, down = _places(-t, width + 2 * t, 0, width), _places(first - t, last - first + 1 + 2 * t, low, height)
+    n = last - first + 1
+    total, weights = np.zeros((len(v), n, width)), np.zeros((len(v), n, width))
+    for dy in range(2 * r + 1):
+        for dx in range(2 * r + 1):
+            w = wide[:, dy : dy + own.shape[1], dx : dx + width]
+            d = (w - own) ** 2
+            d = d[:, :, over]
+            d = sum(d[:, :, j : j + width] for j in range(side)) * (1.0 / side)
+            d = d[:, down]
+            d = sum(d[:, j : j + n] for j in range(side)) * (1.0 / side)
+            k = np.exp(-d / (strength * strength))
+            total += w[:, first - low : first - low + n] * k
+            weights += k
+    return np.clip(np.floor(np.round(total / weights, 6) + 0.5), 0, 255)
+
+
+def non_local_means_lines(rows: DataFrame, strength: float = 5.0, template_window_size: int = 7, search_window_size: int = 21) -> DataFrame:
+    """Scanlines (image_id, y, v) after `non_local_means`. Bands of lines go through arrays, an offset after the other; images of one small size go together."""
+    t, r = template_window_size // 2, search_window_size // 2
+    halo, band = t + r, MEANS_BAND
+    y = F.col("y")
+    cut = rows.select("image_id", "y", F.col("v").cast("array<int>").alias("v"), F.explode(F.sequence(_div(F.greatest(y - halo, F.lit(0)), band), _div(y + halo, band))).alias("b"))
+
+    def treat(batches):
+        for table in whole_groups(batches, ("image_id", "b")):
+            begin = starts(table, ("image_id", "b"))
+            end = [*begin[1:].tolist(), table.num_rows]
+            ids, ys, bs = (table.column(c).to_numpy() for c in ("image_id", "y", "b"))
+            lines = table.column("v").combine_chunks()
+            lines = pa.concat_arrays(lines.chunks) if isinstance(lines, pa.ChunkedArray) else lines
+            offsets = lines.offsets.to_numpy()
+            values = lines.values.to_numpy()
+            alike: dict[tuple, list[int]] = {}
+            for i, e in zip(begin.tolist(), end, strict=True):
+                top, bottom, b = int(ys[i]), int(ys[e - 1]), int(bs[i])
+                if bottom < b * band:
+                    continue  # only lines of the band before: an image ends there
+                widths = np.diff(offsets[i : e + 1])
+                # what a shorter line lacks is unknown, and so is all that it reaches
+                alike.setdefault((e - i, int(widths.max()), top, bottom, b, i if (widths != widths[0]).any() else -1), []).append(i)
+            for (n, width, top, bottom, b, _), group in alike.items():
+                first, last = b * band, min(bottom, (b + 1) * band - 1)
+                several = max(1, TOGETHER // max(1, n * width))
+                for at in range(0, len(group), several):
+                    some = group[at : at + several]
+                    widths = np.concatenate([np.diff(offsets[i : i + n + 1]) for i in some])
+                    v = np.full((len(some) * n, width), np.nan)
+                    v[np.arange(width) < widths[:, None]] = np.concatenate([values[offsets[i] : offsets[i + n]] for i in some])
+                    # where lines below are missing, the image ends; else its end is out of reach
+                    out = _means(v.reshape(len(some), n, width), top, bottom + 1, first, last, float(strength), t, r)
+                    rows_ = last - first + 1
+                    kept = widths.reshape(len(some), n)[:, first - top : last + 1 - top].ravel()
+                    flat = out.reshape(-1, width)[np.arange(width) < kept[:, None]]
+                    new = pa.array(flat, mask=np.isnan(flat)).cast(pa.int32())
+                    ends = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], rows_)), pa.array(np.tile(np.arange(first, last + 1, dtype=np.int32), len(some))), pa.ListArray.from_arrays(ends, new)], ["image_id", "y", "v"])
+
+    return dealt(cut, ("image_id", "b"), ("y",)).mapInArrow(treat, "image_id long, y int, v array<int>")
 
-    A line meets the line of each offset as an array, so offsets multiply lines, not pixels, and nothing leaves the image's partition.
-    """
-    r = search_window_size // 2
-    rows = scanlines(px).select("image_id", "y", "__row", F.transform("__row", lambda s: s["v"]).alias("v"))
-    near = around(rows.select("image_id", "y", "v"), padded(F.col("v"), r, "reflect101"), r, "reflect101")
-    shifted = near.select("image_id", "y", "v", F.posexplode("__near").alias("dy", "l")).select("image_id", "y", "v", "dy", "l", F.explode(F.sequence(F.lit(0), F.lit(2 * r))).alias("dx"))
-    each = shifted.select("image_id", "y", (F.col("dy") * (2 * r + 1) + F.col("dx")).alias("o"), F.slice("l", F.col("dx") + 1, F.size("v")).alias("w"), "v")
-    each = each.withColumn("d", F.zip_with("w", "v", lambda a, b: ((a - b) * (a - b)).cast("double"))).drop("v")
-    box = [1.0 / template_window_size] * template_window_size
-    mean = blurred_lines(each, "d", box, "reflect101", "m", ("image_id", "o"))
-    mean = mean.select("image_id", "y", "w", F.transform("m", lambda m: F.exp(-F.greatest(m, F.lit(0.0)) / F.lit(float(strength * strength)))).alias("k"))
-    pair = F.struct(F.zip_with("w", "k", lambda a, k: a * k).alias("a"), F.col("k").alias("b"))
-    sums = mean.groupBy("image_id", "y").agg(F.collect_list(pair).alias("all"))
-    total = lambda name: F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0][name], lambda s, p: F.zip_with(s, p[name], lambda a, b: a + b))
-    out = sums.select("image_id", "y", F.zip_with(total("a"), total("b"), lambda a, b: a / b).alias("__g"))
-    return _each(rows.drop("v").join(out, ["image_id", "y"]), px.select(*KEYS, "v"), "v", lambda i: clip8(F.round(F.get("__g", i), 6)))
+
+def non_local_means(px: DataFrame, strength: float = 5.0, template_window_size: int = 7, search_window_size: int = 21) -> DataFrame:
+    """Weighted mean over a search window; weights fall with the mean squared difference of the templates around."""
+    rows = scanlines(px.select(*KEYS, "v")).select("image_id", "y", F.transform("__row", lambda s: s["v"]).alias("v"))
+    return line_values(non_local_means_lines(rows, strength, template_window_size, search_window_size))
 
 
 def illumination_normalize(px: DataFrame, kernel_size: int = 51, strength: float = 0.65) -> DataFrame:

@@ -113,14 +113,14 @@ mirror = "CASE WHEN _ < 0 THEN -_ WHEN _ > 7 THEN 14 - _ ELSE _ END"
 treated("k9_bilateral", V, K.bilateral, f"""o(d) AS (VALUES (-2), (-1), (0), (1), (2)), disc AS (SELECT a.d AS dy, b.d AS dx FROM o a, o b WHERE a.d * a.d + b.d * b.d <= 4),
 pl AS (SELECT image_id, y, x, v, dy * dy + dx * dx AS dd, {mirror.replace('_', '(y + dy)')} AS ty, {mirror.replace('_', '(x + dx)')} AS tx FROM px, disc),
 w AS (SELECT a.image_id, a.y, a.x, q.v AS qv, exp(-a.dd / 1250.0::DOUBLE - pow(q.v - a.v, 2) / 1250.0::DOUBLE) AS w FROM pl a JOIN px q ON q.image_id = a.image_id AND q.y = a.ty AND q.x = a.tx)""", f"SELECT image_id, y, x, {clip8('sum(w * qv) / sum(w)')} AS v FROM w GROUP BY image_id, y, x")
-query("k10_non_local_means")(lambda spark, d: digest(K.non_local_means(V(spark, d))))
+query("k10_non_local_means")(lambda spark, d: digest(K.line_values(K.non_local_means_lines(R.vector_corpus_lines(spark, d)))))
 # The same with smaller windows, so that SQL can look at every offset.
 _M7 = lambda e: f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > 7 THEN 14 - ({e}) ELSE {e} END"
 NLM = f"""of AS (SELECT a.i AS dy, b.j AS dx, (a.i + 3) * 7 + b.j + 3 AS o FROM (SELECT unnest(range(-3, 4)) AS i) a, (SELECT unnest(range(-3, 4)) AS j) b),
 sh AS (SELECT image_id * 64 + o AS image_id, y, x, v AS c, {_M7('y + dy')} AS ty, {_M7('x + dx')} AS tx, image_id AS own FROM px, of),
 df AS MATERIALIZED (SELECT s.image_id, s.y, s.x, q.v AS w, CAST((q.v - s.c) * (q.v - s.c) AS DOUBLE) AS v FROM sh s JOIN px q ON q.image_id = s.own AND q.y = s.ty AND q.x = s.tx), {S.blurred('df', 'tm', [1 / 3] * 3)},
 wk AS (SELECT image_id // 64 AS image_id, y, x, w, exp(-greatest(g, 0) / 400.0::DOUBLE) AS k FROM tm)"""
-treated("k10_non_local_means_small", V, lambda px: K.non_local_means(px, 20.0, 3, 7), NLM, f"SELECT image_id, y, x, {clip8('round(sum(w * k) / sum(k), 6)')} AS v FROM wk GROUP BY ALL")
+treated("k10_non_local_means_small", R.vector_corpus_lines, lambda rows: K.line_values(K.non_local_means_lines(rows, 20.0, 3, 7)), NLM, f"SELECT image_id, y, x, {clip8('round(sum(w * k) / sum(k), 6)')} AS v FROM wk GROUP BY ALL")
 element = ", ".join(f"({i - 2}, {dx})" for i, half in enumerate(K._halves(5, "ellipse")) for dx in range(-half, half + 1))
 treated("k7_black_hat", V, K.black_hat, f"el(dy, dx) AS (VALUES {element}), di AS (SELECT p.image_id, p.y, p.x, any_value(p.v) AS was, max(q.v) AS v FROM px p CROSS JOIN el JOIN px q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL), cl AS (SELECT p.image_id, p.y, p.x, any_value(p.was) AS was, min(q.v) AS v FROM di p CROSS JOIN el JOIN di q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)", "SELECT image_id, y, x, greatest(0, v - was) AS v FROM cl")
 

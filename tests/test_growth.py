@@ -1,5 +1,7 @@
 """Plans of queries over pixels: what is sorted, joined or dealt out must not be pixels."""
 
+import math
+
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,35 @@ def test_pixels_of_pages_are_never_sent(spark):
     """The planner takes drawn pages for as small as their texts, so it sent all their pixels through the driver."""
     text = plan(entry.queries()["s12_bounded_thumbnail"](spark, SF))
     assert "ShuffledHashJoin" in text and text.count("BroadcastExchange") <= 1
+
+
+@pytest.mark.parametrize("name", ["k10_non_local_means", "k10_non_local_means_small"])
+def test_offsets_of_non_local_means_are_not_rows(spark, name):
+    """Every offset of the search window was a line of its own, dealt and ordered in windows."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert "Window" not in text and "Join" not in text and "MapInArrow" in text
+
+
+def test_non_local_means_in_bands(spark, monkeypatch):
+    px = spark.createDataFrame([(i, y, x, (i * 37 + y * y * 11 + x * 29 + (y * x) % 5 * 60) % 256) for i in range(3) for y in range(23 - i) for x in range(6)], "image_id long, y int, x int, v int")
+    key = lambda: sorted(map(tuple, stencil.non_local_means(px, 60.0, 3, 5).select("image_id", "y", "x", "v").collect()))
+    whole = key()
+    monkeypatch.setattr(stencil, "MEANS_BAND", 4)
+    assert key() == whole and len(whole) == 66 * 6
+    v = {(r["image_id"], r["y"], r["x"]): r["v"] for r in px.collect()}
+
+    def mirror(i, n):
+        i %= 2 * (n - 1)
+        return i if i < n else 2 * (n - 1) - i
+
+    def one(i, y, x, h):
+        at = lambda y, x: v[i, mirror(y, h), mirror(x, 6)]
+        total = weights = 0.0
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                near = [(mirror(y + a, h), mirror(x + b, 6)) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+                k = math.exp(-sum((at(p + dy, q + dx) - at(p, q)) ** 2 for p, q in near) / 9 / 3600)
+                total, weights = total + k * at(y + dy, x + dx), weights + k
+        return math.floor(round(total / weights, 6) + 0.5)
+
+    assert all(value == one(i, y, x, 23 - i) for i, y, x, value in whole)
