@@ -1,12 +1,14 @@
 """Plans of queries over pixels: what is sorted, joined or dealt out must not be pixels."""
 
 import math
+import re
 
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from platen.operators import histogram, preservation, stencil
+from platen.operators import histogram, preservation, registry, stencil
+from platen.operators.metrics import as_lines
 
 from conftest import SF
 
@@ -100,3 +102,18 @@ def test_non_local_means_in_bands(spark, monkeypatch):
         return math.floor(round(total / weights, 6) + 0.5)
 
     assert all(value == one(i, y, x, 23 - i) for i, y, x, value in whole)
+
+
+def test_candidates_do_not_meet_their_originals_as_pixels(spark):
+    text = plan(entry.queries()["e3_candidate_changes"](spark, SF))
+    assert not re.search(r"Join \[[^\]]*\bx#", text) and not re.search(r"Join \[[^\]]*\by#", text)
+
+
+@pytest.mark.parametrize("case", registry.CANDIDATES[6:11] + registry.CANDIDATES[-4:] + (("", "", "global_threshold", {"threshold": 100}),), ids=lambda c: f"{c[1]}{c[2]}")
+def test_treatments_of_lines_are_those_of_pixels(spark, case):
+    _, _, operation, parameters = case
+    px = spark.createDataFrame([(i, y, x, (i * 37 + y * y * 11 + x * 29 + (y * x) % 5 * 60) % 256) for i in range(2) for y in range(9) for x in range(6)], "image_id long, y int, x int, v int")
+    lines = registry._beside(as_lines(px), operation, **parameters)
+    got = sorted(map(tuple, stencil.line_values(lines.select("image_id", "y", "v")).collect()))
+    assert got == sorted(map(tuple, registry.apply_operation(px, operation, **parameters).select("image_id", "y", "x", "v").collect()))
+    assert sorted(map(tuple, stencil.line_values(lines.select("image_id", "y", F.col("v0").alias("v"))).collect())) == sorted(map(tuple, px.collect()))
