@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from platen.operators import histogram, preservation, registry, stencil
+from platen.operators import geometry, histogram, preservation, registry, stencil
 from platen.operators.metrics import as_lines
 
 from conftest import SF
@@ -117,3 +117,41 @@ def test_treatments_of_lines_are_those_of_pixels(spark, case):
     got = sorted(map(tuple, stencil.line_values(lines.select("image_id", "y", "v")).collect()))
     assert got == sorted(map(tuple, registry.apply_operation(px, operation, **parameters).select("image_id", "y", "x", "v").collect()))
     assert sorted(map(tuple, stencil.line_values(lines.select("image_id", "y", F.col("v0").alias("v"))).collect())) == sorted(map(tuple, px.collect()))
+
+
+def segments_by_brute_force(points, step, threshold, min_length, max_gap):
+    angles, votes, cells, out = [math.radians(i * step) for i in range(round(180 / step))], {}, {}, []
+    rho = lambda p, a: math.floor(round(p[0] * math.cos(a) + p[1] * math.sin(a), 6) + 0.5)
+    for i, a in enumerate(angles):
+        for p in points:
+            votes[i, rho(p, a)] = votes.get((i, rho(p, a)), 0) + 1
+    for p in points:
+        own = [(i, rho(p, a)) for i, a in enumerate(angles) if votes[i, rho(p, a)] >= threshold]
+        if own:
+            ties = [c for c in own if votes[c] == max(votes[o] for o in own)]
+            a = angles[ties[(len(ties) - 1) // 2][0]]
+            cells.setdefault(ties[(len(ties) - 1) // 2], []).append((round(p[1] * math.cos(a) - p[0] * math.sin(a), 6), *p))
+    for (i, _), line in cells.items():
+        parts = []
+        for q in sorted(line):
+            if not parts or q[0] - parts[-1][-1][0] > max_gap:
+                parts.append([])
+            parts[-1].append(q)
+        for part in parts:
+            (_, x1, y1), (_, x2, y2) = part[0], part[-1]
+            if round(math.hypot(x2 - x1, y2 - y1), 6) >= min_length:
+                out.append((x1, y1, x2, y2, round(math.hypot(x2 - x1, y2 - y1), 6), step * i - 90, len(part)))
+    return out
+
+
+def test_votes_are_counted_where_they_are_cast(spark, monkeypatch):
+    """Each pixel's 180 or 360 votes were rows that went through windows."""
+    images = {i: sorted({((i * 7 + k * k * 3) % 13, (k * 5 + i) % 11) for k in range(18)} | {(k, (k * (i + 1)) // 3 % 11) for k in range(12)}) for i in (3, 4, 8, -2)}
+    edges = spark.createDataFrame([(i, y, x) for i, points in images.items() for x, y in points], "image_id long, y int, x int")
+    want = sorted((i, *s) for i, points in images.items() for s in segments_by_brute_force(points, 1.0, 4, 2.0, 2))
+    got = lambda: sorted(map(tuple, geometry.hough_segments(edges, 1.0, 4, 2.0, 2).collect()))
+    assert got() == want and len(want) == 8
+    monkeypatch.setattr(geometry, "TOGETHER", 1)
+    assert got() == want
+    text = plan(geometry.hough_segments(edges))
+    assert "Window" not in text and text.count("Exchange") == 1
