@@ -83,6 +83,20 @@ def to_python(df: DataFrame) -> DataFrame:
     return df
 
 
+def perhaps_in(df: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of `df` whose id hashes to a place that one of `ids` has (both: id): none that a join with these needs is lost, and few others stay.
+
+    The places are a bitmap of 2 ** `bits` bits at most, however many ids there are, which is sent to every task. So wide rows that
+    a join would drop are dropped before they are dealt out.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    bucket, bit = "bitmap_bucket_number(__p)", "bitmap_bit_position(__p)"
+    maps = ids.where("id IS NOT NULL").select(place.alias("__p")).groupBy(F.expr(bucket).alias("__b")).agg(F.expr(f"bitmap_construct_agg({bit})").alias("__m"))
+    held = f"shiftright(cast(conv(hex(substring(__m, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int), cast({bit} % 8 as int)) & 1 = 1"
+    at = df.where("id IS NOT NULL").withColumn("__p", place).withColumn("__b", F.expr(bucket))
+    return at.join(F.broadcast(maps), "__b").where(held).select(*df.columns)
+
+
 def fits_broadcast(df: DataFrame, rows: int = 500_000) -> bool:
     """Whether a narrow frame has few enough rows to be broadcast; callers need another way beyond it."""
     return df.limit(rows + 1).count() <= rows

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, plain_columns, table, to_python, with_row_id
+from ._store import ROW, cut, perhaps_in, plain_columns, table, to_python, with_row_id
 from ._text import U, blocks, mix, shingles, words
 from .graph import connected_components
 
@@ -95,7 +95,7 @@ def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     needed = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
+    texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), needed).join(needed, "id")
     both = edges.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
     return to_python(both).mapInArrow(run, "u long, v long")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, table, to_python
+from ._store import cut, perhaps_in, table, to_python
 from ._text import U, blocks, mix, shingles, words
 from .graph import connected_components
 from .minhash import confirmed
@@ -90,8 +90,9 @@ def different(prints: DataFrame) -> DataFrame:
 
 def incidence(rows: DataFrame, percent: int) -> DataFrame:
     """row, n, shared (of the front's n-grams, the part that another row has), h: the matrix, one row for each n-gram of a row that takes part."""
-    each = rows.select("row", F.explode("front").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    # counts and the join with them read one exchange, which has to be of the same rows and columns for both (no row is null or below 0)
+    each = rows.where("row IS NOT NULL").select("row", F.explode("front").alias("h")).repartition("h")
+    often = each.groupBy("h").agg(F.count_if(F.col("row") >= 0).alias("f")).where("f > 1")
     own = Window.partitionBy("row")
     placed = each.join(often, "h").withColumns({"at": F.row_number().over(own.orderBy("f", "h")), "m": F.count("*").over(own)}).join(rows.select("row", "n"), "row")
     n, p = F.col("n"), front(F.col("n"), percent)
@@ -128,7 +129,7 @@ def families(cells: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("row") != F.col("v")) & (F.col("cell") == F.greatest("b", "b2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     met = cells.join(stars, ["h", "cell"]).where(fits).groupBy("row", "v", "n", "n2").agg(F.count("*").alias("c"))
     near = met.where(2 * F.col("c") >= bound(F.col("n"), F.col("n2"), percent))
-    home = near.groupBy("row").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+    home = cut(near.groupBy("row").agg(F.max_by("v", F.struct("c", "v")).alias("v")))
     return connected_components(home.select(F.col("row").alias("u"), "v")).toDF("row", "family")
 
 
@@ -207,7 +208,7 @@ def family_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
                 part = batch.slice(block.lo, len(found))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), part.column(5), part.column(0), lists], names=names).filter(pa.array(same))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(dealt, "id").select("id", "k", "family", "cell", "parts", "own", "text")
+    texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), members.select("id")).join(dealt, "id").select("id", "k", "family", "cell", "parts", "own", "text")
     whole = to_python(texts).mapInArrow(sets, "family long, cell int, parts int, own int, id long, grams array<long>")
     pairs = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select("family", "cell", "low", "high", "own", "id", "grams")
@@ -266,8 +267,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = families(cells, percent)
     members = rows.join(own, "row").select("row", "id", "k", "n", "family")
     sizes = matrix.select("row", "n").distinct()
-    near = in_cells(members, percent).drop("cell").distinct()
-    links = cut(family_links(near.select("id", "k", "n", "family", "b"), docs, id_col, text_col, size, percent))
+    near = cut(in_cells(members, percent).select("id", "k", "n", "family", "b").distinct())
+    links = cut(family_links(near, docs, id_col, text_col, size, percent))
 
     joined = connected_components(links).toDF("id", "component")
     groups = sizes.select("row").join(rows.select("row", "id", *BITMAP), "row").join(own, "row", "left").join(joined, "id", "left")

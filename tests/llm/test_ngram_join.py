@@ -143,3 +143,30 @@ def test_bitmaps_rule_out_no_link(spark, docs):
     linked = {(u, v) for u in sets for v in sets if u > v and 100 * len(sets[u] & sets[v]) >= 85 * len(sets[u] | sets[v])}
     assert linked and linked <= passed
     assert sum(u >= 10000 and v >= 10000 for u, v in passed) < 0.1 * 30 * 29 / 2
+
+
+def test_texts_that_no_join_needs_are_not_dealt_out(spark, docs):
+    """The bitmap loses no id that is asked for, and few others pass."""
+    from platen.llm._store import perhaps_in
+
+    rows = docs([(i, f"text {i}", "a") for i in [None, *range(-2000, 2000)]]).selectExpr("doc_id as id", "text")
+    wanted = spark.createDataFrame([(None,)] + [(i,) for i in range(-1999, 9000, 40)] * 2, "id long")
+    got = [r["id"] for r in perhaps_in(rows, wanted).collect()]
+    assert sorted(got) == list(range(-1999, 2000, 40))
+    few = [r["id"] for r in perhaps_in(rows, wanted, 12).collect()]
+    assert set(got) <= set(few) and len(few) == len(set(few)) < 1000
+    assert perhaps_in(rows, wanted.limit(0)).count() == 0
+
+
+def test_fronts_are_dealt_out_once(spark, docs, monkeypatch):
+    rows = J.different(J.sketches(docs(corpus(5, sizes=(8, 25))), "doc_id", "text", 4, 85))
+    monkeypatch.setattr(J, "table", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matrix = J.incidence(rows, 85)
+        assert matrix.collect()
+        final = matrix._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in final.splitlines() if "Exchange hashpartitioning(h#" in line or "ReusedExchange" in line]
+    assert sum("ReusedExchange" in line for line in dealt) >= 1 and sum("ReusedExchange" not in line for line in dealt) == 1
