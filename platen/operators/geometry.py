@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from platen.functions.groups import dealt, whole_groups
 from platen.functions.scalars import angle_distance, area_score, is_convex, quad_angles, quad_area, quad_sides
 from platen.sources.rasters import KEYS, clip8, dimensions
-from platen.sources.store import cut
+from platen.sources.store import cut, spread
 
 
 def _number(value: float | str) -> F.Column:
@@ -203,12 +203,12 @@ def line_families(segments: DataFrame, bins: int = 36) -> DataFrame:
 
 
 def extremes(lines: DataFrame, per_side: int = 4) -> DataFrame:
-    """The first and the last few offsets of each family (side low or high)."""
+    """The first and the last few offsets of each family (side low or high). Lines are dealt out once, for both sides."""
     key = Window.partitionBy("image_id", "family")
     up, down = F.row_number().over(key.orderBy("offset", "id")), F.row_number().over(key.orderBy(F.desc("offset"), "id"))
-    e = lines.withColumns({"up": up, "down": down})
-    low = e.where(F.col("up") <= per_side).withColumn("side", F.lit("low"))
-    return low.unionByName(e.where(F.col("down") <= per_side).withColumn("side", F.lit("high"))).drop("up", "down")
+    e = spread(lines, "image_id").withColumns({"up": up, "down": down})
+    side = lambda c, name: F.when(F.col(c) <= per_side, F.lit(name))
+    return e.withColumn("side", F.explode(F.array_compact(F.array(side("up", "low"), side("down", "high"))))).drop("up", "down")
 
 
 def unique_lines(lines: DataFrame, share: float = 0.015) -> DataFrame:

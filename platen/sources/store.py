@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by `by` into as many partitions as the session's shuffles have. Spark joins none of these into a larger one, so
+    what a task sorts or groups is that share of the rows, where it would else grow up to a fixed size of what was sent."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def uri_of(spark: SparkSession, path: str) -> str:
     """The path as a URI of the file system that Spark takes it for, in the form that pyarrow reads too."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -155,3 +155,12 @@ def test_votes_are_counted_where_they_are_cast(spark, monkeypatch):
     assert got() == want
     text = plan(geometry.hough_segments(edges))
     assert "Window" not in text and text.count("Exchange") == 1
+
+
+def test_extreme_lines_are_dealt_out_once(spark):
+    """Both sides come from one dealing into all of the session's partitions, which Spark doesn't join into few large ones."""
+    text = plan(entry.queries()["w7_extreme_lines"](spark, SF))
+    assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 1 and "Union" not in text
+    lines = spark.createDataFrame([(1, i, "p", float(i % 3)) for i in range(9)] + [(2, 7, "p", 1.0)], "image_id long, id int, family string, offset double")
+    got = sorted((r["image_id"], r["side"], r["id"]) for r in geometry.extremes(lines).collect())
+    assert got == sorted([(1, "low", i) for i in (0, 3, 6, 1)] + [(1, "high", i) for i in (2, 5, 8, 1)] + [(2, "low", 7), (2, "high", 7)])
