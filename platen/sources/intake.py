@@ -66,7 +66,10 @@ def check_lineage(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def lineage_closure(results: DataFrame) -> DataFrame:
-    """result_id, root, depth of every result, by doubling: each round a result's jump is twice as far up its chain."""
+    """result_id, root, depth of every result, by doubling: each round a result's jump is twice as far up its chain.
+
+    Results that are at their end ask for nothing and are dealt out by their own id, not all of them by the null that they would ask for.
+    """
     now = cut(results.select("result_id", F.col("parent_result_id").alias("up"), F.when(F.col("parent_result_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent_result_id", "result_id").alias("root")))
     # a chain has fewer links than there are results, so it is at its end after so many doublings
     for left in range(now.count().bit_length() + 1, -1, -1):
@@ -74,8 +77,10 @@ def lineage_closure(results: DataFrame) -> DataFrame:
             break
         if not left:
             raise ValueError(f"results descend from themselves: {sorted(str(r['result_id']) for r in now.where('up IS NOT NULL').limit(5).collect())}")
-        far = now.select(F.col("result_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
-        now = cut(now.join(far, "up", "left").select("result_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")))
+        far = now.select(F.col("result_id").alias("far"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
+        asks = now.withColumn("ask", F.coalesce("up", "result_id"))
+        moved = asks.join(far, F.col("up").isNotNull() & (F.col("ask") == F.col("far")), "left")
+        now = cut(moved.select("result_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")))
     return now.select("result_id", "root", "depth")
 
 

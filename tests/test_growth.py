@@ -164,3 +164,25 @@ def test_extreme_lines_are_dealt_out_once(spark):
     lines = spark.createDataFrame([(1, i, "p", float(i % 3)) for i in range(9)] + [(2, 7, "p", 1.0)], "image_id long, id int, family string, offset double")
     got = sorted((r["image_id"], r["side"], r["id"]) for r in geometry.extremes(lines).collect())
     assert got == sorted([(1, "low", i) for i in (0, 3, 6, 1)] + [(1, "high", i) for i in (2, 5, 8, 1)] + [(2, "low", 7), (2, "high", 7)])
+
+
+def test_results_at_their_end_are_not_dealt_out_by_null(spark, monkeypatch):
+    """Long chains among many results without a parent: every round deals all rows evenly, and finished ones meet nothing."""
+    from platen.sources import intake
+
+    chain = [(i, i - 1 if i else None) for i in range(20)]
+    rows = spark.createDataFrame(chain + [(i, None) for i in range(100, 2100)], "result_id long, parent_result_id long")
+    seen, cut = [], intake.cut
+    monkeypatch.setattr(intake, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    for name, value in (("adaptive.coalescePartitions.enabled", "false"), ("autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        got = sorted(map(tuple, intake.lineage_closure(rows).collect()))
+    finally:
+        for name in ("adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+    assert got == sorted([(i, 0, i) for i in range(20)] + [(i, i, 0) for i in range(100, 2100)])
+    assert len(seen) > 3
+    for one in seen[1:]:
+        sizes = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
