@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platen.sources.store import spread
+
 WIDTH = 32
 KEYS = ["image_id", "y", "x"]
 
@@ -19,10 +21,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_raster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Whole texts; null and empty ones have no raster."""
+    """Whole texts; null and empty ones have no raster. A text is far smaller than its pixels, so texts are dealt into all partitions and none are joined into larger ones."""
     text = F.col(text_col)
     rows = docs.where(text.isNotNull() & (text != "")).select(F.col(id_col).cast("long").alias("image_id"), F.concat(text, F.expr(f"repeat(' ', pmod(-length({text_col}), {width}))")).alias("t"))
-    chars = rows.repartition("image_id").select("image_id", F.posexplode(F.split("t", "", -1)).alias("p", "c")).where("c <> ''")
+    chars = spread(rows, "image_id").select("image_id", F.posexplode(F.split("t", "", -1)).alias("p", "c")).where("c <> ''")
     return chars.select("image_id", F.expr(f"cast(p div {width} as int)").alias("y"), F.expr(f"cast(p % {width} as int)").alias("x"), (F.ascii("c") % 256).alias("v"))
 
 

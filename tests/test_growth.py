@@ -186,3 +186,10 @@ def test_results_at_their_end_are_not_dealt_out_by_null(spark, monkeypatch):
     for one in seen[1:]:
         sizes = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+@pytest.mark.parametrize("name", ["s12_thumbnail", "p11_crop"])
+def test_texts_are_dealt_into_all_partitions(spark, name):
+    """Spark would join partitions by the size of texts, which a task turns into far larger pixels."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert "REPARTITION_BY_NUM" in text and "REPARTITION_BY_COL" not in text and text.count("Exchange hashpartitioning") == 1
