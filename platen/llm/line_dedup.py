@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import ROW, cut, fits_broadcast, plain_columns, table, to_python, with_row_id
+from ._store import ROW, cut, fits_broadcast, perhaps_in, plain_columns, table, to_python, with_row_id
 from ._text import U, blocks, mix, span_hashes, words
 
 LEAST_CHARS = 40
@@ -123,7 +123,7 @@ def within(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, index) rows of lines given as (line, text); a line that the task had shortly before is left out."""
+    """(key, line) rows of lines given as (line, text), where line, which is even, gets 1 more if the key is an index; a line that the task had shortly before is left out."""
     plans: dict[tuple[int, bool], np.ndarray] = {}
     seen: set[int] = set()
     for batch in batches:
@@ -149,7 +149,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = span_hashes(codes, at + rows[:, 2], at + rows[:, 2] + rows[:, 3])
             name = (rows[:, 0] * 64 + rows[:, 1] * 2 + np.repeat(worded[kept], count) + 1).astype(U)
             keys = mix(hashes + name * U(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(lines[kept], count)), pa.array(rows[:, 4].astype(bool))], names=["key", "line", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(lines[kept], count) | rows[:, 4])], names=["key", "line"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +186,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """ROW, id, place and text of every line of `least` characters or more, or with a letter or digit; two hashes name its content."""
+    """ROW, id, place and text of every line of `least` characters or more, or with a letter or digit; two hashes name its content, the first of them even."""
     each = docs.select(*ROW, F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("place", "text"))
     wanted = (F.length("text") >= least) | F.col("text").rlike(WORDY)
-    return each.where(wanted).select("*", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
+    return each.where(wanted).select("*", F.xxhash64("text").bitwiseAND(F.lit(-2)).alias("line"), F.xxhash64(F.lit(17), "text").alias("line2"))
 
 
 def _first() -> Column:
@@ -203,10 +203,10 @@ def _spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
 
 def near_lines(each: DataFrame, least: int) -> DataFrame | None:
     """line, line2 of the lines of `each` that the corpus has before with 1 to t edits; None if no two share a segment."""
-    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(_keys, "key long, line long, index boolean")
+    keys = each.where(F.length("text") >= least).select("line", "text").mapInArrow(_keys, "key long, line long")
     own = Window.partitionBy("key")
-    shared = keys.withColumns({"lo": F.min("line").over(own), "hi": F.max("line").over(own), "any": F.max("index").over(own)}).where("lo <> hi AND any")
-    shared = cut(shared.groupBy("key", "line").agg(F.max("index").alias("index")))
+    shared = keys.withColumns({"lo": F.min("line").over(own), "hi": F.max("line").over(own), "any": F.max(F.col("line").bitwiseAND(F.lit(1))).over(own)}).where("lo div 2 <> hi div 2 AND any = 1")
+    shared = cut(shared.groupBy("key", F.col("line").bitwiseAND(F.lit(-2)).alias("line")).agg((F.max(F.col("line").bitwiseAND(F.lit(1))) == 1).alias("index")))
     if shared.isEmpty():
         return None
     wanted = cut(shared.select("line").distinct())
@@ -250,13 +250,20 @@ def near_lines(each: DataFrame, least: int) -> DataFrame | None:
 def dropped_places(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """ROW and dropped (sorted places of lines) of the rows of `docs`, numbered by with_row_id, that lose a line."""
     each = lines_of(docs, id_col, text_col, least)
-    again = cut(each.groupBy("line", "line2").agg(_first().alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "line2", "first"))
+    marked = each.groupBy("line", "line2").agg(F.count("*").alias("n")).where("n > 1").select("line", "line2", F.lit(False).alias("near"))
     near = near_lines(each, least)
-    stays = F.coalesce(F.struct(*[F.col(f"first.{c}") for c in (*ROW, "place")]) == F.struct(*ROW, "place"), F.lit(False))
-    verdicts = again.withColumn("near", F.lit(False))
     if near is not None:
-        verdicts = cut(again.join(near.withColumn("near", F.lit(True)), ["line", "line2"], "full_outer").withColumn("near", F.coalesce("near", F.lit(False))))
-    lost = each.drop("text").join(_spread(verdicts), ["line", "line2"]).where(F.col("near") | ~stays)
+        marked = marked.unionByName(near.withColumn("near", F.lit(True))).groupBy("line", "line2").agg(F.max("near").alias("near"))
+    marked, rows = cut(marked), each.drop("text")
+    if fits_broadcast(marked, SPREAD_ROWS):
+        rows = rows.join(F.broadcast(marked), ["line", "line2"])
+    else:  # the other lines stay where they are
+        of = perhaps_in(rows.withColumnsRenamed({"id": "__id", "line": "id"}), marked.select(F.col("line").alias("id")))
+        rows = of.withColumnsRenamed({"id": "line", "__id": "id"}).join(marked, ["line", "line2"])
+    rows = cut(rows)
+    first = rows.where("NOT near").groupBy("line", "line2").agg(_first().alias("first"))
+    stays = F.coalesce(F.struct(*[F.col(f"first.{c}") for c in (*ROW, "place")]) == F.struct(*ROW, "place"), F.lit(False))
+    lost = rows.where("near").select(*ROW, "place").unionByName(rows.where("NOT near").join(_spread(cut(first)), ["line", "line2"]).where(~stays).select(*ROW, "place"))
     return lost.groupBy(*ROW).agg(F.sort_array(F.collect_list("place")).alias("dropped"))
 
 

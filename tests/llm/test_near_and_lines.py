@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from platen.llm import line_dedup
 from platen.llm._text import blocks
 from platen.llm.line_dedup import EDITS, FEW, dedup_lines, edits_of, plan, within
 from platen.llm.minhash import OnePermutation, near_duplicates, one_of_each_group
@@ -223,3 +225,23 @@ def test_blocks_of_nulls_and_long_texts():
 
     got = list(blocks(pa.array([None, "", "a" * 5000, "b"]), limit=100))
     assert sum(len(b) for b in got) == 4 and sum(len(b.data) for b in got) == 5001
+
+
+def test_lines_that_no_verdict_names_are_not_dealt_out(docs, monkeypatch):
+    """However many verdicts there are: beyond what is sent everywhere, a bitmap of them says which lines meet them. A key's row is two numbers."""
+    draw = random.Random(3)
+    vocab = ["".join(draw.choice("abcde") for _ in range(7)) for _ in range(200)]
+    pool = [" ".join(draw.choice(vocab) for _ in range(n)) for n in (6, 9, 9, 12, 17, 30)]
+    rows = []
+    for i in range(60):
+        lines = [draw.choice(pool).split(" ") for _ in range(draw.randrange(4))]
+        rows.append((i * 3 % 61, "\n".join(" ".join(changed(draw, line, draw.choice((0, 1, 2)), vocab)) for line in lines), "a"))
+    plans, checkpoint = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "SPREAD_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), checkpoint(df))[1])
+    got = {r["doc_id"]: (r["text"], r["__dropped"]) for r in dedup_lines(docs(rows)).collect()}
+    assert got == expected(rows) and sum(n for _, n in got.values()) > 20
+    assert any("bitmap_construct_agg" in p for p in plans)
+    batch = pa.RecordBatch.from_arrays([pa.array([2, 4]), pa.array([" ".join(f"word{i}" for i in range(9)), "x" * 45])], names=["line", "text"])
+    keys = pa.Table.from_batches(line_dedup._keys(iter([batch])))
+    assert keys.column_names == ["key", "line"] and {(k & -2, k & 1) for k in keys["line"].to_pylist()} == {(2, 0), (2, 1), (4, 0), (4, 1)}
