@@ -9,6 +9,7 @@ bounded in bytes, keeps the ids of pieces seen before.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from ._text import Block, blocks
 
 GROUP = 50
-MEMO_BYTES, LONGEST = 96 << 20, 200
+MEMO_BYTES, LONGEST = 64 << 20, 200
 #: Bytes after which nothing is cut: white space, separators, and the first bytes of wider white space.
 _OPEN = np.zeros(256, bool)
 _OPEN[[*range(9, 14), *range(28, 33), 0x85, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -151,17 +152,27 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     return Encoder(path, special_as_text=special_as_text)
 
 
+def give_back() -> None:
+    """Memory that Python and Arrow hold free goes back to the system, where its C library can do that: a worker lives on between tasks, and its executor pays for what it keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def task_encoder(path: str) -> Iterator[Encoder]:
     """The worker's encoder for one task; its memo is given back afterwards, since other stages use the worker too."""
+    give_back()
     tool = encoder(path)
     try:
         yield tool
     finally:
         tool.memo.clear()
+        give_back()
 
 
-def encoded(column: pa.Array, tool: Encoder, limit: int = 3 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, tool: Encoder, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of about `limit` bytes of texts; null is empty."""
     for block in blocks(column, limit):
         yield block.lo, *tool.encode(block)

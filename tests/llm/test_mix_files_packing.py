@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -150,3 +153,27 @@ def test_packing(docs, cut_last):
 def test_checksums(docs):
     got = pack(docs([(1, "one two", "a")]), WORD, end_id=None).first()
     assert zlib.crc32(got["ids"]) == zlib.crc32(np.array(ids_of(Tokenizer.from_file(WORD), "one two"), "<u4").tobytes())
+
+
+def test_a_task_gives_its_memory_back():
+    """In a process of its own: what a task's encoder took is free again for the executor, not only for its worker."""
+    code = """
+import random
+import pyarrow as pa
+import public_tokenizers
+from platen.llm.tokens import encoded, task_encoder
+def held(): return int(open("/proc/self/statm").read().split()[1]) * 4096
+draw = random.Random(1)
+texts = [" ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(300)) for _ in range(1000)]
+with task_encoder(public_tokenizers.path("word_bpe_49k.json")) as tool:
+    list(encoded(pa.array(["a"]), tool))
+    before = held()
+    for _ in encoded(pa.array(texts), tool):
+        pass
+    within = held()
+print(before >> 20, within >> 20, held() >> 20)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    before, within, after = map(int, out.split())
+    assert after - before < 0.4 * (within - before)
