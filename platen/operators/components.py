@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.sources.rasters import KEYS
+from platen.functions.groups import dealt, starts, whole_groups
+from platen.operators.stencil import BAND
 from platen.sources.store import cut
 
 
@@ -34,21 +40,60 @@ def spread_minimum(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.join(now.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def runs(mask: DataFrame) -> DataFrame:
-    """image_id, y, s, e of the runs of pixels of a mask (rows image_id, y, x: the pixels that are set)."""
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    island = mask.select(*KEYS, (F.col("x") - F.row_number().over(line)).alias("k"))
-    return island.groupBy("image_id", "y", "k").agg(F.min("x").alias("s"), F.max("x").alias("e")).drop("k")
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each reaches by the edges u, v."""
+    root = np.arange(n)
+    while len(u):
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[u] != root[v]
+        u, v = u[open_], v[open_]
+    return root
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (image_id, y, s, e, comp, strong) of pixels (image_id, b, y, x, strong) that come in whole bands, in order."""
+    made = TaskContext.get().partitionId() << 40
+    for table in whole_groups(batches, ("image_id", "b")):
+        image, y, x, strong = (table.column(c).to_numpy() for c in ("image_id", "y", "x", "strong"))
+        begin = np.zeros(len(x), bool)
+        begin[starts(table, ("image_id", "b"))] = True
+        # places of lines: consecutive within a band, and apart between bands
+        line = np.cumsum(np.where(begin, 2, np.diff(y, prepend=y[:1])).astype(np.int64))
+        first = np.flatnonzero(begin | (np.diff(line, prepend=-1) != 0) | (np.diff(x, prepend=x[:1]) != 1))
+        last = np.append(first[1:], len(x)) - 1
+        s, e, at, wide = x[first].astype(np.int64), x[last].astype(np.int64), line[first], int(x.max()) + 3
+        lo = np.searchsorted(at * wide + e, (at + 1) * wide + s - 1, "left")
+        count = np.maximum(np.searchsorted(at * wide + s, (at + 1) * wide + e + 1, "right") - lo, 0)
+        u = np.repeat(np.arange(len(s)), count)
+        v = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(len(u))
+        root = _labels(len(s), u, v)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        columns = (image[first], y[first], s, e, root + made, np.maximum.reduceat(strong, first))
+        made += len(s)
+        yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=["image_id", "y", "s", "e", "comp", "strong"])
 
 
-def labelled_runs(mask: DataFrame) -> DataFrame:
-    """Runs with `comp`, which names a component within the whole table. Pixels become runs before any join, so
-    what is joined and repeated is small; runs of neighbouring rows whose spans touch are one component."""
-    lines = cut(runs(mask)).withColumn("run", F.monotonically_increasing_id())
-    below = lines.select("image_id", (F.col("y") - 1).alias("y"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("run").alias("v"))
-    edges = lines.join(below.hint("merge"), ["image_id", "y"]).where("s2 <= e + 1 AND e2 >= s - 1").select(F.col("run").alias("u"), "v")
-    roots = spread_minimum(edges)
-    return lines.join(roots, lines["run"] == roots["node"], "left").select("image_id", "y", "s", "e", F.coalesce("root", "run").alias("comp"))
+def labelled_runs(mask: DataFrame, band: int = BAND) -> DataFrame:
+    """image_id, y, s, e of the runs of pixels of a mask (rows image_id, y, x: the pixels that are set; with strong, a boolean, also whether a run has such a pixel),
+    with `comp`, which names a component within the whole table. Runs of neighbouring rows whose spans touch are one component.
+
+    Pixels are dealt out once, by image and band of `band` rows, and a task labels a band at a time; only components that meet where two bands meet are joined afterwards.
+    """
+    flag = F.col("strong") if "strong" in mask.columns else F.lit(False)
+    px = mask.select(F.col("image_id").cast("long").alias("image_id"), F.floor(F.col("y") / band).cast("int").alias("b"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), flag.alias("strong"))
+    lines = cut(dealt(px, ("image_id", "b"), ("y", "x")).mapInArrow(_bands, "image_id long, y int, s int, e int, comp long, strong boolean"))
+    if "strong" not in mask.columns:
+        lines = lines.drop("strong")
+    above = lines.where(F.pmod("y", F.lit(band)) == band - 1)
+    below = lines.where((F.col("y") > 0) & (F.pmod("y", F.lit(band)) == 0)).select("image_id", (F.col("y") - 1).alias("y"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("comp").alias("v"))
+    seams = cut(above.join(below.hint("merge"), ["image_id", "y"]).where("s2 <= e + 1 AND e2 >= s - 1").select(F.col("comp").alias("u"), "v").distinct())
+    if seams.isEmpty():
+        return lines
+    roots = spread_minimum(seams)
+    rest = [c for c in lines.columns if c != "comp"]
+    return lines.join(roots, lines["comp"] == roots["node"], "left").select(*rest, F.coalesce("root", "comp").alias("comp"))
 
 
 def components(mask: DataFrame) -> DataFrame:

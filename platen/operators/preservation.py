@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.operators.components import components
-from platen.operators.edges import auto_thresholds, canny
+from platen.operators.edges import auto_thresholds, canny, canny_lines
 from platen.operators.histogram import otsu, otsu_threshold
-from platen.operators.metrics import share
-from platen.operators.stencil import gaussian, isolated_lines, laplacian, median_denoise, scanlines
+from platen.operators.metrics import _variance, as_lines, share
+from platen.operators.stencil import gaussian, gaussian_kernel, isolated_lines, laplacian, line_pixels, median_denoise, scanlines, smoothed_lines
 from platen.sources.rasters import KEYS, clip8, dimensions
-from platen.sources.store import cut
+from platen.sources.store import cut, spread
 
 IMPULSE_REFERENCE = 0.005
 
@@ -117,22 +117,33 @@ def _stacked(*rasters: DataFrame) -> DataFrame:
 def edge_metrics(pair: DataFrame, ref: str = "v0") -> DataFrame:
     """edge_retention (edges of the stretched reference that lie within one pixel of the processed image's) and edge_inflation."""
     found = cut(canny(auto_thresholds(_stacked(_stretched(pair, ref), _stretched(pair, "v1"), pair.select(*KEYS, F.col("v0").alias("v")))), "lo", "hi"))
+    return _edge_metrics(found, pair.select("image_id").distinct())
+
+
+def _edge_metrics(found: DataFrame, images: DataFrame) -> DataFrame:
+    """`edge_metrics` of the edge pixels of stacked rasters (reference, processed, original). Lines of edges, not pixels, meet each other."""
     of = lambda k: found.where(F.pmod("image_id", F.lit(4)) == k).select(F.expr("image_id div 4").alias("image_id"), "y", "x")
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    wide = of(1).withColumn("s", step).select("image_id", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x")).distinct().withColumn("hit", F.lit(1))
-    kept = of(0).join(wide.hint("merge"), KEYS, "left").groupBy("image_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("edge_retention"))
+    rows = of(1).groupBy("image_id", "y").agg(F.collect_set("x").alias("xs")).select("image_id", F.explode(F.array(*[F.col("y") + d for d in (-1, 0, 1)])).alias("y"), "xs").groupBy("image_id", "y").agg(F.flatten(F.collect_list("xs")).alias("xs"))
+    wide = rows.select("image_id", "y", F.array_distinct(F.flatten(F.transform("xs", lambda x: F.array(x - 1, x, x + 1)))).alias("wide"))
+    own = of(0).groupBy("image_id", "y").agg(F.collect_set("x").alias("own"))
+    hits = F.coalesce(F.size(F.array_intersect("own", "wide")), F.lit(0))
+    kept = own.join(wide.hint("merge"), ["image_id", "y"], "left").groupBy("image_id").agg((F.sum(F.when(F.col("wide").isNull(), 0).otherwise(hits)) / F.sum(F.size("own"))).alias("edge_retention"))
     count = lambda k, c: of(k).groupBy("image_id").agg(F.count("*").alias(c))
-    out = pair.select("image_id").distinct().join(kept, "image_id", "left").join(count(2, "n0"), "image_id", "left").join(count(1, "n1"), "image_id", "left").fillna(0, ["n0", "n1"]).fillna(1.0, ["edge_retention"])
+    out = images.join(kept, "image_id", "left").join(count(2, "n0"), "image_id", "left").join(count(1, "n1"), "image_id", "left").fillna(0, ["n0", "n1"]).fillna(1.0, ["edge_retention"])
     inflation = F.when(F.col("n0") > 0, F.col("n1") / F.col("n0")).when(F.col("n1") == 0, 1.0).otherwise(F.col("n1").cast("double"))
     return out.select("image_id", "edge_retention", inflation.alias("edge_inflation"))
 
 
 def component_retention(pair: DataFrame, ref: str = "v0", least: int = 3, most: int = 5000) -> DataFrame:
-    both = gaussian(_stacked(_stretched(pair, ref), _stretched(pair, "v1")), 3)
+    return _component_retention(gaussian(_stacked(_stretched(pair, ref), _stretched(pair, "v1")), 3), pair.select("image_id").distinct(), least, most)
+
+
+def _component_retention(both: DataFrame, images: DataFrame, least: int = 3, most: int = 5000) -> DataFrame:
+    """`component_retention` of the pixels (KEYS, g) of stacked, blurred rasters (reference, processed)."""
     ink = otsu(both.select(*KEYS, F.floor(F.round("g", 6) + 0.5).cast("int").alias("v")), inverse=True).where("v > 0")
     parts = components(ink).where(F.col("area").between(least, most)).select(F.expr("image_id div 4").alias("image_id"), F.pmod("image_id", F.lit(4)).alias("k"))
     g = parts.groupBy("image_id").agg(F.sum((F.col("k") == 0).cast("int")).alias("n0"), F.sum((F.col("k") == 1).cast("int")).alias("n1"))
-    out = pair.select("image_id").distinct().join(g, "image_id", "left")
+    out = images.join(g, "image_id", "left")
     return out.select("image_id", F.when(F.coalesce("n0", F.lit(0)) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("n1") / F.col("n0"))).alias("component_retention"))
 
 
@@ -171,8 +182,35 @@ def verify_preservation(original: DataFrame, processed: DataFrame) -> DataFrame:
 
 def verify_pairs(pair: DataFrame) -> DataFrame:
     """`verify_preservation` of pixels that are beside each other already (KEYS, v0, v1)."""
-    pair = cut(with_reference(pair))
+    rows = scanlines(spread(pair.select(*KEYS, "v0", "v1"), "image_id"))
+    return verify_lines(rows.select("image_id", "y", *[F.col(f"__row.{c}").alias(c) for c in ("v0", "v1")]))
+
+
+def verify_lines(rows: DataFrame) -> DataFrame:
+    """`verify_preservation` of lines that are beside each other already (image_id, y, arrays v0 and v1). What is dealt out and kept are lines."""
+    whole = rows.select("image_id", "y", *[F.col(c).cast("array<int>").alias(c) for c in ("v0", "v1")])
+    rows = isolated_lines(spread(whole, "image_id"), "v0")
+    all_ = Window.partitionBy("image_id")
+    lone = F.sum(_ones("__lone")).over(all_) / F.sum(F.size("__lone")).over(all_)
+    rows = rows.withColumn("__r", lone).select("image_id", "y", "v0", "v1", F.when(F.col("__r") >= IMPULSE_REFERENCE, F.col("__med")).otherwise(F.col("v0")).alias("ref"))
+    for c in ("ref", "v1"):
+        rows = rows.withColumns({"__lo": F.min(F.array_min(c)).over(all_), "__hi": F.max(F.array_max(c)).over(all_)})
+        wide = F.transform(c, lambda v: F.when(F.col("__hi") > F.col("__lo"), clip8((v - F.col("__lo")) * 255.0 / (F.col("__hi") - F.col("__lo")))).otherwise(0))
+        rows = rows.withColumn(f"s_{c}", wide).drop("__lo", "__hi")
+    rows = cut(rows)
+    images = cut(rows.select("image_id").distinct())
+    pair = rows.select("image_id", "y", "v1", "ref", F.posexplode_outer("v0").alias("x", "v0")).select(*KEYS, "v0", F.get("v1", F.col("x")).alias("v1"), F.get("ref", F.col("x")).alias("ref"))
     out = similarity(pair).drop("changed_ratio", "mean_change")
-    for part in (clipping_change(pair), smoothing_ratio(pair, "ref"), ink_metrics(pair, "ref"), edge_metrics(pair, "ref"), component_retention(pair, "ref")):
+    lap = smoothed_lines(spread(rows.select("image_id", "y", "ref", "v1"), "image_id"), ("ref", "v1"))
+    each = lap.select("image_id", "__lap1", F.posexplode_outer("__lap0").alias("x", "a")).select("image_id", F.col("a").cast("long").alias("a"), F.get("__lap1", F.col("x")).cast("long").alias("b"))
+    sums = each.groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(e).alias(name) for c in "ab" for name, e in ((f"{c}1", F.col(c)), (f"{c}2", F.col(c) * F.col(c)))])
+    variance = lambda c: _variance(*[F.col(k).cast("decimal(38,0)") for k in ("n", f"{c}1", f"{c}2")])
+    smooth = sums.select("image_id", variance("a").alias("a"), variance("b").alias("b")).select("image_id", F.when(F.col("a") < 1e-6, 1.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.col("b") / F.col("a")))).alias("smoothing_ratio"))
+    stack = lambda *cols: spread(rows.select("image_id", "y", F.posexplode(F.array(*cols)).alias("__k", "v")).select((F.col("image_id") * 4 + F.col("__k")).alias("image_id"), "y", "v"), "image_id")
+    edges = cut(canny_lines(stack("s_ref", "s_v1", "v0")))
+    kernel = gaussian_kernel(3)
+    down = lambda line, at: sum(F.get(line(d), at) * kernel[d + 1] for d in (-1, 0, 1))
+    blurred = line_pixels(stack("s_ref", "s_v1"), 1, "reflect101", "g", lambda line, i: sum(down(line, i + j) * kernel[j] for j in range(3)))
+    for part in (clipping_change(pair), smooth, ink_metrics(pair, "ref"), _edge_metrics(edges, images), _component_retention(blurred, images)):
         out = out.join(part, "image_id")
     return assess(warnings(out))

@@ -336,6 +336,19 @@ def isolated_lines(rows: DataFrame, value: str = "v", out: str = "__lone", media
     return unbanded(rows.withColumn(out, lone).drop("__near", "__p", "__c", "__i"))
 
 
+def smoothed_lines(rows: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Scanlines (image_id, y, arrays) with __lap0, __lap1, ...: the Laplacian of the 3 x 3 median of each of `values`, in one dealing and order of the lines."""
+    rows = banded(rows, 2)
+    for k, value in enumerate(values):
+        rows = near(rows.withColumn("__p", padded(F.col(value), 1, "replicate")), "__p", 1, "replicate")
+        rows = _median_array(rows, value, f"__m{k}").drop("__near", "__p")
+    for k in range(len(values)):
+        rows = near(rows.withColumn("__p", padded(F.col(f"__m{k}"), 1, "reflect101")), "__p", 1, "reflect101")
+        line = lambda d: F.get("__near", F.lit(d + 1))
+        rows = rows.withColumn(f"__lap{k}", F.transform(f"__m{k}", lambda _, i: _laplace(line, i))).drop("__near", "__p")
+    return unbanded(rows.drop(*[f"__m{k}" for k in range(len(values))]))
+
+
 def bilateral(px: DataFrame, diameter: int = 5, sigma_color: float = 25.0, sigma_space: float = 25.0) -> DataFrame:
     """Mean weighted by distance in place and in value over a disc."""
     r = diameter // 2

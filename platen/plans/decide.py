@@ -150,8 +150,8 @@ query("a18_smoothing", f"WITH {S.VECTOR}, {S.around('px', 'n1m', 'replicate')},
 query("j2_match_size", f"WITH {S.VECTOR}, ov AS (SELECT p.image_id, t.t AS y, u.t AS x, p.v, greatest(0, least((p.y + 1) * 5, (t.t + 1) * 8) - greatest(p.y * 5, t.t * 8)) * greatest(0, least((p.x + 1) * 3, (u.t + 1) * 8) - greatest(p.x * 3, u.t * 8)) AS w FROM px p, (SELECT CAST(unnest(range(5)) AS INTEGER) AS t) t, (SELECT CAST(unnest(range(3)) AS INTEGER) AS t) u), out AS (SELECT image_id, y, x, {Q.clip8('round(sum(w::DOUBLE * v) / sum(w), 6)')} AS v FROM ov WHERE w > 0 GROUP BY ALL) {Q.DIGEST}")(
     lambda spark, d: Q.digest(P.match_size(R.vectors(spark, d), R.dimensions(R.vectors(spark, d)).select("image_id", F.lit(5).alias("height"), F.lit(3).alias("width"))))
 )
-for name, treat in (("a21_d7_d8_median_report", K.median_denoise), ("a21_d7_d8_threshold_report", lambda px: global_threshold(px, 127))):
-    query(name)(lambda spark, d, treat=treat: P.verify_preservation(corpus(spark, d), treat(corpus(spark, d))).withColumn("warnings", F.to_json("warnings")))
+query("a21_d7_d8_median_report")(lambda spark, d: P.verify_preservation(corpus(spark, d), K.median_denoise(corpus(spark, d))).withColumn("warnings", F.to_json("warnings")))
+query("a21_d7_d8_threshold_report")(lambda spark, d: P.verify_pairs(P.with_original(corpus(spark, d), lambda px: global_threshold(px, 127))).withColumn("warnings", F.to_json("warnings")))
 
 
 # Preservation metrics of pairs: every vector raster against itself in four steps of gray.

@@ -1,13 +1,14 @@
 """Plans of queries over pixels: what is sorted, joined or dealt out must not be pixels."""
 
 import math
+import random
 import re
 
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from platen.operators import geometry, histogram, preservation, registry, stencil
+from platen.operators import components, edges, geometry, histogram, preservation, registry, stencil
 from platen.operators.metrics import as_lines
 
 from conftest import SF
@@ -193,3 +194,45 @@ def test_texts_are_dealt_into_all_partitions(spark, name):
     """Spark would join partitions by the size of texts, which a task turns into far larger pixels."""
     text = plan(entry.queries()[name](spark, SF))
     assert "REPARTITION_BY_NUM" in text and "REPARTITION_BY_COL" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_components_in_bands(spark, monkeypatch):
+    """Runs are labelled where their band is; only what crosses from band to band is joined, and small images need no join."""
+    draw = random.Random(2)
+    px = [(i, y, x) for i in range(4) for y in range(23) for x in range(17) if draw.random() < (0.2, 0.4, 0.6, 1)[i]]
+    mask, want = spark.createDataFrame(px, "image_id long, y int, x int"), set()
+    left = set(px)
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            i, y, x = todo.pop()
+            part.add((i, y, x))
+            near = {(i, y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        want.add(frozenset(part))
+
+    def parts(runs):
+        found = {}
+        for r in runs.collect():
+            found.setdefault(r["comp"], set()).update((r["image_id"], r["y"], x) for x in range(r["s"], r["e"] + 1))
+        return set(map(frozenset, found.values()))
+
+    assert parts(components.labelled_runs(mask, 4)) == want
+    monkeypatch.setattr(components, "spread_minimum", lambda edges: pytest.fail("no component crosses a band"))
+    assert parts(components.labelled_runs(mask)) == want
+
+
+def test_edges_and_reports_of_lines_are_those_of_pixels(spark):
+    """Edges, and a whole report whose metrics are held against those of pixels."""
+    px = spark.createDataFrame([(i, y, x, (i * 31 + y * y * 17 + x * x * 7 + (200 if (x > 6) ^ (y > 4) else 0)) % 256) for i in range(3) for y in range(11) for x in range(13)], "image_id long, y int, x int, v int")
+    key = lambda df: sorted(map(tuple, df.select("image_id", "y", "x").collect()))
+    assert key(edges.canny_lines(as_lines(px))) == key(edges.canny(edges.auto_thresholds(px), "lo", "hi")) != []
+    pair = preservation.with_original(px, lambda p: histogram.gamma_correct(p, 1.35))
+    report = {r["image_id"]: r for r in preservation.verify_pairs(pair).collect()}
+    ref = preservation.with_reference(pair).checkpoint()
+    for part in (preservation.similarity(pair), preservation.clipping_change(pair), preservation.smoothing_ratio(ref, "ref"), preservation.edge_metrics(ref, "ref"), preservation.component_retention(ref, "ref"), preservation.ink_metrics(ref, "ref")):
+        for r in part.collect():
+            for c in set(part.columns) & set(report[r["image_id"]].asDict()):
+                assert r[c] == pytest.approx(report[r["image_id"]][c], abs=1e-9)
+    assert len(report) == 3
