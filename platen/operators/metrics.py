@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platen.operators.components import components
-from platen.operators.edges import auto_thresholds, canny
+from platen.operators.edges import auto_thresholds, canny, canny_lines
 from platen.operators.histogram import otsu
 from platen.operators.stencil import _index, erode, gaussian, laplacian_lines, median_lines, scanlines
 
@@ -102,6 +102,13 @@ def edge_density(px: DataFrame) -> DataFrame:
     return size.join(edges, "image_id", "left").select("image_id", (F.coalesce("e", F.lit(0)) / F.col("n")).alias("edge_density"))
 
 
+def edge_density_lines(rows: DataFrame) -> DataFrame:
+    """`edge_density` of scanlines (image_id, y, v: array)."""
+    edges = canny_lines(rows).groupBy("image_id").agg(F.count("*").alias("e"))
+    size = rows.groupBy("image_id").agg(F.sum(F.size("v")).alias("n"))
+    return size.join(edges, "image_id", "left").select("image_id", (F.coalesce("e", F.lit(0)) / F.col("n")).alias("edge_density"))
+
+
 def structural(px: DataFrame) -> DataFrame:
     """Ink components of the blurred, thresholded image: counts, areas, foreground and thin ratios."""
     smooth = gaussian(px, 3).select("image_id", "y", "x", F.floor(F.round("g", 6) + 0.5).cast("int").alias("v"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platen.operators import geometry, histogram, metrics, rules, stencil
-from platen.operators.preservation import verify_pairs, verify_preservation
-from platen.sources.rasters import dimensions, trunc8
+from platen.operators.preservation import verify_lines, verify_preservation
+from platen.sources.rasters import trunc8
 from platen.sources.store import cut
 
 #: Fixed values, id: (function, risk, side). Sides: automatic (may be applied without a user), manual (is shown and never applied by itself), free.
@@ -196,12 +196,6 @@ def by_image(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
 
 
-def _copies_of(px: DataFrame, ids: DataFrame, fan: int) -> DataFrame:
-    """The originals under the ids (image_id * fan + case) of treated rasters."""
-    wanted = ids.select(F.col("image_id").alias("__c"), F.expr(f"image_id div {fan}").alias("image_id"))
-    return px.join(wanted, "image_id").select(F.col("__c").alias("image_id"), "y", "x", "v").repartition("image_id")
-
-
 def line_changes(both: DataFrame) -> DataFrame:
     """image_id, pixels, changed (by more than 3), change (sum of differences) of lines before and after (image_id, y, v0, v): exact counts. A line counts its own pixels."""
     d = both.select("image_id", F.zip_with("v0", "v", lambda a, b: F.abs(a - b)).alias("d"))
@@ -227,8 +221,7 @@ def compare_candidates(rows: DataFrame, kinds: tuple[str, ...] = (), verify: boo
             out = one if out is None else out.unionByName(one)
         return out.select("image_id", "c.*", "pixels", "changed", "change")
     both = cut(_cases(rows, [(op, p) for _, _, op, p in chosen], True))
-    pair = both.select("image_id", "y", F.posexplode_outer(F.arrays_zip("v0", F.col("v").alias("v1"))).alias("x", "p")).select("image_id", "y", "x", "p.v0", "p.v1")
-    out = line_changes(both).join(_light(both.select("image_id", "y", "v")), "image_id", "left").join(verify_pairs(pair).select("image_id", "status"), "image_id", "left")
+    out = line_changes(both).join(_light(both.select("image_id", "y", "v")), "image_id", "left").join(verify_lines(both.select("image_id", "y", "v0", F.col("v").alias("v1"))).select("image_id", "status"), "image_id", "left")
     more = [c for c in out.columns if c != "image_id"]
     return _named(out, F.pmod("image_id", F.lit(32)).cast("int"), chosen).select(F.expr("image_id div 32").alias("image_id"), "c.*", *more)
 
@@ -276,8 +269,9 @@ def smart_pipeline(px: DataFrame) -> DataFrame:
 
     Each recommended automatic treatment is tried on the original, all of them at once; the loop is then decided over rows.
     """
-    px = cut(px)
-    before = cut(_light(metrics.as_lines(px)).join(metrics.noise(px).select("image_id", "impulse_ratio"), "image_id").join(metrics.tone(px).select("image_id", "dynamic_range"), "image_id").join(metrics.edge_density(px), "image_id"))
+    rows = _lines(px)
+    px = stencil.line_values(rows)
+    before = cut(_light(rows).join(metrics.noise_lines(rows).select("image_id", "impulse_ratio"), "image_id").join(metrics.tone(stencil.line_values(rows)).select("image_id", "dynamic_range"), "image_id").join(metrics.edge_density_lines(rows), "image_id"))
     cond = cut(rules.conditions(before))
     recs = cut(rules.recommend(cond))
     variants = [("illumination_normalize", "strength", (0.45, 0.65)), ("gamma_correct", "gamma", (0.65, 0.85, 1.15, 1.35)), ("clahe", "clip_limit", (1.2, 1.5, 2.0)), ("median_denoise", "kernel_size", (3,)), ("sharpen", "amount", (0.25,))]
@@ -285,15 +279,19 @@ def smart_pipeline(px: DataFrame) -> DataFrame:
     for op, name, values in variants:
         for value in values:
             own = recs.where((F.col("operation_id") == op) & (F.col("parameter") == value)).select("image_id", "priority")
-            tried.append(apply_operation(px.join(own.select("image_id"), "image_id", "left_semi"), op, **{name: value}).join(own, "image_id").select((F.col("image_id") * 128 + F.col("priority")).alias("image_id"), "y", "x", F.col("v").cast("int").alias("v")))
+            some = rows.join(own.select("image_id"), "image_id", "left_semi")
+            treated = _on_lines(some, op, **{name: value}).join(some.select("image_id", "y", F.col("v").alias("v0")).hint("merge"), ["image_id", "y"], "left")
+            tried.append(treated.join(own.hint("shuffle_hash"), "image_id").select((F.col("image_id") * 128 + F.col("priority")).alias("image_id"), "y", "v0", "v"))
     out = tried[0]
     for one in tried[1:]:
         out = out.unionByName(one)
-    out = cut(out.repartition("image_id"))
-    ids = out.select("image_id").distinct()
-    after = _light(cut(metrics.as_lines(out)))
-    report = verify_preservation(_copies_of(px, ids, 128), out)
-    same = dimensions(out).toDF("image_id", "h1", "w1").join(dimensions(px).toDF("__i", "h0", "w0"), F.expr("image_id div 128 = __i")).select("image_id", ((F.col("h0") == F.col("h1")) & (F.col("w0") == F.col("w1"))).alias("same_size"))
+    out = cut(out)
+    after = _light(out.select("image_id", "y", "v"))
+    # what both have; a treatment that changes the size is rejected below
+    both = F.least(F.size("v0"), F.size("v"))
+    report = verify_lines(out.where("v0 IS NOT NULL").select("image_id", "y", F.slice("v0", F.lit(1), both).alias("v0"), F.slice("v", F.lit(1), both).alias("v1")))
+    size = lambda lines: lines.groupBy("image_id").agg((F.max("y") + 1).alias("h"), F.max(F.size("v")).alias("w"))
+    same = size(out).toDF("image_id", "h1", "w1").join(size(rows).toDF("__i", "h0", "w0"), F.expr("image_id div 128 = __i")).select("image_id", ((F.col("h0") == F.col("h1")) & (F.col("w0") == F.col("w1"))).alias("same_size"))
     names = [c for c in after.columns if c != "image_id"]
     key = [F.expr("image_id div 128").alias("image_id"), F.pmod("image_id", F.lit(128)).cast("int").alias("priority")]
     # a recommendation whose treatment left no raster has not been executed

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from platen.operators import components, edges, geometry, histogram, preservation, registry, stencil
+from platen.operators import components, edges, geometry, histogram, metrics, preservation, registry, stencil
 from platen.operators.metrics import as_lines
 
 from conftest import SF
@@ -236,3 +236,23 @@ def test_edges_and_reports_of_lines_are_those_of_pixels(spark):
             for c in set(part.columns) & set(report[r["image_id"]].asDict()):
                 assert r[c] == pytest.approx(report[r["image_id"]][c], abs=1e-9)
     assert len(report) == 3
+
+
+def test_smart_pipeline_tries_treatments_on_lines(spark, monkeypatch):
+    """Edges are counted from lines as from pixels, and reports get lines: what is kept of a treated raster is a row a line."""
+    px = spark.createDataFrame([(i, y, x, (i * 31 + y * y * 17 + x * x * 7) % 256) for i in range(3) for y in range(9) for x in range(10)], "image_id long, y int, x int, v int")
+    density = lambda df: {r["image_id"]: r["edge_density"] for r in df.collect()}
+    assert density(metrics.edge_density_lines(as_lines(px))) == density(metrics.edge_density(px))
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def report(rows):
+        seen.append(rows.columns)
+        raise Enough
+
+    monkeypatch.setattr(registry, "verify_lines", report, raising=False)
+    with pytest.raises(Enough):
+        registry.smart_pipeline(px)
+    assert seen == [["image_id", "y", "v0", "v1"]]
