@@ -30,7 +30,8 @@ def _segments(votes: DataFrame, theta_step: float, threshold: float | str, min_l
     """Segments of votes (KEYS, theta, rho, along, columns named as limits). A pixel counts for one cell only, of those with enough votes the
     one with most (of ties the middle angle), so a thick or slanted line is one line; along a cell, pixels closer than the gap form a segment.
 
-    With `wide`, a cell goes along with the stronger one beside it, since a slanted line of pixels changes between two.
+    With `wide`, a cell goes along with the stronger one beside it, since a slanted line of pixels changes between two; the angle of a segment is then that
+    of its own pixels, since pixels elsewhere along the cell, of other lines of a text, may have had a say in which cell it is.
     """
     cell = ["image_id", "theta", "rho"]
     limits = [c for c in (threshold, min_length, max_gap) if isinstance(c, str)]
@@ -52,12 +53,26 @@ def _segments(votes: DataFrame, theta_step: float, threshold: float | str, min_l
     gaps = own.withColumn("new", (F.coalesce(F.col("along") - F.lag("along").over(line), F.lit(0.0)) > _number(max_gap)).cast("int"))
     parts = gaps.withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     end = F.struct("along", "x", "y")
-    out = parts.groupBy(*cell, "part").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count("*").alias("votes"), *[F.first(c).alias(c) for c in limits])
+    out = parts.groupBy(*cell, "part").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count("*").alias("votes"), *_sums(), *[F.first(c).alias(c) for c in limits])
     length = F.round(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")), 6)
-    angle = F.lit(theta_step) * F.col("theta") - 90
+    angle = _fitted() if wide else F.lit(theta_step) * F.col("theta") - 90
     return out.withColumn("length", length).where(F.col("length") >= _number(min_length)).select("image_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "length", angle.alias("angle"), "votes")
 
 
+def _sums() -> list[F.Column]:
+    """Sums of the places of a group's pixels, exact."""
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    return [F.sum(e).alias(n) for n, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))]
+
+
+def _fitted() -> F.Column:
+    """Degrees in (-90, 90] of the line that lies nearest to the pixels of `_sums`."""
+    whole = lambda e: e.cast("decimal(38,0)")
+    central = lambda a, b, ab: (whole(F.col("votes")) * F.col(ab) - whole(F.col(a)) * F.col(b)).cast("double")
+    turned = F.degrees(F.atan2(2 * central("sx", "sy", "sxy"), central("sx", "sx", "sxx") - central("sy", "sy", "syy"))) / 2
+    return F.when(turned == -90, 90.0).otherwise(turned)
+
+
 def _place(theta: F.Column, c: F.Column, s: F.Column) -> tuple[F.Column, F.Column]:
     """(rho, along): a pixel's place across and along a line whose normal has the angle at place theta of c and s."""
     cos, sin = F.get(c, theta), F.get(s, theta)
@@ -152,11 +167,14 @@ def fine_votes(coarse: DataFrame, theta_step: float, threshold: float | str, lim
     """KEYS, limits, theta, rho, along: votes for the fine angles of the strongest coarse cells of each pixel; cells with too few votes are out.
 
     A line of `threshold` votes may cross PART coarse cells, so one of them has that part of its votes. Cells are compared by how well
-    their pixels' gradients agree with them, since a strip across text holds many pixels that belong to other lines.
+    their pixels' gradients agree with them, since a strip across text holds many pixels that belong to other lines. The cell of a pixel's own
+    normal stays in any case: strips across several lines of text may have more votes on both sides of it.
     """
     cell = Window.partitionBy("image_id", "j", "rho")
     strong = coarse.withColumns({"n": F.count("*").over(cell), "all": F.sum("w").over(cell)}).where(PART * F.col("n") >= _number(threshold))
-    each = strong.groupBy(*KEYS).agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("all"), "j"))), 1, KEPT).alias("top"), *[F.first(c).alias(c) for c in limits])
+    own = F.sort_array(F.collect_list(F.when(F.col("w") == SIDES + 1, F.struct(-F.col("all"), "j"))))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("all"), "j"))), 1, KEPT)
+    each = strong.groupBy(*KEYS).agg(F.concat(best, own).alias("top"), *[F.first(c).alias(c) for c in limits])
     fine = round(COARSE / theta_step)
     c, s = _directions(theta_step)
     # one angle more on both sides: a line on the border of two coarse cells is stronger in the next angle's

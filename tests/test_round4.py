@@ -4,8 +4,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from platen.operators import histogram, stencil
+from platen.operators import geometry, histogram, prepare, stencil
 from platen.operators.metrics import as_lines
+from platen.sources import rasters
 
 PX = "image_id long, y int, x int, v int"
 
@@ -46,3 +47,23 @@ def test_clahe_counts_bits_of_tiles(spark):
             assert {k[1:]: v for k, v in got.items() if k[0] == i} == want
     text = histogram.clahe_pixels(lines).groupBy("image_id").agg(F.sum("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(v" not in text and text.count("aggregate(h") == 1
+
+
+def test_skew_of_pages_with_few_words(spark):
+    """Strips across several lines of text had more votes than the lines themselves, and a segment took its angle from votes elsewhere in its cell."""
+    items = [
+        (50, "Thtion that onnt anedre thwhst erha thnd atealy st haedth anstanat shblest the, heeati.\nEdnd, er and thontionat."),
+        (112, "Eranshwh esenea thenhe a thlyble thedonwh the ththen nd a onen be erwh thstble anble.\nTo is of th heor and ndennd."),
+    ]
+    px = rasters.page_raster(spark.createDataFrame(items, "item_id long, text string")).checkpoint()
+    got = {r["image_id"]: r for r in prepare.detect_skew(px).collect()}
+    for image, drawn in ((50, math.degrees(math.atan2(35, 999))), (112, 0.0)):
+        assert got[image]["confidence"] >= 0.7 and abs(got[image]["angle"] - drawn) <= 0.75
+
+
+def test_votes_keep_the_own_normal(spark):
+    """A pixel whose neighbouring coarse cells are both stronger still votes for its own angle."""
+    rows = [(1, 10, 10, j, r, w, w) for j, r, w in ((30, 1, 4), (29, 1, 3), (31, 1, 3))] + [(1, 20 + k, 10, j, 1, 3, 3) for k in range(4) for j in (29, 31)]
+    coarse = spark.createDataFrame(rows, "image_id long, y int, x int, j int, rho int, w int, n int").drop("n")
+    theta = {r["theta"] for r in geometry.fine_votes(coarse, 0.5, 1).where("y = 10").collect()}
+    assert 180 in theta
