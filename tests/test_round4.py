@@ -2,9 +2,10 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from platen.operators import geometry, histogram, prepare, stencil
+from platen.operators import edges, geometry, histogram, prepare, stencil
 from platen.operators.metrics import as_lines
 from platen.sources import rasters
 
@@ -67,3 +68,21 @@ def test_votes_keep_the_own_normal(spark):
     coarse = spark.createDataFrame(rows, "image_id long, y int, x int, j int, rho int, w int, n int").drop("n")
     theta = {r["theta"] for r in geometry.fine_votes(coarse, 0.5, 1).where("y = 10").collect()}
     assert 180 in theta
+
+
+def test_edges_carry_no_squares(spark, monkeypatch):
+    """Pixels were gathered into lines twice, and each carried the nine values around it."""
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def held(kept):
+        seen.append(kept._jdf.queryExecution().optimizedPlan().toString())
+        raise Enough
+
+    monkeypatch.setattr(edges, "_held", held)
+    px = spark.createDataFrame([(1, y, x, (y * 37 + x * 91) % 256) for y in range(8) for x in range(8)], PX)
+    with pytest.raises(Enough):
+        edges.canny(px, 50, 150)
+    assert seen[0].count("collect_list(struct(") == 1
